@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mixing, packing, topk, warc
+from . import jaccard, language, mixing, packing, passages, pii, rules, topk, toxicity, warc
 from .common import new_path, table
 
 
@@ -20,6 +20,29 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=1024)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = rules.learn_from_labels(docs, table(spark, sf_dir, "labels"))
+    keep = (~F.col("base_failed") & rules.verdict(learned)).alias("kept")
+    return rules.statistics(docs.select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", keep)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op6_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = passages.train(docs, table(spark, sf_dir, "labels"))
+    return passages.score(docs.select("doc_id", "text"), model).select("doc_id", passages.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,7 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_of_records(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op7_source_mixing, op8_exact_top_k, op9_ngram_jaccard, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_toxicity, op5_pii, op6_passage_quality, op7_source_mixing, op8_exact_top_k, op9_ngram_jaccard, op10_warc)}
 
 ORACLE = {
     "op7_source_mixing": """
