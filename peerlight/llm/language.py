@@ -90,11 +90,11 @@ class LanguageFilters:
         for i in range(self.probes):
             yield ((h + np.uint64(i) * step) & np.uint64(len(self.rows) - 1)).astype(np.int64)
 
-    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language of each text (-1: none) and its score."""
-        best, score = np.full(len(texts), -1), np.zeros(len(texts))
+    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the language of each text (-1: none), its score, and the corrected share of n-grams that it contains."""
+        best, score, known = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts))
         if not self.languages:
-            return best, score
+            return best, score, known
         for a, b in _chunks(texts):
             h, at, starts = ngrams(texts[a:b])
             masks = np.full((len(h), self.rows.shape[1]), ~np.uint64(0))
@@ -110,21 +110,9 @@ class LanguageFilters:
             f = self.false_positive[:, None]
             share = np.clip((share - f) / (1 - f), 0, 1)
             best[a:b] = np.where(total > 0, share.argmax(0), -1)
-            score[a:b] = np.where(total > 0, share.max(0) / np.maximum(share.sum(0), 1e-12), 0)
-        return best, score
-
-    def known(self, texts: list[str]) -> np.ndarray:
-        """Corrected share of the n-grams that the best language contains (0 without a letter)."""
-        out = np.zeros(len(texts))
-        for i, t in enumerate(texts):
-            h, _, _ = ngrams([t])
-            if len(h) and self.languages:
-                masks = np.full((len(h), self.rows.shape[1]), ~np.uint64(0))
-                for p in self.positions(h):
-                    masks &= self.rows[p]
-                s = [float(((masks[:, l // 64] >> np.uint64(l % 64)) & np.uint64(1)).mean()) for l in range(len(self.languages))]
-                out[i] = max(0.0, max((x - f) / (1 - f) for x, f in zip(s, self.false_positive, strict=True)))
-        return out
+            known[a:b] = np.where(total > 0, share.max(0), 0)
+            score[a:b] = known[a:b] / np.maximum(share.sum(0), 1e-12)
+        return best, score, known
 
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", sample_key: str = "doc_id", docs_per_language: int = 3000, filter_size: int = 6000, least_share: float = 0.5, bits: int = 1 << 17, probes: int = 3) -> LanguageFilters:
@@ -163,16 +151,16 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", sample_key: s
 
 
 def predict(documents: DataFrame, model: LanguageFilters, text: str = "text") -> DataFrame:
-    """``documents`` with ``lang_pred``, ``score`` appended (columns of those names are replaced)."""
+    """``documents`` with ``lang_pred``, ``score`` and ``known`` appended (columns of those names are replaced)."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known double")
     def guess(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        best, score = m.predict([t or "" for t in texts])
-        return pd.DataFrame({"lang_pred": [m.languages[i] if i >= 0 else "und" for i in best], "score": score})
+        best, score, known = m.predict([t or "" for t in texts])
+        return pd.DataFrame({"lang_pred": [m.languages[i] if i >= 0 else "und" for i in best], "score": score, "known": known})
 
-    return documents.withColumn("_guess", guess(F.col(text))).withColumns({"lang_pred": F.col("_guess.lang_pred"), "score": F.col("_guess.score")}).drop("_guess")
+    return documents.withColumn("_guess", guess(F.col(text))).withColumns({c: F.col(f"_guess.{c}") for c in ("lang_pred", "score", "known")}).drop("_guess")
 
 
 def held_out(doc_id: Column) -> Column:
