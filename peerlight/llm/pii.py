@@ -181,22 +181,26 @@ def find(documents: DataFrame, terms: DataFrame | None = None, **thresholds) ->
 
     out = documents.withColumn("pii", base("text"))
     for block in _blocks(terms):
-
-        @F.pandas_udf(SPANS)
-        def flagged(texts: pd.Series, spans: pd.Series, block=block) -> pd.Series:
-            found = []
-            for t, own in zip(texts, spans, strict=True):
-                own = list(own)
-                taken = [(x["kind"], x["start"], x["end"]) for x in own if x["kind"] != "term"]
-                new = [{"kind": k, "start": s, "end": e, "bits": b} for k, s, e, b in term_spans(t or "", block.value, taken)]
-                old = [x for x in own if x["kind"] == "term"]
-                found.append([x for x in own if x["kind"] != "term"] + sorted(old + new, key=lambda x: x["start"]))
-            return pd.Series(found, dtype=object)
-
-        out = out.withColumn("pii", flagged("text", "pii"))
+        out = out.withColumn("pii", _flagger(block)("text", "pii"))
     return out
 
 
+def _flagger(block):
+    """Adds the spans of one block of terms to those found so far."""
+
+    @F.pandas_udf(SPANS)
+    def flagged(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        found = []
+        for t, own in zip(texts, spans, strict=True):
+            base, terms = [x for x in own if x["kind"] != "term"], [x for x in own if x["kind"] == "term"]
+            taken = [(x["kind"], x["start"], x["end"]) for x in base]
+            terms += [{"kind": k, "start": s, "end": e, "bits": b} for k, s, e, b in term_spans(t or "", block.value, taken)]
+            found.append(base + sorted(terms, key=lambda x: x["start"]))
+        return pd.Series(found, dtype=object)
+
+    return flagged
+
+
 def sanitize(documents: DataFrame, remove_bits: float = 12.0, **thresholds) -> DataFrame:
     """``documents`` with every span replaced by its kind in brackets, terms of ``remove_bits`` or more removed, and ``n_chars`` anew."""
 

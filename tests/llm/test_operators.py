@@ -1,0 +1,435 @@
+"""Brute force, round trips and corner cases for the training-data operators."""
+
+import gzip
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from peerlight.llm import jaccard, language, mixing, packing, passages, pii, rules, topk, toxicity, warc
+from peerlight.llm.common import new_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+EN = "the cat and the dog with that thing were there when they then thought of this other weather".split()
+FR = "le chat et les chiens avec une autre chose pour que nous soyons dans cette belle maison ou".split()
+
+
+def text_of(words, r, n):
+    return " ".join(r.choice(words) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Two languages, copies, near copies, long, empty and null texts, nulls in every column, repeated rows."""
+    r = random.Random(7)
+    rows = []
+    for i in range(60):
+        en = i % 2 == 0
+        t = text_of(EN if en else FR, r, 30 + i) + f" unique{i} token{i * 7} word{i * 13}"
+        rows.append((i, t, "en" if en else "fr", f"src{i % 3}", len(t)))
+    base = rows[4][1]
+    for k in range(20):  # near copies with one word more, one exact copy
+        t = base + f" tail{k}" if k else base
+        rows.append((100 + k, t, "en", "src0", len(t)))
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(6000))
+    rows += [(200, long, "en", "src1", len(long)), (201, None, None, None, None), (202, "", "en", None, 0), (203, "  \n\t ", "en", "src2", 4), (204, "123 456", "fr", "src2", 7), (205, "short text", "en", "src2", 10), (205, "short text", "en", "src2", 10), (206, "short text", None, "src2", 10)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def clashing(df):
+    """Columns whose names operators use themselves."""
+    return df.withColumns({c: F.lit("x") for c in ("score", "size", "length", "offset", "node", "a", "b", "id", "salt", "pii", "known", "y")})
+
+
+def test_language(spark, corpus, empty):
+    model = language.train(corpus)
+    got = {(r.doc_id, r.text): r for r in language.predict(clashing(corpus), model).collect()}
+    for (i, t), r in got.items():
+        if not t or not any(c.isalpha() for c in t):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        elif i < 120:
+            assert r.lang_pred == r.lang
+        assert 0 <= r.score <= 1
+    assert language.predict(empty, model).count() == 0
+    untrained = language.train(empty)
+    assert {r.lang_pred for r in language.predict(corpus, untrained).collect()} == {"und"}
+
+
+def test_language_many_languages_share_one_lookup():
+    names = [f"l{i:02}" for i in range(70)]
+    model = language.LanguageFilters(names, np.zeros((1 << 12, 2), np.uint64), np.zeros(70), 3)
+    h = language.ngrams(["bonjour"])[0]
+    for p in model.positions(h):
+        model.rows[p, 1] |= np.uint64(1) << np.uint64(5)
+    assert model.predict(["bonjour"])[0][0] == 69
+
+
+def test_token_ids_equal_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    r = random.Random(3)
+    texts = ["", " ", "a  b\n\n c\t", "don't we'll I'M", "éè中文 \U0001f600‍ x", "<|endoftext|>", "0123 4567890", "x" * 500]
+    texts += ["".join(r.choice("ab C\n\té中😀' 　.,!19_-") for _ in range(40)) for _ in range(400)]
+    for s in texts:
+        assert packing.token_ids(s).tolist() == [*t.encode(s, add_special_tokens=False).ids, 2]
+
+
+def test_packing(spark, corpus, empty):
+    got = packing.pack(clashing(corpus), capacity=128).toPandas()
+    want = Counter()
+    for r in corpus.collect():
+        ids = packing.token_ids(r.text)
+        n, at, k = len(ids), 0, 0
+        while at < n:
+            size = (n - 1) % 128 + 1 if k == 0 else 128
+            want[(r.doc_id, k, at, size, zlib.crc32(ids[at : at + size].tobytes()))] += 1
+            at, k = at + size, k + 1
+    assert Counter(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == want
+    for _, seq in got.sort_values("offset").groupby("sequence_id"):
+        assert seq.offset.tolist() == [0, *seq.length.cumsum().tolist()[:-1]]
+        assert seq.length.sum() <= 128
+    assert got.sequence_id.nunique() <= -(-got.length.sum() // 128) + 2
+    assert packing.pack(empty).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_packing_plan_places_every_piece_once(seed):
+    r = random.Random(seed)
+    capacity = r.choice([8, 64, 1024])
+    counts = Counter(min(capacity, 1 + int(r.expovariate(1 / (capacity * 0.3)))) for _ in range(r.choice([1, 40, 3000])))
+    seq, ranks = defaultdict(list), defaultdict(list)
+    for length, first, n, s, offset in packing.plan(counts, capacity):
+        for i in range(n):
+            seq[s + i].append((offset, length))
+            ranks[length].append(first + i)
+    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in counts.items()}
+    for places in seq.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= capacity
+
+
+def base_statistics(t):
+    w = WORD.findall(t or "")
+    at = defaultdict(list)
+    for i in range(len(w) - 4):
+        at[tuple(w[i : i + 5])].append(i)
+    repeated = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 5)}
+    seen, dup = set(), 0
+    for line in (t or "").split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), dup, len(repeated)
+
+
+def test_rule_statistics(spark, corpus, empty):
+    odd = ["a b c d e a b c d e", "x\nx\n\n \nx y", "é# *b*", "w " * 50, "a b c d e f a b c d e g b c d e f", "one two three", "a\r\nb\r\na\r\n"]
+    more = corpus.select("doc_id", "text").union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    got = rules.statistics(more.withColumn("n_words", F.lit("clash"))).collect()
+    for r in got:
+        w = base_statistics(r.text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == w
+        assert r.base_failed == (w[0] < 10 or 100 * w[4] > 20 * w[0])
+    assert rules.statistics(empty).count() == 0
+
+
+def test_rules_learn_planted_conditions(spark):
+    r = random.Random(1)
+    rows = []
+    for i in range(600):
+        symbols = r.random() * 0.4 if i % 5 == 0 else r.random() * 0.02
+        words = r.choice([3.0, 5.0, 9.0])
+        rows.append((i, int(not (symbols > 0.05)), symbols, 0.1, 0.0, words, 0.9, 0.0, 0.0))
+    stats = spark.createDataFrame(rows, "doc_id long, y int, " + ", ".join(f"{f} double" for f in rules.FEATURES))
+    learned = rules.learn(stats)
+    assert learned and learned[0][0].feature == "symbol_ratio" and learned[0][0].at_least
+    kept = stats.select("y", rules.verdict(learned).alias("kept")).toPandas()
+    assert (kept.kept == (kept.y == 1)).mean() > 0.97
+    assert rules.learn(stats.filter("y = 1")) == [] and rules.learn(stats.limit(0)) == []
+
+
+def brute_pii(t):
+    out = []
+    for kind, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(p, t or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+            if {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True, "card": 13 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_pii_base_spans_equal_the_patterns():
+    r = random.Random(1)
+    texts = ["4111 1111-1111 1111 and 1.2.3.4.5.6.7.8", "a@b.c_d@e.f.g", "x@y.z@w.v", "+1 (234) 567-8901", "é 300.1.1.1.2", "mail: a.b+c@d-e.org.", None, ""]
+    texts += ["".join(r.choice("ab1 2.@+-()9.%") for _ in range(r.randint(0, 60))) for _ in range(5000)]
+    for t in texts:
+        assert pii.base_spans(t) == brute_pii(t)
+
+
+def test_pii_terms_and_digest(spark, corpus, empty, monkeypatch):
+    rows = [(i, f"report {i} filler{i} about zanzibarian at kim@corp.example tail{i} some{i} other{i}", "en", "s", 1) for i in range(5)]
+    rows += [(50 + i, f"plain words about nothing number {i}", "en", "s", 1) for i in range(200)] + [(400, "again zanzibarian alone", "en", "s", 1), (401, None, "en", None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for block in (200_000, 1):  # one pass, and a pass for each block
+        monkeypatch.setattr(pii, "BLOCK", block)
+        terms = {r.term for r in pii.disclosing_terms(docs, least_bits=3.0).collect()}
+        assert "zanzibarian" in terms and "about" not in terms
+        got = {r.doc_id: r for r in pii.digest(pii.find(docs, least_bits=3.0)).collect()}
+        assert "term:6:17" in got[400].spans.split(",") and got[401].spans == ""
+        for i, t, *_ in rows:
+            text = ",".join(f"{k}:{s}:{e}" for k, s, e in brute_pii(t))
+            assert got[i].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+            assert got[i].spans.startswith(text)
+    clean = {r.doc_id: r for r in pii.sanitize(docs, least_bits=3.0).collect()}
+    assert "kim@corp" not in clean[0].text and "[EMAIL]" in clean[0].text and "zanzibarian" not in clean[0].text
+    assert clean[50].text == rows[5][1] and clean[401].text is None and clean[0].n_chars == len(clean[0].text)
+    assert pii.find(empty).count() == 0 and pii.find(clashing(corpus)).count() == corpus.count()
+
+
+def test_toxicity(spark, empty):
+    r = random.Random(2)
+    bad = ["slimebag", "gruntface", "dungheap", "wretchlet"]
+    rows, labels = [], []
+    for i in range(400):
+        w = [r.choice(EN) + r.choice(["", "s", "ly", "er"]) for _ in range(80)]
+        toxic = i % 4 == 0
+        if toxic:
+            for k in r.sample(range(80), 6):
+                w[k] = r.choice(bad)
+        rows.append((i, " ".join(w), "en", "s", 0))
+        labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame([*rows, (900, None, None, None, None), (901, "", None, None, 0)], DOCS)
+    marks = spark.createDataFrame([*labels, (0, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, marks)
+    got = {x.doc_id: x for x in toxicity.score(docs, model).collect()}
+    held = [(got[i].predicted, y) for i, _, y in labels if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([a == b for a, b in held]) > 0.95
+    assert got[900].predicted == got[901].predicted == 0 and all(0 <= x.score <= 1 for x in got.values())
+    assert toxicity.score(empty, model).count() == 0
+    assert toxicity.train(docs, marks.limit(0)).scores(["x"]).tolist() == [0.0]
+
+
+def test_passage_quality(spark, empty):
+    r = random.Random(4)
+    rows, labels = [], []
+    for i in range(240):
+        good = i % 3 != 0
+        w = [r.choice(EN + FR) for _ in range(150)]
+        if not good:
+            w[60:110] = [x.upper() + "!!" for x in w[60:110]]
+        rows.append((i, " ".join(w), "en", "s", 0))
+        labels.append((i, int(good), 0))
+    docs = spark.createDataFrame([*rows, (900, None, None, None, None), (901, " \n", None, None, 0)], DOCS)
+    model = passages.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {x.doc_id: x for x in passages.score(docs, model).collect()}
+    held = [(got[i].predicted, q) for i, q, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([a == b for a, b in held]) > 0.95
+    assert 0 <= got[900].score == got[901].score <= 1
+    assert passages.score(empty, model).count() == 0
+
+
+def test_passage_gradients():
+    r = np.random.default_rng(0)
+    x, bag, y = r.normal(size=(12, passages.N_FEATURES)), np.repeat([0, 1, 2], 4), np.array([1.0, 0.0, 1.0])
+    m = passages.fit(x, bag, y, epochs=1)
+    loss = lambda: -np.mean(y * np.log(m.forward(x, bag, 3)["p"]) + (1 - y) * np.log(1 - m.forward(x, bag, 3)["p"]))
+    g = m.gradients(x, bag, y, 0.0)
+    for k in m.w:
+        at = tuple(0 for _ in m.w[k].shape)
+        old = m.w[k][at]
+        m.w[k][at] = old + 1e-5
+        up = loss()
+        m.w[k][at] = old - 1e-5
+        assert g[k][at] == pytest.approx((up - loss()) / 2e-5, abs=1e-6)
+        m.w[k][at] = old
+
+
+def waterfill(sizes, weights, total, most):
+    target = {}
+    left = dict(sizes)
+    while left:
+        w = sum(weights[s] for s in left)
+        rest = total - sum(target.values())
+        over = [s for s in left if rest * weights[s] / w > most * sizes[s]]
+        if not over:
+            return target | {s: rest * weights[s] / w for s in left}
+        for s in over:
+            target[s] = most * left.pop(s)
+    return target
+
+
+def test_mixing(spark, corpus, empty):
+    got = mixing.mix(clashing(corpus)).toPandas()
+    rows = corpus.toPandas()
+    sizes = rows.text.map(lambda t: len(WORD.findall(t or ""))).groupby(rows.source, dropna=False).sum()
+    names = [*sorted(x for x in sizes.index if isinstance(x, str)), None]
+    by = {n: int(sizes[n] if n else sizes[sizes.index.isna()].iloc[0]) for n in names}
+    want = waterfill(by, {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}, 1.5 * sum(by.values()), 2.0)
+    assert sorted({round(t, 6) for t in got.target}) == sorted({round(t, 6) for t in want.values()})
+    assert (got.taken <= 2 * got["size"]).all() and (got.taken % got["size"].clip(lower=1) == 0).all()
+    again = mixing.mix(corpus).toPandas()
+    assert sorted(got.taken) == sorted(again.taken)
+    emitted = mixing.emit(corpus)
+    assert emitted.columns == corpus.columns and emitted.count() == got.copies.sum()
+    assert mixing.mix(empty).count() == 0 and mixing.emit(empty).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_mixing_targets_equal_resharing(spark, seed):
+    r = random.Random(seed)
+    sizes = {f"s{i:02}": r.choice([0, 1, 7, 50, 1000, r.randrange(5000)]) for i in range(12)}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {x.source: x.target for x in mixing.source_targets(frame, (5, 2, 1), 1.5, 2.0).collect()}
+    want = waterfill(sizes, {n: (5, 2, 1)[i % 3] for i, n in enumerate(sorted(sizes))}, 1.5 * sum(sizes.values()), 2.0)
+    assert got == pytest.approx(want)
+
+
+def test_top_k(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in r.normal(size=8)], 0) for i in range(300)]
+    rows += [(i, rows[3][1], 0) for i in range(300, 340)]  # ties
+    rows += [(400, None, 0), (401, [1.0, None] * 4, 0), (402, [float("nan")] * 8, 0), (403, [float("inf")] * 8, 0), (404, [1.0, 2.0], 0), (500, [3.0, 1.0], 0), (None, [1.0] * 8, 0), (5, rows[5][1], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"score": F.lit(1), "rank": F.lit("x")})
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk.top_k(frame, F.col("vec_id") % 100 == 0, shard_rows=32, block_rows=2, fan_in=2).collect()}
+    vectors = {i: np.floor(np.array(v, np.float32).astype(float) * 1024).astype(np.int64) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
+    want = {}
+    for q, v in vectors.items():
+        if q % 100 == 0:
+            best = sorted((-int(v @ w), i) for i, w in vectors.items() if i != q and len(w) == len(v))[:10]
+            want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
+    assert got == want
+    assert topk.top_k(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_best_of_tile_beyond_doubles():
+    q, v = np.array([[1 << 40, 3]]), np.array([[1 << 20, 1], [1 << 20, 2], [0, 5]])
+    assert [x.tolist() for x in topk.best_of_tile(q, np.array([9]), v, np.array([1, 2, 3]), 2)] == [[9, 9], [2, 1], [(1 << 60) + 6, (1 << 60) + 3]]
+
+
+def shingle_set(t):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    n = min(5, len(w))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+
+
+def brute_components(rows):
+    sets = [shingle_set(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                up[root(i)] = root(j)
+    least = defaultdict(lambda: 10**12)
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least[root(i)], d)
+    return sorted((d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows))
+
+
+def test_jaccard(spark, corpus, empty):
+    got = jaccard.join(clashing(corpus)).toPandas()
+    rows = [(r.doc_id, r.text) for r in corpus.collect()]
+    assert sorted(got[["doc_id", "n_shingles", "component_id"]].itertuples(index=False, name=None)) == brute_components(rows)
+    assert jaccard.join(empty).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_jaccard_chains_and_common_passages(spark, seed):
+    """Chains of edits near the threshold, and a passage that most documents hold."""
+    r = random.Random(seed)
+    licence = [f"clause{i}" for i in range(30)]
+    rows = []
+    for c in range(12):
+        words = [f"x{r.randrange(4000)}" for _ in range(r.choice([6, 20, 60]))]
+        for _ in range(8):
+            rows.append((len(rows) * 3 + 1, " ".join(words + (licence if c % 2 else []))))
+            words = words.copy()
+            words[-1 if r.random() < 0.6 else r.randrange(len(words))] = f"y{r.randrange(10**6)}"
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert sorted(got[["doc_id", "n_shingles", "component_id"]].itertuples(index=False, name=None)) == brute_components(rows)
+
+
+def test_shingles_of_few_words():
+    assert len(jaccard.shingles("a b")) == 1 and len(jaccard.shingles("A  b\n")) == 1 and len(jaccard.shingles("")) == len(jaccard.shingles(None)) == 0
+    assert jaccard.shingles("A b")[0] == jaccard.shingles("a\tb")[0] != jaccard.shingles("a b c")[0]
+
+
+def test_warc(spark, monkeypatch):
+    big = "x" * 1500
+    rows = [(1, "http://a/1", big), (2, "http://a/2", big), (3, None, big), (4, "http://a/4", "small"), (5, "http://a/5", "small"), (6, "http://a/6", None), (7, "http://a/7\r\nX: y", "é" * 600), (None, "http://a/8", "q" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"payload": F.lit(1), "record_type": F.lit("x")})
+    path = new_path(spark, "warc-test")
+    warc.write(warc.records_of_pages(pages), path)
+    got = {r.page_id: r for r in warc.pages_of_records(spark, path).collect()}
+    for i, _, html in rows:
+        body = (html or "").encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(body), hashlib.sha1(body).hexdigest())
+        assert (got[i].record_type, got[i].refers_to) == (("revisit", 3) if i in (1, 2) else ("response", None))
+    text = b"".join(gzip.decompress(p.read_bytes()) for p in Path(path.removeprefix("file://")).glob("*.warc.gz"))
+    assert text.count(b"WARC/1.1\r\n") == len(rows) and "é".encode() * 600 in text
+    pushed = warc.read(spark, path, payload=False).filter(F.col("record_type").isin("revisit", "x") & (F.col("payload_length") > 5))
+    plan = pushed._jdf.queryExecution().executedPlan().toString()
+    assert "record_type" not in plan.split("Filter")[1].split("BatchScan")[0] or " IN " not in plan.split("Filter")[1].split("BatchScan")[0]
+    assert pushed.count() == 2 and {r.payload for r in pushed.collect()} == {None}
+    none = new_path(spark, "warc-empty")
+    warc.write(warc.records_of_pages(pages.limit(0)), none)
+    assert warc.pages_of_records(spark, none).count() == 0
+
+
+def test_warc_splits_at_records(monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    monkeypatch.setattr(warc, "SPLIT_BYTES", 900)
+    blank = dict.fromkeys(warc.HEADERS)
+    rows = [blank | {"record_type": "response", "record_id": f"urn:page:{i}", "payload": random.Random(i).randbytes(200), "payload_length": 200} for i in range(40)]
+    writer = warc.WarcWriter(str(tmp_path))
+    writer.commit([writer.write(iter(rows)), None])
+    lost = writer.write(iter(rows))  # a task that ran twice: not in the manifest
+    reader = warc.WarcReader(str(tmp_path), True)
+    parts = reader.partitions()
+    assert len(parts) > 8 and sorted(x[1] for p in parts for x in reader.read(p)) == sorted(r["record_id"] for r in rows)
+    assert {x[1]: x[6] for p in parts for x in reader.read(p)} == {r["record_id"]: r["payload"] for r in rows}
+    writer.abort([lost])
+    assert sum(1 for p in parts for _ in reader.read(p)) == 40
+
+
+def test_pipeline_stages(spark, corpus, tmp_path):
+    import corpus_pipeline as c
+
+    corpus.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    stages = dict(c.STAGES)
+    kept = stages["language"](spark, docs, str(tmp_path))
+    assert kept.columns == c.COLUMNS
+    assert {r.doc_id for r in corpus.collect()} - {r.doc_id for r in kept.collect()} == {201, 202, 203, 204}
+    one = stages["near_duplicates"](spark, docs, str(tmp_path))
+    want = {x[2] for x in brute_components([(r.doc_id, r.text) for r in corpus.collect()])}
+    assert sorted(r.doc_id for r in one.collect()) == sorted(want) and one.columns == c.COLUMNS
+    assert stages["personal_data"](spark, docs, str(tmp_path)).columns == c.COLUMNS
+    assert stages["mixing"](spark, docs, str(tmp_path)).columns == c.COLUMNS
+    out = c.run(spark, str(tmp_path))
+    assert out.filter("length > 1024 or offset + length > 1024").count() == 0 and out.count() > 0
