@@ -155,7 +155,7 @@ def _document_counts(documents: DataFrame, block) -> DataFrame:
             for text in pdf.text:
                 if text:
                     seen.update(block.value.keys() & {t.lower() for t in set(_TERM.findall(text))})
-        yield pd.DataFrame({"term": list(seen), "n": list(seen.values())}).astype({"n": "int64"})
+        yield pd.DataFrame({"term": pd.Series(list(seen), dtype=object), "n": list(seen.values())}).astype({"n": "int64"})
 
     return materialize(documents.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("term_docs")), "pii-counts")
 

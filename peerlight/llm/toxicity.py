@@ -105,7 +105,7 @@ def train_dictionaries(rows: DataFrame, least_ratio: float = 4.0, least_z: float
                 seen: Counter = Counter()
                 for t in part.text:
                     seen.update(_grams(set(_words(t))))
-                yield pd.DataFrame({"gram": list(seen), "y": int(y), "n": list(seen.values())})
+                yield pd.DataFrame({"gram": pd.Series(list(seen), dtype=object), "y": int(y), "n": list(seen.values())}).astype({"n": "int64"})
 
     each = rows.select("text", "y").mapInPandas(count, "gram binary, y int, n long").groupBy("gram").agg(F.sum(F.col("n") * F.col("y")).alias("n1"), F.sum(F.col("n") * (1 - F.col("y"))).alias("n0"))
     p1, p0, p = F.col("n1") / n1, F.col("n0") / n0, (F.col("n1") + F.col("n0")) / (n1 + n0)
@@ -123,7 +123,7 @@ def train_dictionaries(rows: DataFrame, least_ratio: float = 4.0, least_z: float
                     at = [(i, i + n) for n in GRAMS for i in range(len(w) - n + 1) if w[i : i + n] in keep]
                     if at:
                         seen[w[min(a for a, _ in at) : max(b for _, b in at)]] += 1
-            yield pd.DataFrame({"span": list(seen), "n": list(seen.values())}).astype({"n": "int64"})
+            yield pd.DataFrame({"span": pd.Series(list(seen), dtype=object), "n": list(seen.values())}).astype({"n": "int64"})
 
     covered = rows.filter("y = 1").select("text").mapInPandas(cover, "span binary, n long").groupBy("span").agg(F.sum("n").alias("n"))
     top = covered.orderBy(F.desc("n"), "span").limit(spans).collect()
@@ -135,7 +135,7 @@ def train_dictionaries(rows: DataFrame, least_ratio: float = 4.0, least_z: float
                 words = _words(t)
                 at = len(t) * 7919 % max(1, len(words) // 16)
                 out.append(b" ".join(words[16 * at : 16 * at + 16]))
-            yield pd.DataFrame({"window": out})
+            yield pd.DataFrame({"window": pd.Series(out, dtype=object)})
 
     samples = [bytes(r[0]) for r in rows.filter("y = 0").select("text").mapInPandas(windows, "window binary").collect()]
     try:
