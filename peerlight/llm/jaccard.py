@@ -15,7 +15,8 @@ Steps, each written to the shared folder:
 3. Documents with equal sets become one class, known by the hash of its set.
 4. Classes with an equal minimum are compared with one of them.  This links large groups of near copies with one comparison a class.
 5. Cells that still hold different components are joined pair by pair, only across components; sizes, then points, bound the pairs, and what is left is
-   verified on whole shingle sets.  This finds every link between components that step 4 has missed.
+   verified on whole shingle sets, the pair with the highest bound of each set first, then those that still lie across components.  This
+   finds every link between components that step 4 has missed.
 6. Components by minimum labels; every member takes the smallest id of its component.
 
 Cases: null texts and texts without words have the empty set and are linked with nothing, each its own component.  With fewer than ``width``
@@ -33,25 +34,17 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Fewest groups of a point; a larger set has up to one for every four of its shingles, a power of two.
 GROUPS = 64
 #: Share of a chunk's documents from which a shingle counts as common.
 COMMON = 0.002
-#: Words whose hashes a task remembers.
-_KNOWN = 1 << 18
-#: Shingles that are counted together.
-_CHUNK = 1 << 21
+#: Bytes of text that are hashed together, and shingles that are counted together.
+_TEXT, _CHUNK = 1 << 20, 1 << 21
+#: Rows of two numbers that may be broadcast, after they have been counted; larger sides are joined by shuffle.
+BROADCAST_ROWS = 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KNOWN:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
+_BYTE = np.random.default_rng(23).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -60,18 +53,53 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def shingle_lists(texts, width: int = 5):
+    """For each text the hashes of its shingles in order, repeats included; width is at most 8.
+
+    A word's hash is the sum of a random number for each of its bytes times one for the byte's place, mixed; a shingle's the
+    mixed sum of its words' hashes times one for the word's place.  Lower-casing bytes and splitting at blanks know ASCII only, as
+    the contract does.
+    """
+    size, raw = 0, []
+    for i, t in enumerate(texts):
+        raw.append(b" " + (t or "").encode("utf-8", "surrogatepass").lower() + b" ")
+        size += len(raw[-1])
+        if size >= _TEXT or i == len(texts) - 1:
+            b = np.frombuffer(b"".join(raw), np.uint8)
+            inside = ~_BLANK[b]
+            edge = np.diff(inside.view(np.int8))
+            start, stop = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+            ends = np.cumsum([len(r) for r in raw])
+            bounds = np.searchsorted(start, np.concatenate([[0], ends]))
+            if len(start):
+                at = np.flatnonzero(inside)
+                length = stop - start
+                firsts = np.cumsum(length) - length
+                place = np.arange(len(at)) - np.repeat(firsts, length)
+                times = _mixed(np.arange(1, int(length.max()) + 1, dtype=np.uint64) * _ODD[0]) | np.uint64(1)
+                words = _mixed(np.add.reduceat(_BYTE[b[at]] * times[place], firsts) + length.astype(np.uint64) * _ODD[3])
+            else:
+                words = np.zeros(0, np.uint64)
+            for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+                h, n = words[x:y], min(width, int(y - x))
+                if not n:
+                    yield h
+                    continue
+                out = np.full(len(h) - n + 1, n, np.uint64)
+                for k in range(n):
+                    out += h[k : len(h) - n + 1 + k] * _ODD[k]
+                yield _mixed(out)
+            size, raw = 0, []
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a text; width is at most 8."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both know ASCII only, as the contract does
-    if not words:
-        return np.zeros(0, np.uint64)
-    known = _hashes
-    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
-    n = min(width, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        out += h[i : len(h) - n + 1 + i] * _ODD[i]
-    return np.unique(_mixed(out))
+    """Sorted hashes of the distinct shingles of a text."""
+    return distinct(next(shingle_lists([text], width)))
 
 
 def least_overlap(n_a, n_b, percent: int):
@@ -87,26 +115,41 @@ def node_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def point_of(s: np.ndarray) -> np.ndarray:
+    """How many shingles each group has.  Groups are low bits of the hash, so that a finer point folds to a coarser one."""
+    groups = max(GROUPS, 1 << max(0, (len(s) // 4).bit_length() - 1))
+    return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u4" if len(s) > 65535 else "<u2")
+
+
+def overlap_bound(p: bytes, q: bytes, n: int, m: int) -> int:
+    """Sum of the coordinate minima of two points, of sets with n and m shingles."""
+    a, b = (np.frombuffer(x, "<u4" if k > 65535 else "<u2").astype(np.int64) for x, k in ((p, n), (q, m)))
+    g = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, g).sum(0), b.reshape(-1, g).sum(0)).sum())
+
+
 def common_shingles(documents: DataFrame, width: int) -> np.ndarray:
     """Shingles that are frequent in some chunk of documents, sorted.  Any set gives right results; it only orders."""
 
     def count(batches):
-        def frequent(sets):
-            found, n = np.unique(np.concatenate(sets), return_counts=True)
-            return pd.DataFrame({"shingle": found[n >= max(8, COMMON * len(sets))].view(np.int64)})
+        def frequent(lists):
+            h = np.sort(np.concatenate(lists))
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+            n = np.diff(np.append(first, len(h)))
+            return pd.DataFrame({"shingle": h[first[n >= max(8, COMMON * len(lists))]].view(np.int64)})
 
         sets, size = [], 0
         for pdf in batches:
-            for text in pdf.text:
-                sets.append(shingles(text, width))
-                size += len(sets[-1])
+            for h in shingle_lists(pdf.text.tolist(), width):
+                sets.append(h)
+                size += len(h)
                 if size >= _CHUNK:
                     yield frequent(sets)
                     sets, size = [], 0
         if sets:
             yield frequent(sets)
 
-    found = documents.select("text").mapInPandas(count, "shingle long").groupBy("shingle").agg(F.count("*").alias("chunks"))
+    found = materialize(documents.select("text").mapInPandas(count, "shingle long").groupBy("shingle").agg(F.count("*").alias("chunks")), "common")
     total = found.agg(F.count("*"), F.max("chunks")).first()
     # with many chunks a shingle must be frequent in a share of them, which keeps the set as small as for one chunk
     least = 1 if total[0] <= 1_000_000 else max(1, int(0.05 * total[1]))
@@ -119,8 +162,8 @@ def points(documents: DataFrame, common, width: int, percent: int) -> DataFrame:
     def describe(batches):
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
-                s = shingles(text, width)
+            for doc, h in zip(pdf.doc_id, shingle_lists(pdf.text.tolist(), width), strict=True):
+                s = distinct(h)
                 n = len(s)
                 if not n:
                     rows.append((doc, 0, 0, [], b"", []))
@@ -131,8 +174,7 @@ def points(documents: DataFrame, common, width: int, percent: int) -> DataFrame:
                 lead = n + (-percent * n) // 100 + 1  # n - ceil(t n) + 1
                 ordered = np.concatenate([s[~late], s[late]])[:lead]
                 minima = [int(_mixed(s * _ODD[i]).min().view(np.int64)) for i in range(4, 8)]
-                point = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4")
-                rows.append((doc, node_of(s), n, minima, point.tobytes(), ordered.view(np.int64)))
+                rows.append((doc, node_of(s), n, minima, point_of(s).tobytes(), ordered.view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "node", "n_shingles", "minima", "point", "leading"]).astype({"doc_id": "Int64"})
 
     return documents.mapInPandas(describe, POINTS)
@@ -166,31 +208,44 @@ def verified(documents: DataFrame, holders: DataFrame, pairs: DataFrame, width:
 
     def sets(batches):
         for pdf in batches:
-            found = [shingles(t, width) for t in pdf.text]
+            found = [distinct(h) for h in shingle_lists(pdf.text.tolist(), width)]
             yield pd.DataFrame({"id": [node_of(s) for s in found], "shingles": [s.view(np.int64) for s in found]})
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = holders.join(needed, "node", "left_semi").select("doc_id").distinct()
-    read = documents.join(ids, documents.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
+    ids = materialize(_with(holders, _nodes(pairs), "node").select("doc_id").distinct(), "holders")
+    read = documents.join(_small(ids), documents.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
     of = materialize(read.mapInPandas(sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
     joined = pairs.join(of.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     joined = joined.withColumn("shared", F.size(F.array_intersect("x", "y")))
     return joined.filter(100 * F.col("shared") >= percent * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, which has been written, for a broadcast join if its rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-nodes")
+
+
+def _with(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ``keys``, which have been written."""
+    return df.join(_small(keys), key, "left_semi")
+
+
 def _bounded(pairs: DataFrame, points_of: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` those whose points allow the overlap that the threshold needs."""
-    a = points_of.select(F.col("node").alias("a"), F.col("point").alias("p"), F.col("n_shingles").alias("n"))
-    b = points_of.select(F.col("node").alias("b"), F.col("point").alias("q"), F.col("n_shingles").alias("m"))
+    """Of ``pairs``, which have been written, those whose points allow the overlap that the threshold needs."""
+    of = materialize(_with(points_of.select("node", "n_shingles", "point"), _nodes(pairs), "node").dropDuplicates(["node"]), "pair-points")
+    a = of.select(F.col("node").alias("a"), F.col("point").alias("p"), F.col("n_shingles").alias("n"))
+    b = of.select(F.col("node").alias("b"), F.col("point").alias("q"), F.col("n_shingles").alias("m"))
 
     def bound(batches):
         for pdf in batches:
-            if len(pdf):
-                p, q = (np.frombuffer(b"".join(pdf[c]), "<u4").reshape(len(pdf), -1) for c in "pq")
-                most = np.minimum(p, q).sum(1, dtype=np.int64)
-                yield pdf.loc[most >= least_overlap(pdf.n.to_numpy(), pdf.m.to_numpy(), percent), ["a", "b"]]
+            most = np.array([overlap_bound(*x) for x in zip(pdf.p, pdf.q, pdf.n, pdf.m, strict=True)], np.int64)
+            keep = pdf.assign(share=most / (pdf.n + pdf.m))[most >= least_overlap(pdf.n.to_numpy(), pdf.m.to_numpy(), percent)]
+            yield keep[["a", "b", "share"]]
 
-    return pairs.join(a, "a").join(b, "b").mapInPandas(bound, "a long, b long")
+    return materialize(pairs.join(a, "a").join(b, "b").mapInPandas(bound, "a long, b long, share double"), "bounded")
 
 
 def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -201,24 +256,29 @@ def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     all_points = materialize(points(docs, common, width, percent), "points")
     filled = all_points.filter("n_shingles > 0")
     classes = materialize(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")), "classes")
-    # one point a class: that of its smallest id, once
-    kept = filled.join(classes.select("node", F.col("doc_id").alias("_rep")), "node").filter(F.col("doc_id").eqNullSafe(F.col("_rep"))).drop("_rep", "doc_id")
-    nodes = materialize(kept.dropDuplicates(["node"]), "nodes")
 
-    lows = nodes.select("node", F.posexplode("minima").alias("i", "low"))
+    lows = filled.select("node", F.posexplode("minima").alias("i", "low"))
     middles = lows.groupBy("i", "low").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").drop("z")
     near = materialize(lows.join(middles, ["i", "low"]).filter("a < node").select("a", F.col("node").alias("b")).distinct(), "near")
-    links = materialize(verified(docs, classes, _bounded(near, nodes, percent), width, percent), "star-links")
+    links = materialize(verified(docs, classes, _bounded(near, filled, percent).drop("share"), width, percent), "star-links")
     grown = components(spark, links)
-    labelled = nodes.join(grown, nodes.node == grown.id, "left").select("node", "n_shingles", "leading", F.coalesce("component", "node").alias("component"))
-
-    entries = materialize(labelled, "labelled").select("node", "n_shingles", "component", F.explode("leading").alias("cell"))
+    # what hasn't been linked is a component of its own, so that only the linked nodes are joined
+    labelled = filled.select("node", "n_shingles", "leading").join(_small(grown), F.col("node") == F.col("id"), "left").select("node", "n_shingles", "leading", F.coalesce("component", "node").alias("component"))
+    entries = labelled.select("node", "n_shingles", "component", F.explode("leading").alias("cell"))
     mixed = entries.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("cell")
-    held = materialize(entries.join(mixed, "cell", "left_semi"), "cells")
+    held = materialize(_with(entries, materialize(mixed, "mixed-cells"), "cell").distinct(), "cells")
     x = held.select("cell", F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("component").alias("c"))
     y = held.select("cell", F.col("node").alias("b"), F.col("n_shingles").alias("m"), F.col("component").alias("d"))
-    across = x.join(y, "cell").filter((F.col("c") < F.col("d")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("a", "b").distinct()
-    more = verified(docs, classes, materialize(_bounded(across, nodes, percent), "across"), width, percent)
+    across = materialize(x.join(y, "cell").filter((F.col("c") < F.col("d")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("a", "b").distinct(), "across")
+    # the most promising pair of each set first; what that links needs no further comparison
+    left = _bounded(across, filled, percent)
+    first = left.groupBy("b").agg(F.max(F.struct("share", "a")).alias("x")).select("x.a", "b")
+    links = materialize(links.union(verified(docs, classes, materialize(first, "first-pairs"), width, percent)), "first-links")
+    grown = components(spark, links)
+    ends = {k: grown.select(F.col("id").alias(f"_{k}"), F.col("component").alias(f"_c{k}")) for k in "ab"}
+    apart = left.join(first, ["a", "b"], "left_anti").join(ends["a"], F.col("a") == F.col("_a"), "left").join(ends["b"], F.col("b") == F.col("_b"), "left")
+    apart = apart.filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
+    more = verified(docs, classes, materialize(apart, "other-pairs"), width, percent)
     final = components(spark, links.union(more))
     grouped = classes.join(final, classes.node == final.id, "left").select("node", "doc_id", "n_copies", F.coalesce("component", "node").alias("component"))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
