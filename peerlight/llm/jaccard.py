@@ -10,11 +10,12 @@ other), so the cells of the directory are keyed by shingles instead.  Two sets c
 
 Steps, each written to the shared folder:
 
-1. ``common_shingles``: shingles that at least ``COMMON`` of the documents of some chunk have; fewer than width of text / ``COMMON`` can exist.
+1. ``common_shingles``: shingles that occur often, for the order alone; their number is bounded.
 2. ``points``: per document the size, a hash of the set, four minima of rehashed shingles, the point, and the shingles that lead the common order.
 3. Documents with equal sets become one class, known by the hash of its set.
 4. Classes with an equal minimum are compared with one of them.  This links large groups of near copies with one comparison a class.
-5. Cells that still hold different components are joined pair by pair, only across components; sizes, then points, bound the pairs, and what is left is
+5. ``turns`` times, each set is compared with up to ``tries`` members of other components of its cells.  Cells that still hold different components are then
+   joined pair by pair, only across components; sizes and places, then points, bound the pairs, and what is left is
    verified on whole shingle sets, the pair with the highest bound of each set first, then those that still lie across components.  This
    finds every link between components that step 4 has missed.
 6. Components by minimum labels; every member takes the smallest id of its component.
@@ -36,8 +37,8 @@ from .common import materialize
 
 #: Fewest groups of a point; a larger set has up to one for every four of its shingles, a power of two.
 GROUPS = 64
-#: Share of a chunk's documents from which a shingle counts as common.
-COMMON = 0.002
+#: A shingle counts as common from this many occurrences, and at most so many shingles do: the most frequent ones.
+COMMON, MOST_COMMON = 12, 4_000_000
 #: Bytes of text that are hashed together, and shingles that are counted together.
 _TEXT, _CHUNK = 1 << 20, 1 << 21
 #: Rows of two numbers that may be broadcast, after they have been counted; larger sides are joined by shuffle.
@@ -129,31 +130,36 @@ def overlap_bound(p: bytes, q: bytes, n: int, m: int) -> int:
 
 
 def common_shingles(documents: DataFrame, width: int) -> np.ndarray:
-    """Shingles that are frequent in some chunk of documents, sorted.  Any set gives right results; it only orders."""
+    """Frequent shingles, sorted.  Any set gives right results; it only orders.
+
+    Shingles that repeat inside some chunk of texts are counted over all chunks.
+    """
 
     def count(batches):
-        def frequent(lists):
+        def repeated(lists):
             h = np.sort(np.concatenate(lists))
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
             n = np.diff(np.append(first, len(h)))
-            return pd.DataFrame({"shingle": h[first[n >= max(8, COMMON * len(lists))]].view(np.int64)})
+            return pd.DataFrame({"shingle": h[first[n > 1]].view(np.int64), "n": n[n > 1].astype(np.int64)})
 
-        sets, size = [], 0
+        lists, size = [], 0
         for pdf in batches:
             for h in shingle_lists(pdf.text.tolist(), width):
-                sets.append(h)
+                lists.append(distinct(h))
                 size += len(h)
                 if size >= _CHUNK:
-                    yield frequent(sets)
-                    sets, size = [], 0
-        if sets:
-            yield frequent(sets)
+                    yield repeated(lists)
+                    lists, size = [], 0
+        if lists:
+            yield repeated(lists)
 
-    found = materialize(documents.select("text").mapInPandas(count, "shingle long").groupBy("shingle").agg(F.count("*").alias("chunks")), "common")
-    total = found.agg(F.count("*"), F.max("chunks")).first()
-    # with many chunks a shingle must be frequent in a share of them, which keeps the set as small as for one chunk
-    least = 1 if total[0] <= 1_000_000 else max(1, int(0.05 * total[1]))
-    return np.sort(found.filter(F.col("chunks") >= least).select("shingle").toPandas().shingle.to_numpy(np.int64).view(np.uint64))
+    found = documents.select("text").mapInPandas(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
+    found = materialize(found, "common")
+    least, total = COMMON, found.count()
+    while total > MOST_COMMON:  # doubling drops the less frequent half or so
+        least *= 2
+        total = found.filter(F.col("n") >= least).count()
+    return np.sort(found.filter(F.col("n") >= least).select("shingle").toPandas().shingle.to_numpy(np.int64).view(np.uint64))
 
 
 def points(documents: DataFrame, common, width: int, percent: int) -> DataFrame:
@@ -248,7 +254,23 @@ def _bounded(pairs: DataFrame, points_of: DataFrame, percent: int) -> DataFrame:
     return materialize(pairs.join(a, "a").join(b, "b").mapInPandas(bound, "a long, b long, share double"), "bounded")
 
 
-def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def _cells(filled: DataFrame, grown: DataFrame) -> DataFrame:
+    """(cell, node, n_shingles, component, place) of the cells that hold several components; ``place`` is the shingle's in the set's order."""
+    # what hasn't been linked is a component of its own, so that only the linked nodes are joined
+    labelled = filled.select("node", "n_shingles", "leading").join(_small(grown), F.col("node") == F.col("id"), "left").select("node", "n_shingles", "leading", F.coalesce("component", "node").alias("component"))
+    entries = labelled.select("node", "n_shingles", "component", F.posexplode("leading").alias("place", "cell"))
+    mixed = entries.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("cell")
+    return materialize(_with(entries, materialize(mixed, "mixed-cells"), "cell").distinct(), "cells")
+
+
+def _still_mixed(held: DataFrame, grown: DataFrame) -> DataFrame:
+    """Those of the cells' entries whose cells hold several of the new components."""
+    now = held.drop("component").join(_small(grown), F.col("node") == F.col("id"), "left").select("cell", "node", "n_shingles", "place", F.coalesce("component", "node").alias("component"))
+    mixed = now.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("cell")
+    return materialize(now.join(mixed, "cell", "left_semi"), "cells")
+
+
+def join(documents: DataFrame, width: int = 5, percent: int = 80, turns: int = 3, tries: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies): n_copies is the number of documents with the same shingle set."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -261,15 +283,21 @@ def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     middles = lows.groupBy("i", "low").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").drop("z")
     near = materialize(lows.join(middles, ["i", "low"]).filter("a < node").select("a", F.col("node").alias("b")).distinct(), "near")
     links = materialize(verified(docs, classes, _bounded(near, filled, percent).drop("share"), width, percent), "star-links")
-    grown = components(spark, links)
-    # what hasn't been linked is a component of its own, so that only the linked nodes are joined
-    labelled = filled.select("node", "n_shingles", "leading").join(_small(grown), F.col("node") == F.col("id"), "left").select("node", "n_shingles", "leading", F.coalesce("component", "node").alias("component"))
-    entries = labelled.select("node", "n_shingles", "component", F.explode("leading").alias("cell"))
-    mixed = entries.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("cell")
-    held = materialize(_with(entries, materialize(mixed, "mixed-cells"), "cell").distinct(), "cells")
-    x = held.select("cell", F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("component").alias("c"))
-    y = held.select("cell", F.col("node").alias("b"), F.col("n_shingles").alias("m"), F.col("component").alias("d"))
-    across = materialize(x.join(y, "cell").filter((F.col("c") < F.col("d")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("a", "b").distinct(), "across")
+    held = _cells(filled, components(spark, links))
+    for turn in range(turns):
+        # a few comparisons a set with members of other components of its cells, others in every turn
+        seeds = [F.lit(turn * tries + k) for k in range(tries)]
+        pivots = held.groupBy("cell").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("p"))
+        tried = held.join(pivots, "cell").filter(F.col("p.component") != F.col("component")).groupBy("node").agg(F.array(*[F.min_by("p.node", F.xxhash64("p.node", s)) for s in seeds]).alias("others"))
+        tried = tried.select("node", F.explode("others").alias("other"))
+        pairs = materialize(tried.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "turn")
+        links = materialize(links.union(verified(docs, classes, _bounded(pairs, filled, percent).drop("share"), width, percent)), "links")
+        held = _still_mixed(held, components(spark, links))
+    x = held.select("cell", F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("component").alias("c"), F.col("place").alias("i"))
+    y = held.select("cell", F.col("node").alias("b"), F.col("n_shingles").alias("m"), F.col("component").alias("d"), F.col("place").alias("j"))
+    # at the first shingle that two sets share, no more can be shared than what both have left from there
+    fits = (100 + percent) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= percent * (F.col("n") + F.col("m"))
+    across = materialize(x.join(y, "cell").filter((F.col("c") < F.col("d")) & fits).select("a", "b").distinct(), "across")
     # the most promising pair of each set first; what that links needs no further comparison
     left = _bounded(across, filled, percent)
     first = left.groupBy("b").agg(F.max(F.struct("share", "a")).alias("x")).select("x.a", "b")
