@@ -23,9 +23,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled, materialize
+from .common import fold, labelled, materialize, small_batches
 
 GRAMS = (5, 6, 8)
+#: Bytes of a span at most: what follows a distinctive beginning is often an ordinary ending.
+SPAN = 8
 N_FEATURES = 7
 
 
@@ -122,7 +124,8 @@ def train_dictionaries(rows: DataFrame, least_ratio: float = 4.0, least_z: float
                     w = b" " + w
                     at = [(i, i + n) for n in GRAMS for i in range(len(w) - n + 1) if w[i : i + n] in keep]
                     if at:
-                        seen[w[min(a for a, _ in at) : max(b for _, b in at)]] += 1
+                        first = min(a for a, _ in at)
+                        seen[w[first : min(first + SPAN, max(b for _, b in at))]] += 1
             yield pd.DataFrame({"span": pd.Series(list(seen), dtype=object), "n": list(seen.values())}).astype({"n": "int64"})
 
     covered = rows.filter("y = 1").select("text").mapInPandas(cover, "span binary, n long").groupBy("span").agg(F.sum("n").alias("n"))
@@ -196,4 +199,4 @@ def score(documents: DataFrame, model: ToxicityModel, text: str = "text", thresh
     def rate(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.scores(texts.tolist()))
 
-    return documents.withColumn("score", rate(text)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return small_batches(documents).withColumn("score", rate(text)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
