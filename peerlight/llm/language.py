@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold
+from .common import bounded_sample, fold, small_batches
 
 SIZES = (3, 4)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 @cache
@@ -135,7 +135,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", sample_key: s
                     h, n = np.unique(ngrams(texts[a:b])[0].view(np.int64), return_counts=True)
                     yield pd.DataFrame({"lang": name, "gram": h, "n": n.astype(np.int64)})
 
-    counts = sample.select(F.col(lang), F.col(text)).mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = small_batches(sample).select(F.col(lang), F.col(text)).mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     sized = counts.filter("n > 1").withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     apart = sized.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).filter(F.col("rate") >= least_share * F.col("top"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -160,7 +160,7 @@ def predict(documents: DataFrame, model: LanguageFilters, text: str = "text") ->
         best, score, known = m.predict([t or "" for t in texts])
         return pd.DataFrame({"lang_pred": [m.languages[i] if i >= 0 else "und" for i in best], "score": score, "known": known})
 
-    return documents.withColumn("_guess", guess(F.col(text))).withColumns({c: F.col(f"_guess.{c}") for c in ("lang_pred", "score", "known")}).drop("_guess")
+    return small_batches(documents).withColumn("_guess", guess(F.col(text))).withColumns({c: F.col(f"_guess.{c}") for c in ("lang_pred", "score", "known")}).drop("_guess")
 
 
 def held_out(doc_id: Column) -> Column:

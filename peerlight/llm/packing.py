@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 VOCABULARY = "byte_bpe_50k"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -68,7 +68,7 @@ def pieces(documents: DataFrame, capacity: int, vocabulary: str = VOCABULARY, en
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.assign(doc_id=out.doc_id.astype("Int64"))
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
+    return small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 BLOCK = 200_000
@@ -179,7 +179,7 @@ def find(documents: DataFrame, terms: DataFrame | None = None, **thresholds) ->
     def base(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"kind": k, "start": s, "end": e, "bits": None} for k, s, e in base_spans(t)] for t in texts], dtype=object)
 
-    out = documents.withColumn("pii", base("text"))
+    out = small_batches(documents).withColumn("pii", base("text"))
     for block in _blocks(terms):
         out = out.withColumn("pii", _flagger(block)("text", "pii"))
     return out
