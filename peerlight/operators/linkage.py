@@ -163,6 +163,7 @@ def link_overrides(overrides: DataFrame, records: DataFrame, directory: DataFram
         "rec", "dir", F.lit(0).alias("rule"), F.lit("high").alias("confidence"), F.lit("manual_override").alias("method"), F.lit(1000.0).alias("score"), F.lit(1.0).alias("strict_similarity"), F.lit(1.0).alias("relaxed_similarity"))
 
 
+# Fixed values of the rules above and below: scores, thresholds, methods and levels of confidence.
 PROPOSAL = ["rec", "dir", "rule", "confidence", "method", "score", "strict_similarity", "relaxed_similarity"]
 STRICT_METHODS = ("corp_exact_name_strict", "corp_name_exact_name_strict", "manual_override")
 _LEVEL = "CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"

@@ -109,6 +109,8 @@ def extract_labelled_fields(pages: DataFrame, label: str, value: str, wanted: tu
     return last.groupBy("page_id").pivot("label", list(wanted)).agg(F.first("value"))
 
 
+# The markup of stored result pages; words that candidates are scored by.
+SERVICE_WORDS, OFFICIAL_WORDS, PENALTY_WORD = ("就労継続支援", "b型", "障がい"), ("公式", "official"), "instagram"
 RESULT = '(?s)<a rel="nofollow" class="result__a" href="(.*?)">(.*?)</a>(?:(?!class="result__a").)*?<a class="result__snippet" href=".*?">(.*?)</a>'
 
 
@@ -126,7 +128,6 @@ def parse_feeds(pages: DataFrame, most: int = 8) -> DataFrame:
     return each.select("page_id", "position", T.canonical_url(F.col("r.u")).alias("url"), F.col("r.t").alias("title"), F.col("r.s").alias("snippet")).filter("url is not null")
 
 
-SERVICE_WORDS, OFFICIAL_WORDS, PENALTY_WORD = ("就労継続支援", "b型", "障がい"), ("公式", "official"), "instagram"
 
 
 def score_candidates(pairs: DataFrame, blocked: Column, words: tuple[str, ...] = SERVICE_WORDS, word_name: str = "service", penalty: str | None = PENALTY_WORD, nfkc: bool = True) -> DataFrame:
