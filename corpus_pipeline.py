@@ -26,12 +26,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that repeat an id with the same text are copies like any others: one stays."""
+    """Rows that repeat an id are copies like any others: one stays.  Documents without an id can't be named, so all of them stay, each text once."""
     groups = jaccard.join(docs)
     stays = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.join(stays, docs.doc_id == F.col("_id"), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
-    return kept.withColumn("_n", first).filter("_n = 1").select(*COLUMNS)
+    named = kept.withColumn("_n", first).filter("_n = 1").select(*COLUMNS)
+    return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]).select(*COLUMNS))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
