@@ -40,7 +40,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 #: Rows of an Arrow batch: texts can be long, so a batch is small.
-BATCH_ROWS = 1000
+BATCH_ROWS = 400
 
 
 def small_batches(df: DataFrame) -> DataFrame:

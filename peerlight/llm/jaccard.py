@@ -40,7 +40,7 @@ GROUPS = 64
 #: A shingle counts as common from this many occurrences, and at most so many shingles do: the most frequent ones.
 COMMON, MOST_COMMON = 12, 4_000_000
 #: Bytes of text that are hashed together, and shingles that are counted together.
-_TEXT, _CHUNK = 1 << 18, 1 << 20
+_TEXT, _CHUNK = 1 << 18, 1 << 19
 #: Rows of two numbers that may be broadcast, after they have been counted; larger sides are joined by shuffle.
 BROADCAST_ROWS = 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
