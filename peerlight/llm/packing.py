@@ -11,13 +11,14 @@ each gap: that histogram has at most ``capacity`` entries, whatever the corpus,
 stay distributed: they are ranked inside their length (in salted parts, so that a frequent length is spread out) and
 each takes the place that its rank has in the runs.
 
-Cases: null text packs as empty, one end token.  Repeated rows pack separately, and so do documents with equal ids.
+Cases: null text packs as empty, one end token.  An added token of the vocabulary that stands in a text is one id.  Repeated rows pack separately, and so do documents with equal ids.
 An empty table gives an empty result.  Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
@@ -38,20 +39,32 @@ SALTS = 64
 
 @cache
 def _encoder(vocabulary: str):
-    """Encoder of a public byte-level BPE vocabulary; its rank file gives the ids of its JSON file, several times as fast."""
+    """Encoder of a public byte-level BPE vocabulary; its rank file gives the ids of its JSON file, several times as fast.
+
+    The tokens that the JSON file adds to its model aren't in the rank file, so they are read from the JSON.
+    """
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{vocabulary} has added tokens that aren't matched as they stand")
+    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={x["content"]: x["id"] for x in added})
 
 
 def token_ids(text: str | None, vocabulary: str = VOCABULARY, end: int = 2) -> np.ndarray:
-    """Ids of a text and the end id, as little-endian unsigned 32-bit numbers."""
+    """Ids of a text and the end id, as little-endian unsigned 32-bit numbers; added tokens in the text are ordinary text."""
     return np.array([*_encoder(vocabulary).encode_ordinary(text or ""), end], "<u4")
 
 
+def document_ids(text: str | None, vocabulary: str = VOCABULARY, end: int = 2) -> np.ndarray:
+    """As ``token_ids``, but each added token in the text is its own id and parts the text around it, as ``tokenizers`` reads it."""
+    return np.array([*_encoder(vocabulary).encode(text or "", allowed_special="all"), end], "<u4")
+
+
 def pieces(documents: DataFrame, capacity: int, vocabulary: str = VOCABULARY, end: int = 2) -> DataFrame:
     """One row a piece (schema ``PIECES``)."""
 
@@ -59,7 +72,7 @@ def pieces(documents: DataFrame, capacity: int, vocabulary: str = VOCABULARY, en
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
-                ids = token_ids(text, vocabulary, end)
+                ids = document_ids(text, vocabulary, end)
                 at, k = 0, 0
                 while at < len(ids):
                     n = (len(ids) - at - 1) % capacity + 1 if not k else capacity

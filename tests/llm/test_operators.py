@@ -90,6 +90,24 @@ def test_token_ids_equal_the_tokenizer():
         assert packing.token_ids(s).tolist() == [*t.encode(s, add_special_tokens=False).ids, 2]
 
 
+def test_packed_ids_hold_the_added_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(5)
+    texts = ["a<|endoftext|>b", " <|endoftext|> ", "x  <|endoftext|>\n\n<|endoftext|><|endoftext|", "<|endoftext|>", "<|ENDOFTEXT|>", ""]
+    texts += ["".join(r.choice(["<|endoftext|>", "<|", "|>", " ", "  ", "\n", "it's", "é", "中", "7", "word"]) for _ in range(30)) for _ in range(300)]
+    want = set()
+    for i, s in enumerate(texts):
+        ids = np.array([*t.encode(s, add_special_tokens=False).ids, 2], "<u4")
+        assert packing.document_ids(s).tolist() == ids.tolist()
+        want.add((i, 0, 0, len(ids), zlib.crc32(ids.tobytes())))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.pack(docs, capacity=1024).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    assert set(map(tuple, got)) == want and len(got) == len(texts)
+
+
 def best_fit(lengths, capacity):
     """Sequences that plain best-fit decreasing opens."""
     gaps, opened = [], 0
