@@ -1,25 +1,29 @@
 """Personal data: exact patterns, and terms that disclose a protected entity.
 
-The base kinds (email, ip, card, phone) follow fixed patterns.  On top, the corpus says which terms give an entity away: for an entity ``e`` (one
-address, one number) and a term ``t`` found near it, ``P(e | t)`` is the share of the documents with ``t`` in which ``t`` stands near ``e``, and
-``log2(P(e | t) / P(e))`` the bits about ``e`` that ``t`` discloses.  A term above the thresholds, seen in several different texts, is itself
-a span of kind ``term``: above ``remove_bits`` it is removed, else it is replaced by its kind.
+The base kinds (email, ip, card, phone) follow fixed patterns.  On top, the corpus says which terms give an entity away.  For an entity ``e`` (one
+address, one number, or a kind: any address, any number) and a term ``t``, ``P(e | t)`` is the share of the documents with ``t`` that hold ``e``
+anywhere, and ``log2(P(e | t) / P(e))`` the bits about ``e`` that ``t`` discloses.  A term above the thresholds whose share is no chance result is
+itself a span of kind ``term``: above ``remove_bits`` it is removed, else it is replaced by its kind.
 
-Only terms near entities, in ``least_texts`` texts, are counted over the corpus.  They are held ``BLOCK`` at a time, with another pass over the texts
-for each further block, so that memory is bounded and no term is left out.
+Chance is bounded by Chernoff's bound on the binomial tail, times the number of pairs looked at.  It has no least number of texts, but one text alone is
+no evidence, since every text has words of its own: an entity of a single text is covered by its kind, in the terms that it shares with others.
 
-Cases: null text counts as empty.  Repeated rows are answered each, and one text counts once towards ``least_texts``.  An empty table
+Only terms that can still pass are counted over the corpus.  They are held ``BLOCK`` at a time, with another pass over the texts for each further
+block, so that memory is bounded and no term is left out.
+
+Cases: null text counts as empty.  Repeated rows are answered each; in the bound on chance one text with an entity counts once.  An empty table
 gives an empty result.  Other columns are kept by ``sanitize`` and ignored by ``find``.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
@@ -96,44 +100,70 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
 
 
-def terms_near(text: str, start: int, end: int, reach: int) -> set[str]:
-    """Terms that lie within ``reach`` characters of a span."""
-    low, high = max(0, start - reach), min(len(text), end + reach)
-    near = {m[0].lower() for m in _TERM.finditer(text, low, start) if m.start() > low or low == 0}
-    return near | {m[0].lower() for m in _TERM.finditer(text, end, high) if m.end() < high or high == len(text)}
+def terms_of(text: str, spans: list[Span]) -> set[str]:
+    """Terms of a text outside its base spans."""
+    parts, at = [], 0
+    for _, start, end in sorted(spans, key=lambda x: x[1:]):
+        if start >= at:
+            parts.append(text[at:start])
+        at = max(at, end)
+    return {t.lower() for t in set(_TERM.findall(" ".join([*parts, text[at:]])))}
+
+
+CONTEXTS = "digest long, kinds array<string>, entities array<string>, terms array<string>"
+
 
+def disclosing_terms(documents: DataFrame, least_share: float = 0.8, least_bits: float = 4.0, chance: float = 0.01) -> DataFrame:
+    """(term, bits) of the terms whose disclosure exceeds the thresholds, one row a term, written to the shared folder.
 
-def disclosing_terms(documents: DataFrame, reach: int = 48, least_texts: int = 3, least_share: float = 0.8, least_bits: float = 4.0) -> DataFrame:
-    """(term, bits) of the terms whose disclosure exceeds the thresholds, one row a term, written to the shared folder."""
+    ``chance`` bounds the probability that any term passes whose documents hold entities no more often than others do.
+    """
 
     def contexts(batches):
         for pdf in batches:
             rows = []
             for text in pdf.text:
-                spans = base_spans(text)
-                if spans:
-                    around: dict[str, set[str]] = {}
-                    for kind, s, e in spans:
-                        around.setdefault(entity(kind, text[s:e]), set()).update(terms_near(text, s, e, reach))
-                    digest = xxhash.xxh3_64_intdigest(text) - (1 << 63)
-                    rows += [(e, t, digest) for e, terms in around.items() for t in (*terms, "")]
-            yield pd.DataFrame(rows, columns=["entity", "term", "digest"])
-
-    found = documents.select("text").mapInPandas(contexts, "entity string, term string, digest long")
-    by_text = materialize(found.groupBy("entity", "term", "digest").agg(F.count("*").alias("docs")), "pii-contexts")
-    pairs = by_text.groupBy("entity", "term").agg(F.sum("docs").alias("joint"), F.count("*").alias("texts"))
+                if spans := base_spans(text):
+                    own = {entity(k, text[s:e]) for k, s, e in spans}
+                    rows.append((xxhash.xxh3_64_intdigest(text) - (1 << 63), sorted({k for k, _, _ in spans}), sorted(own), sorted(terms_of(text, spans))))
+            yield pd.DataFrame(rows, columns=["digest", "kinds", "entities", "terms"])
+
+    found = documents.select("text").mapInPandas(contexts, CONTEXTS)
+    texts = found.groupBy("digest").agg(F.count("*").alias("docs"), *[F.first(c).alias(c) for c in ("kinds", "entities", "terms")])
+    texts = materialize(texts, "pii-contexts")
+    counted = [F.sum("docs").alias("joint"), F.count("*").alias("texts")]
+    kinds = texts.select(F.explode("kinds").alias("entity"), "docs", "terms")
+    named = texts.select(F.explode("entities").alias("entity"), "digest")
+    several = named.groupBy("entity").count().filter("count > 1").select("entity")
+    named = named.join(several, "entity").join(texts.select("digest", "docs", "terms"), "digest").select("entity", "docs", "terms")
     # the empty term counts the documents of an entity
+    every = [x.select("entity", "docs", F.explode(F.concat("terms", F.array(F.lit("")))).alias("term")).groupBy("entity", "term").agg(*counted) for x in (kinds, named)]
+    pairs = materialize(every[0].unionByName(every[1]), "pii-pairs")
     entities = pairs.filter("term = ''").select("entity", F.col("joint").alias("entity_docs"))
-    pairs = materialize(pairs.filter((F.col("term") != "") & (F.col("texts") >= least_texts)), "pii-pairs")
-    candidates = pairs.select("term").distinct()
+    total, tested = documents.count(), pairs.filter("term <> ''").count()
+    least_evidence = math.log2(max(tested, 1) / chance)
+    rate = F.col("entity_docs") / F.lit(float(max(total, 1)))
+    # evidence is highest where no other document has the term: what fails there fails everywhere
+    pairs = materialize(pairs.filter("term <> ''").join(entities, "entity").filter(-F.col("texts") * F.log2(rate) >= least_evidence), "pii-candidates")
     known = documents.sparkSession.createDataFrame([], "term string, term_docs long")
-    for block in _blocks(candidates):
+    for block in _blocks(pairs.select("term").distinct()):
         known = known.unionByName(_document_counts(documents, block))
-    total = documents.count()
     share = F.col("joint") / F.greatest("term_docs", "joint")
-    bits = F.log2(share * total / F.col("entity_docs"))
-    scored = pairs.join(known, "term").join(entities, "entity").withColumns({"share": share, "bits": bits})
-    return materialize(scored.filter((F.col("share") >= least_share) & (F.col("bits") >= least_bits)).groupBy("term").agg(F.max("bits").alias("bits")), "pii-terms")
+    scored = pairs.join(known, "term").withColumns({"share": share, "bits": F.log2(share / rate), "evidence": _evidence(rate)})
+    passed = scored.filter((F.col("share") >= least_share) & (F.col("bits") >= least_bits) & (F.col("evidence") >= least_evidence))
+    return materialize(passed.groupBy("term").agg(F.max("bits").alias("bits")), "pii-terms")
+
+
+def _evidence(rate: Column) -> Column:
+    """Bits against chance: ``-log2`` of Chernoff's bound on the probability that, at this rate, so many of the texts with a term hold the entity.
+
+    Texts with the entity count once, documents without it each: there are no more texts with the term than that.
+    """
+    others = F.greatest(F.col("term_docs") - F.col("joint"), F.lit(0))
+    n = F.col("texts") + others
+    inside = F.col("texts") * F.log2(F.col("texts") / n / rate)
+    outside = F.when(others > 0, others * F.log2(others / n / F.greatest(1 - rate, F.lit(1e-300)))).otherwise(0.0)
+    return F.when(F.col("texts") / n > rate, inside + outside).otherwise(0.0)
 
 
 def _blocks(terms: DataFrame):
@@ -147,14 +177,14 @@ def _blocks(terms: DataFrame):
 
 
 def _document_counts(documents: DataFrame, block) -> DataFrame:
-    """(term, term_docs) of one block: documents that hold the term, summed in each task first."""
+    """(term, term_docs) of one block: documents that hold the term outside base spans, summed in each task first."""
 
     def count(batches):
         seen: Counter = Counter()
         for pdf in batches:
             for text in pdf.text:
                 if text:
-                    seen.update(block.value.keys() & {t.lower() for t in set(_TERM.findall(text))})
+                    seen.update(block.value.keys() & terms_of(text, base_spans(text)))
         yield pd.DataFrame({"term": pd.Series(list(seen), dtype=object), "n": list(seen.values())}).astype({"n": "int64"})
 
     return materialize(documents.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("term_docs")), "pii-counts")

@@ -238,6 +238,22 @@ def test_pii_terms_and_digest(spark, corpus, empty, monkeypatch):
     assert pii.find(empty).count() == 0 and pii.find(clashing(corpus)).count() == corpus.count()
 
 
+def test_pii_terms_of_entities_that_occur_once_or_twice(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(9))
+    far = lambda t: f"{t} " + " ".join(word() for _ in range(20))
+    rows = [(i, far(f"Call the helpdesk {word()}") + f" at u{i}@h{i}.example now") for i in range(8)]  # each address once, 200 characters from the term
+    rows += [(20 + i, far("quibblewick") + " card 4111 1111 1111 1111 is held") for i in range(2)]  # one entity in two texts
+    rows += [(30, far("onceonly") + " ip 10.0.0.7 seen")] * 4  # one text, repeated: no evidence
+    rows += [(100 + i, far("call the office")) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = {x.term: x.bits for x in pii.disclosing_terms(docs).collect()}
+    assert set(terms) == {"helpdesk", "now", "quibblewick", "card", "held"}
+    assert terms["helpdesk"] == pytest.approx(np.log2(2014 / 8)) and terms["quibblewick"] == pytest.approx(np.log2(2014 / 2))
+    spans = {x.doc_id: x.spans.split(",") for x in pii.digest(pii.find(docs)).collect()}
+    assert all("term:9:17" in spans[i] for i in range(8)) and "term:0:11" in spans[20] and not any("term" in x for x in spans[30] + spans[100])
+
+
 def test_toxicity(spark, empty):
     r = random.Random(2)
     bad = ["slimebag", "gruntface", "dungheap", "wretchlet"]
