@@ -1,7 +1,7 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read again as the next one's input.
 
 1. language: documents without a determinable language go (no letters, or hardly an n-gram that any language has).
-2. near_duplicates: of each group of linked documents the one with the smallest id stays, once.
+2. near_duplicates: of each group of linked documents one row stays, that with the smallest id.
 3. personal_data: every span is replaced by its kind, disclosing terms are generalised or removed.
 4. mixing: each document as often as its source's rate says.
 5. packing: the pieces of all documents and their places in sequences of 1024 tokens.
@@ -9,7 +9,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerlight.llm import jaccard, language, mixing, packing, pii
@@ -26,13 +26,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that repeat an id are copies like any others: one stays.  Documents without an id can't be named, so all of them stay, each text once."""
-    groups = jaccard.join(docs)
-    stays = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stays, docs.doc_id == F.col("_id"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
-    named = kept.withColumn("_n", first).filter("_n = 1").select(*COLUMNS)
-    return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]).select(*COLUMNS))
+    """Rows are told apart by a hash of all columns, not by id: rows that share an id or have none are compared like any others.
+
+    Of each component one row stays, that with the smallest id, and rows without an id only where no other has one.  Rows that are equal in all columns stay once.
+    """
+    rows = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*COLUMNS, *[F.isnull(c) for c in COLUMNS]))
+    groups = jaccard.join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    named = groups.join(rows.select("_row", "doc_id").distinct(), "_row")
+    first = F.min(F.struct(F.isnull("doc_id").alias("_none"), "doc_id", "_row"))
+    stays = named.groupBy("component_id").agg(first.alias("_first")).select("_first._row")
+    return rows.join(stays, "_row", "left_semi").select(*COLUMNS).dropDuplicates(COLUMNS)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ their ids leave the task.  The lists are then merged in a tree, ``fan_in`` shard
 Shards and blocks hold a bounded number of vectors, so that no task's memory depends on the size of the table; the number of tiles grows.
 
 Cases: vectors that are null or hold a null, NaN or infinite component take no part, and neither do rows without an id.
-Of rows that repeat an id the smallest vector stays.  Ties go to the smaller id.  Vectors of another length than the query's are no candidates.
+Rows that repeat an id are candidates each, but never for a query of their own id;
+queries that repeat an id share one list, the best pairs of all of them.  Ties go to the smaller id.  Vectors of another length than the query's are no candidates.
 Scores must fit a 64-bit integer.  Fewer than ``k`` candidates give all of them; an empty table gives an empty result.
 """
 
@@ -33,10 +34,10 @@ def integer_components(embedding: Column, scale: int = 1024) -> Column:
 
 
 def _packed(rows: DataFrame, parts: int) -> DataFrame:
-    """Rows (vec_id, v) as one row a part and vector length, sorted by id and without repeated ids."""
+    """Rows (vec_id, v) as one row a part and vector length, sorted by id."""
 
     def pack(key, pdf):
-        pdf = pdf.assign(t=[tuple(v) for v in pdf.v]).sort_values(["vec_id", "t"]).drop_duplicates("vec_id")
+        pdf = pdf.assign(t=[tuple(v) for v in pdf.v]).sort_values(["vec_id", "t"])
         v = np.array(pdf.t.tolist(), np.int64).reshape(len(pdf), -1)
         return pd.DataFrame({"part": [key[0]], "dim": [key[1]], "ids": [pdf.vec_id.to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()]})
 

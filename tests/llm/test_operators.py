@@ -369,6 +369,19 @@ def test_top_k(spark):
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_keeps_rows_that_repeat_an_id(spark):
+    r = np.random.default_rng(9)
+    rows = [(i % 40, [float(x) for x in r.normal(size=6)]) for i in range(120)]  # each id three times, with other vectors
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v = [(i, np.floor(np.array(e, np.float32).astype(float) * 1024).astype(np.int64)) for i, e in rows]
+    want = set()
+    for q in (0, 20):
+        best = sorted((-int(a @ b), j) for i, a in v if i == q for j, b in v if j != q)[:10]
+        want |= {(q, n + 1, j, -s) for n, (s, j) in enumerate(best)}
+    got = topk.top_k(frame, F.col("vec_id") % 20 == 0, shard_rows=16, block_rows=2, fan_in=2).select("query_id", "rank", "vec_id", "score").collect()
+    assert set(map(tuple, got)) == want and len(got) == 20
+
+
 def test_best_of_tile_beyond_doubles():
     q, v = np.array([[1 << 40, 3]]), np.array([[1 << 20, 1], [1 << 20, 2], [0, 5]])
     assert [x.tolist() for x in topk.best_of_tile(q, np.array([9]), v, np.array([1, 2, 3]), 2)] == [[9, 9], [2, 1], [(1 << 60) + 6, (1 << 60) + 3]]
@@ -481,3 +494,15 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert stages["mixing"](spark, docs, str(tmp_path)).columns == c.COLUMNS
     out = c.run(spark, str(tmp_path))
     assert out.filter("length > 1024 or offset + length > 1024").count() == 0 and out.count() > 0
+
+
+def test_near_duplicates_of_rows_with_clashing_ids(spark):
+    import corpus_pipeline as c
+
+    r = random.Random(21)
+    a, b, d, e = (text_of([f"{k}{i}" for i in range(500)], r, 60) for k in "abde")
+    rows = [(1, a), (5, a + " end"), (5, b), (None, a + " tail"), (None, d), (None, d + " more"), (7, e), (7, e), (None, None), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    got = sorted(((x.doc_id, x.text) for x in c.near_duplicate_stage(spark, docs, "").collect()), key=repr)
+    least = [x for x in got if x[0] is None and x[1] and x[1].startswith(d)]  # either of the two
+    assert len(least) == 1 and got == sorted([(1, a), (5, b), (7, e), (None, None), (8, None), least[0]], key=repr)
