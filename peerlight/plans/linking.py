@@ -93,6 +93,10 @@ def _similarity(t):
     return s.select("rec", "dir", "suffix", "strict_equal", "relaxed_equal", "strict_inside", "relaxed_inside", "capacity_equal", "capacity_close")
 
 
+#: All that ``link_similarity`` adds.
+SIMILARITY = ("strict_similarity", "relaxed_similarity", "suffix", "strict_equal", "relaxed_equal", "strict_inside", "relaxed_inside", "capacity_equal", "capacity_close")
+
+
 def _listed(t):
     return t.directory.filter("ordinal % 4 <> 0").select(F.col("office_number").alias("number"), F.col("office_name").alias("name"), F.concat(F.lit("https://listed.example.com/"), F.col("office_number")).alias("url"))
 
@@ -184,6 +188,9 @@ QUERIES = {
 rec_strict <> '' AND dir_strict <> '' AND (contains(rec_strict, dir_strict) OR contains(dir_strict, rec_strict)) AS strict_inside, rec_relaxed <> '' AND dir_relaxed <> '' AND (contains(rec_relaxed, dir_relaxed) OR contains(dir_relaxed, rec_relaxed)) AS relaxed_inside, coalesce(rec_capacity = dir_capacity, false) AS capacity_equal, coalesce(abs(rec_capacity - dir_capacity) <= 2, false) AS capacity_close FROM q""", "q")),
     "link_rule_cascade": (lambda t: t.proposals.filter("rule in (1, 6, 9) and strict_similarity = 1").select("rec", "dir", "rule", "confidence", "method", "score"), sql("""SELECT rec, dir, CAST(CASE WHEN num THEN 1 WHEN nam THEN 6 ELSE 9 END AS INT) AS rule, CASE WHEN num OR nam THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN num THEN 'corp_exact_name_strict' WHEN nam THEN 'corp_name_exact_name_strict' ELSE 'unique_name_strict' END AS method,
 round(CAST(CASE WHEN num THEN 101 + 0.15 * (rec_capacity = dir_capacity)::INT WHEN nam THEN 73 + 0.1 * (rec_capacity = dir_capacity)::INT ELSE 71 END AS DOUBLE), 4) AS score FROM q WHERE rec_strict = dir_strict AND rec_strict <> '' AND (num OR nam OR n_strict = 1)""", "q")),
+    # all columns, pairs and rules, which SQL can't reproduce: tests compare them with difflib
+    "link_similarity_all": (lambda t: linkage.link_similarity(linkage.link_area_narrowing(t.candidates)).select("rec", "dir", *SIMILARITY), None),
+    "link_rule_cascade_all": (lambda t: t.proposals.filter("rule > 0").select(*linkage.PROPOSAL), None),
     "link_overrides": (lambda t: linkage.link_overrides(t.overrides, t.records, t.listed).select("rec", "dir", "method", "score"), sql("SELECT o.ordinal AS rec, d.dir, 'manual_override' AS method, CAST(1000 AS DOUBLE) AS score FROM office o JOIN d ON d.office_number = 'D' || (o.ordinal + 2) WHERE o.ordinal % 97 = 0", "d")),
     "link_ambiguity_filter": (lambda t: linkage.link_ambiguity_filter(t.proposals).select("rec", "dir", "rule", "score"), None),
     "link_assign_one_to_one": (lambda t: t.chosen.select("rec", "dir", "rule", "confidence", "method", "score"), None),
@@ -197,6 +204,7 @@ round(CAST(CASE WHEN num THEN 101 + 0.15 * (rec_capacity = dir_capacity)::INT WH
     "links_reference_lookup": (lambda t: enrich.links_reference_lookup(t.merged, "dir_office_number", "office_name", _listed(t)).select("office_no", "listed_url"), _with("SELECT office_no, coalesce((SELECT max(url) FROM li WHERE li.number = merged.office_number), (SELECT max(url) FROM li WHERE li.name = merged.office_name HAVING count(*) = 1)) AS listed_url FROM merged", "li AS (SELECT office_number AS number, office_name AS name, 'https://listed.example.com/' || office_number AS url FROM directory WHERE ordinal % 4 <> 0)", "merged")),
     "representatives_join": (lambda t: _represented(t).select("office_no", "representative_role", "representative_name"), _with("SELECT office_no, representative_role, representative_name FROM zz", _REPRESENTED, "merged")),
     "company_rollup": (lambda t: enrich.company_rollup(t.office, "corporation_number", "corporation_name", "office_name", 3).select("corporation_number", "office_count", F.array_join("names", "|").alias("names"), F.array_join("offices", "|").alias("offices")), sql("SELECT corporation_number, count(*) AS office_count, string_agg(DISTINCT corporation_name, '|' ORDER BY corporation_name) AS names, array_to_string(list_sort(list_distinct(list(office_name)))[1:3], '|') AS offices FROM office WHERE corporation_number IS NOT NULL GROUP BY 1", "office")),
+    "company_rollup_all": (lambda t: enrich.company_rollup(t.office, "corporation_number", "corporation_name", "office_name").select("corporation_number", "office_count", F.array_join("names", "|").alias("names"), F.array_join("offices", "|").alias("offices")), sql("SELECT corporation_number, count(*) AS office_count, string_agg(DISTINCT corporation_name, '|' ORDER BY corporation_name) AS names, array_to_string(list_sort(list_distinct(list(office_name)))[1:30], '|') AS offices FROM office WHERE corporation_number IS NOT NULL GROUP BY 1", "office")),
     "representative_coverage": (lambda t: enrich.representative_coverage(_represented(t), "corporation_number", "representative_name"), _with("SELECT count(*) AS companies, count(*) FILTER (has) AS with_representative FROM (SELECT corporation_number, bool_or(representative_name IS NOT NULL) AS has FROM zz WHERE corporation_number IS NOT NULL GROUP BY 1) x", _REPRESENTED, "merged")),
     "missing_links_review": (lambda t: enrich.missing_links_review(_linked(t), F.col("municipality").isin("NATION_3", "NATION_11"), "office_no", enrich.search_query_text("office_name", "municipality", "corporation_name", ("topic",), LEGAL)).select("office_no", "missing_homepage", "missing_profile", "search_url"), _with("SELECT office_no, homepage_url IS NULL AS missing_homepage, profile_url IS NULL AS missing_profile, 'https://search.example.com/?q=' || url_encode('\"' || office_name || '\" ' || municipality || ' ' || trim(replace(corporation_name, 'group ', '')) || ' topic') AS search_url FROM linked WHERE municipality IN ('NATION_3', 'NATION_11') AND (homepage_url IS NULL OR profile_url IS NULL)", _LINKED, "merged")),
     "search_query_text": (lambda t: t.office.select("office_no", enrich.search_query_text("office_name", "municipality", "corporation_name", ("topic",), LEGAL).alias("query")), sql("SELECT office_no, concat_ws(' ', '\"' || office_name || '\"', municipality, trim(replace(corporation_name, 'group ', '')), 'topic') AS query FROM office", "office")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -88,6 +89,7 @@ JOIN (SELECT company_key, corporation_type_label AS main_type FROM c GROUP BY 1,
     "company_scale_buckets": (lambda t: entities.company_scale_buckets(t.e, "company_key"), sql("SELECT CASE WHEN n = 1 THEN '1' WHEN n <= 3 THEN '2-3' ELSE '4 and more' END AS bucket, count(*) AS companies FROM (SELECT count(*) AS n FROM c GROUP BY company_key) x GROUP BY 1", "c")),
     "company_visible_offices": (lambda t: entities.company_visible_offices(t.e, "company_key", F.coalesce(F.col("wage_outlier_flag") == "high", F.lit(False)), F.col("municipality") == "NATION_3"), sql("SELECT company_key, count(*) AS office_count, count(*) FILTER (wage_outlier_flag = 'high') AS visible_count, count(*) FILTER (municipality = 'NATION_3') AS focus_count FROM c GROUP BY 1", "c")),
     "company_office_sort": (lambda t: t.e.filter(F.col("company_key") == "number:N12").orderBy(*entities.company_office_sort(t.e, W)).select("office_no", W, "municipality"), sql("SELECT office_no, average_wage_yen, municipality FROM c WHERE company_key = 'number:N12' ORDER BY average_wage_yen DESC NULLS LAST, municipality, office_name, office_no", "c")),
+    "company_office_sort_all": (lambda t: t.e.select("company_key", "office_no", W, "municipality", F.row_number().over(Window.partitionBy("company_key").orderBy(*entities.company_office_sort(t.e, W))).alias("position")), sql("SELECT company_key, office_no, average_wage_yen, municipality, CAST(row_number() OVER (PARTITION BY company_key ORDER BY average_wage_yen DESC NULLS LAST, municipality, office_name, office_no) AS INT) AS position FROM c", "c")),
     "representative_groups": (lambda t: r6(entities.representative_groups(t.e, "rep_key", "company_key", W, 2), "mean_wage"), sql("SELECT rep_key, count(DISTINCT company_key) AS company_count, count(*) AS office_count, round(avg(average_wage_yen), 6) AS mean_wage FROM c GROUP BY 1 HAVING count(DISTINCT company_key) >= 2", "c")),
     # peers
     "peer_rank": (lambda t: r6(peers.peer_rank(peers.peer_rank(t.e, "primary_activity_type", W, "act"), "capacity_band_label", W, "cap"), "act_median", "act_mean", "cap_median", "cap_mean").select("office_no", *[f"{p}_{x}" for p in ("act", "cap") for x in ("count", "rank", "median", "mean")]), sql("SELECT office_no, " + ", ".join(f"CASE WHEN count(average_wage_yen) OVER {w} >= 3 AND {g} IS NOT NULL THEN {x} END AS {p}_{n}" for p, g in (("act", "primary_activity_type"), ("cap", "capacity_band_label")) for w in (f"(PARTITION BY {g})",) for n, x in (("count", f"count(average_wage_yen) OVER {w}"), ("rank", f"CASE WHEN average_wage_yen IS NOT NULL THEN rank() OVER (PARTITION BY {g} ORDER BY average_wage_yen DESC NULLS LAST) END"), ("median", f"median(average_wage_yen) OVER {w}"), ("mean", f"round(avg(average_wage_yen) OVER {w}, 6)"))) + " FROM e", "e")),

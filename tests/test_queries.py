@@ -59,3 +59,47 @@ def test_entry_and_registration(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def plain_rule(x):
+    """Rule, confidence, method and score of a pair by the order of the rules, from its columns and two difflib ratios."""
+    import difflib
+
+    ratio = lambda a, b: round(difflib.SequenceMatcher(None, a, b).ratio(), 4) if a and b else 0.0
+    inside = lambda a, b: bool(a and b and (a in b or b in a))
+    s, r = ratio(x.rec_strict, x.dir_strict), ratio(x.rec_relaxed, x.dir_relaxed)
+    tails = [i for i in range(1 + min(len(x.rec_relaxed), len(x.dir_relaxed))) if x.rec_relaxed[len(x.rec_relaxed) - i :] == x.dir_relaxed[len(x.dir_relaxed) - i :]]
+    suffix = max(tails)
+    same, alike = x.rec_strict == x.dir_strict != "", x.rec_relaxed == x.dir_relaxed != ""
+    known = x.rec_capacity is not None and x.dir_capacity is not None
+    equal, close = known and x.rec_capacity == x.dir_capacity, known and abs(x.rec_capacity - x.dir_capacity) <= 2
+    num, nam = x.same_number, x.same_company
+    rules = [
+        (num and same, "high", "corp_exact_name_strict", 100 + s + 0.15 * equal),
+        (num and (inside(x.rec_strict, x.dir_strict) or s >= 0.92), "high", "corp_exact_name_strict", 98 + s + 0.15 * equal),
+        (num and (alike or inside(x.rec_relaxed, x.dir_relaxed)) and (equal or x.number_candidates == 1), "medium", "corp_exact_name_relaxed", 85 + r + 0.15 * equal),
+        (num and s >= 0.78 and r >= 0.88, "medium", "corp_exact_name_fuzzy", 80 + s + 0.5 * r + 0.1 * close),
+        (num and suffix >= 2, "medium", "corp_exact_suffix_match", 74 + suffix + 0.5 * s + 0.15 * equal),
+        (nam and same, "high", "corp_name_exact_name_strict", 72 + s + 0.1 * equal),
+        (nam and alike, "medium", "corp_name_exact_name_relaxed", 68 + r + 0.1 * equal),
+        (nam and suffix >= 2, "medium", "corp_name_exact_suffix_match", 64 + suffix + 0.5 * s + 0.1 * equal),
+        (same and x.n_strict == 1, "medium", "unique_name_strict", 70 + s + 0.05 * nam),
+        (alike and x.n_relaxed == 1 and s >= 0.72, "low", "unique_name_relaxed", 60 + s + 0.1 * equal),
+    ]
+    found = next(((i + 1, *y[1:]) for i, y in enumerate(rules) if y[0]), None)
+    return s, r, suffix, found
+
+
+def test_similarity_and_rules_of_all_pairs(spark):
+    from peerlight.operators import linkage
+
+    pairs = linkage.link_area_narrowing(Tables(spark, SF).candidates).collect()
+    similar = {(x.rec, x.dir): x for x in registry.QUERIES["link_similarity_all"](spark, SF).collect()}
+    ruled = {(x.rec, x.dir): x for x in registry.QUERIES["link_rule_cascade_all"](spark, SF).collect()}
+    want = {(x.rec, x.dir): plain_rule(x) for x in pairs}
+    assert similar.keys() == want.keys() and ruled.keys() == {k for k, x in want.items() if x[3]}
+    for k, (s, r, suffix, found) in want.items():
+        assert (similar[k].strict_similarity, similar[k].relaxed_similarity, similar[k].suffix) == pytest.approx((s, r, suffix), abs=1e-4)
+        if found:
+            assert (ruled[k].rule, ruled[k].confidence, ruled[k].method) == found[:3] and ruled[k].score == pytest.approx(found[3], abs=2e-4)
+    assert {x.rule for x in ruled.values()} - {1, 6, 9} and any(x.strict_similarity < 1 for x in ruled.values())
