@@ -99,6 +99,11 @@ class Tables:
     def merged(self) -> DataFrame:
         return self._once("merged", lambda: linkage.link_merge_fields(self.office, self.directory, self.simple))
 
+    @cached_property
+    def linked(self) -> DataFrame:
+        """Offices with the fields of the directory rows that the whole linkage has chosen."""
+        return self._once("linked", lambda: linkage.link_merge_fields(self.office, self.directory, self.chosen))
+
     @cached_property
     def staffed(self) -> DataFrame:
         return self._once("staffed", lambda: stats.staffing_report(self.merged, "average_wage_yen", "dir_key_staff_fte_per_capacity", F.col("dir_match_status") == "matched", F.col("dir_fetch_status") == "ok"))

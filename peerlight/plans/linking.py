@@ -198,6 +198,11 @@ round(CAST(CASE WHEN num THEN 101 + 0.15 * (rec_capacity = dir_capacity)::INT WH
     "link_merge_fields": (lambda t: t.merged.select("office_no", "dir_match_status", "dir_office_number", "dir_capacity_gap", "dir_average_wage_gap", "dir_life_support_per_daily_user"), sql("SELECT office_no, status AS dir_match_status, office_number AS dir_office_number, capacity_gap AS dir_capacity_gap, wage_gap AS dir_average_wage_gap, per_user AS dir_life_support_per_daily_user FROM merged", "merged")),
     "link_unmatched_both_sides": (lambda t: linkage.link_unmatched_both_sides(t.office, t.directory, t.simple), sql("(SELECT 'record' AS side, office_no AS key, office_name AS name, ordinal FROM office WHERE ordinal NOT IN (SELECT rec FROM simple) ORDER BY ordinal LIMIT 120) UNION ALL (SELECT 'directory', office_number, office_name, ordinal FROM directory WHERE ordinal NOT IN (SELECT dir FROM simple) ORDER BY ordinal LIMIT 120)", "simple")),
     "link_coverage_summary": (lambda t: linkage.link_coverage_summary(t.office, t.directory, t.simple), sql("SELECT 'record' AS block, CASE WHEN ordinal IN (SELECT rec FROM simple) THEN 'matched' ELSE 'unmatched' END AS label, count(*) AS count FROM office GROUP BY 2 UNION ALL SELECT 'directory', CASE WHEN ordinal IN (SELECT dir FROM simple) THEN 'matched' ELSE 'unmatched' END, count(*) FROM directory GROUP BY 2 UNION ALL SELECT 'confidence', 'high', count(*) FROM simple UNION ALL SELECT 'method', 'number_and_name', count(*) FROM simple", "simple")),
+    # the same on the result of the whole linkage, which SQL can't reproduce
+    "link_match_report_linked": (lambda t: linkage.link_match_report(t.chosen, t.office, t.directory).select("office_no", "office_name", "municipality", "office_number", "directory_office_name", "office_capacity", "confidence", "method", "score"), None),
+    "link_merge_fields_linked": (lambda t: t.linked.select("office_no", "dir_match_status", "dir_match_confidence", "dir_match_method", "dir_match_score", "dir_office_number", "dir_capacity_gap", "dir_average_wage_gap", "dir_life_support_per_daily_user"), None),
+    "link_unmatched_both_sides_linked": (lambda t: linkage.link_unmatched_both_sides(t.office, t.directory, t.chosen, None), None),
+    "link_coverage_summary_linked": (lambda t: linkage.link_coverage_summary(t.office, t.directory, t.chosen), None),
     # enrichment
     "links_default_and_override": (lambda t: _linked(t).select("office_no", "homepage_url", "profile_url"), _with("SELECT office_no, homepage_url, profile_url FROM linked", _LINKED, "merged")),
     "links_source_cascade": (lambda t: enrich.links_source_cascade(_linked(t), [("official", "high", F.when(F.col("ordinal") % 9 == 0, F.concat(F.lit("https://official.example.com/"), "office_no"))), ("directory", "medium", F.col("homepage_url"))]).select("office_no", "homepage_url", "homepage_source", "homepage_confidence"), _with("SELECT office_no, CASE WHEN ordinal % 9 = 0 THEN 'https://official.example.com/' || office_no ELSE homepage_url END AS homepage_url, CASE WHEN ordinal % 9 = 0 THEN 'official' WHEN homepage_url IS NOT NULL THEN 'directory' END AS homepage_source, CASE WHEN ordinal % 9 = 0 THEN 'high' WHEN homepage_url IS NOT NULL THEN 'medium' END AS homepage_confidence FROM linked", _LINKED, "merged")),

@@ -103,3 +103,34 @@ def test_similarity_and_rules_of_all_pairs(spark):
         if found:
             assert (ruled[k].rule, ruled[k].confidence, ruled[k].method) == found[:3] and ruled[k].score == pytest.approx(found[3], abs=2e-4)
     assert {x.rule for x in ruled.values()} - {1, 6, 9} and any(x.strict_similarity < 1 for x in ruled.values())
+
+
+def test_reports_on_the_whole_linkage(spark):
+    """The chosen pairs are those of a plain greedy over the proposals; report, merge, rest and coverage follow from them."""
+    from collections import Counter
+
+    t, run = Tables(spark, SF), lambda n: registry.QUERIES[n](spark, SF).collect()
+    level = {"high": 3, "medium": 2, "low": 1}
+    key = lambda x: (-level[x.confidence], -x.score, -x.strict_similarity, -x.relaxed_similarity, x.rule == 0, x.rec, x.dir)
+    by_rec, recs, dirs, greedy = {}, set(), set(), []
+    for x in sorted(t.proposals.collect(), key=key):
+        by_rec.setdefault(x.rec, []).append(x)
+    kept = []
+    for own in by_rec.values():
+        close = len(own) > 1 and abs(own[0].score - own[1].score) < 0.25
+        kept += [x for x in own if not (close and x.score == own[0].score and x.method not in ("corp_exact_name_strict", "corp_name_exact_name_strict"))]
+    for x in sorted(kept, key=key):
+        if x.rec not in recs and x.dir not in dirs:
+            recs.add(x.rec), dirs.add(x.dir), greedy.append(x)
+    office, directory = {x.ordinal: x.office_no for x in t.office.collect()}, {x.ordinal: x.office_number for x in t.directory.collect()}
+    want = {(office[x.rec], directory[x.dir], x.confidence, x.method, x.score) for x in greedy}
+    assert {(x.office_no, x.office_number, x.confidence, x.method, x.score) for x in run("link_match_report_linked")} == want
+    merged = run("link_merge_fields_linked")
+    assert len(merged) == len(office) and {(x.office_no, x.dir_office_number, x.dir_match_confidence, x.dir_match_method, x.dir_match_score) for x in merged if x.dir_match_status == "matched"} == want
+    rest = run("link_unmatched_both_sides_linked")
+    assert {(x.side, x.ordinal) for x in rest} == {("record", i) for i in office.keys() - recs} | {("directory", i) for i in directory.keys() - dirs}
+    got = {(x.block, x.label): x["count"] for x in run("link_coverage_summary_linked")}
+    n = len(greedy)
+    counts = {("record", "matched"): n, ("record", "unmatched"): len(office) - n, ("directory", "matched"): n, ("directory", "unmatched"): len(directory) - n}
+    assert got == counts | {("confidence", k): v for k, v in Counter(x.confidence for x in greedy).items()} | {("method", k): v for k, v in Counter(x.method for x in greedy).items()}
+    assert len({x.confidence for x in greedy}) > 1 and len({x.method for x in greedy}) > 3
