@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back: lineage ends there and a lost executor costs nothing."""
     path = new_path(df.sparkSession, tag)
     small_batches(df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+#: Where the tables that are in use have been written.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def release(*written: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read any more."""
+    for df in written:
+        spark, path = df.sparkSession, _PATHS.pop(df)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Rows of an Arrow batch: texts can be long, so a batch is small.

@@ -1,28 +1,29 @@
-"""Exact n-gram Jaccard join of documents over count vectors of hashed tokens.
+"""Exact n-gram Jaccard join of documents over count vectors of hashed tokens, indexed by R-trees.
 
-A document is the set of its distinct shingles (``width`` words, ASCII letters lower-cased).  Shingles are hashed into ``GROUPS`` groups, and
-the number in each group is the document's point.  No overlap is larger than the sum of the coordinate minima of two points, so a pair
-whose bound is below the overlap that the threshold asks for is never verified.
+A document is the set of its distinct shingles (``width`` words, ASCII letters lower-cased).  Shingles that no other set has can't be part of
+an overlap, so they are only counted.  The others are hashed into ``GROUPS`` groups or more, and the number in each group is the document's point.  No overlap
+is larger than the sum of the coordinate minima of two points, and none of the overlaps with a box of points is larger than the sum of the minima with the
+box's upper corner.
 
-Finding pairs of points: a tree of bounding boxes over such points prunes nothing at this dimension (boxes of unrelated documents cover each
-other), so the cells of the directory are keyed by shingles instead.  Two sets can reach the threshold only if they share a shingle among the first
-``n - ceil(t * n) + 1`` in one common order; the order puts shingles that many documents have last, then sorts by hash.
+One tree over all points prunes nothing (README has figures), so the points are indexed by a forest: two sets can reach the threshold only if they share one of the
+``n - ceil(t n) + 1`` rarest shingles of each, and every such shingle is the root of a tree over the sets that have it there.  A tree is bulk-loaded: its
+members are dealt into tiles of ``TILE`` points, each tile is sorted and cut into leaves of ``LEAF``, leaves have boxes.  Tiles of a root meet as pairs, so that a
+task holds two tiles whatever the size of the tree; inside, boxes are compared first, then the points of what is left.
 
 Steps, each written to the shared folder:
 
-1. ``common_shingles``: shingles that occur often, for the order alone; their number is bounded.
-2. ``points``: per document the size, a hash of the set, four minima of rehashed shingles, the point, and the shingles that lead the common order.
-3. Documents with equal sets become one class, known by the hash of its set.
-4. Classes with an equal minimum are compared with one of them.  This links large groups of near copies with one comparison a class.
-5. ``turns`` times, each set is compared with up to ``tries`` members of other components of its cells.  Cells that still hold different components are then
-   joined pair by pair, only across components; sizes and places, then points, bound the pairs, and what is left is
-   verified on whole shingle sets, the pair with the highest bound of each set first, then those that still lie across components.  This
-   finds every link between components that step 4 has missed.
-6. Components by minimum labels; every member takes the smallest id of its component.
+1. ``outlines``: per document the size, a hash of the set, and the head of the set in hash order: ``EXTRA`` longer than what a link needs, so that a set with a
+   link shares ``EXTRA`` of its size inside heads.  What shares less is done.  Shingles of a large part of a bounded sample count as shared without a look: they
+   stay in their row, so that no shingle's rows meet in one task.
+2. ``survivors``: the shared shingles of the other sets, rarest first, and their points (one row for each distinct set).
+3. Sets with an equal minimum of rehashed shingles are compared with one of them, once each.  This links large groups of near copies.
+4. The forest is searched for pairs across components: first for the best partner of each set; then, with the components that follow, for all pairs.
+   Pairs whose points allow the overlap are verified on whole sets.  This finds every link between components that step 3 has missed.
+5. Components by minimum labels; every member takes the smallest id of its component.
 
 Cases: null texts and texts without words have the empty set and are linked with nothing, each its own component.  With fewer than ``width``
-words the whole sequence is one shingle.  Rows that repeat an id are answered each, by their own text.  A null id is never the smallest of a
-component, unless there is no other.  An empty table gives an empty result.  Sets are told apart by 64-bit hashes.
+words the whole sequence is one shingle.  Long texts are hashed whole.  Rows that repeat an id are answered each, by their own text.  A null id is never the smallest of a
+component, unless there is no other.  An empty table gives an empty result.  Other columns are ignored.  Sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,16 +32,21 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 #: Fewest groups of a point; a larger set has up to one for every four of its shingles, a power of two.
 GROUPS = 64
-#: A shingle counts as common from this many occurrences, and at most so many shingles do: the most frequent ones.
-COMMON, MOST_COMMON = 12, 4_000_000
-#: Bytes of text that are hashed together, and shingles that are counted together.
-_TEXT, _CHUNK = 1 << 18, 1 << 19
+#: Points of a tile (on average, where a tree has several) and of a leaf.
+TILE, LEAF = 1024, 32
+#: By how much of a set's size its head is longer than a link needs, in percent.
+EXTRA = 10
+#: Documents of the sample, and in how many of them a shingle is found to count as frequent.
+SAMPLE, FREQUENT = 4000, 8
+#: Bytes of text that are hashed together.
+_TEXT = 1 << 18
 #: Rows of two numbers that may be broadcast, after they have been counted; larger sides are joined by shuffle.
 BROADCAST_ROWS = 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -108,7 +114,13 @@ def least_overlap(n_a, n_b, percent: int):
     return -(-(percent * (n_a + n_b)) // (100 + percent))
 
 
-POINTS = "doc_id long, node long, n_shingles long, minima array<long>, point binary, leading array<long>"
+def needed(n, percent: int):
+    """Fewest shingles that a set of ``n`` shares with any set that it is linked with."""
+    return -(-percent * n // 100)
+
+
+def extra(n, percent: int):
+    return np.maximum(1, np.minimum(needed(n, percent), n * EXTRA // 100))
 
 
 def node_of(s: np.ndarray) -> int:
@@ -116,200 +128,296 @@ def node_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def point_of(s: np.ndarray) -> np.ndarray:
-    """How many shingles each group has.  Groups are low bits of the hash, so that a finer point folds to a coarser one."""
-    groups = max(GROUPS, 1 << max(0, (len(s) // 4).bit_length() - 1))
-    return np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype("<u4" if len(s) > 65535 else "<u2")
+def point_of(s: np.ndarray, n: int) -> bytes:
+    """How many of the shingles each group has, after one byte for the width of a number.  ``n`` is the size of the whole set.
+
+    Groups are low bits of the hash, so that a finer point folds to a coarser one.
+    """
+    groups = max(GROUPS, 1 << max(0, (n // 4).bit_length() - 1))
+    counts = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
-def overlap_bound(p: bytes, q: bytes, n: int, m: int) -> int:
-    """Sum of the coordinate minima of two points, of sets with n and m shingles."""
-    a, b = (np.frombuffer(x, "<u4" if k > 65535 else "<u2").astype(np.int64) for x, k in ((p, n), (q, m)))
+def coordinates(point: bytes, groups: int | None = None) -> np.ndarray:
+    """The numbers of a point, folded to ``groups``."""
+    a = np.frombuffer(point, f"<u{point[0]}", offset=1).astype(np.int32)
+    return a if groups is None else a.reshape(-1, groups).sum(0)
+
+
+def overlap_bound(p: bytes, q: bytes) -> int:
+    """Sum of the coordinate minima of two points."""
+    a, b = coordinates(p), coordinates(q)
     g = min(len(a), len(b))
     return int(np.minimum(a.reshape(-1, g).sum(0), b.reshape(-1, g).sum(0)).sum())
 
 
-def common_shingles(documents: DataFrame, width: int) -> np.ndarray:
-    """Frequent shingles, sorted.  Any set gives right results; it only orders.
+def frequent_shingles(documents: DataFrame, width: int) -> np.ndarray:
+    """Shingles of many documents of a bounded sample, sorted: at most the sample's shingles over ``FREQUENT``.
 
-    Shingles that repeat inside some chunk of texts are counted over all chunks.
+    Any set gives right results: it decides which shingles are counted by a shuffle.
     """
+    n = documents.count()
+    steps = 1 << 40
+    sample = documents.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps)) < int(min(1.0, SAMPLE / max(1, n)) * steps))
 
-    def count(batches):
-        def repeated(lists):
-            h = np.sort(np.concatenate(lists))
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
-            n = np.diff(np.append(first, len(h)))
-            return pd.DataFrame({"shingle": h[first[n > 1]].view(np.int64), "n": n[n > 1].astype(np.int64)})
-
-        lists, size = [], 0
+    def each(batches):
         for pdf in batches:
-            for h in shingle_lists(pdf.text.tolist(), width):
-                lists.append(distinct(h))
-                size += len(h)
-                if size >= _CHUNK:
-                    yield repeated(lists)
-                    lists, size = [], 0
-        if lists:
-            yield repeated(lists)
-
-    found = documents.select("text").mapInPandas(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
-    found = materialize(found, "common")
-    least, total = COMMON, found.count()
-    while total > MOST_COMMON:  # doubling drops the less frequent half or so
-        least *= 2
-        total = found.filter(F.col("n") >= least).count()
-    return np.sort(found.filter(F.col("n") >= least).select("shingle").toPandas().shingle.to_numpy(np.int64).view(np.uint64))
-
-
-def points(documents: DataFrame, common, width: int, percent: int) -> DataFrame:
-    """One row a document (``POINTS``); ``common`` is a broadcast of ``common_shingles``."""
+            lists = [distinct(h) for h in shingle_lists(pdf.text.tolist(), width)]
+            if lists:
+                h, k = np.unique(np.concatenate(lists), return_counts=True)
+                yield pd.DataFrame({"shingle": h.view(np.int64), "n": k})
+
+    found = sample.select("text").mapInPandas(each, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    return np.sort(found.select("shingle").toPandas().shingle.to_numpy(np.int64).view(np.uint64))
+
+
+def among(s: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``s`` are in ``known``; both are sorted."""
+    if not len(known):
+        return np.zeros(len(s), bool)
+    return known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
+
+
+OUTLINES = "doc_id long, node long, n_shingles long, head array<long>, n_frequent long"
+
+
+def outlines(documents: DataFrame, frequent, width: int, percent: int) -> DataFrame:
+    """One row a document.  ``head`` are the first shingles by hash, frequent ones last and only counted.
+
+    A set that a task has seen has an empty head: its shingles are there once.
+    """
 
     def describe(batches):
+        seen: set[int] = set()
         for pdf in batches:
             rows = []
             for doc, h in zip(pdf.doc_id, shingle_lists(pdf.text.tolist(), width), strict=True):
                 s = distinct(h)
                 n = len(s)
                 if not n:
-                    rows.append((doc, 0, 0, [], b"", []))
+                    rows.append((doc, 0, 0, [], 0))
                     continue
-                last = common.value
-                at = np.searchsorted(last, s)
-                late = (last[np.minimum(at, len(last) - 1)] == s) if len(last) else np.zeros(n, bool)
-                lead = n + (-percent * n) // 100 + 1  # n - ceil(t n) + 1
-                ordered = np.concatenate([s[~late], s[late]])[:lead]
-                minima = [int(_mixed(s * _ODD[i]).min().view(np.int64)) for i in range(4, 8)]
-                rows.append((doc, node_of(s), n, minima, point_of(s).tobytes(), ordered.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "node", "n_shingles", "minima", "point", "leading"]).astype({"doc_id": "Int64"})
+                node = node_of(s)
+                size = int(n - needed(n, percent) + extra(n, percent))
+                rare = s[~among(s, frequent.value)]
+                rows.append((doc, node, n, [] if node in seen else rare[:size].view(np.int64), max(0, size - len(rare))))
+                seen.add(node)
+            if len(seen) > 200_000:
+                seen.clear()
+            yield pd.DataFrame(rows, columns=["doc_id", "node", "n_shingles", "head", "n_frequent"]).astype({"doc_id": "Int64"})
 
-    return documents.mapInPandas(describe, POINTS)
+    return documents.mapInPandas(describe, OUTLINES)
 
 
-def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component) of every id in ``edges`` (a, b): the smallest id that it is connected with.
+def shared(entries: DataFrame) -> DataFrame:
+    """(node, shingle, n) of the entries (node, shingle) whose shingle several nodes have; n is its number of entries."""
+    every = Window.partitionBy("shingle")
+    marked = entries.withColumns({"n": F.count("*").over(every), "_low": F.min("node").over(every), "_high": F.max("node").over(every)})
+    return marked.filter("_low < _high").select("node", "shingle", "n")
 
-    Minimum labels with shortcuts: each round links every node to the smallest label around it and every
-    label to the smallest of its own, so that long chains shrink by half.
-    """
-    links = materialize(edges.select("a", "b").filter("a <> b").distinct(), "links")
-    both = links.union(links.select("b", "a"))
-    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id"), "labels")
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
-        best = labels.join(near, labels.id == near.a).select("id", "label", F.least("label", "near").alias("least"))
-        # the label that a label's own node has: halves the distance to the end
-        hop = labels.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
-        new = best.join(hop, best.least == hop._id, "left").select("id", F.least("least", F.coalesce("_label", "least")).alias("new"), "label")
-        new = materialize(new, "labels")
-        changed = new.filter("new <> label").limit(1).count()
-        labels = new.select("id", F.col("new").alias("label"))
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components haven't settled in {rounds} rounds")
+
+SETS = "node long, n_shingles long, shared array<long>, minima array<long>, point binary"
 
 
-def verified(documents: DataFrame, holders: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b) of sets those that reach the threshold on whole shingle sets; ``holders`` (node, doc_id) names a document for each."""
+def survivors(documents: DataFrame, holders: DataFrame, frequent, width: int, percent: int) -> DataFrame:
+    """One row (``SETS``) for each set of ``holders`` (node, doc_id) that shares enough shingles with others to have a link.
+
+    ``shared`` are those shingles: rarest first, then by hash, frequent ones last.
+    """
 
     def sets(batches):
         for pdf in batches:
-            found = [distinct(h) for h in shingle_lists(pdf.text.tolist(), width)]
-            yield pd.DataFrame({"id": [node_of(s) for s in found], "shingles": [s.view(np.int64) for s in found]})
+            rows = []
+            for h in shingle_lists(pdf.text.tolist(), width):
+                s = distinct(h)
+                if len(s):
+                    often = among(s, frequent.value)
+                    rows.append((node_of(s), len(s), s[~often].view(np.int64), s[often].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["node", "n_shingles", "rare", "often"])
 
-    ids = materialize(_with(holders, _nodes(pairs), "node").select("doc_id").distinct(), "holders")
+    ids = materialize(holders.select("doc_id").distinct(), "jaccard-holders")
     read = documents.join(_small(ids), documents.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
-    of = materialize(read.mapInPandas(sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
-    joined = pairs.join(of.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    joined = joined.withColumn("shared", F.size(F.array_intersect("x", "y")))
-    return joined.filter(100 * F.col("shared") >= percent * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, which has been written, for a broadcast join if its rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    whole = read.mapInPandas(sets, "node long, n_shingles long, rare array<long>, often array<long>")
+    whole = materialize(whole.join(_small(materialize(holders.select("node"), "jaccard-nodes")), "node", "left_semi"), "jaccard-whole")
+    # a set that rows with equal ids hold is there more than once: its shingles count more, but stay once
+    found = shared(whole.select("node", F.explode("rare").alias("shingle"))).groupBy("node").agg(F.array_sort(F.collect_set(F.struct("n", "shingle"))).alias("found"))
+    rest = whole.select("node", "n_shingles", "often").dropDuplicates(["node"])
+    put = rest.join(found, "node", "left").select("node", "n_shingles", F.concat(F.coalesce(F.col("found.shingle"), F.array().cast("array<long>")), "often").alias("shared"))
+    put = put.filter(100 * F.size("shared") >= percent * F.col("n_shingles"))
 
+    def describe(batches):
+        for pdf in batches:
+            s = [np.asarray(x, np.int64).view(np.uint64) for x in pdf.shared]
+            minima = [[int(_mixed(x * _ODD[i]).min().view(np.int64)) for i in range(4, 8)] for x in s]
+            yield pdf.assign(minima=minima, point=[point_of(x, n) for x, n in zip(s, pdf.n_shingles, strict=True)])
 
-def _nodes(pairs: DataFrame) -> DataFrame:
-    return materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-nodes")
+    out = materialize(put.mapInPandas(describe, SETS), "jaccard-sets")
+    release(ids, whole)
+    return out
 
 
-def _with(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is among ``keys``, which have been written."""
-    return df.join(_small(keys), key, "left_semi")
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every id in ``edges`` (a, b): the smallest id that it is connected with.
 
+    Minimum labels with shortcuts: each round links every node to the smallest label around it and every
+    label to the smallest of its own, so that long chains shrink by half.
+    """
+    links = materialize(edges.select("a", "b").filter("a <> b").distinct(), "links")
+    both = links.union(links.select("b", "a"))
+    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "id").withColumn("changed", F.lit(True)), "labels")
+    while labels.filter("changed").limit(1).count():
+        old = labels.select("id", "label")
+        near = both.join(old, both.b == old.id).groupBy("a").agg(F.min("label").alias("near"))
+        best = old.join(near, old.id == near.a).select("id", "label", F.least("label", "near").alias("least"))
+        # the label that a label's own node has: halves the distance to the end
+        hop = old.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
+        new = F.least("least", F.coalesce("_label", "least"))
+        new = materialize(best.join(hop, best.least == hop._id, "left").select("id", new.alias("label"), (new < F.col("label")).alias("changed")), "labels")
+        release(labels)
+        labels = new
+    release(links)
+    return labels.select("id", F.col("label").alias("component"))
 
-def _bounded(pairs: DataFrame, points_of: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs``, which have been written, those whose points allow the overlap that the threshold needs."""
-    of = materialize(_with(points_of.select("node", "n_shingles", "point"), _nodes(pairs), "node").dropDuplicates(["node"]), "pair-points")
-    a = of.select(F.col("node").alias("a"), F.col("point").alias("p"), F.col("n_shingles").alias("n"))
-    b = of.select(F.col("node").alias("b"), F.col("point").alias("q"), F.col("n_shingles").alias("m"))
 
-    def bound(batches):
-        for pdf in batches:
-            most = np.array([overlap_bound(*x) for x in zip(pdf.p, pdf.q, pdf.n, pdf.m, strict=True)], np.int64)
-            keep = pdf.assign(share=most / (pdf.n + pdf.m))[most >= least_overlap(pdf.n.to_numpy(), pdf.m.to_numpy(), percent)]
-            yield keep[["a", "b", "share"]]
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, which has been written, for a broadcast join if its rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    return materialize(pairs.join(a, "a").join(b, "b").mapInPandas(bound, "a long, b long, share double"), "bounded")
 
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b) of sets those that reach the threshold: points first, then whole sets."""
+    ends = {k: sets.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("shared").alias(f"s_{k}"), F.col("point").alias(f"p_{k}")) for k in "ab"}
 
-def _cells(filled: DataFrame, grown: DataFrame) -> DataFrame:
-    """(cell, node, n_shingles, component, place) of the cells that hold several components; ``place`` is the shingle's in the set's order."""
-    # what hasn't been linked is a component of its own, so that only the linked nodes are joined
-    labelled = filled.select("node", "n_shingles", "leading").join(_small(grown), F.col("node") == F.col("id"), "left").select("node", "n_shingles", "leading", F.coalesce("component", "node").alias("component"))
-    entries = labelled.select("node", "n_shingles", "component", F.posexplode("leading").alias("place", "cell"))
-    mixed = entries.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("cell")
-    return materialize(_with(entries, materialize(mixed, "mixed-cells"), "cell").distinct(), "cells")
+    def compare(batches):
+        for pdf in batches:
+            least = least_overlap(pdf.n_a.to_numpy(), pdf.n_b.to_numpy(), percent)
+            keep = [overlap_bound(p, q) >= k and len(np.intersect1d(x, y, assume_unique=True)) >= k for p, q, x, y, k in zip(pdf.p_a, pdf.p_b, pdf.s_a, pdf.s_b, least, strict=True)]
+            yield pdf.loc[keep, ["a", "b"]]
+
+    return pairs.join(ends["a"], "a").join(ends["b"], "b").mapInPandas(compare, "a long, b long")
+
+
+class Tile:
+    """Some members of a tree, sorted and cut into leaves with boxes."""
+
+    def __init__(self, node, n, component, left, point):
+        m = np.array([coordinates(p, GROUPS) for p in point])
+        order = np.lexsort((m[:, 1], m[:, 0], n, component))
+        self.node, self.n, self.component, self.left = (np.asarray(x, np.int64)[order] for x in (node, n, component, left))
+        self.m, self.point = m[order], [point[i] for i in order]
+        first = np.arange(0, len(order), LEAF)
+        self.first, self.end = first, np.append(first[1:], len(order))
+        self.upper = np.maximum.reduceat(self.m, first, axis=0)
+        self.fewest, self.most_left = np.minimum.reduceat(self.n, first), np.maximum.reduceat(self.left, first)
+        self.low, self.high = np.minimum.reduceat(self.component, first), np.maximum.reduceat(self.component, first)
+
+
+def tile_pairs(x: Tile, y: Tile, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, share) of the members of two tiles (or of one with itself) that lie across components and that points and places allow to be linked."""
+    out = []
+    least = least_overlap(x.fewest[:, None], y.fewest[None, :], percent)
+    for i in range(len(x.first)):
+        # no member of a leaf shares more with a member of another than their boxes' upper corners, nor than what is left from the shared place
+        bound = np.minimum(np.minimum(x.upper[i], y.upper).sum(1), np.minimum(x.most_left[i], y.most_left))
+        one = (x.low[i] == x.high[i]) & (y.low == y.high) & (x.low[i] == y.low)
+        for j in np.flatnonzero((bound >= least[i]) & ~one):
+            if x is y and j < i:
+                continue
+            p, q = slice(x.first[i], x.end[i]), slice(y.first[j], y.end[j])
+            k = least_overlap(x.n[p, None], y.n[None, q], percent)
+            may = (x.component[p, None] != y.component[None, q]) & (np.minimum(x.left[p, None], y.left[None, q]) >= k)
+            if not may.any():
+                continue
+            a, b = np.nonzero(may)
+            near = np.minimum(x.m[p][a], y.m[q][b]).sum(1) >= k[a, b]
+            for u, v, w in zip(a[near] + x.first[i], b[near] + y.first[j], k[a[near], b[near]], strict=True):
+                if (x is not y or u < v) and (most := overlap_bound(x.point[u], y.point[v])) >= w:
+                    out.append((x.node[u], y.node[v], most / (x.n[u] + y.n[v])))
+    out = list(zip(*out, strict=True)) or [[], [], []]
+    return np.array(out[0], np.int64), np.array(out[1], np.int64), np.array(out[2], float)
+
+
+def best_partners(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some pairs, in both directions, the one with the highest share of each first node."""
+    a, b, share = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([share, share])
+    order = np.lexsort((b, -share, a))
+    keep = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])] if len(order) else order
+    return a[keep], b[keep], share[keep]
+
+
+MEMBERS = ("node", "n", "component", "left", "point")
+
+
+def search(sets: DataFrame, grown: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Pairs (a, b), a < b, across the components ``grown`` that the forest finds, written; with ``best_only`` the best one of each set."""
+    lead = F.size("shared") - F.ceil(F.col("n_shingles") * percent / 100).cast("int") + 1
+    # what hasn't been linked is a component of its own
+    known = sets.join(_small(grown), F.col("node") == F.col("id"), "left").withColumn("component", F.coalesce("component", "node"))
+    entries = known.select("node", F.col("n_shingles").alias("n"), "component", "point", (F.size("shared")).alias("_size"), F.posexplode(F.slice("shared", 1, lead)).alias("_place", "cell"))
+    mixed = entries.groupBy("cell").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_members")).filter("_low < _high")
+    mixed = materialize(mixed.select("cell", F.ceil(F.col("_members") / TILE).alias("tiles")), "jaccard-roots")
+    # an entry's place says how much of its set can still be shared from there on
+    held = entries.withColumn("left", F.col("_size") - F.col("_place")).join(mixed, "cell").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    tiles = held.groupBy("cell", "tiles", "tile").agg(F.collect_list(F.struct(*MEMBERS)).alias("m"))
+    tiles = materialize(tiles.select("cell", "tiles", "tile", *[F.col(f"m.{c}").alias(c) for c in MEMBERS]), "jaccard-tiles")
+    two = {k: tiles.select("cell", F.col("tile").alias(f"_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in MEMBERS]) for k in "xy"}
+    single = tiles.select(*MEMBERS)
+    double = two["x"].join(two["y"], "cell").filter("_x < _y") if mixed.filter("tiles > 1").limit(1).count() else None
+
+    def pairs_of(found):
+        a, b, share = best_partners(*found) if best_only else found
+        return pd.DataFrame({"a": a, "b": b, "share": share})
+
+    def alone(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                t = Tile(*row)
+                yield pairs_of(tile_pairs(t, t, percent))
 
+    def together(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                yield pairs_of(tile_pairs(Tile(*row[2:7]), Tile(*row[8:13]), percent))
 
-def _still_mixed(held: DataFrame, grown: DataFrame) -> DataFrame:
-    """Those of the cells' entries whose cells hold several of the new components."""
-    now = held.drop("component").join(_small(grown), F.col("node") == F.col("id"), "left").select("cell", "node", "n_shingles", "place", F.coalesce("component", "node").alias("component"))
-    mixed = now.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("cell")
-    return materialize(now.join(mixed, "cell", "left_semi"), "cells")
+    pairs = single.mapInPandas(alone, "a long, b long, share double")
+    if double is not None:
+        pairs = pairs.union(double.mapInPandas(together, "a long, b long, share double"))
+    if best_only:
+        pairs = pairs.groupBy("a").agg(F.max(F.struct("share", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    out = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
+    release(mixed, tiles)
+    return out
 
 
-def join(documents: DataFrame, width: int = 5, percent: int = 80, turns: int = 3, tries: int = 4) -> DataFrame:
+def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies): n_copies is the number of documents with the same shingle set."""
-    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    common = spark.sparkContext.broadcast(common_shingles(docs, width))
-    all_points = materialize(points(docs, common, width, percent), "points")
-    filled = all_points.filter("n_shingles > 0")
-    classes = materialize(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")), "classes")
-
-    lows = filled.select("node", F.posexplode("minima").alias("i", "low"))
-    middles = lows.groupBy("i", "low").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").drop("z")
-    near = materialize(lows.join(middles, ["i", "low"]).filter("a < node").select("a", F.col("node").alias("b")).distinct(), "near")
-    links = materialize(verified(docs, classes, _bounded(near, filled, percent).drop("share"), width, percent), "star-links")
-    held = _cells(filled, components(spark, links))
-    for turn in range(turns):
-        # a few comparisons a set with members of other components of its cells, others in every turn
-        seeds = [F.lit(turn * tries + k) for k in range(tries)]
-        pivots = held.groupBy("cell").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("p"))
-        tried = held.join(pivots, "cell").filter(F.col("p.component") != F.col("component")).groupBy("node").agg(F.array(*[F.min_by("p.node", F.xxhash64("p.node", s)) for s in seeds]).alias("others"))
-        tried = tried.select("node", F.explode("others").alias("other"))
-        pairs = materialize(tried.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "turn")
-        links = materialize(links.union(verified(docs, classes, _bounded(pairs, filled, percent).drop("share"), width, percent)), "links")
-        held = _still_mixed(held, components(spark, links))
-    x = held.select("cell", F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("component").alias("c"), F.col("place").alias("i"))
-    y = held.select("cell", F.col("node").alias("b"), F.col("n_shingles").alias("m"), F.col("component").alias("d"), F.col("place").alias("j"))
-    # at the first shingle that two sets share, no more can be shared than what both have left from there
-    fits = (100 + percent) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= percent * (F.col("n") + F.col("m"))
-    across = materialize(x.join(y, "cell").filter((F.col("c") < F.col("d")) & fits).select("a", "b").distinct(), "across")
-    # the most promising pair of each set first; what that links needs no further comparison
-    left = _bounded(across, filled, percent)
-    first = left.groupBy("b").agg(F.max(F.struct("share", "a")).alias("x")).select("x.a", "b")
-    links = materialize(links.union(verified(docs, classes, materialize(first, "first-pairs"), width, percent)), "first-links")
-    grown = components(spark, links)
-    ends = {k: grown.select(F.col("id").alias(f"_{k}"), F.col("component").alias(f"_c{k}")) for k in "ab"}
-    apart = left.join(first, ["a", "b"], "left_anti").join(ends["a"], F.col("a") == F.col("_a"), "left").join(ends["b"], F.col("b") == F.col("_b"), "left")
-    apart = apart.filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
-    more = verified(docs, classes, materialize(apart, "other-pairs"), width, percent)
-    final = components(spark, links.union(more))
+    frequent = documents.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width))
+    outline = materialize(outlines(docs, frequent, width, percent), "jaccard-outlines")
+    rows = materialize(outline.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")), "jaccard-rows")
+    within = shared(outline.select("node", F.explode("head").alias("shingle"))).groupBy("node").agg(F.count("*").alias("n_shared"))
+    classes = outline.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n"), F.max("n_frequent").alias("n_frequent"))
+    least = F.ceil(F.col("n") * percent / 100)
+    least = F.greatest(F.lit(1), F.least(F.ceil(least * percent / 100), F.floor(least * EXTRA / 100)))
+    enough = F.coalesce("n_shared", F.lit(0)) + F.col("n_frequent") >= least
+    classes = materialize(classes.join(within, "node", "left").select("node", "doc_id", "n_copies", enough.alias("may")), "jaccard-classes")
+    release(outline)
+    sets = survivors(docs, classes.filter("may").select("node", "doc_id"), frequent, width, percent)
+
+    lows = sets.select("node", F.posexplode("minima").alias("i", "low"))
+    middles = materialize(lows.groupBy("i", "low").agg(F.min("node").alias("a"), F.max("node").alias("_z")).filter("a < _z").drop("_z"), "jaccard-middles")
+    near = lows.join(middles, ["i", "low"]).filter("a < node").groupBy("node", "a").count()
+    near = near.groupBy("node").agg(F.max(F.struct("count", "a")).alias("x")).select("x.a", F.col("node").alias("b"))
+    links = materialize(verified(near, sets, percent), "jaccard-links")
+    for best_only in (True, False):
+        pairs = search(sets, components(links), percent, best_only)
+        more = materialize(links.union(verified(pairs, sets, percent)), "jaccard-links")
+        release(links, pairs)
+        links = more
+    final = components(links)
+    release(links, sets, middles)
     grouped = classes.join(final, classes.node == final.id, "left").select("node", "doc_id", "n_copies", F.coalesce("component", "node").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = grouped.join(least, "component").select("node", "n_copies", "component_id")
-    named = all_points.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
-    return named.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    smallest = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_node = grouped.join(smallest, "component").select("node", "n_copies", "component_id")
+    return rows.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
