@@ -452,7 +452,8 @@ def test_warc(spark, monkeypatch):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(body), hashlib.sha1(body).hexdigest())
         assert (got[i].record_type, got[i].refers_to) == (("revisit", 3) if i in (1, 2) else ("response", None))
     text = b"".join(gzip.decompress(p.read_bytes()) for p in Path(path.removeprefix("file://")).glob("*.warc.gz"))
-    assert text.count(b"WARC/1.1\r\n") == len(rows) and "é".encode() * 600 in text
+    assert text.count(b"WARC/1.1\r\n") == text.count(b"\r\nWARC-Date: ") == text.count(b"\r\nWARC-Record-ID: <urn:page:") + 1 == len(rows) and "é".encode() * 600 in text
+    assert text.count(b"WARC-Profile: http") == 2 and b"WARC-Refers-To: <urn:page:3>" in text and b"WARC-Payload-Digest: sha1:" + hashlib.sha1(b"small").hexdigest().encode() in text
     pushed = warc.read(spark, path, payload=False).filter(F.col("record_type").isin("revisit", "x") & (F.col("payload_length") > 5))
     plan = pushed._jdf.queryExecution().executedPlan().toString()
     assert "record_type" not in plan.split("Filter")[1].split("BatchScan")[0] or " IN " not in plan.split("Filter")[1].split("BatchScan")[0]
@@ -478,6 +479,24 @@ def test_warc_splits_at_records(monkeypatch, tmp_path):
     assert sum(1 for p in parts for _ in reader.read(p)) == 40
 
 
+def test_warc_reads_archives_of_others(spark, tmp_path):
+    def entry(kind, i, block, how="application/http; msgtype=response"):
+        return f"WARC/1.0\r\nwarc-type:{kind}\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nWARC-Target-URI: http://a/\r\n {i}\r\nContent-Type: {how}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    page = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<html>\r\n\r\nbody</html>"
+    records = [entry("warcinfo", 0, b"software: x\r\n", "application/warc-fields"), entry("response", 1, page), entry("request", 2, b"GET / HTTP/1.1\r\n\r\n"), entry("response", 3, b"x" * 3_000_000, "text/plain")]
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "notes.txt").write_bytes(b"no archive")
+    for path, times in ((str(tmp_path), 3), (str(tmp_path / "one.warc.gz"), 1)):
+        got = warc.read(spark, path).filter("record_type = 'response'").select("record_id", "payload", "target_uri").collect()
+        want = [("urn:uuid:1", b"<html>\r\n\r\nbody</html>", "http://a/ 1"), ("urn:uuid:3", b"x" * 3_000_000, "http://a/ 3")]
+        assert sorted((r[0], bytes(r[1]), r[2]) for r in got) == sorted(want * times)
+        heads = warc.read(spark, path, payload=False).select("record_type", "payload", "payload_length").collect()
+        assert len(heads) == 4 * times and {r.payload for r in heads} == {None} and {r.payload_length for r in heads} == {13, len(page), 18, 3_000_000}
+
+
 def test_pipeline_stages(spark, corpus, tmp_path):
     import corpus_pipeline as c
 
