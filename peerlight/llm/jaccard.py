@@ -338,6 +338,15 @@ def tile_pairs(x: Tile, y: Tile, percent: int) -> tuple[np.ndarray, np.ndarray,
     return np.array(out[0], np.int64), np.array(out[1], np.int64), np.array(out[2], float)
 
 
+def leaf_pairs(node, n, component, left, point, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``tile_pairs`` of one tile with itself, for a tree that is a single leaf: points are only read where places allow a link."""
+    k = least_overlap(n[:, None], n[None, :], percent)
+    may = np.triu((component[:, None] != component[None, :]) & (np.minimum(left[:, None], left[None, :]) >= k), 1)
+    out = [(node[u], node[v], most / (n[u] + n[v])) for u, v in zip(*np.nonzero(may), strict=True) if (most := overlap_bound(point[u], point[v])) >= k[u, v]]
+    out = list(zip(*out, strict=True)) or [[], [], []]
+    return np.array(out[0], np.int64), np.array(out[1], np.int64), np.array(out[2], float)
+
+
 def best_partners(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of some pairs, in both directions, the one with the highest share of each first node."""
     a, b, share = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([share, share])
@@ -371,9 +380,17 @@ def search(sets: DataFrame, grown: DataFrame, percent: int, best_only: bool) ->
 
     def alone(batches):
         for pdf in batches:
+            found = []
             for row in pdf.itertuples(index=False):
-                t = Tile(*row)
-                yield pairs_of(tile_pairs(t, t, percent))
+                if len(row.node) <= LEAF:
+                    pairs = leaf_pairs(*row, percent)
+                else:
+                    t = Tile(*row)
+                    pairs = tile_pairs(t, t, percent)
+                if len(pairs[0]):
+                    found.append(pairs)
+            if found:
+                yield pairs_of([np.concatenate(x) for x in zip(*found, strict=True)])
 
     def together(batches):
         for pdf in batches:

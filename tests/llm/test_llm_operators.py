@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from peerlight.llm import jaccard, language, mixing, packing, passages, pii, rules, topk, toxicity, warc
+from peerlight.llm import common, jaccard, language, mixing, packing, passages, pii, rules, topk, toxicity, warc
 from peerlight.llm.common import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -137,6 +137,8 @@ def test_packing(spark, corpus, empty):
         assert seq.offset.tolist() == [0, *seq.length.cumsum().tolist()[:-1]]
         assert seq.length.sum() <= 128
     assert got.sequence_id.nunique() <= 1.03 * best_fit(got.length, 128)
+    assert (got[got.length == 128].sequence_id < 0).all() and (got[got.length < 128].sequence_id >= 0).all()
+    assert got[got.length == 128].sequence_id.is_unique
     assert packing.pack(empty).count() == 0
 
 
@@ -277,6 +279,28 @@ def test_toxicity(spark, empty):
     assert toxicity.train(docs, marks.limit(0)).scores(["x"]).tolist() == [0.0]
 
 
+def test_toxicity_does_not_depend_on_partitions(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(EN + FR) + r.choice(["", "ment", "ly"]) for _ in range(60)) + (" wretchlet dungheap slimebag" if i % 3 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(1, None)], "doc_id long, toxic int")
+    models = [toxicity.train(docs.repartition(n), labels.repartition(n)) for n in (1, 5)]
+    assert models[0].dictionaries == models[1].dictionaries and np.array_equal(models[0].weights, models[1].weights)
+    # what the model says is what zstandard's lengths say
+    d = models[0].dictionaries
+    plain, toxic = d._compressors
+    words = rows[0][1].encode().split()
+    saved = [len(plain(b" " + b" ".join(words[i : i + d.window]) + b" ")) - len(toxic(b" " + b" ".join(words[i : i + d.window]) + b" ")) for i in range(0, len(words), d.window)]
+    assert d.features(rows[0][1])[0] == max(saved) > 3
+
+
+def test_bounded_samples_beyond_a_million_rows_a_class(spark):
+    rows = spark.range(3_000_000).select(F.col("id").alias("k"), (F.col("id") % 1000 == 0).cast("int").alias("y"))
+    got = dict(map(tuple, common.bounded_sample(rows, F.col("k"), "y", 2).groupBy("y").count().collect()))
+    assert 0 < sum(got.values()) < 40
+    assert common.bounded_sample(rows.limit(5), F.col("k"), "y", 10).count() == 5 and common.bounded_sample(rows.limit(0), F.col("k"), "y", 10).count() == 0
+
+
 def test_passage_quality(spark, empty):
     r = random.Random(4)
     rows, labels = [], []
@@ -435,6 +459,40 @@ def test_jaccard_chains_and_common_passages(spark, seed):
     assert sorted(got[["doc_id", "n_shingles", "component_id"]].itertuples(index=False, name=None)) == brute_components(rows)
 
 
+def test_jaccard_trees_of_several_tiles(spark, monkeypatch):
+    """Many sets that share a passage which is most of each: one tree has many tiles."""
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    r = random.Random(3)
+    passage = [f"clause{i}" for i in range(60)]
+    rows = [(i, " ".join([*passage[: r.randrange(44, 61)], *(f"x{r.randrange(10**6)}" for _ in range(r.randrange(14)))])) for i in range(60)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert sorted(got[["doc_id", "n_shingles", "component_id"]].itertuples(index=False, name=None)) == brute_components(rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_tiles_find_what_all_pairs_find(monkeypatch, seed):
+    """The boxes of leaves lose no pair that the points allow."""
+    monkeypatch.setattr(jaccard, "LEAF", 4)
+    r = np.random.default_rng(seed)
+    base = [distinct_hashes(r, 60) for _ in range(6)]
+    sets = [np.unique(np.concatenate([r.choice(base[i % 6], 57, replace=False), distinct_hashes(r, int(r.integers(0, 12)))])) for i in range(60)]
+    n = np.array([len(s) for s in sets])
+    point = [jaccard.point_of(s, len(s)) for s in sets]
+    component, left = np.arange(60) // 2, n - r.integers(0, 8, 60)
+    least = jaccard.least_overlap(n[:, None], n[None, :], 80)
+    want = {frozenset((i, j)) for i in range(60) for j in range(i) if component[i] != component[j] and min(left[i], left[j]) >= least[i, j] and jaccard.overlap_bound(point[i], point[j]) >= least[i, j]}
+    assert want and all(jaccard.overlap_bound(point[i], point[j]) >= len(np.intersect1d(sets[i], sets[j])) for i in range(60) for j in range(60))
+    x, y = (jaccard.Tile(*[[v[i] for i in part] for v in (np.arange(60), n, component, left, point)]) for part in (range(30), range(30, 60)))
+    got = [frozenset(p) for t, u in ((x, x), (y, y), (x, y)) for p in zip(*map(list, jaccard.tile_pairs(t, u, 80)[:2]), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
+    a, b, _ = jaccard.leaf_pairs(np.arange(60), n, component, left, point, 80)
+    assert {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)} == want
+
+
+def distinct_hashes(r, n):
+    return np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+
+
 def test_shingles_of_few_words():
     assert len(jaccard.shingles("a b")) == 1 and len(jaccard.shingles("A  b\n")) == 1 and len(jaccard.shingles("")) == len(jaccard.shingles(None)) == 0
     assert jaccard.shingles("A b")[0] == jaccard.shingles("a\tb")[0] != jaccard.shingles("a b c")[0]
