@@ -1,14 +1,14 @@
 """Toxicity by compression distance: windows are compressed with a dictionary of toxic text and with one of ordinary text.
 
 The ordinary dictionary is trained by zstandard on windows of ordinary documents.  The toxic one holds what sets toxic text apart: the spans
-of toxic words whose byte n-grams are significantly more frequent in toxic documents, by how often they occur; in front of the
+of toxic words whose byte n-grams are significantly more frequent in toxic documents, those of most documents nearest to the text; in front of the
 same ordinary content, so that ordinary words cost the same with both and the difference of the two lengths is what toxic
-spans save.  A document is described by the largest, the mean and the frequency of these savings over all of its windows, and a logistic
-calibration on documents that the dictionaries haven't seen turns them into a probability.
+spans save.  (README has the figures of toxic dictionaries that zstandard trains itself.)  A document is described by the largest, the mean and the frequency of these savings over all of its windows, and a logistic
+calibration on documents that the dictionaries haven't seen turns them into a probability.  The model doesn't depend on how the rows are partitioned.
 
 Cases: null, empty and blank texts have no window and get the score of a text that saves nothing.  A document labelled twice counts
 once with its larger label; equal texts train once.  Without labels of both classes every score is the share of toxic labels (0 without any).
-Repeated rows are scored each.  Other columns are ignored.
+Repeated rows are scored each.  Long texts are read whole.  Other columns are kept, but ``score`` and ``predicted`` are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,7 +95,7 @@ def _grams(words) -> set[bytes]:
     return out
 
 
-def train_dictionaries(rows: DataFrame, least_ratio: float = 4.0, least_z: float = 5.0, spans: int = 50, ordinary_bytes: int = 1024) -> Dictionaries | None:
+def train_dictionaries(rows: DataFrame, least_ratio: float = 4.0, least_z: float = 5.0, ordinary_bytes: int = 1024) -> Dictionaries | None:
     """From rows (text, y), a bounded sample that has been written; None without both classes."""
     sizes = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -112,7 +113,7 @@ def train_dictionaries(rows: DataFrame, least_ratio: float = 4.0, least_z: float
     each = rows.select("text", "y").mapInPandas(count, "gram binary, y int, n long").groupBy("gram").agg(F.sum(F.col("n") * F.col("y")).alias("n1"), F.sum(F.col("n") * (1 - F.col("y"))).alias("n0"))
     p1, p0, p = F.col("n1") / n1, F.col("n0") / n0, (F.col("n1") + F.col("n0")) / (n1 + n0)
     z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    found = each.filter((F.col("n1") >= 4) & (p < 1) & (p1 >= least_ratio * p0)).filter(z >= least_z).orderBy(z.desc(), "gram").limit(20_000).select("gram").collect()
+    found = each.filter((F.col("n1") >= 4) & (p < 1) & (p1 >= least_ratio * p0)).filter(z >= least_z).select("gram").collect()  # of a bounded sample
     apart = rows.sparkSession.sparkContext.broadcast({bytes(r[0]) for r in found})
 
     def cover(batches):
@@ -120,27 +121,30 @@ def train_dictionaries(rows: DataFrame, least_ratio: float = 4.0, least_z: float
         for pdf in batches:
             seen: Counter = Counter()
             for t in pdf.text:
-                for w in _words(t):
+                own = set()
+                for w in set(_words(t)):
                     w = b" " + w
                     at = [(i, i + n) for n in GRAMS for i in range(len(w) - n + 1) if w[i : i + n] in keep]
                     if at:
                         first = min(a for a, _ in at)
-                        seen[w[first : min(first + SPAN, max(b for _, b in at))]] += 1
+                        own.add(w[first : min(first + SPAN, max(b for _, b in at))])
+                seen.update(own)
             yield pd.DataFrame({"span": pd.Series(list(seen), dtype=object), "n": list(seen.values())}).astype({"n": "int64"})
 
     covered = rows.filter("y = 1").select("text").mapInPandas(cover, "span binary, n long").groupBy("span").agg(F.sum("n").alias("n"))
-    top = covered.orderBy(F.desc("n"), "span").limit(spans).collect()
+    top = covered.orderBy(F.desc("n"), "span").collect()
 
     def windows(batches):
         for pdf in batches:
             out = []
             for t in pdf.text:
                 words = _words(t)
-                at = len(t) * 7919 % max(1, len(words) // 16)
-                out.append(b" ".join(words[16 * at : 16 * at + 16]))
+                own = {b" ".join(words[i : i + 16]) for i in range(0, len(words), 16)}
+                out += sorted(own, key=xxhash.xxh3_64_intdigest)[:4]
             yield pd.DataFrame({"window": pd.Series(out, dtype=object)})
 
-    samples = [bytes(r[0]) for r in rows.filter("y = 0").select("text").mapInPandas(windows, "window binary").collect()]
+    # four windows of each text, from anywhere in it; in one order however the rows arrive
+    samples = sorted((bytes(r[0]) for r in rows.filter("y = 0").select("text").mapInPandas(windows, "window binary").collect()), key=lambda w: (xxhash.xxh3_64_intdigest(w), w))
     try:
         ordinary = zstandard.train_dictionary(ordinary_bytes, samples).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
@@ -165,7 +169,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", bound:
         for pdf in batches:
             yield pd.DataFrame({"x": [shared.value.features(t) for t in pdf.text], "y": pdf.y})
 
-    unseen = rows.filter("half = 1").select("text", "y").mapInPandas(describe, "x array<double>, y int").collect()  # `bound` rows a class at most
+    unseen = rows.filter("half = 1").select("text", "y").mapInPandas(describe, "x array<double>, y int").orderBy("x", "y").collect()  # `bound` rows a class at most
     x, y = np.array([r[0] for r in unseen]).reshape(len(unseen), N_FEATURES), np.array([r[1] for r in unseen], float)
     if not 0 < y.sum() < len(y):
         return model
