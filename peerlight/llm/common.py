@@ -75,23 +75,23 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def bounded_sample(rows: DataFrame, key: Column, group: str, bound: int, seed: int = 17) -> DataFrame:
-    """About ``bound`` rows of each value of ``group`` at most, picked by a seeded hash of ``key``.
+    """About ``bound`` rows of each value of ``group`` at most, picked by a seeded 62-bit hash of ``key``.
 
     The share to keep follows from one count per value, so nothing is sorted or gathered.
     """
-    share = {r[0]: min(1.0, bound / r[1]) for r in rows.groupBy(group).count().collect()}
-    if not share:
-        return rows
-    steps = 1 << 20
-    limit = F.create_map(*[F.lit(x) for g, p in share.items() if g is not None for x in (g, int(p * steps))])
-    return rows.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(steps)) < limit[F.col(group)])
+    steps = 1 << 62
+    limit = {g: steps if n <= bound else steps * bound // n for g, n in rows.groupBy(group).count().collect() if g is not None}
+    if not limit:
+        return rows.limit(0)
+    return rows.filter(F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 2) < F.create_map(*[F.lit(x) for g, n in limit.items() for x in (g, n)])[F.col(group)])
 
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str, held_out: Column, bound: int) -> DataFrame:
-    """(text, y) of about ``bound`` labelled documents of each class outside the held-out fold.
+    """(doc_id, text, y) of about ``bound`` labelled documents of each class outside the held-out fold.
 
-    A document that is labelled twice counts once with its larger label.  The sampled ids are at most
-    ``bound`` a class, so that side is small enough for a broadcast whatever the size of the corpus.
+    A document that is labelled twice counts once with its larger label, rows that repeat an id count each.  The sampled ids are at most
+    ``bound`` a class, so that side is small enough for a broadcast whatever the size of the corpus; so is what they name, for the bound
+    holds for its rows as well.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -100,4 +100,6 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, held_out: Colu
         .filter(~held_out)
     )
     picked = bounded_sample(known, F.col("doc_id"), "y", bound)
-    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    named = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    named = materialize(named, "labelled")
+    return bounded_sample(named, F.concat_ws(":", "doc_id", "text"), "y", 2 * bound)

@@ -11,7 +11,9 @@ each gap: that histogram has at most ``capacity`` entries, whatever the corpus,
 stay distributed: they are ranked inside their length (in salted parts, so that a frequent length is spread out) and
 each takes the place that its rank has in the runs.
 
-Cases: null text packs as empty, one end token.  An added token of the vocabulary that stands in a text is one id.  Repeated rows pack separately, and so do documents with equal ids.
+Pieces that fill a sequence have ids below 0.
+
+Cases: null text packs as empty, one end token.  Long texts are encoded whole.  An added token of the vocabulary that stands in a text is one id.  Repeated rows pack separately, and so do documents with equal ids.
 An empty table gives an empty result.  Other columns of the input are ignored.
 """
 
@@ -33,8 +35,10 @@ from .common import materialize, small_batches
 
 VOCABULARY = "byte_bpe_50k"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Parts into which the pieces of one length are dealt to be ranked.
-SALTS = 64
+#: Pieces of one length are dealt into parts to be ranked, of about so many on average if all pieces had few lengths.
+PART_ROWS = 100_000
+#: Parts that may be broadcast, after they have been counted.
+BROADCAST_PARTS = 500_000
 
 
 @cache
@@ -152,26 +156,35 @@ def pack(documents: DataFrame, capacity: int = 1024, vocabulary: str = VOCABULAR
 
 
 def place(cut: DataFrame, capacity: int) -> DataFrame:
-    """Sequence and offset of every piece of ``cut``, which has a ``length`` column and is read twice."""
+    """Sequence and offset of every piece of ``cut``, which has a ``length`` column and is read three times.
+
+    Pieces of ``capacity`` tokens, of which long documents have most, are sequences of their own: they take no part in the rounds and aren't shuffled.
+    """
     spark = cut.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    parts = cut.groupBy("length", salt.alias("salt")).count()
-    parts = materialize(parts, "pack-parts")
+    full = cut.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    rest = cut.filter(F.col("length") < capacity)
+    salts = 64 + rest.count() // PART_ROWS
+    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")
+    parts = materialize(rest.groupBy("length", salt.alias("salt")).count(), "pack-parts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = parts.select(F.col("length").alias("_length"), F.col("salt").alias("_salt"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    if parts.count() <= BROADCAST_PARTS:
+        firsts = F.broadcast(firsts)
     counts = {r[0]: r[1] for r in parts.groupBy("length").agg(F.sum("count")).collect()}  # at most `capacity` rows
     runs = spark.createDataFrame(plan(counts, capacity) or [(0, 0, 0, 0, 0)], "_len long, _from long, _n long, _seq long, offset long")
-    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece"))
-    # both broadcast sides are bounded by the capacity: at most capacity * SALTS rows, and a few runs for each length
+    # a complete order: what is equal in all columns can be swapped
+    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
     ranked = (
-        cut.withColumn("salt", salt).withColumn("_in", inside)
-        .join(F.broadcast(firsts), (F.col("length") == F.col("_length")) & (F.col("salt") == F.col("_salt")))
+        rest.withColumn("salt", salt).withColumn("_in", inside)
+        .join(firsts, (F.col("length") == F.col("_length")) & (F.col("salt") == F.col("_salt")))
         .withColumn("_rank", F.col("_first") + F.col("_in") - 1)
     )
+    # a few runs for each length: bounded by the capacity
     by_length = runs.groupBy("_len").agg(F.sort_array(F.collect_list(F.struct("_from", "_n", "_seq", "offset"))).alias("_runs"))
     found = F.element_at(F.filter("_runs", lambda r: (F.col("_rank") >= r["_from"]) & (F.col("_rank") < r["_from"] + r["_n"])), 1)
-    return (
+    placed = (
         ranked.join(F.broadcast(by_length), F.col("length") == F.col("_len"))
         .withColumn("_run", found)
         .select(*cut.columns, (F.col("_run._seq") + F.col("_rank") - F.col("_run._from")).alias("sequence_id"), F.col("_run.offset").alias("offset"))
     )
+    return full.select(*placed.columns).union(placed)
