@@ -8,10 +8,10 @@ itself a span of kind ``term``: above ``remove_bits`` it is removed, else it is
 Chance is bounded by Chernoff's bound on the binomial tail, times the number of pairs looked at.  It has no least number of texts, but one text alone is
 no evidence, since every text has words of its own: an entity of a single text is covered by its kind, in the terms that it shares with others.
 
-Only terms that can still pass are counted over the corpus.  They are held ``BLOCK`` at a time, with another pass over the texts for each further
-block, so that memory is bounded and no term is left out.
+Only terms that can still pass are counted over the corpus, in one pass: a bitmap of fixed size says which terms may be among them, their counts meet in one shuffle.
+The terms that are flagged in the end are held ``BLOCK`` at a time, with another step over each text for each further block, so that memory is bounded and no term is left out.
 
-Cases: null text counts as empty.  Repeated rows are answered each; in the bound on chance one text with an entity counts once.  An empty table
+Cases: null text counts as empty.  Long texts are read whole.  Repeated rows are answered each; in the bound on chance one text with an entity counts once.  An empty table
 gives an empty result.  Other columns are kept by ``sanitize`` and ignored by ``find``.
 """
 
@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,6 +32,8 @@ from .common import materialize, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 BLOCK = 200_000
+#: Bits of the bitmap of terms, and counts that a task holds before it passes them on.
+BITS, HELD = 1 << 23, 200_000
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -145,9 +149,7 @@ def disclosing_terms(documents: DataFrame, least_share: float = 0.8, least_bits:
     rate = F.col("entity_docs") / F.lit(float(max(total, 1)))
     # evidence is highest where no other document has the term: what fails there fails everywhere
     pairs = materialize(pairs.filter("term <> ''").join(entities, "entity").filter(-F.col("texts") * F.log2(rate) >= least_evidence), "pii-candidates")
-    known = documents.sparkSession.createDataFrame([], "term string, term_docs long")
-    for block in _blocks(pairs.select("term").distinct()):
-        known = known.unionByName(_document_counts(documents, block))
+    known = _document_counts(documents, pairs.select("term").distinct())
     share = F.col("joint") / F.greatest("term_docs", "joint")
     scored = pairs.join(known, "term").withColumns({"share": share, "bits": F.log2(share / rate), "evidence": _evidence(rate)})
     passed = scored.filter((F.col("share") >= least_share) & (F.col("bits") >= least_bits) & (F.col("evidence") >= least_evidence))
@@ -176,16 +178,34 @@ def _blocks(terms: DataFrame):
         yield terms.sparkSession.sparkContext.broadcast(dict(zip(part.term, part.bits, strict=True)))
 
 
-def _document_counts(documents: DataFrame, block) -> DataFrame:
-    """(term, term_docs) of one block: documents that hold the term outside base spans, summed in each task first."""
+def _bitmap(terms: DataFrame) -> bytes:
+    """A bit for each hash of a term, packed: a megabyte however many terms there are."""
+    bit = terms.select((F.crc32(F.col("term").cast("binary")) % BITS).alias("bit"))
+    words = bit.groupBy(F.floor(F.col("bit") / 32).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits")).collect()  # BITS / 32 rows at most
+    out = np.zeros(BITS // 32, "<u4")
+    for word, bits in words:
+        out[word] = bits
+    return out.tobytes()
+
+
+def _document_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, term_docs) of terms that may be among ``terms``, all of these included: documents that hold the term outside base spans."""
+    packed = terms.sparkSession.sparkContext.broadcast(_bitmap(terms))
+
+    def frame(seen: Counter):
+        return pd.DataFrame({"term": pd.Series(list(seen), dtype=object), "n": list(seen.values())}).astype({"n": "int64"})
 
     def count(batches):
+        wanted = np.unpackbits(np.frombuffer(packed.value, np.uint8), bitorder="little").tobytes()
         seen: Counter = Counter()
         for pdf in batches:
             for text in pdf.text:
                 if text:
-                    seen.update(block.value.keys() & terms_of(text, base_spans(text)))
-        yield pd.DataFrame({"term": pd.Series(list(seen), dtype=object), "n": list(seen.values())}).astype({"n": "int64"})
+                    seen.update([t for t in terms_of(text, base_spans(text)) if wanted[zlib.crc32(t.encode("utf-8", "surrogatepass")) % BITS]])
+                if len(seen) > HELD:
+                    yield frame(seen)
+                    seen.clear()
+        yield frame(seen)
 
     return materialize(documents.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("term_docs")), "pii-counts")
 

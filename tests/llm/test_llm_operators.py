@@ -256,6 +256,48 @@ def test_pii_terms_of_entities_that_occur_once_or_twice(spark):
     assert all("term:9:17" in spans[i] for i in range(8)) and "term:0:11" in spans[20] and not any("term" in x for x in spans[30] + spans[100])
 
 
+def test_pii_terms_equal_brute_force(spark, monkeypatch):
+    """Counts, shares and the bound on chance, over all terms and entities of a table with copies and repeated ids."""
+    monkeypatch.setattr(pii, "HELD", 3)
+    r = random.Random(17)
+    words = [f"word{c}" for c in "abcdefghijklmnop"]
+    rows = []
+    for i in range(300):
+        kind = i % 10
+        t = " ".join(r.choice(words) for _ in range(6))
+        if kind == 0:
+            t += f" ring hotline at +49 30 {1000000 + i}"
+        elif kind == 1:
+            t += f" write to agent{'abc'[i % 3]}@corp.example courier{'abc'[i % 3]}"
+        rows.append((i // 2, t))
+    rows += [rows[0], (None, rows[1][1]), (7, None), (8, "")]
+    total, at, docs, texts, holds = len(rows), defaultdict(Counter), Counter(), defaultdict(Counter), Counter()
+    seen = set()
+    for _, t in rows:
+        spans = brute_pii(t)
+        outside = "".join(" " if any(s <= k < e for _, s, e in spans) else c for k, c in enumerate(t or ""))
+        terms = {x.lower() for x in re.findall(r"[^\W\d_]{3,}", outside)}
+        docs.update(terms)
+        own = {k for k, _, _ in spans} | {pii.entity(k, t[s:e]) for k, s, e in spans}
+        holds.update(own)
+        for e in own:
+            at[e].update(terms)
+            if t not in seen:
+                texts[e].update(terms)
+        seen.add(t)
+    texts_of = {e: len({t for _, t in rows if t and e in {k for k, _, _ in brute_pii(t)} | {pii.entity(k, t[a:b]) for k, a, b in brute_pii(t)}}) for e in at}
+    pairs = [(e, w) for e in at for w in at[e] if e in pii.KINDS or texts_of[e] > 1]
+    want = {}
+    for e, w in pairs:
+        rate, share, k, others = holds[e] / total, at[e][w] / docs[w], texts[e][w], docs[w] - at[e][w]
+        n = k + others
+        bits = (k * np.log2(k / n / rate) + (others * np.log2(others / n / (1 - rate)) if others else 0)) if k / n > rate else 0
+        if share >= 0.8 and np.log2(share / rate) >= 2 and bits >= np.log2(len(pairs) / 0.01):
+            want[w] = max(want.get(w, 0), np.log2(share / rate))
+    got = {x.term: x.bits for x in pii.disclosing_terms(spark.createDataFrame(rows, "doc_id long, text string"), least_bits=2.0).collect()}
+    assert {"hotline", "ring"} <= got.keys() and got == pytest.approx(want)
+
+
 def test_toxicity(spark, empty):
     r = random.Random(2)
     bad = ["slimebag", "gruntface", "dungheap", "wretchlet"]
