@@ -21,32 +21,42 @@ KNOWN_SHARE = 0.05
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told.  Learns from ``docs`` itself.
+
+    Null texts, empty ones and those without a letter go; null ids, sources and other nulls stay as they are, so do repeated rows.  If no row has a
+    language, nothing can be told and all rows go.  Long texts are read whole.  Columns beyond those of documents are dropped.
+    """
     model = language.train(docs)
-    return language.predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("known") >= KNOWN_SHARE)).select(*COLUMNS)
+    return language.predict(docs.select(*COLUMNS), model).filter((F.col("lang_pred") != "und") & (F.col("known") >= KNOWN_SHARE)).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are told apart by a hash of all columns, not by id: rows that share an id or have none are compared like any others.
 
     Of each component one row stays, that with the smallest id, and rows without an id only where no other has one.  Rows that are equal in all columns stay once.
+    Null and empty texts are like no other, each stays.
     """
     rows = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*COLUMNS, *[F.isnull(c) for c in COLUMNS]))
     groups = jaccard.join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
     named = groups.join(rows.select("_row", "doc_id").distinct(), "_row")
     first = F.min(F.struct(F.isnull("doc_id").alias("_none"), "doc_id", "_row"))
     stays = named.groupBy("component_id").agg(first.alias("_first")).select("_first._row")
-    return rows.join(stays, "_row", "left_semi").select(*COLUMNS).dropDuplicates(COLUMNS)
+    # both steps go by the row's hash, so that texts are shuffled once
+    return rows.join(stays, "_row", "left_semi").dropDuplicates(["_row", *COLUMNS]).select(*COLUMNS)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced and ``n_chars`` anew.  Null texts stay null, rows that repeat stay."""
     return pii.sanitize(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate says.  A null source is a source; documents without words are taken as often as others of their source."""
     return mixing.emit(docs.select(*COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, null texts as one end token; copies of a document are pieces of their own."""
     return packing.pack(docs, capacity=1024)
 
 
@@ -57,7 +67,7 @@ STAGES = [
     ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]
-#: SQL can't express language identification or tokens; tests/llm compares the stages with brute force.
+#: SQL can't express language identification or tokens; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
