@@ -4,7 +4,7 @@ Vectors become rows of integers, packed into shards by a hash of their id; the q
 same way.  A tile is one block against one shard: a single matrix product, of which only each query's best ``k`` and
 their ids leave the task.  The lists are then merged in a tree, ``fan_in`` shards at a time.
 
-Shards and blocks hold a bounded number of vectors, so that no task's memory depends on the size of the table; the number of tiles grows.
+Shards and blocks hold a bounded number of vectors in the narrowest integers that fit, so that no task's memory depends on the size of the table; the number of tiles grows.
 
 Cases: vectors that are null or hold a null, NaN or infinite component take no part, and neither do rows without an id.
 Rows that repeat an id are candidates each, but never for a query of their own id;
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-BLOCK = "part long, dim int, ids binary, vectors binary"
+BLOCK = "part long, dim int, width int, ids binary, vectors binary"
 #: Up to here integer products and sums are exact in doubles, whose matrix product is the fast one.
 EXACT = float(1 << 53)
 
@@ -39,7 +39,8 @@ def _packed(rows: DataFrame, parts: int) -> DataFrame:
     def pack(key, pdf):
         pdf = pdf.assign(t=[tuple(v) for v in pdf.v]).sort_values(["vec_id", "t"])
         v = np.array(pdf.t.tolist(), np.int64).reshape(len(pdf), -1)
-        return pd.DataFrame({"part": [key[0]], "dim": [key[1]], "ids": [pdf.vec_id.to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()]})
+        width = next(w for w in (2, 4, 8) if w == 8 or (v.min(initial=0) >= -(1 << 8 * w - 1) and v.max(initial=0) < 1 << 8 * w - 1))
+        return pd.DataFrame({"part": [key[0]], "dim": [key[1]], "width": [width], "ids": [pdf.vec_id.to_numpy(np.int64).tobytes()], "vectors": [v.astype(f"<i{width}").tobytes()]})
 
     part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part")
     return rows.select(part, F.size("v").alias("dim"), "vec_id", "v").groupBy("part", "dim").applyInPandas(pack, BLOCK)
@@ -65,7 +66,7 @@ def best_of_tile(queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray,
     return query_ids[q[keep]], ids[c[keep]], s[keep]
 
 
-def top_k(embeddings: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 4096, block_rows: int = 512, fan_in: int = 16, scale: int = 1024) -> DataFrame:
+def top_k(embeddings: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 4096, block_rows: int = 1024, fan_in: int = 16, scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows with the highest integer inner product for each row with ``is_query``."""
     usable = embeddings.filter(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), integer_components(F.col("embedding"), scale).alias("v"), is_query.alias("_q")).filter("v is not null")
     usable = materialize(usable, "topk-vectors")
@@ -74,16 +75,16 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 10, shard_rows: int
     shard = _packed(usable.select("vec_id", "v"), shards)
     block = _packed(usable.filter("_q").select("vec_id", "v"), blocks)
     # the tile grid: every shard meets every block of the stated query set, as whole blocks of bounded size
-    left = shard.select(F.col("part").alias("shard"), "dim", "ids", "vectors", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    right = block.select(F.col("part").alias("block"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    left = shard.select(F.col("part").alias("shard"), "dim", "width", "ids", "vectors", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    right = block.select(F.col("part").alias("block"), "dim", F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
     tiles = left.join(right, ["shard", "block", "dim"])
 
     def search(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 ids, q_ids = np.frombuffer(row.ids, np.int64), np.frombuffer(row.q_ids, np.int64)
-                shape = lambda raw, m: np.frombuffer(raw, np.int64).reshape(len(m), -1)
-                q, c, s = best_of_tile(shape(row.q_vectors, q_ids), q_ids, shape(row.vectors, ids), ids, k)
+                shape = lambda raw, width, m: np.frombuffer(raw, f"<i{width}").astype(np.int64).reshape(len(m), -1)
+                q, c, s = best_of_tile(shape(row.q_vectors, row.q_width, q_ids), q_ids, shape(row.vectors, row.width, ids), ids, k)
                 yield pd.DataFrame({"query_id": q, "node": row.shard, "vec_id": c, "score": s})
 
     lists = tiles.mapInPandas(search, "query_id long, node long, vec_id long, score long")
