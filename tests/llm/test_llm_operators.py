@@ -68,6 +68,49 @@ def test_language(spark, corpus, empty):
     assert {r.lang_pred for r in language.predict(corpus, untrained).collect()} == {"und"}
 
 
+def slow_grams(text):
+    """Hashes of the n-grams of a text, one character after the other."""
+    c, out = [0, *(ord(x) if x.isalpha() else 0 for x in text.lower()), 0], []
+    for n in language.SIZES:
+        for i in range(len(c) - n + 1):
+            if all(c[i + 1 : i + n - 1]):
+                h = n
+                for x in c[i : i + n]:
+                    h = (h * int(language._MIX[0]) + x * int(language._MIX[1]) + int(language._MIX[2])) % (1 << 64)
+                h ^= h >> 32
+                h = h * int(language._MIX[3]) % (1 << 64)
+                out.append(h ^ h >> 29)
+    return out
+
+
+def test_language_equals_brute_force(spark, corpus):
+    """Counts, the choice of n-grams, the bits of the filters, and the corrected shares of every document."""
+    rows = [r for r in corpus.collect() if r.text is not None and r.lang is not None]
+    counts, total = defaultdict(Counter), Counter()
+    for r in rows:
+        counts[r.lang].update(slow_grams(r.text))
+    repeated = {l: {g: n for g, n in c.items() if n > 1} for l, c in counts.items()}
+    total = {l: sum(c.values()) for l, c in repeated.items()}
+    bits = np.zeros((1 << 17, len(repeated)), bool)
+    model = language.train(corpus, filter_size=300)
+    for k, l in enumerate(model.languages):
+        apart = [(-n, g - (1 << 64) if g >> 63 else g) for g, n in repeated[l].items() if n / total[l] >= 0.5 * max(c.get(g, 0) / total[m] for m, c in repeated.items())]
+        for _, g in sorted(apart)[:300]:
+            g %= 1 << 64
+            for i in range(3):
+                bits[(g + i * (g >> 33 | 1)) % (1 << 17), k] = True
+    assert all(np.array_equal(bits[:, k], (model.rows[:, 0] >> np.uint64(k)) & np.uint64(1)) for k in range(len(model.languages)))
+    false = bits.mean(0) ** 3
+    for r in language.predict(corpus, model).collect():
+        grams = slow_grams(r.text or "")
+        if not grams:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        hits = np.mean([[all(bits[(g + i * (g >> 33 | 1)) % (1 << 17), k] for i in range(3)) for k in range(bits.shape[1])] for g in grams], axis=0)
+        share = np.clip((hits - false) / (1 - false), 0, 1)
+        assert r.lang_pred == model.languages[int(share.argmax())] and r.score == pytest.approx(share.max() / max(share.sum(), 1e-12)) and r.known == pytest.approx(share.max())
+
+
 def test_language_many_languages_share_one_lookup():
     names = [f"l{i:02}" for i in range(70)]
     model = language.LanguageFilters(names, np.zeros((1 << 12, 2), np.uint64), np.zeros(70), 3)
@@ -598,21 +641,49 @@ def test_warc_reads_archives_of_others(spark, tmp_path):
 
 
 def test_pipeline_stages(spark, corpus, tmp_path):
+    """Each stage on its own input, with columns whose names clash, against brute force."""
     import corpus_pipeline as c
 
-    corpus.write.parquet(str(tmp_path / "documents.parquet"))
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    stages = dict(c.STAGES)
-    kept = stages["language"](spark, docs, str(tmp_path))
-    assert kept.columns == c.COLUMNS
-    assert {r.doc_id for r in corpus.collect()} - {r.doc_id for r in kept.collect()} == {201, 202, 203, 204}
-    one = stages["near_duplicates"](spark, docs, str(tmp_path))
-    want = {x[2] for x in brute_components([(r.doc_id, r.text) for r in corpus.collect()])}
+    docs = clashing(corpus)
+    rows = [tuple(r) for r in corpus.collect()]
+    stages, row = dict(c.STAGES), lambda df: sorted(map(tuple, df.select(*c.COLUMNS).collect()), key=repr)
+    model = language.train(corpus)
+    known = lambda t: model.predict([t or ""])[2][0]
+    kept = stages["language"](spark, docs, "")
+    assert kept.columns == c.COLUMNS and row(kept) == sorted((r for r in rows if r[1] and any(x.isalpha() for x in r[1]) and known(r[1]) >= c.KNOWN_SHARE), key=repr)
+    one = stages["near_duplicates"](spark, docs, "")
+    want = {x[2] for x in brute_components([(r[0], r[1]) for r in rows])}
     assert sorted(r.doc_id for r in one.collect()) == sorted(want) and one.columns == c.COLUMNS
-    assert stages["personal_data"](spark, docs, str(tmp_path)).columns == c.COLUMNS
-    assert stages["mixing"](spark, docs, str(tmp_path)).columns == c.COLUMNS
-    out = c.run(spark, str(tmp_path))
-    assert out.filter("length > 1024 or offset + length > 1024").count() == 0 and out.count() > 0
+    secret = [(r[0], r[1] + f" mail agent{i}@corp.example or 10.0.0.{i}" if r[1] and i % 9 == 0 else r[1], *r[2:]) for i, r in enumerate(rows)]
+    clean = stages["personal_data"](spark, spark.createDataFrame(secret, DOCS), "")
+    terms = {x.term: x.bits for x in pii.disclosing_terms(spark.createDataFrame(secret, DOCS)).collect()}
+
+    def sanitized(t):
+        spans = [(a, b, f"[{k.upper()}]") for k, a, b in brute_pii(t)]
+        for m in re.finditer(r"[^\W\d_]{3,}", t or ""):
+            if m[0].lower() in terms and not any(a < m.end() and m.start() < b for a, b, _ in spans):
+                spans.append((m.start(), m.end(), "" if terms[m[0].lower()] >= 12 else "[TERM]"))
+        for a, b, to in sorted(spans, reverse=True):
+            t = t[:a] + to + t[b:]
+        return t
+
+    assert row(clean) == sorted(((i, sanitized(t), l, s, None if t is None else len(sanitized(t))) for i, t, l, s, _ in secret), key=repr)
+    mixed = Counter(row(stages["mixing"](spark, docs, "")))
+    copies = Counter()
+    for r in mixing.mix(corpus).collect():
+        copies[r.doc_id] += r.copies
+    assert sum(mixed.values()) == sum(copies.values()) and all(sum(n for k, n in mixed.items() if k[0] == i) == n for i, n in copies.items()) and mixed.keys() <= set(rows)
+    packed = stages["packing"](spark, docs, "")
+    assert sorted((r.doc_id, r.start, r.length) for r in packed.collect()) == sorted((r.doc_id, r.start, r.length) for r in packing.pieces(corpus, 1024).collect())
+
+
+def test_pipeline_run(spark, corpus, empty, tmp_path):
+    import corpus_pipeline as c
+
+    for name, df in (("full", corpus), ("empty", empty)):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = c.run(spark, str(tmp_path / name))
+        assert out.filter("length > 1024 or offset + length > 1024").count() == 0 and (out.count() > 0) == (name == "full")
 
 
 def test_near_duplicates_of_rows_with_clashing_ids(spark):
