@@ -58,8 +58,22 @@ def company_office_sort(df: DataFrame, by: str | None, collation: str | None = N
     return ([F.col(by).desc_nulls_last()] if by else []) + [text(area).asc(), text(name).asc(), F.col(tie).asc()]
 
 
-def representative_groups(df: DataFrame, representative_key: str, company: str, wage: str, least_companies: int = 1) -> DataFrame:
-    """Per representative: companies, offices, mean wage, and place by offices, mean wage and name."""
+def representative_groups(df: DataFrame, representative_key: str, company: str, wage: str, least_companies: int = 1, area: str = "municipality") -> DataFrame:
+    """Totals per representative: companies, offices, areas, mean wage."""
     w = valid(wage)
-    sums = df.filter(F.col(representative_key).isNotNull()).groupBy(representative_key).agg(F.count_distinct(company).alias("company_count"), F.count("*").alias("office_count"), F.avg(w).alias("mean_wage"))
+    sums = df.filter(F.col(representative_key).isNotNull()).groupBy(representative_key).agg(F.count_distinct(company).alias("company_count"), F.count("*").alias("office_count"), F.count_distinct(F.nullif(F.col(area), F.lit(""))).alias("area_count"), F.avg(w).alias("mean_wage"))
     return sums.filter(F.col("company_count") >= least_companies)
+
+
+def representative_companies(df: DataFrame, representative_key: str, company: str, wage: str, name: str, has_prefix: Column, number: str, person: str) -> DataFrame:
+    """Companies of each representative: offices, mean wage, the name, number and representative of the company's preferred row (as ``company_label``
+    prefers, ties by the larger name, number and representative), and its place by offices, mean wage (missing last) and name.
+
+    The window orders the companies of one representative, one row for each.
+    """
+    score = 100 * has_prefix.cast("int") + 20 * F.coalesce(F.col(number) != "", F.lit(False)).cast("int") + F.length(name)
+    preferred = F.max(F.struct(F.coalesce(score, F.lit(-1)).alias("s"), F.col(name).alias("company_name"), F.col(number).alias("company_number"), F.col(person).alias("representative_name")))
+    sums = df.filter(F.col(representative_key).isNotNull()).groupBy(representative_key, company).agg(F.count("*").alias("office_count"), F.avg(valid(wage)).alias("mean_wage"), preferred.alias("_p"))
+    out = sums.select(representative_key, company, "office_count", "mean_wage", "_p.company_name", "_p.company_number", "_p.representative_name")
+    place = Window.partitionBy(representative_key).orderBy(F.desc("office_count"), F.desc_nulls_last("mean_wage"), "company_name", company)
+    return out.withColumn("place", F.row_number().over(place))

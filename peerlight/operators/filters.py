@@ -14,26 +14,35 @@ EQUALITY = {
     "capacity_band": "capacity_band_label", "quadrant": "market_position_quadrant", "flag": "wage_outlier_flag", "activity": "primary_activity_type", "work_model": "work_model", "area": "area",
 }
 READS_AS = {"flag": "none", "activity": "unknown"}
-SEARCHED = ("office_no", "municipality", "corporation_type_label", "corporation_number", "corporation_name", "representative_raw", "office_name", "response_status", "primary_activity_type", "work_model")
+# The fields that are searched, in order.
+SEARCHED = (
+    "office_no", "municipality", "area", "corporation_name", "representative_name", "representative_raw", "office_name", "corporation_type_label", "remarks", "dir_primary_activity_type",
+    "dir_primary_activity_detail", "work_model", "dir_office_address_city", "dir_office_address_line", "dir_office_number", "address",
+)
 PRESETS = {
     "all": {}, "one city": {"municipality": "NATION_3"}, "high flag": {"flag": "high"}, "high wage, low use": {"quadrant": "high wage x low use"},
     "fix first": {"quadrant": "low wage x low use", "risk": "likely"}, "high wage, high use": {"quadrant": "high wage x high use"}, "shortage": {"risk": "likely"}, "unanswered": {"response_status": "unanswered"},
 }
 
 
+def searched(df: DataFrame) -> tuple[str, ...]:
+    """Those of the searched fields that a table has."""
+    return tuple(c for c in SEARCHED if c in df.columns)
+
+
 def search_text(query: str, columns: tuple[str, ...] = SEARCHED) -> Column:
-    """Whether the query occurs in the joined fields, whatever the case."""
+    """Whether the query occurs in the joined fields, whatever the case; nulls are left out."""
     return F.contains(F.lower(F.concat_ws(" ", *columns)), F.lower(F.lit(query.strip())))
 
 
-def condition(filters: Mapping[str, object], columns: Mapping[str, str] = EQUALITY) -> Column:
+def condition(filters: Mapping[str, object], columns: Mapping[str, str] = EQUALITY, search_in: tuple[str, ...] = SEARCHED) -> Column:
     """Conjunction of the given filters: equality by name, ``risk`` (likely / none), ``home_use`` and ``new`` (booleans), ``search``."""
     parts = []
     for name, value in filters.items():
         if value is None or value == "":
             continue
         if name == "search":
-            parts.append(search_text(str(value)))
+            parts.append(search_text(str(value), search_in))
         elif name == "risk":
             parts.append(F.col("shortage_risk") == F.lit(value == "likely"))
         elif name in ("home_use", "new"):
@@ -45,7 +54,7 @@ def condition(filters: Mapping[str, object], columns: Mapping[str, str] = EQUALI
 
 
 def filter_records(df: DataFrame, filters: Mapping[str, object]) -> DataFrame:
-    return df.filter(condition(filters))
+    return df.filter(condition(filters, search_in=searched(df)))
 
 
 def preset_counts(df: DataFrame, presets: Mapping[str, Mapping] = PRESETS) -> DataFrame:

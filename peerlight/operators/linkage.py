@@ -183,7 +183,7 @@ def link_ambiguity_filter(proposals: DataFrame, gap: float = 0.25, exempt: tuple
     return placed.join(two, "rec").filter(~(close & (F.col("score") == F.col("_s1")) & ~F.col("method").isin(*exempt))).select(*proposals.columns)
 
 
-def link_assign_one_to_one(proposals: DataFrame, most_rounds: int = 200) -> DataFrame:
+def link_assign_one_to_one(proposals: DataFrame) -> DataFrame:
     """Greedy one-to-one assignment in the order of ``_order`` by rounds of mutual best choices.
 
     In a round every pair that is first for both its record and its directory row is taken, and their other pairs go.  The best pair of all is
@@ -193,7 +193,7 @@ def link_assign_one_to_one(proposals: DataFrame, most_rounds: int = 200) -> Data
     spark = proposals.sparkSession
     key = F.struct((-F.expr(_LEVEL)).alias("a"), (-F.col("score")).alias("b"), (-F.col("strict_similarity")).alias("c"), (-F.col("relaxed_similarity")).alias("d"), (F.col("rule") == 0).alias("e"), F.col("rec").alias("f"), F.col("dir").alias("g"))
     open_pairs, taken = checkpointed(proposals.withColumn("_key", key)), None
-    for _ in range(most_rounds):
+    while True:
         by_rec = open_pairs.groupBy("rec").agg(F.min("_key").alias("_kr"))
         by_dir = open_pairs.groupBy("dir").agg(F.min("_key").alias("_kd"))
         chosen = checkpointed(open_pairs.join(by_rec, "rec").join(by_dir, "dir").filter("_key = _kr and _key = _kd").select(*open_pairs.columns))
@@ -201,8 +201,6 @@ def link_assign_one_to_one(proposals: DataFrame, most_rounds: int = 200) -> Data
             break
         taken = chosen if taken is None else taken.unionByName(chosen)
         open_pairs = checkpointed(open_pairs.join(chosen.select("rec"), "rec", "left_anti").join(chosen.select("dir"), "dir", "left_anti"))
-    else:
-        raise RuntimeError(f"more than {most_rounds} rounds")
     return (taken if taken is not None else spark.createDataFrame([], open_pairs.schema)).drop("_key")
 
 

@@ -122,10 +122,11 @@ def parse_result_lists(pages: DataFrame, pattern: str = RESULT, most: int = 8) -
 
 
 def parse_feeds(pages: DataFrame, most: int = 8) -> DataFrame:
-    """The same from well-formed RSS in ``html``."""
-    path = lambda x: F.slice(F.xpath("html", F.lit(f"//item/{x}/text()")), 1, most)
-    each = pages.select("page_id", F.posexplode(F.arrays_zip(path("link").alias("u"), path("title").alias("t"), path("description").alias("s"))).alias("position", "r"))
-    return each.select("page_id", "position", T.canonical_url(F.col("r.u")).alias("url"), F.col("r.t").alias("title"), F.col("r.s").alias("snippet")).filter("url is not null")
+    """The same from RSS in ``html``: link, title and description of each item; markup that isn't well-formed is read as far as it goes."""
+    items = F.slice(F.regexp_extract_all("html", F.lit("(?is)<item\\b[^>]*>(.*?)</item>"), 1), 1, most)
+    text = lambda x: F.regexp_replace(F.regexp_extract("item", f"(?is)<{x}\\b[^>]*>(.*?)</{x}>", 1), "(?s)<!\\[CDATA\\[(.*?)\\]\\]>", "$1")
+    each = pages.select("page_id", F.posexplode(items).alias("position", "item"))
+    return each.select("page_id", "position", T.canonical_url(text("link")).alias("url"), T.strip_markup(text("title")).alias("title"), T.strip_markup(text("description")).alias("snippet")).filter("url is not null")
 
 
 

@@ -1,7 +1,7 @@
 """Peer benchmarks: what the rows of the same group say about a row.
 
-Everything is grouped once and joined back.  Ranks come from counts per (group, distinct value), so that a large group costs a
-window over its distinct values only.
+Everything is grouped once and joined back.  Ranks and medians come from counts per (group, distinct value) in buckets of the value range, so that a large
+group isn't gathered in one task.
 """
 
 from __future__ import annotations
@@ -9,36 +9,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .profile import strict_ranks
-from .stats import valid
+from .stats import exact_quantiles, ranked_values, valid, with_quantiles
 
 
 def group_ranks(df: DataFrame, group: str, value: str) -> DataFrame:
     """(_g, _v, _rank): 1 + the number of strictly larger values of the group."""
-    counts = df.select(F.col(group).alias("_g"), valid(value).alias("_v")).filter("_v is not null and _g is not null").groupBy("_g", "_v").agg(F.count("*").alias("_n"))
-    above = Window.partitionBy("_g").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("_g", "_v", (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).alias("_rank"))
+    ranked = ranked_values(df.filter(F.col(group).isNotNull()).withColumn("_g", F.col(group)), value, ("_g",))
+    return ranked.select("_g", "_v", (F.col("_all") - F.col("_smaller") - F.col("_n") + 1).alias("_rank"))
 
 
 def peer_rank(df: DataFrame, group: str, value: str, prefix: str, least: int = 3) -> DataFrame:
     """Adds <prefix>_count, _rank, _median and _mean of the valued rows of the group; null with fewer than ``least`` of them, rank null without a value."""
     x = valid(value)
-    sums = df.groupBy(F.col(group).alias("_g")).agg(F.count(x).alias("_c"), F.percentile(x, 0.5).alias("_med"), F.avg(x).alias("_avg")).filter((F.col("_c") >= least) & F.col("_g").isNotNull())
+    named = df.withColumn("_g", F.col(group))
+    sums = named.groupBy("_g").agg(F.count(x).alias("_c"), F.avg(x).alias("_avg")).filter((F.col("_c") >= least) & F.col("_g").isNotNull())
+    sums = _with_median(sums, named, value, ("_g",), "_med")
     ranks = group_ranks(df, group, value).withColumnRenamed("_g", "_rg")
     out = df.join(sums, df[group] == F.col("_g"), "left").join(ranks, (F.col("_g") == F.col("_rg")) & (x == F.col("_v")), "left")
     return out.withColumns({f"{prefix}_count": F.col("_c"), f"{prefix}_rank": F.col("_rank"), f"{prefix}_median": F.col("_med"), f"{prefix}_mean": F.col("_avg")}).drop("_g", "_rg", "_c", "_med", "_avg", "_v", "_rank")
 
 
+def _with_median(sums: DataFrame, df: DataFrame, value: str, by: tuple[str, ...], out: str) -> DataFrame:
+    return with_quantiles(sums, df, value, (0.5,), by, out).withColumn(out, F.col(out)[0])
+
+
 def percentile_rank_strict(df: DataFrame, value: str, out: str = "percentile_rank") -> DataFrame:
     """Rounded percentage of values that are strictly smaller."""
-    ranks = strict_ranks(df, value)
+    ranks = ranked_values(df, value).drop("_n")
     share = F.floor(F.lit(100.0) * F.col("_smaller") / F.col("_all") + 0.5).cast("long")
     return df.join(ranks, valid(value) == F.col("_v"), "left").withColumn(out, share).drop("_v", "_smaller", "_all")
 
 
 def area_sizes(df: DataFrame, area: str, wage: str, use: str, order: str = "ordinal") -> DataFrame:
     """(area, area_count, area_median_wage, area_mean_use, area_rank, area_count_median): ranks by size, ties by first row."""
-    sums = df.filter(F.col(area).isNotNull()).groupBy(area).agg(F.count("*").alias("area_count"), F.percentile(valid(wage), 0.5).alias("area_median_wage"), F.avg(valid(use)).alias("area_mean_use"), F.min(order).alias("_first"))
+    known = df.filter(F.col(area).isNotNull())
+    sums = known.groupBy(area).agg(F.count("*").alias("area_count"), F.avg(valid(use)).alias("area_mean_use"), F.min(order).alias("_first"))
+    sums = _with_median(sums, known, wage, (area,), "area_median_wage").select(area, "area_count", "area_median_wage", "area_mean_use", "_first")
+    # areas are few: the window and the median below run over one row for each
     ranked = sums.withColumn("area_rank", F.row_number().over(Window.orderBy(F.desc("area_count"), "_first")))
     return ranked.crossJoin(F.broadcast(sums.agg(F.percentile("area_count", 0.5).alias("area_count_median")))).drop("_first")
 
@@ -52,9 +59,13 @@ def competition_profile(df: DataFrame, area: str, activity: str, wage: str, use:
 
 def capacity_profile(df: DataFrame, band: str, area: str, users: str, use: str, least_local: int = 5) -> DataFrame:
     """Adds peer_scope, peer_count and medians of users and utilisation among the rows of the same band: those of the same area if there are ``least_local``."""
-    medians = lambda p: [F.count("*").alias(f"_{p}n"), F.percentile(valid(users), 0.5).alias(f"_{p}u"), F.percentile(valid(use), 0.5).alias(f"_{p}r")]
-    every = df.groupBy(F.col(band).alias("_b")).agg(*medians("e"))
-    local = df.groupBy(F.col(band).alias("_lb"), F.col(area).alias("_la")).agg(*medians("l"))
+
+    def medians(p: str, by: tuple[str, ...]) -> DataFrame:
+        sums = df.groupBy(*by).agg(F.count("*").alias(f"_{p}n"))
+        return _with_median(_with_median(sums, df, users, by, f"_{p}u"), df, use, by, f"_{p}r")
+
+    every = medians("e", (band,)).withColumnRenamed(band, "_b")
+    local = medians("l", (band, area)).withColumnsRenamed({band: "_lb", area: "_la"})
     out = df.join(every, df[band] == F.col("_b"), "left").join(local, (df[band] == F.col("_lb")) & (df[area] == F.col("_la")), "left")
     near = F.coalesce(F.col("_ln") >= least_local, F.lit(False))
     pick = lambda c: F.when(near, F.col(f"_l{c}")).otherwise(F.col(f"_e{c}"))
@@ -63,7 +74,8 @@ def capacity_profile(df: DataFrame, band: str, area: str, users: str, use: str,
 
 def activity_profile(df: DataFrame, activity: str, wage: str, use: str) -> DataFrame:
     """Adds activity_count, activity_median_wage, activity_mean_use and activity_rank (null without a wage)."""
-    sums = df.groupBy(F.col(activity).alias("_t")).agg(F.count("*").alias("activity_count"), F.percentile(valid(wage), 0.5).alias("activity_median_wage"), F.avg(valid(use)).alias("activity_mean_use"))
+    sums = df.groupBy(activity).agg(F.count("*").alias("activity_count"), F.avg(valid(use)).alias("activity_mean_use"))
+    sums = _with_median(sums, df, wage, (activity,), "activity_median_wage").withColumnRenamed(activity, "_t")
     ranks = group_ranks(df, activity, wage)
     out = df.join(sums, df[activity] == F.col("_t"), "left").join(ranks, (df[activity] == F.col("_g")) & (valid(wage) == F.col("_v")), "left")
     return out.withColumn("activity_rank", F.col("_rank")).drop("_t", "_g", "_v", "_rank")
@@ -72,7 +84,7 @@ def activity_profile(df: DataFrame, activity: str, wage: str, use: str) -> DataF
 def home_use_profile(df: DataFrame, home: str, wage: str, use: str, top: float = 0.8) -> DataFrame:
     """One row: mean wage and utilisation with and without, and the share with among the wages from the ``top`` quantile on."""
     w, u, h = valid(wage), valid(use), F.col(home)
-    cut = df.agg(F.percentile(w, top).alias("_cut"))
+    cut = exact_quantiles(df, wage, (top,)).select(F.col("_q")[0].alias("_cut"))
     return df.crossJoin(F.broadcast(cut)).agg(
         F.avg(F.when(h, w)).alias("home_mean_wage"), F.avg(F.when(~h, w)).alias("other_mean_wage"), F.avg(F.when(h, u)).alias("home_mean_use"), F.avg(F.when(~h, u)).alias("other_mean_use"),
         F.avg(F.when(w >= F.col("_cut"), F.coalesce(h, F.lit(False)).cast("double"))).alias("top_wage_home_share"),
@@ -82,7 +94,7 @@ def home_use_profile(df: DataFrame, home: str, wage: str, use: str, top: float =
 def metric_comparison(df: DataFrame, key: str, metrics: tuple[str, ...], population: Column | None = None) -> DataFrame:
     """(key, metric, value, difference and ratio to mean, difference and ratio to median): rows inside ``population`` are compared with it, others with all."""
     each = df.select(key, F.coalesce(population if population is not None else F.lit(True), F.lit(False)).alias("_in"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), valid(m).cast("double").alias("value")) for m in metrics])).alias("_x")).select(key, "_in", "_x.metric", "_x.value")
-    stats = lambda rows, p: rows.groupBy(F.col("metric").alias(f"_{p}")).agg(F.avg("value").alias(f"_{p}mean"), F.percentile("value", 0.5).alias(f"_{p}med"))
+    stats = lambda rows, p: _with_median(rows.groupBy("metric").agg(F.avg("value").alias(f"_{p}mean")), rows, "value", ("metric",), f"_{p}med").withColumnRenamed("metric", f"_{p}")
     out = each.join(F.broadcast(stats(each.filter("_in"), "i")), F.col("metric") == F.col("_i"), "left").join(F.broadcast(stats(each, "a")), F.col("metric") == F.col("_a"), "left")  # a row per metric
     mean, med = F.when(F.col("_in"), F.col("_imean")).otherwise(F.col("_amean")), F.when(F.col("_in"), F.col("_imed")).otherwise(F.col("_amed"))
     v = F.col("value")

@@ -6,10 +6,10 @@ values, band edges as their labels say, medians as thresholds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stats import quadrant_vs_median, valid
+from .stats import quadrant_vs_median, ranked_values, valid
 
 #: (upper end, label); the last has none.
 WAGE_BANDS = ((10_000, "under 10k"), (15_000, "10k-15k"), (20_000, "15k-20k"), (30_000, "20k-30k"), (50_000, "30k-50k"), (None, "50k and more"))
@@ -72,20 +72,10 @@ def reference_means(df: DataFrame, value: str, groups: dict[str, str]) -> DataFr
     return out.withColumns(made).drop("_mean", *[f"_{k}_{n}" for n in groups for k in "gm"])
 
 
-def strict_ranks(df: DataFrame, value: str) -> DataFrame:
-    """(value, smaller, n): how many rows have a strictly smaller value, for each distinct value.
-
-    Rows are counted per value first, so that the running sum goes over distinct values only.
-    """
-    counts = df.select(valid(value).alias("_v")).filter("_v is not null").groupBy("_v").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("_v", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_smaller"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-
-
 def zscore_percentile(df: DataFrame, value: str, z: str = "z_score", percentile: str = "percentile") -> DataFrame:
     x = valid(value)
     moments = df.agg(F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_sd"))
-    ranks = strict_ranks(df, value)
+    ranks = ranked_values(df, value).drop("_n")
     joined = df.crossJoin(F.broadcast(moments)).join(ranks, x == F.col("_v"), "left")
     return joined.withColumns({z: ratio(x - F.col("_mean"), F.col("_sd")), percentile: F.col("_smaller") / F.col("_all")}).drop("_mean", "_sd", "_v", "_smaller", "_all")
 

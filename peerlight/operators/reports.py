@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import classify, entities
-from .stats import valid
+from .stats import valid, with_quantiles
 
 WAGE, USE = "average_wage_yen", "daily_user_capacity_ratio"
 
@@ -26,9 +26,10 @@ def top_group_mean(df: DataFrame, group: str, value: str = WAGE, least: int = 5,
 
 
 def group_stats(df: DataFrame, group: str, value: str = WAGE, least: int = 1) -> DataFrame:
-    x = valid(value)
-    sums = df.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("label")).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.min(x).alias("min"), F.max(x).alias("max"))
-    return sums.filter(F.col("count") >= least).orderBy(F.desc("median"), "label")
+    known = df.filter(F.col(group).isNotNull()).select(F.col(group).alias("label"), F.col(value).alias("_x"))
+    sums = known.groupBy("label").agg(F.count(valid("_x")).alias("count"), F.avg(valid("_x")).alias("mean"), F.min(valid("_x")).alias("min"), F.max(valid("_x")).alias("max")).filter(F.col("count") >= least)
+    sums = with_quantiles(sums, known, "_x", (0.5,), ("label",)).select("label", "count", "mean", F.col("_q")[0].alias("median"), "min", "max")
+    return sums.orderBy(F.desc("median"), "label")
 
 
 def _ordered(df: DataFrame, labels: list[str]) -> DataFrame:
@@ -73,13 +74,13 @@ def sum_computed(df: DataFrame, value: Column) -> DataFrame:
 def summary_cards(df: DataFrame, company: str) -> DataFrame:
     """One row of headline numbers."""
     w, home = valid(WAGE), F.col("home_use_active")
-    q = F.percentile(w, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))
     main = df.agg(
-        F.count("*").alias("offices"), F.avg(w).alias("mean_wage"), F.when(F.count(w) >= 2, F.stddev_samp(w)).alias("sd_wage"), q.alias("_q"), F.avg(valid(USE)).alias("mean_use"), F.avg(valid("average_daily_users")).alias("mean_users"),
+        F.count("*").alias("offices"), F.avg(w).alias("mean_wage"), F.when(F.count(w) >= 2, F.stddev_samp(w)).alias("sd_wage"), F.avg(valid(USE)).alias("mean_use"), F.avg(valid("average_daily_users")).alias("mean_users"),
         F.count_if(home).alias("home_count"), F.avg(F.coalesce(home, F.lit(False)).cast("double")).alias("home_rate"), F.avg(valid("home_use_user_ratio_decimal")).alias("mean_home_ratio"), F.count_if("shortage_risk").alias("risk_count"),
     )
     multi = df.groupBy(company).agg(F.count("*").alias("_n")).agg(F.count_if(F.col("_n") >= 2).alias("multi_office_companies"))
     best = group_stats(df, "work_model", least=5).limit(1).agg(F.max("label").alias("best_work_model"))
+    main = with_quantiles(main, df, WAGE, (0.1, 0.25, 0.5, 0.75, 0.9))
     named = [F.col("_q")[i].alias(f"{n}_wage") for i, n in enumerate(("p10", "p25", "median", "p75", "p90"))]
     # three frames of one row each
     return main.select("*", *named).drop("_q").crossJoin(F.broadcast(multi)).crossJoin(F.broadcast(best))
@@ -104,7 +105,7 @@ def _rows(block: str, one: DataFrame) -> DataFrame:
 def insight_summary(df: DataFrame) -> DataFrame:
     """(block, metric, value): the wage's centre, low utilisation, best offices, best work models, home use."""
     w = valid(WAGE)
-    out = _rows("wage", df.agg(F.percentile(w, 0.5).alias("median"), F.avg(w).alias("mean")))
+    out = _rows("wage", with_quantiles(df.agg(F.avg(w).alias("mean")), df, WAGE, (0.5,)).select(F.col("_q")[0].alias("median"), "mean"))
     out = out.unionByName(_rows("use", low_use_effect(df)))
     out = out.unionByName(top_performers(df).select(F.lit("performers").alias("block"), F.col("office_no").alias("metric"), F.col(WAGE).alias("value")))
     out = out.unionByName(group_stats(df, "work_model", least=5).limit(2).select(F.lit("work models").alias("block"), F.col("label").alias("metric"), F.col("median").alias("value")))
@@ -115,7 +116,7 @@ def opportunity_area(df: DataFrame, area: str, least: int = 3) -> DataFrame:
     """The area with few offices, wages and utilisation above those of all, best by median wage + 10000 x utilisation."""
     from .peers import area_sizes
 
-    overall = df.agg(F.percentile(valid(WAGE), 0.5).alias("_wage"), F.avg(valid(USE)).alias("_use"))
+    overall = with_quantiles(df.agg(F.avg(valid(USE)).alias("_use")), df, WAGE, (0.5,)).select(F.col("_q")[0].alias("_wage"), "_use")
     areas = area_sizes(df, area, WAGE, USE).crossJoin(F.broadcast(overall))
     good = (F.col("area_count") >= least) & (F.col("area_count") <= F.col("area_count_median")) & (F.col("area_median_wage") >= F.col("_wage")) & (F.col("area_mean_use") >= F.col("_use"))
     score = F.col("area_median_wage") + 10_000 * F.col("area_mean_use")
@@ -169,19 +170,27 @@ def anomaly_list(df: DataFrame, limit: int = 12) -> DataFrame:
     return _candidates(df, F.col("wage_outlier_flag").isNotNull() | (u > 1.5), score, limit)
 
 
-EXPORT_LABELS = {"office_no": "No.", "municipality": "municipality", "corporation_name": "company", "office_name": "office", "area": "area", "average_wage_yen": "mean wage", "available_capacity": "free places", "home_use_active": "home use", "wage_outlier_flag": "wage level", "shortage_risk": "possible shortage", "work_model": "work model", "area_office_count": "offices in area", "area_activity_count": "offices with the activity in area", "company_office_count": "offices of company", "search_url": "search"}
+#: Column to label, in the order of the export.
+EXPORT_LABELS = {
+    "office_no": "No.", "municipality": "municipality", "corporation_type_label": "company type", "corporation_number": "company number", "corporation_name": "company", "representative_name": "representative",
+    "representative_role": "role", "office_name": "office", "area": "area", "average_wage_yen": "mean wage", "ratio_to_overall_mean": "to overall mean", "ratio_to_municipality_mean": "to municipality mean",
+    "ratio_to_capacity_band_mean": "to capacity band mean", "daily_user_capacity_ratio": "use", "available_capacity": "free places", "home_use_active": "home use", "home_use_user_ratio_pct": "home share",
+    "wage_outlier_flag": "wage level", "shortage_risk": "possible shortage", "work_model": "work model", "area_office_count": "offices in area", "area_activity_count": "offices with the activity in area",
+    "company_office_count": "offices of company", "dir_primary_activity_type": "main activity", "dir_office_number": "directory number", "dir_office_url": "directory page", "homepage_url": "homepage",
+    "profile_url": "profile", "search_url": "search", "profile_search_url": "profile search", "remarks": "remarks",
+}
 
 
-def export_filtered_table(df: DataFrame, every: DataFrame, area: str, activity: str, company: str, search_base: str = "https://search.example.com/?q=") -> DataFrame:
-    """The labelled export of the rows ``df``: counts come from ``every`` row; booleans and flags are words."""
+def export_filtered_table(df: DataFrame, every: DataFrame, area: str, activity: str, company: str, search_base: str = "https://search.example.com/?q=", profile_word: str = "profile") -> DataFrame:
+    """The labelled export of the rows ``df``, columns that it lacks as null: counts come from ``every`` row; booleans and flags are words."""
     counts = lambda name, *by: every.groupBy(*[F.col(b).alias(f"_{i}{name}") for i, b in enumerate(by)]).agg(F.count("*").alias(name))
     out = df.join(counts("area_office_count", area), F.col(area) == F.col("_0area_office_count"), "left")
     out = out.join(counts("area_activity_count", area, activity), (F.col(area) == F.col("_0area_activity_count")) & F.col(activity).eqNullSafe(F.col("_1area_activity_count")), "left")
     out = out.join(counts("company_office_count", company), F.col(company) == F.col("_0company_office_count"), "left")
     yes = lambda c: F.when(c, "yes").when(~c, "no")
-    query = F.replace(F.url_encode(F.concat_ws(" ", F.concat(F.lit('"'), "office_name", F.lit('"')), area)), F.lit("+"), F.lit("%20"))
+    query = lambda *more: F.concat(F.lit(search_base), F.replace(F.url_encode(F.concat_ws(" ", F.concat(F.lit('"'), "office_name", F.lit('"')), area, *map(F.lit, more))), F.lit("+"), F.lit("%20")))
     words = {
         "area": F.col(area), "home_use_active": yes(F.col("home_use_active")), "wage_outlier_flag": F.coalesce("wage_outlier_flag", F.lit("none")),
-        "shortage_risk": F.when(F.col("shortage_risk"), "yes").otherwise("no"), "search_url": F.concat(F.lit(search_base), query),
+        "shortage_risk": F.when(F.col("shortage_risk"), "yes").otherwise("no"), "search_url": query(), "profile_search_url": query(profile_word),
     }
-    return out.select(*[words.get(c, F.col(c)).alias(label) for c, label in EXPORT_LABELS.items()])
+    return out.select(*[(words[c] if c in words else F.col(c) if c in out.columns else F.lit(None).cast("string")).alias(label) for c, label in EXPORT_LABELS.items()])

@@ -1,7 +1,8 @@
 """Distribution statistics: quartile fences, outlier classes, quadrants, watchlists, role and feature summaries.
 
 Statistics come from one aggregation and go to the rows as a broadcast of one row (or a join on the group), so that flags never
-put all rows into one partition.  Medians and quartiles are exact; ``approximate`` trades that for bounded memory in very large groups.
+put all rows into one partition.  Medians and quartiles are exact; they come from counts per distinct value in buckets of the value range (``ranked_values``), so
+that no task holds all values of a table or of a large group.  ``approximate`` takes a sketch instead.
 """
 
 from __future__ import annotations
@@ -17,14 +18,60 @@ def valid(value: str | Column) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), c)
 
 
-def quantiles(value: Column, shares: list[float], approximate: bool = False) -> Column:
-    return F.percentile_approx(value, shares, 10_000) if approximate else F.percentile(value, F.array(*[F.lit(float(s)) for s in shares]))
+def value_bucket(v: Column) -> Column:
+    """A number that never falls as the value rises: 256 buckets for each doubling of the value."""
+    return (F.signum(v) * F.floor(256 * F.log2(1 + F.abs(v) * float(1 << 20)))).cast("long")
+
+
+def ranked_values(df: DataFrame, value: str | Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by.., _v, _n, _smaller, _all): for each distinct value of each group how many rows have it, have a smaller one, have any.
+
+    Sums run inside a bucket of the value range; the buckets of a group are few, whatever the number of rows, and are summed on their own.
+    """
+    counts = df.select(*by, valid(value).cast("double").alias("_v")).filter("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_n")).withColumn("_b", value_bucket(F.col("_v")))
+    until = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = counts.withColumn("_inside", until(Window.partitionBy(*by, "_b").orderBy("_v")))
+    totals = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_n"))
+    offsets = totals.select(*[F.col(c).alias(f"_o_{c}") for c in by], F.col("_b").alias("_ob"), until(Window.partitionBy(*by).orderBy("_b")).alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("_all"))
+    same = F.col("_b") == F.col("_ob")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return inside.join(offsets, same).select(*by, "_v", "_n", (F.col("_before") + F.col("_inside")).alias("_smaller"), "_all")
+
+
+def exact_quantiles(df: DataFrame, value: str | Column, shares: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by.., _q): an array with the interpolated value at each share; without ``by`` one row, of nulls if there is no value."""
+    ranked = ranked_values(df, value, by)
+
+    def at(place: Column) -> Column:
+        return F.min(F.when((F.col("_smaller") <= place) & (place < F.col("_smaller") + F.col("_n")), F.col("_v")))
+
+    place = [(F.col("_all") - 1) * float(s) for s in shares]
+    ends = [x.alias(f"_{k}{i}") for i, p in enumerate(place) for k, x in (("l", at(F.floor(p))), ("h", at(F.ceil(p))), ("p", F.max(p)))]
+    l, h, p = ([F.col(f"_{k}{i}") for i in range(len(shares))] for k in "lhp")
+    made = [F.when(a == b, a).otherwise((F.ceil(c) - c) * a + (c - F.floor(c)) * b) for a, b, c in zip(l, h, p, strict=True)]
+    return ranked.groupBy(*by).agg(*ends).select(*by, F.array(*made).alias("_q"))
+
+
+def with_quantiles(sums: DataFrame, df: DataFrame, value: str | Column, shares: tuple[float, ...], by: tuple[str, ...] = (), out: str = "_q") -> DataFrame:
+    """``sums``, one row for each group of ``df`` (or one row), with the group's ``exact_quantiles`` as the array ``out``."""
+    found = exact_quantiles(df, value, shares, by).withColumnRenamed("_q", out)
+    if not by:
+        return sums.crossJoin(F.broadcast(found))  # one row each
+    found = found.withColumnsRenamed({c: f"_q_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same &= sums[c].eqNullSafe(found[f"_q_{c}"])
+    return sums.join(found, same, "left").drop(*[f"_q_{c}" for c in by])
 
 
 def numeric_stats(df: DataFrame, value: str, by: tuple[str, ...] = (), digits: int | None = 3, clamp_zero: bool = True, approximate: bool = False) -> DataFrame:
     """Count, mean, median, q1, q3, p90, IQR and both pairs of fences (1.5 and 3 IQR); null without values.  Lower fences stop at 0 with ``clamp_zero``."""
-    x = valid(value)
-    each = df.groupBy(*by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), quantiles(x, [0.25, 0.5, 0.75, 0.9], approximate).alias("_q"))
+    x, shares = valid(value), (0.25, 0.5, 0.75, 0.9)
+    sketch = [F.percentile_approx(x, list(shares), 10_000).alias("_q")] if approximate else []
+    each = df.groupBy(*by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), *sketch)
+    if not approximate:
+        each = with_quantiles(each, df, value, shares, by)
     q1, q3 = F.col("_q")[0], F.col("_q")[2]
     iqr = q3 - q1
     low = (lambda c: F.when(c < 0, 0.0).otherwise(c)) if clamp_zero else (lambda c: c)
@@ -37,7 +84,8 @@ def numeric_stats(df: DataFrame, value: str, by: tuple[str, ...] = (), digits: i
 
 def numeric_stats_min_max(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     x = valid(value)
-    each = df.groupBy(*by).agg(F.count(x).alias("count"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.max(x).alias("max"), quantiles(x, [0.1, 0.5, 0.9]).alias("_q"))
+    each = df.groupBy(*by).agg(F.count(x).alias("count"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.max(x).alias("max"))
+    each = with_quantiles(each, df, value, (0.1, 0.5, 0.9), by)
     return each.select(*by, "count", "min", F.col("_q")[0].alias("p10"), "mean", F.col("_q")[1].alias("median"), F.col("_q")[2].alias("p90"), "max")
 
 
@@ -77,7 +125,7 @@ QUADRANTS = ("high x high", "high x low", "low x high", "low x low")
 
 def quadrant_vs_median(df: DataFrame, first: str, second: str, out: str = "quadrant", labels: tuple[str, str, str, str] = QUADRANTS, population: DataFrame | None = None) -> DataFrame:
     of = df if population is None else population
-    medians = of.agg(F.percentile(valid(first), 0.5).alias("_m1"), F.percentile(valid(second), 0.5).alias("_m2"))
+    medians = exact_quantiles(of, first, (0.5,)).select(F.col("_q")[0].alias("_m1")).crossJoin(exact_quantiles(of, second, (0.5,)).select(F.col("_q")[0].alias("_m2")))  # one row each
     joined = df.crossJoin(F.broadcast(medians))  # one row
     return joined.withColumn(out, quadrant_labels(valid(first), valid(second), F.col("_m1"), F.col("_m2"), labels)).drop("_m1", "_m2")
 

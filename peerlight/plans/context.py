@@ -18,17 +18,28 @@ ROLES = ("chair", "head")
 LEGAL = ("group ",)
 SOCIAL_HOSTS = ("social.example.com",)
 
-_written: dict[tuple[str, str, str], DataFrame] = {}
+_written: dict[tuple, DataFrame] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the tables' files: what has been derived holds as long as these stay."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    system, found, left = folder.getFileSystem(spark._jsc.hadoopConfiguration()), [], [folder]
+    while left:
+        for f in system.listStatus(left.pop()):
+            left += [f.getPath()] if f.isDirectory() else []
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 class Tables:
-    """Views over one directory of tables.  Those that several queries share are derived once per application and kept in the shared folder."""
+    """Views over one directory of tables.  Those that several queries share are derived once per application and state of the files, and kept in the shared folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.state = spark, sf_dir, _state(spark, sf_dir)
 
     def _once(self, name: str, make) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.state, name)
         if key not in _written:
             _written[key] = checkpointed(make())
         return _written[key]
@@ -104,6 +115,19 @@ class Tables:
         """Offices with the fields of the directory rows that the whole linkage has chosen."""
         return self._once("linked", lambda: linkage.link_merge_fields(self.office, self.directory, self.chosen))
 
+    @cached_property
+    def full(self) -> DataFrame:
+        """Enriched offices with the fields of their directory rows and of their representatives."""
+        return self._once("full", lambda: self._full())
+
+    def _full(self) -> DataFrame:
+        fields = [c for c in self.merged.columns if c.startswith("dir_")]
+        person = T.representative(F.col("representative_raw"), ROLES, nfkc=False)
+        return self.e.join(self.merged.select("ordinal", *fields), "ordinal").withColumns({
+            "representative_name": person["name"], "representative_role": person["role"], "home_use_user_ratio_pct": 100 * F.col("home_use_user_ratio_decimal"),
+            "remarks": F.when(F.col("ordinal") % 12 == 0, F.concat(F.lit("Note "), "office_no")), "address": F.nullif(F.concat_ws(" ", "dir_office_address_city", "dir_office_address_line"), F.lit("")),
+        })
+
     @cached_property
     def staffed(self) -> DataFrame:
         return self._once("staffed", lambda: stats.staffing_report(self.merged, "average_wage_yen", "dir_key_staff_fte_per_capacity", F.col("dir_match_status") == "matched", F.col("dir_fetch_status") == "ok"))
@@ -149,6 +173,11 @@ c AS (SELECT e.*, coalesce('number:' || coalesce(e.corporation_number, n2.x, w1.
   CASE WHEN o.average_daily_users > 0 THEN d.life_support_fte / o.average_daily_users END AS per_user, d.fetch_status, d.key_staff_fte_per_capacity AS k, d.transport_available, d.meal_support_addon, d.service_manager_actual, d.service_manager_fte, d.life_support_actual, d.life_support_fte, d.office_url,
   d.corporation_number AS dir_number
   FROM office o LEFT JOIN simple s0 ON s0.rec = o.ordinal LEFT JOIN directory d ON d.ordinal = s0.dir)""",
+    "full": """fl AS (SELECT c.*, replace(representative_raw, 'chair ', '') AS representative_name, 'chair' AS representative_role, 100 * home_use_user_ratio_decimal AS home_use_user_ratio_pct, CASE WHEN c.ordinal % 12 = 0 THEN 'Note ' || office_no END AS remarks,
+  nullif(concat_ws(' ', d.office_address_city, d.office_address_line), '') AS address, CASE WHEN s0.dir IS NOT NULL THEN 'matched' ELSE 'unmatched' END AS dir_match_status, s0.confidence AS dir_match_confidence, d.fetch_status AS dir_fetch_status, d.office_number AS dir_office_number, d.office_url AS dir_office_url,
+  d.office_address_city AS dir_office_address_city, d.office_address_line AS dir_office_address_line, d.office_capacity AS dir_office_capacity, d.primary_activity_type AS dir_primary_activity_type, d.transport_available AS dir_transport_available, d.meal_support_addon AS dir_meal_support_addon,
+  d.key_staff_fte_per_capacity AS dir_key_staff_fte_per_capacity, d.average_wage_monthly_yen AS dir_average_wage_monthly_yen, d.average_wage_monthly_yen - c.average_wage_yen AS dir_average_wage_gap, d.service_manager_fte AS dir_service_manager_fte
+  FROM c LEFT JOIN simple s0 ON s0.rec = c.ordinal LEFT JOIN directory d ON d.ordinal = s0.dir)""",
     "staffed": """ss AS (SELECT quantile_cont(k, 0.25) AS k1, quantile_cont(k, 0.75) AS k3, median(k) AS km, median(average_wage_yen) AS wm FROM merged WHERE status = 'matched' AND fetch_status = 'ok'),
 staffed AS (SELECT merged.*, CASE WHEN k >= k3 + 3 * (k3 - k1) OR k > k3 + 1.5 * (k3 - k1) THEN 'high' WHEN k <= greatest(k1 - 3 * (k3 - k1), 0) OR k < greatest(k1 - 1.5 * (k3 - k1), 0) THEN 'low' END AS flag,
   CASE WHEN k >= k3 + 3 * (k3 - k1) OR k <= greatest(k1 - 3 * (k3 - k1), 0) THEN 'extreme' WHEN k > k3 + 1.5 * (k3 - k1) OR k < greatest(k1 - 1.5 * (k3 - k1), 0) THEN 'moderate' END AS severity,
@@ -173,7 +202,7 @@ p AS (SELECT p0.rec, p0.dir, r.*EXCLUDE(rec), d.*EXCLUDE(dir), coalesce(rec_numb
     "q": "q AS (SELECT *, max(agrees::INT) OVER (PARTITION BY rec) AS any_agrees FROM p QUALIFY agrees OR any_agrees = 0)",
 }
 NEEDS = {
-    "raw_directory": ["office"], "directory": ["raw_directory"], "s": ["office"], "b": ["office"], "e0": ["b", "s"], "e1": ["e0"], "e": ["e1"], "c": ["e"], "simple": ["directory"], "merged": ["simple"], "staffed": ["merged"],
+    "raw_directory": ["office"], "directory": ["raw_directory"], "s": ["office"], "b": ["office"], "e0": ["b", "s"], "e1": ["e0"], "e": ["e1"], "c": ["e"], "simple": ["directory"], "merged": ["simple"], "full": ["c", "simple"], "staffed": ["merged"],
     "r": ["office"], "d": ["directory"], "u": ["r", "d"], "f": ["u"], "p": ["f"], "q": ["p"],
 }
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
@@ -14,31 +17,29 @@ OFFICE_FIELDS = ty.StructType([ty.StructField("office_no", ty.StringType()), ty.
 
 
 def _folder(t) -> str:
-    import uuid
-
     return f"{tables.shared_folder(t.spark)}/out-{uuid.uuid4().hex}"
 
 
-def _document(t):
-    """The office table written as JSON documents of an object with ``records``, and read back; a document per 500 offices, as its source would ship them."""
+def _chunk_documents(t, size: int) -> str:
+    """The office table as JSON documents of an object with ``records``, a folder chunk=0, 1, ... of one file for each ``size`` offices."""
     path = _folder(t)
-    chunk = F.floor(F.col("ordinal") / 500)
+    numbered = tables.chunk_numbers(t.office.select("ordinal", "office_no", "office_name", "capacity", "average_wage_yen"), "ordinal", size)
     item = F.struct("office_no", "office_name", "capacity", "average_wage_yen")
-    rows = t.office.groupBy(chunk.alias("_c")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", item.alias("r")))), lambda x: x["r"]).alias("records"))
-    rows.select(F.to_json(F.struct("records")).alias("value")).repartition(F.col("value")).write.option("lineSep", "\n").text(path)
-    lines = t.spark.read.text(path)
-    array = F.from_json(F.get_json_object("value", "$.records"), ty.ArrayType(OFFICE_FIELDS))
-    return lines.select(F.posexplode(array).alias("position", "r")).select("position", "r.*")
+    rows = numbered.groupBy("chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", item.alias("r")))), lambda x: x["r"]).alias("records"))  # a chunk is a bounded number of rows
+    rows.select("chunk", F.to_json(F.struct("records")).alias("value")).write.partitionBy("chunk").text(path)
+    return path
+
+
+def _document(t):
+    return tables.read_record_document(t.spark, _chunk_documents(t, 500), OFFICE_FIELDS).withColumnRenamed("ordinal", "position")
 
 
 def _manifest(t):
-    """Chunk files and a manifest are written by Spark, then read in the manifest's order."""
-    path = _folder(t)
-    numbered = tables.checkpointed(tables.chunk_numbers(t.office.select("ordinal", "office_no", "office_name", "capacity", "average_wage_yen"), "ordinal", 250))
-    numbered.repartition("chunk").sortWithinPartitions("chunk", "ordinal").write.partitionBy("chunk").json(path)
-    names = [r[0] for r in numbered.select("chunk").distinct().orderBy("chunk").collect()]  # a row per 250
-    out = t.spark.read.schema(OFFICE_FIELDS).json([f"{path}/chunk={n}" for n in names])
-    return out.withColumn("chunk", F.regexp_extract(F.input_file_name(), "chunk=([0-9]+)", 1).cast("long"))
+    path = _chunk_documents(t, 250)
+    names = [f"chunk={n}" for n in range(-(-t.office.count() // 250))]
+    manifest = t.spark.createDataFrame([(json.dumps({"data_files": {"record_chunks": names}}),)], "value string")
+    manifest.coalesce(1).write.text(f"{path}/manifest")
+    return tables.read_manifest_chunks(t.spark, path, "manifest", OFFICE_FIELDS)
 
 
 def _csv(t):
@@ -88,9 +89,41 @@ _FIELDS = ("h1", "title")
 BRIDGE_HOSTS = ("blog.tionsh.example.net", "thther.example.org", "blog.ththan.example.net", "www.ththhe.example.com")
 
 
+def _known(kind: str):
+    """Pairs whose matching-blocks ratio SQL can tell: a name that is empty, or in the other."""
+    return F.col(f"{kind}_inside") | (F.col(f"rec_{kind}") == "") | (F.col(f"dir_{kind}") == "")
+
+
 def _similarity(t):
     s = linkage.link_similarity(linkage.link_area_narrowing(t.candidates))
-    return s.select("rec", "dir", "suffix", "strict_equal", "relaxed_equal", "strict_inside", "relaxed_inside", "capacity_equal", "capacity_close")
+    known = [F.when(_known(k), F.col(f"{k}_similarity")).alias(f"known_{k}_similarity") for k in ("strict", "relaxed")]
+    return s.select("rec", "dir", *known, "suffix", "strict_equal", "relaxed_equal", "strict_inside", "relaxed_inside", "capacity_equal", "capacity_close")
+
+
+def _cascade(t):
+    """The ten rules on the pairs whose ratios SQL can tell."""
+    s = linkage.link_similarity(linkage.link_area_narrowing(t.candidates))
+    return linkage.link_rule_cascade(s.filter(_known("strict") & _known("relaxed"))).select(*linkage.PROPOSAL)
+
+
+_INSIDE = lambda k: f"(rec_{k} <> '' AND dir_{k} <> '' AND (contains(rec_{k}, dir_{k}) OR contains(dir_{k}, rec_{k})))"
+_RATIO = lambda k: f"CASE WHEN {_INSIDE(k)} THEN round(2.0::DOUBLE * least(length(rec_{k}), length(dir_{k})) / (length(rec_{k}) + length(dir_{k})), 4) WHEN rec_{k} = '' OR dir_{k} = '' THEN 0.0::DOUBLE END"
+_SUFFIX = "CAST((SELECT max(i) FROM generate_series(0, least(length(rec_relaxed), length(dir_relaxed))) g(i) WHERE right(rec_relaxed, i::INT) = right(dir_relaxed, i::INT)) AS INT)"
+# Fixed values of the ten rules: condition, confidence, method, score.
+_RULES = (
+    ("num AND se", "high", "corp_exact_name_strict", "100 + s + 0.15::DOUBLE * eq"), ("num AND (si OR s >= 0.92)", "high", "corp_exact_name_strict", "98 + s + 0.15::DOUBLE * eq"),
+    ("num AND (re OR ri) AND (eq = 1 OR cands = 1)", "medium", "corp_exact_name_relaxed", "85 + r + 0.15::DOUBLE * eq"), ("num AND s >= 0.78 AND r >= 0.88", "medium", "corp_exact_name_fuzzy", "80 + s + 0.5::DOUBLE * r + 0.1::DOUBLE * cl"),
+    ("num AND suffix >= 2", "medium", "corp_exact_suffix_match", "74 + suffix + 0.5::DOUBLE * s + 0.15::DOUBLE * eq"), ("nam AND se", "high", "corp_name_exact_name_strict", "72 + s + 0.1::DOUBLE * eq"),
+    ("nam AND re", "medium", "corp_name_exact_name_relaxed", "68 + r + 0.1::DOUBLE * eq"), ("nam AND suffix >= 2", "medium", "corp_name_exact_suffix_match", "64 + suffix + 0.5::DOUBLE * s + 0.1::DOUBLE * eq"),
+    ("se AND n_strict = 1", "medium", "unique_name_strict", "70 + s + 0.05::DOUBLE * nam::INT"), ("re AND n_relaxed = 1 AND s >= 0.72", "low", "unique_name_relaxed", "60 + s + 0.1::DOUBLE * eq"),
+)
+_case = lambda f: "CASE " + " ".join(f"WHEN {x[0]} THEN {f(n, x)}" for n, x in enumerate(_RULES, 1)) + " END"
+_CASCADE = f"""k0 AS (SELECT rec, dir, num, nam, cands, n_strict, n_relaxed, {_RATIO('strict')} AS s, {_RATIO('relaxed')} AS r, {_SUFFIX} AS suffix, rec_strict = dir_strict AND rec_strict <> '' AS se, rec_relaxed = dir_relaxed AND rec_relaxed <> '' AS re, {_INSIDE('strict')} AS si, {_INSIDE('relaxed')} AS ri,
+  coalesce(rec_capacity = dir_capacity, false)::INT AS eq, coalesce(abs(rec_capacity - dir_capacity) <= 2, false)::INT AS cl FROM q),
+k1 AS (SELECT rec, dir, CAST({_case(lambda n, x: n)} AS INT) AS rule, {_case(lambda n, x: f"'{x[1]}'")} AS confidence, {_case(lambda n, x: f"'{x[2]}'")} AS method, {_case(lambda n, x: x[3])} AS score, s AS strict_similarity, r AS relaxed_similarity FROM k0 WHERE s IS NOT NULL AND r IS NOT NULL),
+k AS (SELECT * REPLACE (floor(score * 10000 + CAST(0.500001 AS DOUBLE)) / 10000 AS score) FROM k1 WHERE rule IS NOT NULL)"""
+_AMBIGUOUS = """pl AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, score DESC, strict_similarity DESC, relaxed_similarity DESC, dir) AS place FROM k),
+am AS (SELECT pl.*, s1, s2 FROM pl JOIN (SELECT rec, max(score) FILTER (place = 1) AS s1, max(score) FILTER (place = 2) AS s2 FROM pl GROUP BY 1) b USING (rec))"""
 
 
 #: All that ``link_similarity`` adds.
@@ -158,12 +191,23 @@ def _reach(t):
     return pages.profile_reachability(p, t.links, profiles, inner, bridges)
 
 
+_SIX = ("daily_user_capacity_ratio", "ratio_to_overall_mean", "ratio_to_municipality_mean", "ratio_to_type_mean", "ratio_to_capacity_band_mean", "z_score", "home_use_user_ratio_pct")
+_ABSENT = ("representative_source_url", "representative_fetch_status", "average_wage_error", "noufuku_active", "homepage_source", "homepage_confidence", "profile_source", "profile_confidence", "dir_office_phone", "dir_primary_activity_detail",
+           "dir_regional_collaboration_addon", "dir_manager_multi_post", "dir_welfare_staff_fte_total", "dir_staffing_quadrant", "dir_staffing_outlier_flag", "dir_staffing_outlier_severity")
+_SLIM_SQL = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" if c in _ABSENT else f"round({c}, 6) AS {c}" if c in _SIX else f"l.{c}" if c in ("homepage_url", "profile_url") else f"fl.{c}" for c in tables.SLIM_COLUMNS)
+
+
+def _slim(t):
+    full = t.full.join(_linked(t).select("ordinal", "homepage_url", "profile_url"), "ordinal")
+    return tables.slim_projection(full.withColumns({c: F.round(c, 6) for c in _SIX}))
+
+
 QUERIES = {
     # sources and sinks
-    "read_record_document": (_document, sql("SELECT CAST(ordinal % 500 AS INT) AS position, office_no, office_name, capacity, average_wage_yen FROM office", "office")),
-    "read_manifest_chunks": (_manifest, sql("SELECT office_no, office_name, capacity, average_wage_yen, CAST(floor((row_number() OVER (ORDER BY ordinal) - 1) / 250) AS BIGINT) AS chunk FROM office", "office")),
+    "read_record_document": (_document, sql("SELECT CAST((row_number() OVER (ORDER BY ordinal) - 1) % 500 AS INT) AS position, office_no, office_name, capacity, average_wage_yen FROM office", "office")),
+    "read_manifest_chunks": (_manifest, sql("SELECT office_no, office_name, capacity, average_wage_yen, CAST((row_number() OVER (ORDER BY ordinal) - 1) % 250 AS INT) AS position, CAST(floor((row_number() OVER (ORDER BY ordinal) - 1) / 250) AS INT) AS chunk FROM office", "office")),
     "read_csv_lookup": (_csv, sql("SELECT office_no AS record_office_no, 'D' || (ordinal + s) AS directory_office_number, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS absent FROM office, (VALUES (1), (2)) v(s) WHERE ordinal % 97 = 0", "office")),
-    "slim_projection": (lambda t: tables.slim_projection(t.office, ("office_no", "municipality", "homepage_url", "capacity")), sql("SELECT office_no, municipality, CAST(NULL AS VARCHAR) AS homepage_url, capacity FROM office", "office")),
+    "slim_projection": (_slim, _with(f"SELECT {_SLIM_SQL} FROM fl JOIN (SELECT ordinal, homepage_url, profile_url FROM linked) l USING (ordinal)", _LINKED, "merged", "full")),
     "write_chunks": (lambda t: tables.write_chunks(t.office, _folder(t), "ordinal"), sql("SELECT CAST(c AS BIGINT) AS chunk, count(*) AS count FROM (SELECT floor((row_number() OVER (ORDER BY ordinal) - 1) / 250) AS c FROM office) x GROUP BY 1", "office")),
     "write_table_outputs": (_outputs, sql("SELECT kind, office_no, office_name, corporation_number, average_wage_yen FROM office, (VALUES ('json'), ('csv')) v(kind)", "office")),
     "incremental_refresh": (_incremental, sql("SELECT DISTINCT corporation_number, CASE WHEN corporation_number LIKE '%1' THEN 'stored' ELSE 'new' END AS state FROM office WHERE corporation_number IS NOT NULL", "office")),
@@ -184,10 +228,11 @@ QUERIES = {
     "link_block_union": (lambda t: linkage.link_block_union(linkage.link_block_company_number(t.records, t.listed), linkage.link_block_company_name(t.records, t.listed)), sql("SELECT rec, dir, same_number, same_company, CASE WHEN bool_or(same_number) OVER w AND bool_or(same_company) OVER w THEN 'corp_number+corp_name' WHEN bool_or(same_number) OVER w THEN 'corp_number' ELSE 'corp_name' END AS mode FROM u WINDOW w AS (PARTITION BY rec)", "u")),
     "link_name_only_fallback": (lambda t: linkage.link_name_only_fallback(t.records, t.listed, linkage.link_block_union(linkage.link_block_company_number(t.records, t.listed), linkage.link_block_company_name(t.records, t.listed))).select("rec", "dir"), sql("SELECT rec, dir FROM f", "f")),
     "link_area_narrowing": (lambda t: linkage.link_area_narrowing(t.candidates).select("rec", "dir"), sql("SELECT rec, dir FROM q", "q")),
-    "link_similarity": (_similarity, sql("""SELECT rec, dir, CAST((SELECT max(i) FROM generate_series(0, least(length(rec_relaxed), length(dir_relaxed))) g(i) WHERE right(rec_relaxed, i::INT) = right(dir_relaxed, i::INT)) AS INT) AS suffix, rec_strict = dir_strict AND rec_strict <> '' AS strict_equal, rec_relaxed = dir_relaxed AND rec_relaxed <> '' AS relaxed_equal,
+    "link_similarity": (_similarity, sql(f"""SELECT rec, dir, {_RATIO('strict')} AS known_strict_similarity, {_RATIO('relaxed')} AS known_relaxed_similarity, {_SUFFIX} AS suffix, rec_strict = dir_strict AND rec_strict <> '' AS strict_equal, rec_relaxed = dir_relaxed AND rec_relaxed <> '' AS relaxed_equal,
 rec_strict <> '' AND dir_strict <> '' AND (contains(rec_strict, dir_strict) OR contains(dir_strict, rec_strict)) AS strict_inside, rec_relaxed <> '' AND dir_relaxed <> '' AND (contains(rec_relaxed, dir_relaxed) OR contains(dir_relaxed, rec_relaxed)) AS relaxed_inside, coalesce(rec_capacity = dir_capacity, false) AS capacity_equal, coalesce(abs(rec_capacity - dir_capacity) <= 2, false) AS capacity_close FROM q""", "q")),
-    "link_rule_cascade": (lambda t: t.proposals.filter("rule in (1, 6, 9) and strict_similarity = 1").select("rec", "dir", "rule", "confidence", "method", "score"), sql("""SELECT rec, dir, CAST(CASE WHEN num THEN 1 WHEN nam THEN 6 ELSE 9 END AS INT) AS rule, CASE WHEN num OR nam THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN num THEN 'corp_exact_name_strict' WHEN nam THEN 'corp_name_exact_name_strict' ELSE 'unique_name_strict' END AS method,
-round(CAST(CASE WHEN num THEN 101 + 0.15 * (rec_capacity = dir_capacity)::INT WHEN nam THEN 73 + 0.1 * (rec_capacity = dir_capacity)::INT ELSE 71 END AS DOUBLE), 4) AS score FROM q WHERE rec_strict = dir_strict AND rec_strict <> '' AND (num OR nam OR n_strict = 1)""", "q")),
+    "link_rule_cascade": (_cascade, _with("SELECT * FROM k", _CASCADE, "q")),
+    "link_ambiguity_filter_known": (lambda t: linkage.link_ambiguity_filter(_cascade(t)).select("rec", "dir", "rule", "score"), _with("SELECT rec, dir, rule, score FROM am WHERE NOT (coalesce(abs(s1 - s2) < 0.25, false) AND score = s1 AND method NOT IN ('corp_exact_name_strict', 'corp_name_exact_name_strict'))", _CASCADE + ",\n" + _AMBIGUOUS, "q")),
+    "link_end_to_end": (lambda t: linkage.link(t.office, t.directory, t.overrides, TOKENS, nfkc=False).select("rec", "dir", "rule", "confidence", "method", "score"), None),
     # all columns, pairs and rules, which SQL can't reproduce: tests compare them with difflib
     "link_similarity_all": (lambda t: linkage.link_similarity(linkage.link_area_narrowing(t.candidates)).select("rec", "dir", *SIMILARITY), None),
     "link_rule_cascade_all": (lambda t: t.proposals.filter("rule > 0").select(*linkage.PROPOSAL), None),
@@ -221,6 +266,8 @@ round(CAST(CASE WHEN num THEN 101 + 0.15 * (rec_capacity = dir_capacity)::INT WH
 (SELECT page_id, url, {_HITS} AS hits FROM links WHERE {_HOST('url')} = {_HOST('base')} AND url <> base AND NOT regexp_matches(lower({_PATH('url')}), '{_NOT}')) x) y WHERE place <= 10 AND (hits > 0 OR words < 8)""", _LINKS)),
     "extract_bridge_links": (lambda t: pages.extract_bridge_links(t.links, BRIDGE_HOSTS), _with(f"SELECT page_id, url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY position) AS INT) AS place FROM links WHERE {_HOST('url')} IN {BRIDGE_HOSTS} QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY position) <= 3", _LINKS)),
     "sitemap_pages": (lambda t: pages.sitemap_pages(t.links.select(F.col("base").alias("url"), F.concat(F.lit("<urlset><loc>"), "url", F.lit("</loc></urlset>")).alias("body")), _WORDS), _with(f"""SELECT host, url, place FROM (SELECT host, url, CAST(row_number() OVER (PARTITION BY host ORDER BY hits DESC, length(url), url) AS INT) AS place FROM (SELECT DISTINCT {_HOST('base')} AS host, url, {_HITS} AS hits FROM links WHERE {_HOST('url')} = {_HOST('base')} AND NOT regexp_matches(lower({_PATH('url')}), '{_NOT}')) x) y WHERE place <= 6""", _LINKS)),
+    "robots_sitemaps": (lambda t: pages.robots_sitemaps(t.table("pages").select("url", F.concat(F.lit("User-agent: *\nSITEMAP: "), "url", F.lit("/map.xml\n sitemap:"), "url", F.lit("\nDisallow: /\nsitemap: none\n")).alias("body"))), f"SELECT DISTINCT {_HOST('u')} AS host, {_url('r')} AS url FROM (SELECT {_url('url')} AS u, unnest([url || '/map.xml', url]) AS r FROM pages) x WHERE {_url('r')} IS NOT NULL"),
+    "parse_feeds": (lambda t: pages.parse_feeds(t.table("pages").select("page_id", F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("page_id").cast("int") % 12), lambda i: F.concat(F.lit("<item><title>t"), i.cast("string"), F.lit("</title><link>"), F.when(i == 1, "not a url").otherwise(F.replace("url", F.lit("&"), F.lit("&amp;"))), F.lit("</link><description>d "), F.col("page_id").cast("string"), F.lit("</description></item>"))), ""), F.lit("</channel></rss>")).alias("html"))), f"SELECT page_id, CAST(i AS INT) AS position, {_url('url')} AS url, 't' || i AS title, 'd ' || page_id AS snippet FROM (SELECT page_id, url, unnest(generate_series(0, least(page_id % 12, 7))) AS i FROM pages) x WHERE i <> 1 AND {_url('url')} IS NOT NULL"),
     "profile_reachability": (_reach, None),
     "extract_labelled_fields": (lambda t: pages.extract_labelled_fields(t.table("pages"), "<(h1|title)>[^<]*</(?:h1|title)>", "<(?:h1|title)>([^<]*)</(?:h1|title)>", _FIELDS), "SELECT page_id, " + ", ".join(f"trim(regexp_replace({_ENT.format(f'''regexp_extract_all(html, '<{x}>([^<]*)</{x}>', 1)[-1]''')}, '\\s+', ' ', 'g')) AS {x}" for x in _FIELDS) + " FROM pages WHERE regexp_matches(html, '<(h1|title)>[^<]*</(h1|title)>')"),
     "strip_markup": (lambda t: t.table("pages").select("page_id", T.strip_markup(F.col("html"), False).alias("text")), "SELECT page_id, trim(regexp_replace(" + _ENT.format("regexp_replace(html, '<[^>]+>', ' ', 'g')") + ", '[\\s\\x0B\\x{85}\\p{Z}]+', ' ', 'g')) AS text FROM pages"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import classify, entities, filters, peers, profile, reports, stats
+from . import linking
 from .context import LEGAL, ROLES, sql
 
 W, U = "average_wage_yen", "daily_user_capacity_ratio"
@@ -39,7 +40,7 @@ _R = "coalesce(ratio_to_municipality_mean, ratio_to_overall_mean)"
 _PRESET_SQL = " UNION ALL ".join(f"SELECT '{n}' AS preset, count(*) AS count FROM e WHERE {w}" for n, w in (
     ("all", "true"), ("one city", "municipality = 'NATION_3'"), ("high flag", "wage_outlier_flag = 'high'"), ("high wage, low use", "market_position_quadrant = 'high wage x low use'"),
     ("fix first", "market_position_quadrant = 'low wage x low use' AND shortage_risk"), ("high wage, high use", "market_position_quadrant = 'high wage x high use'"), ("shortage", "shortage_risk"), ("unanswered", "response_status = 'unanswered'")))
-_SEARCH = "contains(lower(concat_ws(' ', office_no, municipality, corporation_type_label, corporation_number, corporation_name, representative_raw, office_name, response_status, primary_activity_type, work_model)), 'group 12')"
+_SEARCH = "contains(lower(concat_ws(' ', office_no, municipality, area, corporation_name, representative_name, representative_raw, office_name, corporation_type_label, remarks, dir_primary_activity_type, work_model, dir_office_address_city, dir_office_address_line, dir_office_number, address)), '{}')"
 _GROUPED = "SELECT work_model AS label, count(average_wage_yen) AS count, median(average_wage_yen) AS median FROM e GROUP BY 1 HAVING count(average_wage_yen) >= 5 ORDER BY median DESC NULLS LAST, label LIMIT {}"
 _TIER = "CASE WHEN w IS NULL THEN NULL " + " ".join(f"WHEN w >= {lo} THEN {{{i}}}" for i, (lo, _) in reversed(list(enumerate(classify.TIERS)))) + " ELSE {0} END"
 _tier = lambda values: _TIER.format(*values).replace("w IS", "average_wage_yen IS").replace("WHEN w >=", "WHEN average_wage_yen >=")
@@ -47,6 +48,21 @@ _UNIT = _tier([u for _, u in classify.TIERS])
 _NUMBER = _tier(range(1, 10))
 _POINT = f"floor(capacity * CAST(0.01 AS DOUBLE) * ({_UNIT}) * 22 + 0.5)"
 
+
+
+def _searched(t, *queries):
+    out = [t.full.filter(filters.search_text(q, filters.searched(t.full))).select(F.lit(q.strip().lower()).alias("query"), "office_no") for q in queries]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+def _export(t):
+    links = linking._linked(t).select("ordinal", "homepage_url", "profile_url")
+    every = r6(t.full.join(links, "ordinal"), "ratio_to_overall_mean", "ratio_to_municipality_mean", "ratio_to_capacity_band_mean", U, "home_use_user_ratio_pct")
+    return reports.export_filtered_table(filters.filter_records(every, {"flag": "high"}), every, "area", "primary_activity_type", "company_key")
+
+
+_URL_OF = "'https://search.example.com/?q=' || url_encode('\"' || office_name || '\" ' || fl.area{})"
+
 QUERIES = {
     # distribution statistics
     "numeric_stats": (_stats, sql("SELECT n AS count, m AS mean, med AS median, q1, q3, (SELECT round(quantile_cont(average_wage_yen, 0.9), 6) FROM office) AS p90, q3 - q1 AS iqr, q3 + 1.5 * (q3 - q1) AS upper_fence, " + f"CAST({_FENCE.format(1.5)} AS DOUBLE) AS lower_fence, q3 + 3.0 * (q3 - q1) AS upper_extreme, CAST({_FENCE.format(3.0)} AS DOUBLE) AS lower_extreme FROM s", "s").replace("m AS mean", "round(m, 6) AS mean")),
@@ -90,7 +106,10 @@ JOIN (SELECT company_key, corporation_type_label AS main_type FROM c GROUP BY 1,
     "company_visible_offices": (lambda t: entities.company_visible_offices(t.e, "company_key", F.coalesce(F.col("wage_outlier_flag") == "high", F.lit(False)), F.col("municipality") == "NATION_3"), sql("SELECT company_key, count(*) AS office_count, count(*) FILTER (wage_outlier_flag = 'high') AS visible_count, count(*) FILTER (municipality = 'NATION_3') AS focus_count FROM c GROUP BY 1", "c")),
     "company_office_sort": (lambda t: t.e.filter(F.col("company_key") == "number:N12").orderBy(*entities.company_office_sort(t.e, W)).select("office_no", W, "municipality"), sql("SELECT office_no, average_wage_yen, municipality FROM c WHERE company_key = 'number:N12' ORDER BY average_wage_yen DESC NULLS LAST, municipality, office_name, office_no", "c")),
     "company_office_sort_all": (lambda t: t.e.select("company_key", "office_no", W, "municipality", F.row_number().over(Window.partitionBy("company_key").orderBy(*entities.company_office_sort(t.e, W))).alias("position")), sql("SELECT company_key, office_no, average_wage_yen, municipality, CAST(row_number() OVER (PARTITION BY company_key ORDER BY average_wage_yen DESC NULLS LAST, municipality, office_name, office_no) AS INT) AS position FROM c", "c")),
-    "representative_groups": (lambda t: r6(entities.representative_groups(t.e, "rep_key", "company_key", W, 2), "mean_wage"), sql("SELECT rep_key, count(DISTINCT company_key) AS company_count, count(*) AS office_count, round(avg(average_wage_yen), 6) AS mean_wage FROM c GROUP BY 1 HAVING count(DISTINCT company_key) >= 2", "c")),
+    "representative_groups": (lambda t: r6(entities.representative_groups(t.e, "rep_key", "company_key", W, 2), "mean_wage"), sql("SELECT rep_key, count(DISTINCT company_key) AS company_count, count(*) AS office_count, count(DISTINCT municipality) AS area_count, round(avg(average_wage_yen), 6) AS mean_wage FROM c GROUP BY 1 HAVING count(DISTINCT company_key) >= 2", "c")),
+    "representative_companies": (lambda t: r6(entities.representative_companies(t.e, "rep_key", "company_key", W, "corporation_name", F.col("corporation_name").startswith("group "), "corporation_number", "representative_raw"), "mean_wage"), sql("""SELECT rep_key, company_key, office_count, round(mean_wage, 6) AS mean_wage, company_name, company_number, representative_name, CAST(row_number() OVER (PARTITION BY rep_key ORDER BY office_count DESC, mean_wage DESC NULLS LAST, company_name, company_key) AS INT) AS place FROM
+(SELECT rep_key, company_key, count(*) AS office_count, avg(average_wage_yen) AS mean_wage FROM c GROUP BY 1, 2) g JOIN (SELECT rep_key, company_key, corporation_name AS company_name, corporation_number AS company_number, representative_raw AS representative_name FROM c
+QUALIFY row_number() OVER (PARTITION BY rep_key, company_key ORDER BY 100 * starts_with(corporation_name, 'group ')::INT + 20 * (corporation_number IS NOT NULL)::INT + length(corporation_name) DESC, corporation_name DESC, corporation_number DESC NULLS LAST, representative_raw DESC) = 1) p USING (rep_key, company_key)""", "c")),
     # peers
     "peer_rank": (lambda t: r6(peers.peer_rank(peers.peer_rank(t.e, "primary_activity_type", W, "act"), "capacity_band_label", W, "cap"), "act_median", "act_mean", "cap_median", "cap_mean").select("office_no", *[f"{p}_{x}" for p in ("act", "cap") for x in ("count", "rank", "median", "mean")]), sql("SELECT office_no, " + ", ".join(f"CASE WHEN count(average_wage_yen) OVER {w} >= 3 AND {g} IS NOT NULL THEN {x} END AS {p}_{n}" for p, g in (("act", "primary_activity_type"), ("cap", "capacity_band_label")) for w in (f"(PARTITION BY {g})",) for n, x in (("count", f"count(average_wage_yen) OVER {w}"), ("rank", f"CASE WHEN average_wage_yen IS NOT NULL THEN rank() OVER (PARTITION BY {g} ORDER BY average_wage_yen DESC NULLS LAST) END"), ("median", f"median(average_wage_yen) OVER {w}"), ("mean", f"round(avg(average_wage_yen) OVER {w}, 6)"))) + " FROM e", "e")),
     "percentile_rank_strict": (lambda t: peers.percentile_rank_strict(t.office, W).select("office_no", "percentile_rank"), sql("SELECT office_no, CASE WHEN average_wage_yen IS NOT NULL THEN CAST(floor(CAST(100 AS DOUBLE) * (rank() OVER (PARTITION BY average_wage_yen IS NULL ORDER BY average_wage_yen) - 1) / (SELECT n FROM s) + 0.5) AS BIGINT) END AS percentile_rank FROM office", "s")),
@@ -104,7 +123,7 @@ SELECT office_no, count(*) OVER l AS ln, count(*) OVER g AS en, median(average_d
 (SELECT metric, avg(value) AS am, median(value) AS ad, avg(value) FILTER (municipality = 'NATION_3') AS im, median(value) FILTER (municipality = 'NATION_3') AS idn FROM v GROUP BY 1) g USING (metric)) v""", "e").replace("\nSELECT office_no, v.metric", f",\nv AS ({_UNPIVOT})\nSELECT office_no, v.metric", 1)),
     # filters
     "filter_records": (lambda t: filters.filter_records(t.e, {"capacity_band": "11-20", "flag": "none", "risk": "none", "home_use": False, "response_status": "answered"}).select("office_no"), sql("SELECT office_no FROM e WHERE capacity_band_label = '11-20' AND coalesce(wage_outlier_flag, 'none') = 'none' AND NOT shortage_risk AND NOT home_use_active AND response_status = 'answered'", "e")),
-    "search_text": (lambda t: t.e.filter(filters.search_text("GROUP 12 ".strip())).select("office_no"), sql(f"SELECT office_no FROM e WHERE {_SEARCH}", "e")),
+    "search_text": (lambda t: _searched(t, "GROUP 12 ", " note 1", "Ward3 Street", "d77").select("query", "office_no"), sql(" UNION ALL ".join(f"SELECT '{q}' AS query, office_no FROM fl WHERE {_SEARCH.format(q)}" for q in ("group 12", "note 1", "ward3 street", "d77")), "full")),
     "filter_presets": (lambda t: filters.preset_counts(t.e), sql(_PRESET_SQL, "e")),
     "sort_records": (lambda t: filters.page_rows(t.e, filters.sort_keys(t.e, "wage_outlier_flag", True), 1).select("office_no", "wage_outlier_flag"), sql("SELECT office_no, wage_outlier_flag FROM e ORDER BY CASE wage_outlier_flag WHEN 'high' THEN 3 WHEN 'low' THEN 2 END DESC NULLS LAST, ordinal LIMIT 50", "e")),
     "page_rows": (lambda t: filters.page_rows(t.e, filters.sort_keys(t.e, W), 3).select("office_no", W), sql("SELECT office_no, average_wage_yen FROM e ORDER BY average_wage_yen NULLS LAST, ordinal LIMIT 50 OFFSET 100", "e")),
@@ -139,6 +158,9 @@ UNION ALL SELECT 'companies', m, round(v, 6) FROM (SELECT count(*) FILTER (n >=
     "anomaly_list": (lambda t: r6(reports.anomaly_list(t.e).select("office_no", "score"), "score"), sql(_SCORED.format("5 * abs(coalesce(z_score, 0)) + 2 * coalesce(ratio_to_overall_mean, 0) + CASE WHEN daily_user_capacity_ratio > 1.5 THEN 35 ELSE 0 END", "wage_outlier_flag IS NOT NULL OR daily_user_capacity_ratio > 1.5", 12), "e")),
     "sum_computed": (lambda t: reports.sum_computed(t.e, F.col("available_capacity")), sql("SELECT sum(coalesce(available_capacity, 0)) AS total FROM e", "e")),
     "share_of": (lambda t: r6(reports.share_of(t.e, F.col(U) > 1), "share"), sql("SELECT round(avg(coalesce(daily_user_capacity_ratio > 1, false)::INT), 6) AS share FROM e", "e")),
-    "export_filtered_table": (lambda t: reports.export_filtered_table(filters.filter_records(t.e, {"flag": "high"}), t.e, "area", "primary_activity_type", "company_key"), sql("""SELECT office_no AS "No.", municipality, corporation_name AS company, office_name AS office, c.area, average_wage_yen AS "mean wage", available_capacity AS "free places", CASE WHEN home_use_active THEN 'yes' ELSE 'no' END AS "home use", wage_outlier_flag AS "wage level", CASE WHEN shortage_risk THEN 'yes' ELSE 'no' END AS "possible shortage", work_model AS "work model",
-an AS "offices in area", tn AS "offices with the activity in area", cn AS "offices of company", 'https://search.example.com/?q=' || url_encode('"' || office_name || '" ' || c.area) AS search FROM (SELECT *, count(*) OVER (PARTITION BY area) AS an, count(*) OVER (PARTITION BY area, primary_activity_type) AS tn, count(*) OVER (PARTITION BY company_key) AS cn FROM c) c WHERE wage_outlier_flag = 'high'""", "c")),
+    "export_filtered_table": (_export, linking._with(f"""SELECT office_no AS "No.", municipality, corporation_type_label AS "company type", fl.corporation_number AS "company number", corporation_name AS company, representative_name AS representative, representative_role AS role, office_name AS office, fl.area,
+average_wage_yen AS "mean wage", round(ratio_to_overall_mean, 6) AS "to overall mean", round(ratio_to_municipality_mean, 6) AS "to municipality mean", round(ratio_to_capacity_band_mean, 6) AS "to capacity band mean", round(daily_user_capacity_ratio, 6) AS use, available_capacity AS "free places",
+CASE WHEN home_use_active THEN 'yes' ELSE 'no' END AS "home use", round(home_use_user_ratio_pct, 6) AS "home share", wage_outlier_flag AS "wage level", CASE WHEN shortage_risk THEN 'yes' ELSE 'no' END AS "possible shortage", work_model AS "work model", an AS "offices in area", tn AS "offices with the activity in area",
+cn AS "offices of company", dir_primary_activity_type AS "main activity", dir_office_number AS "directory number", dir_office_url AS "directory page", l.homepage_url AS homepage, l.profile_url AS profile, {_URL_OF.format("")} AS search, {_URL_OF.format(" || ' profile'")} AS "profile search", remarks
+FROM (SELECT *, count(*) OVER (PARTITION BY area) AS an, count(*) OVER (PARTITION BY area, primary_activity_type) AS tn, count(*) OVER (PARTITION BY company_key) AS cn FROM fl) fl JOIN (SELECT ordinal, homepage_url, profile_url FROM linked) l USING (ordinal) WHERE wage_outlier_flag = 'high'""", linking._LINKED, "merged", "full")),
 }

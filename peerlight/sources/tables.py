@@ -40,12 +40,15 @@ def read_record_document(spark: SparkSession, path: str, fields: T.StructType) -
 
     Elements that aren't objects are dropped.
     """
-    raw = spark.read.text(path, wholetext=True)
+    return _records(spark.read.option("recursiveFileLookup", True).text(path, wholetext=True), fields)
+
+
+def _records(raw: DataFrame, fields: T.StructType, *keep: str) -> DataFrame:
     array = F.coalesce(F.get_json_object("value", "$.records"), F.col("value"))
     items = F.from_json(array, T.ArrayType(T.StringType()))
     checked = F.when(items.isNotNull(), items).otherwise(F.raise_error(F.lit("expected an array or an object with a records array")).cast("array<string>"))
-    each = raw.select(F.posexplode(checked).alias("ordinal", "item")).filter(F.trim("item").startswith("{"))
-    return each.select("ordinal", F.from_json("item", fields).alias("r")).select("ordinal", "r.*")
+    each = raw.select(*keep, F.posexplode(checked).alias("ordinal", "item")).filter(F.trim("item").startswith("{"))
+    return each.select("ordinal", *keep, F.from_json("item", fields).alias("r")).select("ordinal", *keep, "r.*")
 
 
 def read_manifest_chunks(spark: SparkSession, folder: str, manifest: str, fields: T.StructType) -> DataFrame:
@@ -54,11 +57,14 @@ def read_manifest_chunks(spark: SparkSession, folder: str, manifest: str, fields
     document = json.loads(text)
     if document.get("records"):
         return read_record_document(spark, f"{folder}/{manifest}", fields).withColumn("chunk", F.lit(0)).withColumnRenamed("ordinal", "position")
-    out = None
-    for i, name in enumerate(document.get("data_files", {}).get("record_chunks", [])):
-        rows = read_record_document(spark, f"{folder}/{name}", fields).withColumn("chunk", F.lit(i)).withColumnRenamed("ordinal", "position")
-        out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else spark.createDataFrame([], T.StructType([*fields.fields, T.StructField("position", T.IntegerType()), T.StructField("chunk", T.IntegerType())]))
+    names = document.get("data_files", {}).get("record_chunks", [])
+    if not names:
+        return spark.createDataFrame([], T.StructType([*fields.fields, T.StructField("position", T.IntegerType()), T.StructField("chunk", T.IntegerType())]))
+    # one scan of all chunks; a chunk is known by its path below the folder, whether a file or a folder of one file
+    texts = spark.read.option("recursiveFileLookup", True).text([f"{folder}/{n}" for n in names], wholetext=True).withColumn("_path", F.input_file_name())
+    chunks = spark.createDataFrame([(i, "/" + n.strip("/")) for i, n in enumerate(names)], "chunk int, _name string")
+    at = F.col("_path").endswith(F.col("_name")) | F.regexp_replace("_path", "/[^/]*$", "").endswith(F.col("_name"))
+    return _records(texts.join(F.broadcast(chunks), at), fields, "chunk").withColumnRenamed("ordinal", "position")  # one row a chunk
 
 
 def read_csv_lookup(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
@@ -70,7 +76,20 @@ def read_csv_lookup(spark: SparkSession, path: str, columns: tuple[str, ...]) ->
     return rows.select(*[(F.nullif(F.trim(F.col(c)), F.lit("")) if c in rows.columns else F.lit(None).cast("string")).alias(c) for c in columns])
 
 
-def slim_projection(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+# The columns of the slim output, in order.
+SLIM_COLUMNS = (
+    "office_no", "municipality", "corporation_type_label", "corporation_number", "corporation_name", "representative_name", "representative_role", "representative_raw", "representative_source_url",
+    "representative_fetch_status", "office_name", "response_status", "remarks", "capacity", "average_daily_users", "average_wage_yen", "average_wage_error", "daily_user_capacity_ratio",
+    "ratio_to_overall_mean", "ratio_to_municipality_mean", "ratio_to_type_mean", "ratio_to_capacity_band_mean", "z_score", "wage_outlier_flag", "wage_outlier_severity",
+    "wage_band_label", "capacity_band_label", "market_position_quadrant", "is_new_office", "home_use_active", "home_use_user_ratio_decimal", "home_use_user_ratio_pct", "noufuku_active",
+    "dir_match_status", "dir_match_confidence", "dir_fetch_status", "dir_office_number", "dir_office_url", "homepage_url", "homepage_source", "homepage_confidence",
+    "profile_url", "profile_source", "profile_confidence", "dir_office_phone", "dir_office_address_city", "dir_office_address_line", "dir_office_capacity", "dir_primary_activity_type",
+    "dir_primary_activity_detail", "dir_transport_available", "dir_meal_support_addon", "dir_regional_collaboration_addon", "dir_manager_multi_post", "dir_welfare_staff_fte_total",
+    "dir_key_staff_fte_per_capacity", "dir_staffing_quadrant", "dir_staffing_outlier_flag", "dir_staffing_outlier_severity", "dir_average_wage_monthly_yen", "dir_average_wage_gap", "dir_service_manager_fte",
+)
+
+
+def slim_projection(df: DataFrame, columns: tuple[str, ...] = SLIM_COLUMNS) -> DataFrame:
     """The columns in order; null where one is absent."""
     return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
 

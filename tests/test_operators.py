@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +231,22 @@ def test_series_ties_take_the_first_row(spark):
     assert [r.label for r in reports.top_counts(df, "g", 2).collect()] == ["b", "a"]
     same = spark.createDataFrame([("k", 2.0, 3.0)], "o string, x double, y double")
     assert tuple(reports.scatter_points(same, "o", "x", "y").first()) == ("k", 0.0, 0.0)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_exact_quantiles_equal_numpy(spark, seed):
+    """Values of all sizes and signs, ties, nulls and NaN; one group of each kind and a null group."""
+    r = random.Random(seed)
+    draw = [lambda: r.choice([0.0, -0.0, 1e-9, -1e-9, 3.0, -2.5]), lambda: r.gauss(0, 1e6), lambda: r.random(), lambda: float(r.randrange(5))]
+    rows = [(r.choice(["a", "b", None]), r.choice(draw)()) for _ in range(400)] + [("a", None), ("b", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = (0.0, 0.1, 0.5, 0.9, 1.0)
+    known = [(g, v) for g, v in rows if v is not None and v == v]
+    assert stats.exact_quantiles(df, "v", shares).first()[0] == pytest.approx(np.quantile([v for _, v in known], shares))
+    got = {x.g: x._q for x in stats.exact_quantiles(df, "v", shares, ("g",)).collect()}
+    assert got.keys() == {"a", "b", None} and all(q == pytest.approx(np.quantile([v for h, v in known if h == g], shares)) for g, q in got.items())
+    ranked = {(x.g, x._v): (x._smaller, x._all) for x in stats.ranked_values(df, "v", ("g",)).collect()}
+    for g, v in known:
+        own = [w for h, w in known if h == g]
+        assert ranked[g, v] == (sum(w < v for w in own), len(own))
+    assert stats.exact_quantiles(df.limit(0), "v", shares).first()[0] == [None] * 5
