@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -103,15 +105,24 @@ def strip_markup(c: Column, every: bool = True) -> Column:
     return F.trim(F.regexp_replace(unescaped(F.regexp_replace(c, "<[^>]+>", " "), every), "(?U)\\s+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def canonical_url(c: Column, every: bool = False) -> Column:
     """Absolute http(s) URL with a lower-case host and without query, fragment and trailing slash; null for anything else."""
     u = F.regexp_replace(F.trim(unescaped(c, every)), "[)\\]}>,.;、。）」』】]+$", "")
     for pattern, good in (("(?i)^h(?:xx|tt|yy)ps://", "https://"), ("(?i)^h(?:xx|tt|yy)p://", "http://"), ("(?i)^https//", "https://"), ("(?i)^http//", "http://"), ("^//", "https://"), ("(?i)^www\\.", "https://www.")):
         u = F.regexp_replace(u, pattern, good)
     shape = "^(https?)://([^/?#\\s]+)([^?#\\s]*)"
-    host = F.regexp_extract(u, shape, 2)
-    path = F.regexp_replace(F.regexp_extract(u, shape, 3), "/+$", "")
-    return F.when(host != "", F.concat(F.regexp_extract(u, shape, 1), F.lit("://"), F.lower(host), path))
+
+    def parts(x: Column) -> Column:
+        host = F.regexp_extract(x, shape, 2)
+        path = F.regexp_replace(F.regexp_extract(x, shape, 3), "/+$", "")
+        return F.when(host != "", F.concat(F.regexp_extract(x, shape, 1), F.lit("://"), F.lower(host), path))
+
+    return let(u, parts)
 
 
 def url_host(canonical: Column) -> Column:
