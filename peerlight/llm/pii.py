@@ -8,7 +8,7 @@ itself a span of kind ``term``: above ``remove_bits`` it is removed, else it is
 Chance is bounded by Chernoff's bound on the binomial tail, times the number of pairs looked at.  It has no least number of texts, but one text alone is
 no evidence, since every text has words of its own: an entity of a single text is covered by its kind, in the terms that it shares with others.
 
-Only terms that can still pass are counted over the corpus, in one pass: a bitmap of fixed size says which terms may be among them, their counts meet in one shuffle.
+Only terms that can still pass are counted over the corpus: those that a part of the documents doesn't already have too often, then in one pass over all.  A bitmap of fixed size says which terms may be among them, their counts meet in one shuffle.
 The terms that are flagged in the end are held ``BLOCK`` at a time, with another step over each text for each further block, so that memory is bounded and no term is left out.
 
 Cases: null text counts as empty.  Long texts are read whole.  Repeated rows are answered each; in the bound on chance one text with an entity counts once.  An empty table
@@ -34,6 +34,8 @@ KINDS = ("email", "ip", "card", "phone")
 BLOCK = 200_000
 #: Bits of the bitmap of terms, and counts that a task holds before it passes them on.
 BITS, HELD = 1 << 23, 200_000
+#: One in so many documents is counted first.
+PART = 16
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -149,7 +151,11 @@ def disclosing_terms(documents: DataFrame, least_share: float = 0.8, least_bits:
     rate = F.col("entity_docs") / F.lit(float(max(total, 1)))
     # evidence is highest where no other document has the term: what fails there fails everywhere
     pairs = materialize(pairs.filter("term <> ''").join(entities, "entity").filter(-F.col("texts") * F.log2(rate) >= least_evidence), "pii-candidates")
-    known = _document_counts(documents, pairs.select("term").distinct())
+    # a term that part of the documents already has too often is out, whatever the others hold: what is left to count in all of them is little
+    limits = pairs.groupBy("term").agg(F.max("joint").alias("most"))
+    part = _document_counts(documents.filter(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0), limits)
+    left = limits.join(part, "term", "left").filter(F.coalesce("term_docs", F.lit(0)) * least_share <= F.col("most") * (1 + 1e-9))
+    known = _document_counts(documents, materialize(left.select("term"), "pii-left"))
     share = F.col("joint") / F.greatest("term_docs", "joint")
     scored = pairs.join(known, "term").withColumns({"share": share, "bits": F.log2(share / rate), "evidence": _evidence(rate)})
     passed = scored.filter((F.col("share") >= least_share) & (F.col("bits") >= least_bits) & (F.col("evidence") >= least_evidence))
@@ -224,19 +230,26 @@ SPANS = "array<struct<kind:string,start:int,end:int,bits:double>>"
 def find(documents: DataFrame, terms: DataFrame | None = None, **thresholds) -> DataFrame:
     """``documents`` with ``pii``: spans by kind as listed (``term`` last), then start."""
     terms = disclosing_terms(documents, **thresholds) if terms is None else terms
+    first, *others = list(_blocks(terms)) or [None]
 
     @F.pandas_udf(SPANS)
-    def base(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "start": s, "end": e, "bits": None} for k, s, e in base_spans(t)] for t in texts], dtype=object)
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("kind", "start", "end", "bits"), x, strict=True)) for x in all_spans(t, first)] for t in texts], dtype=object)
 
-    out = small_batches(documents).withColumn("pii", base("text"))
-    for block in _blocks(terms):
+    out = small_batches(documents).withColumn("pii", found("text"))
+    for block in others:
         out = out.withColumn("pii", _flagger(block)("text", "pii"))
     return out
 
 
+def all_spans(text: str | None, block) -> list[tuple[str, int, int, float | None]]:
+    """Base spans, then those of the terms of a block."""
+    base = base_spans(text)
+    return [(*x, None) for x in base] + (term_spans(text or "", block.value, base) if block is not None else [])
+
+
 def _flagger(block):
-    """Adds the spans of one block of terms to those found so far."""
+    """Adds the spans of one more block of terms to those found so far."""
 
     @F.pandas_udf(SPANS)
     def flagged(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -251,26 +264,35 @@ def _flagger(block):
     return flagged
 
 
+def replaced(text: str | None, spans, remove_bits: float) -> str | None:
+    """The text with every span (kind, start, end, bits) as its kind in brackets, terms of ``remove_bits`` or more removed."""
+    if text is None or not len(spans):
+        return text
+    parts, at = [], 0
+    for kind, start, end, bits in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if start >= at:
+            parts += [text[at:start], "" if kind == "term" and bits >= remove_bits else f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
 def sanitize(documents: DataFrame, remove_bits: float = 12.0, **thresholds) -> DataFrame:
     """``documents`` with every span replaced by its kind in brackets, terms of ``remove_bits`` or more removed, and ``n_chars`` anew."""
+    terms = disclosing_terms(documents, **thresholds)
+    blocks = list(_blocks(terms)) or [None]
 
     @F.pandas_udf("string")
-    def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, found in zip(texts, spans, strict=True):
-            if t is None or not len(found):
-                out.append(t)
-                continue
-            parts, at = [], 0
-            for x in sorted(found, key=lambda x: (x["start"], -x["end"])):
-                if x["start"] >= at:
-                    gone = x["kind"] == "term" and x["bits"] >= remove_bits
-                    parts += [t[at : x["start"]], "" if gone else f"[{x['kind'].upper()}]"]
-                at = max(at, x["end"])
-            out.append("".join([*parts, t[at:]]))
-        return pd.Series(out, dtype=object)
-
-    out = find(documents, **thresholds).withColumn("text", clean("text", "pii")).drop("pii")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([replaced(t, all_spans(t, blocks[0]), remove_bits) for t in texts], dtype=object)
+
+    @F.pandas_udf("string")
+    def clean_found(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([replaced(t, [(x["kind"], x["start"], x["end"], x["bits"]) for x in found], remove_bits) for t, found in zip(texts, spans, strict=True)], dtype=object)
+
+    if len(blocks) == 1:  # spans and text in one step
+        out = small_batches(documents).withColumn("text", clean("text"))
+    else:
+        out = find(documents, terms).withColumn("text", clean_found("text", "pii")).drop("pii")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
