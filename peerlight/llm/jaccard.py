@@ -7,7 +7,7 @@ box's upper corner.
 
 One tree over all points prunes nothing (README has figures), so the points are indexed by a forest: two sets can reach the threshold only if they share one of the
 ``n - ceil(t n) + 1`` rarest shingles of each, and every such shingle is the root of a tree over the sets that have it there.  A tree is bulk-loaded: its
-members are dealt into tiles of ``TILE`` points, each tile is sorted and cut into leaves of ``LEAF``, leaves have boxes.  Tiles of a root meet as pairs, so that a
+members are dealt into tiles of ``TILE`` points, folded to ``GROUPS`` numbers so that long sets take no more room, each tile is sorted and cut into leaves of ``LEAF``, leaves have boxes.  Tiles of a root meet as pairs, so that a
 task holds two tiles whatever the size of the tree; inside, boxes are compared first, then the points of what is left.
 
 Steps, each written to the shared folder:
@@ -134,7 +134,10 @@ def point_of(s: np.ndarray, n: int) -> bytes:
     Groups are low bits of the hash, so that a finer point folds to a coarser one.
     """
     groups = max(GROUPS, 1 << max(0, (n // 4).bit_length() - 1))
-    counts = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return packed(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups))
+
+
+def packed(counts: np.ndarray) -> bytes:
     width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
     return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
@@ -217,13 +220,13 @@ def shared(entries: DataFrame) -> DataFrame:
     return marked.filter("_low < _high").select("node", "shingle", "n")
 
 
-SETS = "node long, n_shingles long, shared array<long>, minima array<long>, point binary"
+SETS = "node long, n_shingles long, shared array<long>, minima array<long>, point binary, coarse binary"
 
 
 def survivors(documents: DataFrame, holders: DataFrame, frequent, width: int, percent: int) -> DataFrame:
     """One row (``SETS``) for each set of ``holders`` (node, doc_id) that shares enough shingles with others to have a link.
 
-    ``shared`` are those shingles: rarest first, then by hash, frequent ones last.
+    ``shared`` are those shingles: rarest first, then by hash, frequent ones last.  ``coarse`` is the point folded to ``GROUPS``.
     """
 
     def sets(batches):
@@ -250,7 +253,8 @@ def survivors(documents: DataFrame, holders: DataFrame, frequent, width: int, pe
         for pdf in batches:
             s = [np.asarray(x, np.int64).view(np.uint64) for x in pdf.shared]
             minima = [[int(_mixed(x * _ODD[i]).min().view(np.int64)) for i in range(4, 8)] for x in s]
-            yield pdf.assign(minima=minima, point=[point_of(x, n) for x, n in zip(s, pdf.n_shingles, strict=True)])
+            point = [point_of(x, n) for x, n in zip(s, pdf.n_shingles, strict=True)]
+            yield pdf.assign(minima=minima, point=point, coarse=[packed(coordinates(p, GROUPS)) for p in point])
 
     out = materialize(put.mapInPandas(describe, SETS), "jaccard-sets")
     release(ids, whole)
@@ -363,7 +367,7 @@ def search(sets: DataFrame, grown: DataFrame, percent: int, best_only: bool) ->
     lead = F.size("shared") - F.ceil(F.col("n_shingles") * percent / 100).cast("int") + 1
     # what hasn't been linked is a component of its own
     known = sets.join(_small(grown), F.col("node") == F.col("id"), "left").withColumn("component", F.coalesce("component", "node"))
-    entries = known.select("node", F.col("n_shingles").alias("n"), "component", "point", (F.size("shared")).alias("_size"), F.posexplode(F.slice("shared", 1, lead)).alias("_place", "cell"))
+    entries = known.select("node", F.col("n_shingles").alias("n"), "component", F.col("coarse").alias("point"), (F.size("shared")).alias("_size"), F.posexplode(F.slice("shared", 1, lead)).alias("_place", "cell"))
     mixed = entries.groupBy("cell").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_members")).filter("_low < _high")
     mixed = materialize(mixed.select("cell", F.ceil(F.col("_members") / TILE).alias("tiles")), "jaccard-roots")
     # an entry's place says how much of its set can still be shared from there on
