@@ -250,3 +250,42 @@ def test_exact_quantiles_equal_numpy(spark, seed):
         own = [w for h, w in known if h == g]
         assert ranked[g, v] == (sum(w < v for w in own), len(own))
     assert stats.exact_quantiles(df.limit(0), "v", shares).first()[0] == [None] * 5
+
+
+def test_shared_tables_follow_the_files(spark, tmp_path):
+    from peerlight.plans.context import Tables, _state
+
+    spark.range(3).write.parquet(str(tmp_path / "a.parquet"))
+    t = Tables(spark, str(tmp_path))
+    assert t._once("x", lambda: spark.range(3).toDF("id")).count() == Tables(spark, str(tmp_path))._once("x", lambda: spark.range(9).toDF("id")).count() == 3
+    spark.range(5).write.mode("append").parquet(str(tmp_path / "a.parquet"))
+    assert _state(spark, str(tmp_path)) != t.state and Tables(spark, str(tmp_path))._once("x", lambda: spark.range(5).toDF("id")).count() == 5
+
+
+def test_linkage_end_to_end_equals_its_steps(spark):
+    from peerlight.plans.context import TOKENS, Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    columns = ["rec", "dir", "rule", "confidence", "method", "score"]
+    whole = linkage.link(t.office, t.directory, t.overrides, TOKENS, nfkc=False).select(*columns)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, t.chosen.select(*columns).collect()))
+
+
+def test_search_reads_all_fields_that_there_are(spark):
+    row = {c: f"Field {i}!" for i, c in enumerate(filters.SEARCHED)}
+    df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} string" for c in row))
+    assert len(filters.SEARCHED) == 16 and all(filters.filter_records(df, {"search": f"field {i}!"}).count() == 1 for i in range(16))
+    assert filters.filter_records(df, {"search": "field 16"}).count() == 0 and filters.searched(df.select("area")) == ("area",)
+
+
+def test_representative_companies_by_offices_wage_and_name(spark):
+    rows = [("r", "k1", "b", "1", 10.0, "p1"), ("r", "k1", "bb", None, None, "p2"), ("r", "k2", "c", "2", None, "p"), ("r", "k3", "a", "3", 5.0, "p"), ("r", "k4", None, None, 5.0, "p"), (None, "k9", "z", "9", 1.0, "p")]
+    df = spark.createDataFrame(rows, "rep string, company string, name string, number string, wage double, person string")
+    got = entities.representative_companies(df, "rep", "company", "wage", "name", F.lit(False), "number", "person").orderBy("place").collect()
+    assert [(x.company, x.company_name, x.company_number, x.representative_name) for x in got] == [("k1", "b", "1", "p1"), ("k4", None, None, "p"), ("k3", "a", "3", "p"), ("k2", "c", "2", "p")]
+
+
+def test_feeds_that_are_not_well_formed(spark):
+    feed = "<rss><item><title>A &amp; B<link>x</item><item><link>https://a.example.com/x?a=1&b=2</link><title><![CDATA[ T ]]></title></item>"
+    got = pages.parse_feeds(spark.createDataFrame([(1, feed), (2, "no feed"), (3, None)], "page_id long, html string")).collect()
+    assert [(x.page_id, x.position, x.url, x.title, x.snippet) for x in got] == [(1, 1, "https://a.example.com/x", "T", "")]
