@@ -397,12 +397,38 @@ def test_passage_quality(spark, empty):
         rows.append((i, " ".join(w), "en", "s", 0))
         labels.append((i, int(good), 0))
     docs = spark.createDataFrame([*rows, (900, None, None, None, None), (901, " \n", None, None, 0)], DOCS)
-    model = passages.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    got = {x.doc_id: x for x in passages.score(docs, model).collect()}
+    schema = "doc_id long, quality int, toxic int"
+    model = passages.train(docs, spark.createDataFrame([*labels, (3, None, None), (None, 1, 0)], schema))
+    got = {x.doc_id: x for x in passages.score(docs.withColumns({"score": F.lit("clash"), "y": F.lit(1)}), model).collect()}
     held = [(got[i].predicted, q) for i, q, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([a == b for a, b in held]) > 0.95
     assert 0 <= got[900].score == got[901].score <= 1
     assert passages.score(empty, model).count() == 0
+    one = passages.train(docs, spark.createDataFrame([x for x in labels if x[1]], schema))
+    assert not one.w and one.scores(["x", None]).tolist() == [1.0, 1.0] and passages.train(docs, spark.createDataFrame([], schema)).scores(["x"]).tolist() == [0.0]
+
+
+def test_very_long_texts(spark):
+    """120,000 words, read to the end by every operator that reads texts."""
+    r = random.Random(6)
+    words = [r.choice(EN) + str(r.randrange(1000)) for _ in range(120_000)]
+    text = " ".join(words) + " write to last@corp.example"
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "the cat and the dog with that thing were there", "en", "s", 46)], DOCS)
+    lang = {x.doc_id: x.lang_pred for x in language.predict(docs, language.train(docs)).collect()}
+    assert lang == {1: "en", 2: "en"}
+    pieces = packing.pack(docs.filter("doc_id = 1")).toPandas().sort_values("start")
+    ids = packing.document_ids(text)
+    assert pieces.length.sum() == len(ids) and [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(pieces.start, pieces.length, strict=True)] == pieces.ids_crc32.tolist()
+    stats = rules.statistics(docs).filter("doc_id = 1").first()
+    assert (stats.n_words, stats.word_chars, stats.n_symbols, stats.n_dup_lines, stats.n_repeat_words) == base_statistics(text)
+    found = pii.digest(pii.find(docs)).filter("doc_id = 1").first()
+    assert found.n_email == 1 and found.spans.endswith(f"email:{len(text) - 17}:{len(text)}")
+    assert mixing.mix(docs).filter("doc_id = 1").first().size == 120_003
+    assert {x.doc_id: x.n_shingles for x in jaccard.join(docs).collect()}[1] == len(shingle_set(text))
+    x, bag = passages._encode([text])
+    assert len(bag) == -(-120_003 // passages.PASSAGE)
+    d = toxicity.Dictionaries(b"the and with that ", b" last@corp.example ")
+    assert d.features(text)[0] > 3 and d.features(" ".join(words))[0] <= d.features(text)[0]
 
 
 def test_passage_gradients():
