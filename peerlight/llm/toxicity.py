@@ -1,8 +1,8 @@
 """Toxicity by compression distance: windows are compressed with a dictionary of toxic text and with one of ordinary text.
 
 The ordinary dictionary is trained by zstandard on windows of ordinary documents.  The toxic one holds what sets toxic text apart: the spans
-of toxic words whose byte n-grams are significantly more frequent in toxic documents, those of most documents nearest to the text; in front of the
-same ordinary content, so that ordinary words cost the same with both and the difference of the two lengths is what toxic
+of toxic words whose byte n-grams are significantly more frequent in toxic documents, the ``spans`` of most documents, which are the dictionary's size (all significant
+ones are too many: on larger samples rare chance spans fill it and match ordinary text); in front of the same ordinary content, so that ordinary words cost the same with both and the difference of the two lengths is what toxic
 spans save.  (README has the figures of toxic dictionaries that zstandard trains itself.)  A document is described by the largest, the mean and the frequency of these savings over all of its windows, and a logistic
 calibration on documents that the dictionaries haven't seen turns them into a probability.  The model doesn't depend on how the rows are partitioned.
 
@@ -95,7 +95,7 @@ def _grams(words) -> set[bytes]:
     return out
 
 
-def train_dictionaries(rows: DataFrame, least_ratio: float = 4.0, least_z: float = 5.0, ordinary_bytes: int = 1024) -> Dictionaries | None:
+def train_dictionaries(rows: DataFrame, least_ratio: float = 4.0, least_z: float = 5.0, spans: int = 50, ordinary_bytes: int = 1024) -> Dictionaries | None:
     """From rows (text, y), a bounded sample that has been written; None without both classes."""
     sizes = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -132,7 +132,7 @@ def train_dictionaries(rows: DataFrame, least_ratio: float = 4.0, least_z: float
             yield pd.DataFrame({"span": pd.Series(list(seen), dtype=object), "n": list(seen.values())}).astype({"n": "int64"})
 
     covered = rows.filter("y = 1").select("text").mapInPandas(cover, "span binary, n long").groupBy("span").agg(F.sum("n").alias("n"))
-    top = covered.orderBy(F.desc("n"), "span").collect()
+    top = covered.orderBy(F.desc("n"), "span").limit(spans).collect()
 
     def windows(batches):
         for pdf in batches:
