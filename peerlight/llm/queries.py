@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, mixing, packing, passages, pii, rules, topk, toxicity, warc
+from . import jaccard, language, lexical, mixing, packing, passages, pii, resample, rules, topk, toxicity, warc
 from .common import new_path, table
 
 
@@ -61,7 +61,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_of_records(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_toxicity, op5_pii, op6_passage_quality, op7_source_mixing, op8_exact_top_k, op9_ngram_jaccard, op10_warc)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_toxicity, op5_pii, op6_passage_quality, op7_source_mixing, op8_exact_top_k, op9_ngram_jaccard, op10_warc, op11_ranked_search, op13_importance_resampling)}
 
 ORACLE = {
     "op7_source_mixing": """
@@ -89,4 +97,29 @@ m AS (SELECT html, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY html)
 SELECT page_id, n AS payload_bytes, sha1(p.html) AS payload_digest,
   CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
 FROM p LEFT JOIN m ON p.html = m.html""",
+    "op11_ranked_search": """
+WITH x AS (SELECT row_number() OVER () AS row, doc_id, list_transform(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms FROM documents),
+d AS (SELECT row, doc_id, terms, len(terms)::BIGINT AS n FROM x WHERE len(terms) > 0),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM d),
+tf AS (SELECT row, t, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS t FROM d) y GROUP BY 1, 2),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, s GROUP BY t, docs),
+q AS (SELECT item, item_id, t, count(*)::BIGINT AS times FROM (SELECT item, item_id, unnest(list_transform(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS t
+  FROM (SELECT row_number() OVER () AS item, * FROM benchmark) z) y GROUP BY 1, 2, 3),
+p AS (SELECT item, item_id, row, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // length))))::BIGINT AS score FROM q JOIN tf USING (t) JOIN w USING (t) JOIN d USING (row), s GROUP BY 1, 2, 3),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM p JOIN d USING (row) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
+    "op13_importance_resampling": """
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark),
+dw AS (SELECT row, unnest(words) AS word FROM d), bw AS (SELECT unnest(words) AS word FROM b),
+h AS (SELECT word, (xor(list_reduce(list_concat([4294967295], list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000)::INT AS bucket
+  FROM (SELECT word FROM dw UNION SELECT word FROM bw) u, crc),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN h USING (word) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM bw JOIN h USING (word) GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+x AS (SELECT row, sum(gain)::BIGINT AS weight FROM dw JOIN h USING (word) JOIN g USING (bucket) GROUP BY 1),
+y AS (SELECT row, doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN x USING (row)),
+z AS (SELECT row, doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE))))::BIGINT AS score FROM y),
+r AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, row) AS rank FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r) THEN rank END AS rank FROM z LEFT JOIN r USING (row)""",
 }
