@@ -110,14 +110,14 @@ class Block:
         return best, score[best]
 
 
-def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list, list, list]]:
+def blocks(batches: Iterator[pd.DataFrame], rows: int = BLOCK_ROWS) -> Iterator[tuple[list, list, list, list]]:
     ids, n, terms_of, counts, held = [], [], [], [], 0
     for pdf in batches:
         for row in zip(pdf.doc_id, pdf.n, pdf.terms, pdf.counts, strict=True):
             if len(row[2]):
                 ids.append(row[0]), n.append(row[1]), terms_of.append(row[2]), counts.append(row[3])
                 held += len(row[2])
-            if len(ids) >= BLOCK_ROWS or held >= BLOCK_POSTINGS:
+            if len(ids) >= rows or held >= BLOCK_POSTINGS:
                 yield ids, n, terms_of, counts
                 ids, n, terms_of, counts, held = [], [], [], [], 0
     if ids:
@@ -137,7 +137,7 @@ def groups(items: DataFrame, bound: int) -> Iterator[list[tuple[int | None, str]
         yield held
 
 
-def _ranked(documents: DataFrame, wanted: list[tuple[int | None, str]], k: int) -> DataFrame:
+def _ranked(documents: DataFrame, wanted: list[tuple[int | None, str]], k: int, block_rows: int) -> DataFrame:
     spark = documents.sparkSession
     asked = [Counter(terms(text)) for _, text in wanted]
     vocabulary = {t: i for i, t in enumerate(sorted(set().union(*asked)))}
@@ -154,7 +154,7 @@ def _ranked(documents: DataFrame, wanted: list[tuple[int | None, str]], k: int)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: list[list[tuple]] = [[] for _ in shared.value]
-        for part in blocks(batches):
+        for part in blocks(batches, block_rows):
             block = Block(*part, docs, length)
             for i, query in enumerate(shared.value):
                 top = best[i]
@@ -177,9 +177,9 @@ def _ranked(documents: DataFrame, wanted: list[tuple[int | None, str]], k: int)
     return out
 
 
-def rank(documents: DataFrame, items: DataFrame, k: int = 10, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def rank(documents: DataFrame, items: DataFrame, k: int = 10, group_bytes: int = GROUP_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``k`` highest-scoring documents (doc_id, text) of each item (item_id, text), score above 0."""
     found = documents.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     for wanted in groups(items, group_bytes):
-        found = found.unionByName(_ranked(documents, wanted, k))
+        found = found.unionByName(_ranked(documents, wanted, k, block_rows))
     return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, lexical, mixing, packing, passages, pii, resample, rules, topk, toxicity, warc
+from . import bpe, jaccard, language, lexical, mixing, packing, passages, pii, resample, rules, topk, toxicity, warc
 from .common import new_path, table
 
 
@@ -65,11 +65,15 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_toxicity, op5_pii, op6_passage_quality, op7_source_mixing, op8_exact_top_k, op9_ngram_jaccard, op10_warc, op11_ranked_search, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_quality_rules, op4_toxicity, op5_pii, op6_passage_quality, op7_source_mixing, op8_exact_top_k, op9_ngram_jaccard, op10_warc, op11_ranked_search, op12_byte_bpe, op13_importance_resampling)}
 
 ORACLE = {
     "op7_source_mixing": """

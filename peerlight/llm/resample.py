@@ -36,8 +36,12 @@ def buckets(found: Column, size: int, longest: int = 1) -> Column:
     number = lambda w: (F.crc32(w.cast("binary")) % size).cast("int")
     if longest == 1:
         return F.transform(found, number)
-    runs = [F.transform(F.filter(F.transform(found, lambda x, i, n=n: F.when(i <= F.size(found) - n, F.array_join(F.slice(found, i + 1, n), " "))), lambda x: x.isNotNull()), number) for n in range(1, longest + 1)]
-    return F.flatten(F.array(*runs))
+
+    def runs(n: int) -> Column:
+        every = F.transform(found, lambda x, i: F.when(i <= F.size(found) - n, F.array_join(F.slice(found, i + 1, n), " ")))
+        return F.transform(F.filter(every, lambda x: x.isNotNull()), number)
+
+    return F.flatten(F.array(*[runs(n) for n in range(1, longest + 1)]))
 
 
 def counts(features: DataFrame) -> dict[int, int]:
