@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import valid
+from ..sources.tables import checkpointed
+from .summary import valid
 
 
 def _only(numbers: DataFrame, keys: list[str], out: str) -> DataFrame:
@@ -16,16 +17,23 @@ def _only(numbers: DataFrame, keys: list[str], out: str) -> DataFrame:
 def company_identity(df: DataFrame, number: str, name_key: str, base_key: str, representative_key: str, office: str) -> DataFrame:
     """Adds ``company_key``: own number, else the only number of the exact name, else the only one of (representative, base name), else the name, else the office.
 
-    Numbers that the second source infers count among those of an exact name.
+    Numbers that the second source infers count among those of an exact name.  Both come from the distinct combinations of number, name and representative, which are
+    written once; rows look up their name, base name and representative.
     """
     own = F.nullif(F.trim(F.col(number)), F.lit(""))
     rows = df.withColumns({"_own": own, "_name": F.col(name_key), "_base": F.col(base_key), "_rep": F.col(representative_key)})
-    pair = _only(rows.filter("_own is not null and _rep is not null and _base is not null").select("_rep", "_base", F.col("_own").alias("_n")), ["_rep", "_base"], "_by_pair")
-    rows = rows.join(pair, ["_rep", "_base"], "left")
-    exact = _only(rows.select("_name", F.coalesce("_own", "_by_pair").alias("_n")).filter("_name is not null and _n is not null"), ["_name"], "_by_name")
-    out = rows.join(exact, "_name", "left")
-    key = F.coalesce(F.concat(F.lit("number:"), F.coalesce("_own", "_by_name", "_by_pair")), F.concat(F.lit("name:"), F.col("_name")), F.concat(F.lit("office:"), F.col(office)))
-    return out.withColumn("company_key", key).drop("_own", "_name", "_base", "_rep", "_by_pair", "_by_name")
+    known = checkpointed(rows.select("_own", "_name", "_base", "_rep").distinct())
+    pair = _only(known.filter("_own is not null and _rep is not null and _base is not null").select("_rep", "_base", F.col("_own").alias("_n")), ["_rep", "_base"], "_by_pair")
+    known = known.join(pair, ["_rep", "_base"], "left")
+    exact = _only(known.select("_name", F.coalesce("_own", "_by_pair").alias("_n")).filter("_name is not null and _n is not null"), ["_name"], "_by_name")
+    found = known.filter("_own is null").join(exact, "_name", "left").select(*[F.col(c).alias(f"{c}_k") for c in ("_name", "_base", "_rep")], F.coalesce("_by_name", "_by_pair").alias("_inferred"))
+    found = checkpointed(found.filter("_inferred is not null").distinct())
+    same = F.col("_own").isNull()
+    for c in ("_name", "_base", "_rep"):
+        same &= F.col(c).eqNullSafe(F.col(f"{c}_k"))
+    out = rows.join(found, same, "left")
+    key = F.coalesce(F.concat(F.lit("number:"), F.coalesce("_own", "_inferred")), F.concat(F.lit("name:"), F.col("_name")), F.concat(F.lit("office:"), F.col(office)))
+    return out.withColumn("company_key", key).select(*df.columns, "company_key")
 
 
 def company_label(df: DataFrame, key: str, name: str, has_prefix: Column, number: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Peer benchmarks: what the rows of the same group say about a row.
 
-Everything is grouped once and joined back.  Ranks and medians come from counts per (group, distinct value) in buckets of the value range, so that a large
+Everything is grouped once and joined back.  Ranks and medians come from counts per (group, distinct value) in ranges of the data, so that a large
 group isn't gathered in one task.
 """
 
@@ -9,24 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import exact_quantiles, ranked_values, valid, with_quantiles
+from .stats import exact_quantiles, with_quantiles
+from .summary import Statistic, summarize, valid
 
 
-def group_ranks(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(_g, _v, _rank): 1 + the number of strictly larger values of the group."""
-    ranked = ranked_values(df.filter(F.col(group).isNotNull()).withColumn("_g", F.col(group)), value, ("_g",))
-    return ranked.select("_g", "_v", (F.col("_all") - F.col("_smaller") - F.col("_n") + 1).alias("_rank"))
+def peer_ranks(df: DataFrame, groups: dict[str, str], value: str, least: int = 3) -> DataFrame:
+    """For each of ``groups`` (prefix to column) adds <prefix>_count, _rank, _median and _mean of the valued rows of the row's group; null with fewer than ``least`` of them, rank null without a value.
+
+    All groups are summarised in one reading of ``df``.
+    """
+    found = summarize(df, {p: Statistic(value, (g,)) for p, g in groups.items()}, (0.5,))
+    for p, g in groups.items():
+        out = found.join_ranks(found.join_groups(df, p, _c="count", _q="q", _avg="mean"), p, "_smaller", "_larger")
+        enough = (F.col("_c") >= least) & F.col(g).isNotNull()
+        df = out.withColumns({f"{p}_count": F.when(enough, F.col("_c")), f"{p}_rank": F.when(enough, F.col("_larger") + 1), f"{p}_median": F.when(enough, F.get("_q", F.lit(0))), f"{p}_mean": F.when(enough, F.col("_avg"))}).drop("_c", "_q", "_avg", "_smaller", "_larger")
+    return df
 
 
 def peer_rank(df: DataFrame, group: str, value: str, prefix: str, least: int = 3) -> DataFrame:
-    """Adds <prefix>_count, _rank, _median and _mean of the valued rows of the group; null with fewer than ``least`` of them, rank null without a value."""
-    x = valid(value)
-    named = df.withColumn("_g", F.col(group))
-    sums = named.groupBy("_g").agg(F.count(x).alias("_c"), F.avg(x).alias("_avg")).filter((F.col("_c") >= least) & F.col("_g").isNotNull())
-    sums = _with_median(sums, named, value, ("_g",), "_med")
-    ranks = group_ranks(df, group, value).withColumnRenamed("_g", "_rg")
-    out = df.join(sums, df[group] == F.col("_g"), "left").join(ranks, (F.col("_g") == F.col("_rg")) & (x == F.col("_v")), "left")
-    return out.withColumns({f"{prefix}_count": F.col("_c"), f"{prefix}_rank": F.col("_rank"), f"{prefix}_median": F.col("_med"), f"{prefix}_mean": F.col("_avg")}).drop("_g", "_rg", "_c", "_med", "_avg", "_v", "_rank")
+    """``peer_ranks`` of one group."""
+    return peer_ranks(df, {prefix: group}, value, least)
 
 
 def _with_median(sums: DataFrame, df: DataFrame, value: str, by: tuple[str, ...], out: str) -> DataFrame:
@@ -35,9 +37,8 @@ def _with_median(sums: DataFrame, df: DataFrame, value: str, by: tuple[str, ...]
 
 def percentile_rank_strict(df: DataFrame, value: str, out: str = "percentile_rank") -> DataFrame:
     """Rounded percentage of values that are strictly smaller."""
-    ranks = ranked_values(df, value).drop("_n")
-    share = F.floor(F.lit(100.0) * F.col("_smaller") / F.col("_all") + 0.5).cast("long")
-    return df.join(ranks, valid(value) == F.col("_v"), "left").withColumn(out, share).drop("_v", "_smaller", "_all")
+    ranked = summarize(df, {"x": Statistic(value)}).join_ranks(df, "x", "_smaller", every="_every")
+    return ranked.withColumn(out, F.floor(F.lit(100.0) * F.col("_smaller") / F.col("_every") + 0.5).cast("long")).drop("_smaller", "_every")
 
 
 def area_sizes(df: DataFrame, area: str, wage: str, use: str, order: str = "ordinal") -> DataFrame:
@@ -74,11 +75,10 @@ def capacity_profile(df: DataFrame, band: str, area: str, users: str, use: str,
 
 def activity_profile(df: DataFrame, activity: str, wage: str, use: str) -> DataFrame:
     """Adds activity_count, activity_median_wage, activity_mean_use and activity_rank (null without a wage)."""
-    sums = df.groupBy(activity).agg(F.count("*").alias("activity_count"), F.avg(valid(use)).alias("activity_mean_use"))
-    sums = _with_median(sums, df, wage, (activity,), "activity_median_wage").withColumnRenamed(activity, "_t")
-    ranks = group_ranks(df, activity, wage)
-    out = df.join(sums, df[activity] == F.col("_t"), "left").join(ranks, (df[activity] == F.col("_g")) & (valid(wage) == F.col("_v")), "left")
-    return out.withColumn("activity_rank", F.col("_rank")).drop("_t", "_g", "_v", "_rank")
+    sums = df.groupBy(F.col(activity).alias("_t")).agg(F.count("*").alias("activity_count"), F.avg(valid(use)).alias("activity_mean_use")).filter("_t is not null")
+    ranked = peer_ranks(df, {"_act": activity}, wage, 0)
+    out = ranked.join(sums, F.col(activity) == F.col("_t"), "left")
+    return out.withColumns({"activity_median_wage": F.col("_act_median"), "activity_rank": F.col("_act_rank")}).drop("_t", *[f"_act_{c}" for c in ("count", "rank", "median", "mean")])
 
 
 def home_use_profile(df: DataFrame, home: str, wage: str, use: str, top: float = 0.8) -> DataFrame:

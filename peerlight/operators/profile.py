@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stats import quadrant_vs_median, ranked_values, valid
+from .stats import constant_fences, constant_median, outlier_class, quadrant_labels, quadrant_vs_median
+from .summary import Statistic, Summary, summarize, valid
 
 #: (upper end, label); the last has none.
 WAGE_BANDS = ((10_000, "under 10k"), (15_000, "10k-15k"), (20_000, "15k-20k"), (30_000, "20k-30k"), (50_000, "30k-50k"), (None, "50k and more"))
@@ -57,39 +58,57 @@ def bands(df: DataFrame, wage: str = "average_wage_yen", capacity: str = "capaci
     return df.withColumns({"wage_band_label": band(F.col(wage), WAGE_BANDS), "capacity_band_label": band(F.col(capacity), CAPACITY_BANDS), "utilisation_band_label": band(F.col(utilisation), UTILISATION_BANDS)})
 
 
+def _number(x: float | None) -> Column:
+    return F.lit(x).cast("double")
+
+
+def _means(df: DataFrame, found: Summary, value: str, overall: str, groups: dict[str, str]) -> DataFrame:
+    x, mean = valid(value), _number(found.one(overall).mean)
+    made = {"ratio_to_overall_mean": ratio(x, mean), "difference_to_overall_mean": x - mean}
+    for name in groups:
+        df = found.join_groups(df, name, **{f"_m_{name}": "mean"})
+        made[f"ratio_to_{name}_mean"] = ratio(x, F.col(f"_m_{name}"))
+    return df.withColumns(made).drop(*[f"_m_{n}" for n in groups])
+
+
 def reference_means(df: DataFrame, value: str, groups: dict[str, str]) -> DataFrame:
     """Ratio to the overall mean and to the mean of each group (``groups``: output name to column), and the difference to the overall mean.
 
-    Group means are joined back, so that a large group isn't gathered in one task.
+    All means come from one reading; those of groups are joined back, so that a large group isn't gathered in one task.
     """
-    x = valid(value)
-    out = df.crossJoin(F.broadcast(df.agg(F.avg(x).alias("_mean"))))  # one row
-    made = {"ratio_to_overall_mean": ratio(x, F.col("_mean")), "difference_to_overall_mean": x - F.col("_mean")}
-    for name, column in groups.items():
-        means = df.groupBy(F.col(column).alias(f"_g_{name}")).agg(F.avg(x).alias(f"_m_{name}"))
-        out = out.join(means, out[column].eqNullSafe(means[f"_g_{name}"]), "left")
-        made[f"ratio_to_{name}_mean"] = ratio(x, F.col(f"_m_{name}"))
-    return out.withColumns(made).drop("_mean", *[f"_{k}_{n}" for n in groups for k in "gm"])
+    found = summarize(df, {"_all": Statistic(value, (), False)} | {n: Statistic(value, (c,), False) for n, c in groups.items()})
+    return _means(df, found, value, "_all", groups)
+
+
+def _scores(df: DataFrame, found: Summary, name: str, value: str, z: str, percentile: str) -> DataFrame:
+    one = found.one(name)
+    joined = found.join_ranks(df, name, "_smaller", every="_every")
+    return joined.withColumns({z: ratio(valid(value) - _number(one.mean), _number(one.sd)), percentile: F.col("_smaller") / F.col("_every")}).drop("_smaller", "_every")
 
 
 def zscore_percentile(df: DataFrame, value: str, z: str = "z_score", percentile: str = "percentile") -> DataFrame:
-    x = valid(value)
-    moments = df.agg(F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_sd"))
-    ranks = ranked_values(df, value).drop("_n")
-    joined = df.crossJoin(F.broadcast(moments)).join(ranks, x == F.col("_v"), "left")
-    return joined.withColumns({z: ratio(x - F.col("_mean"), F.col("_sd")), percentile: F.col("_smaller") / F.col("_all")}).drop("_mean", "_sd", "_v", "_smaller", "_all")
+    return _scores(df, summarize(df, {"x": Statistic(value)}), "x", value, z, percentile)
 
 
 def market_quadrant(df: DataFrame, wage: str = "average_wage_yen", utilisation: str = "daily_user_capacity_ratio") -> DataFrame:
     return quadrant_vs_median(df, wage, utilisation, "market_position_quadrant", MARKET_QUADRANTS)
 
 
+#: Output name and column of the groups whose mean wages an office is compared with.
+REFERENCE_GROUPS = {"municipality": "municipality", "type": "corporation_type_label", "capacity_band": "capacity_band_label"}
+
+
 def enriched(offices: DataFrame, wage: str = "average_wage_yen") -> DataFrame:
-    """All derived columns that reports and filters read, on one row per office."""
-    from . import classify, stats
+    """All derived columns that reports and filters read, on one row per office.
+
+    The statistics of all of them come from one reading of the offices; means of groups and ranks of wages are looked up in small tables, the rest are constants.
+    """
+    from . import classify
 
+    use = "daily_user_capacity_ratio"
     out = bands(utilisation_columns(offices))
-    out = reference_means(out, wage, {"municipality": "municipality", "type": "corporation_type_label", "capacity_band": "capacity_band_label"})
-    out = zscore_percentile(out, wage)
-    out = stats.outlier_flags(out, wage, "wage_outlier_flag", "wage_outlier_severity")
-    return classify.classified(market_quadrant(out))
+    found = summarize(out, {"wage": Statistic(wage), "use": Statistic(use)} | {n: Statistic(wage, (c,), False) for n, c in REFERENCE_GROUPS.items()})
+    flag, severity = outlier_class(valid(wage), constant_fences(found, "wage"))
+    quadrant = quadrant_labels(valid(wage), valid(use), constant_median(found, "wage"), constant_median(found, "use"), MARKET_QUADRANTS)
+    out = _scores(_means(out, found, wage, "wage", REFERENCE_GROUPS), found, "wage", wage, "z_score", "percentile")
+    return classify.classified(out.withColumns({"wage_outlier_flag": flag, "wage_outlier_severity": severity, "market_position_quadrant": quadrant}))

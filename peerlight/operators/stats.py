@@ -1,7 +1,7 @@
 """Distribution statistics: quartile fences, outlier classes, quadrants, watchlists, role and feature summaries.
 
-Statistics come from one aggregation and go to the rows as a broadcast of one row (or a join on the group), so that flags never
-put all rows into one partition.  Medians and quartiles are exact; they come from counts per distinct value in buckets of the value range (``ranked_values``), so
+Statistics come from one aggregation (``summary``) and go to the rows as constants or as a join on the group, so that flags never
+put all rows into one partition.  Medians and quartiles are exact; they come from counts per distinct value, dealt into ranges of the data, so
 that no task holds all values of a table or of a large group.  ``approximate`` takes a sketch instead.
 """
 
@@ -10,47 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpointed
+from .summary import RANGE_ROWS, Statistic, Summary, at_shares, smaller_counts, summarize, valid
 
-def valid(value: str | Column) -> Column:
-    """The value, or null where it is NaN or infinite."""
-    c = F.col(value) if isinstance(value, str) else value
-    d = c.cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), c)
 
-
-def value_bucket(v: Column) -> Column:
-    """A number that never falls as the value rises: 256 buckets for each doubling of the value."""
-    return (F.signum(v) * F.floor(256 * F.log2(1 + F.abs(v) * float(1 << 20)))).cast("long")
-
-
-def ranked_values(df: DataFrame, value: str | Column, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by.., _v, _n, _smaller, _all): for each distinct value of each group how many rows have it, have a smaller one, have any.
-
-    Sums run inside a bucket of the value range; the buckets of a group are few, whatever the number of rows, and are summed on their own.
-    """
-    counts = df.select(*by, valid(value).cast("double").alias("_v")).filter("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_n")).withColumn("_b", value_bucket(F.col("_v")))
-    until = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = counts.withColumn("_inside", until(Window.partitionBy(*by, "_b").orderBy("_v")))
-    totals = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_n"))
-    offsets = totals.select(*[F.col(c).alias(f"_o_{c}") for c in by], F.col("_b").alias("_ob"), until(Window.partitionBy(*by).orderBy("_b")).alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("_all"))
-    same = F.col("_b") == F.col("_ob")
-    for c in by:
-        same &= F.col(c).eqNullSafe(F.col(f"_o_{c}"))
-    return inside.join(offsets, same).select(*by, "_v", "_n", (F.col("_before") + F.col("_inside")).alias("_smaller"), "_all")
+def ranked_values(df: DataFrame, value: str | Column, by: tuple[str, ...] = (), rows: int = RANGE_ROWS) -> DataFrame:
+    """(by.., v, n, smaller, all): for each distinct value of each group how many rows have it, have a smaller one, have any."""
+    counts = df.select(*by, valid(value).cast("double").alias("v")).filter("v is not null").groupBy(*by, "v").agg(F.count("*").alias("n"))
+    return smaller_counts(checkpointed(counts), by, "v", "n", rows)
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, shares: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """(by.., _q): an array with the interpolated value at each share; without ``by`` one row, of nulls if there is no value."""
-    ranked = ranked_values(df, value, by)
-
-    def at(place: Column) -> Column:
-        return F.min(F.when((F.col("_smaller") <= place) & (place < F.col("_smaller") + F.col("_n")), F.col("_v")))
-
-    place = [(F.col("_all") - 1) * float(s) for s in shares]
-    ends = [x.alias(f"_{k}{i}") for i, p in enumerate(place) for k, x in (("l", at(F.floor(p))), ("h", at(F.ceil(p))), ("p", F.max(p)))]
-    l, h, p = ([F.col(f"_{k}{i}") for i in range(len(shares))] for k in "lhp")
-    made = [F.when(a == b, a).otherwise((F.ceil(c) - c) * a + (c - F.floor(c)) * b) for a, b, c in zip(l, h, p, strict=True)]
-    return ranked.groupBy(*by).agg(*ends).select(*by, F.array(*made).alias("_q"))
+    ends, q = at_shares(shares)
+    return ranked_values(df, value, by).groupBy(*by).agg(*ends).select(*by, q.alias("_q"))
 
 
 def with_quantiles(sums: DataFrame, df: DataFrame, value: str | Column, shares: tuple[float, ...], by: tuple[str, ...] = (), out: str = "_q") -> DataFrame:
@@ -65,28 +38,49 @@ def with_quantiles(sums: DataFrame, df: DataFrame, value: str | Column, shares:
     return sums.join(found, same, "left").drop(*[f"_q_{c}" for c in by])
 
 
-def numeric_stats(df: DataFrame, value: str, by: tuple[str, ...] = (), digits: int | None = 3, clamp_zero: bool = True, approximate: bool = False) -> DataFrame:
-    """Count, mean, median, q1, q3, p90, IQR and both pairs of fences (1.5 and 3 IQR); null without values.  Lower fences stop at 0 with ``clamp_zero``."""
-    x, shares = valid(value), (0.25, 0.5, 0.75, 0.9)
-    sketch = [F.percentile_approx(x, list(shares), 10_000).alias("_q")] if approximate else []
-    each = df.groupBy(*by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), *sketch)
-    if not approximate:
-        each = with_quantiles(each, df, value, shares, by)
-    q1, q3 = F.col("_q")[0], F.col("_q")[2]
-    iqr = q3 - q1
+_QUARTILES = (0.25, 0.5, 0.75, 0.9)
+
+
+def fences(q: Column, clamp_zero: bool = True) -> dict[str, Column]:
+    """Both pairs of fences (1.5 and 3 IQR) from the array of quartiles; lower fences stop at 0 with ``clamp_zero``."""
+    q1, q3 = F.get(q, F.lit(0)), F.get(q, F.lit(2))
     low = (lambda c: F.when(c < 0, 0.0).otherwise(c)) if clamp_zero else (lambda c: c)
-    made = {
-        "mean": F.col("mean"), "median": F.col("_q")[1], "q1": q1, "q3": q3, "p90": F.col("_q")[3], "iqr": iqr,
-        "upper_fence": q3 + 1.5 * iqr, "lower_fence": low(q1 - 1.5 * iqr), "upper_extreme": q3 + 3.0 * iqr, "lower_extreme": low(q1 - 3.0 * iqr),
-    }
+    return {"upper_fence": q3 + 1.5 * (q3 - q1), "lower_fence": low(q1 - 1.5 * (q3 - q1)), "upper_extreme": q3 + 3.0 * (q3 - q1), "lower_extreme": low(q1 - 3.0 * (q3 - q1))}
+
+
+def constant_fences(found: Summary, name: str, clamp_zero: bool = True) -> dict[str, Column]:
+    """``fences`` of a statistic without groups, as constants."""
+    q = found.one(name).q
+    return fences(F.lit(q) if q else F.lit(None).cast("array<double>"), clamp_zero)
+
+
+def constant_median(found: Summary, name: str) -> Column:
+    q = found.one(name).q
+    return F.lit(q[1] if q else None).cast("double")
+
+
+def numeric_stats(df: DataFrame, value: str, by: tuple[str, ...] = (), digits: int | None = 3, clamp_zero: bool = True, approximate: bool = False) -> DataFrame:
+    """Count, mean, median, q1, q3, p90, IQR and both pairs of fences; null without values."""
+    if approximate:
+        x = valid(value)
+        each = df.groupBy(*by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.percentile_approx(x, list(_QUARTILES), 10_000).alias("q"))
+    else:
+        each = _with_row(summarize(df, {"x": Statistic(value, by)}, _QUARTILES).of("x"), by)
+    q = lambda i: F.get("q", F.lit(i))
+    made = {"mean": F.col("mean"), "median": q(1), "q1": q(0), "q3": q(2), "p90": q(3), "iqr": q(2) - q(0)} | fences(F.col("q"), clamp_zero)
     return each.select(*by, "count", *[(F.round(c, digits) if digits is not None else c).alias(n) for n, c in made.items()])
 
 
+def _with_row(each: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Without groups one row, even of an empty table."""
+    if by:
+        return each
+    return each.agg(F.coalesce(F.max("count"), F.lit(0)).alias("count"), *[F.max(c).alias(c) for c in each.columns if c != "count"])
+
+
 def numeric_stats_min_max(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    x = valid(value)
-    each = df.groupBy(*by).agg(F.count(x).alias("count"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.max(x).alias("max"))
-    each = with_quantiles(each, df, value, (0.1, 0.5, 0.9), by)
-    return each.select(*by, "count", "min", F.col("_q")[0].alias("p10"), "mean", F.col("_q")[1].alias("median"), F.col("_q")[2].alias("p90"), "max")
+    each = _with_row(summarize(df, {"x": Statistic(value, by)}, (0.1, 0.5, 0.9)).of("x"), by)
+    return each.select(*by, "count", F.col("low").alias("min"), F.get("q", F.lit(0)).alias("p10"), "mean", F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("p90"), F.col("high").alias("max"))
 
 
 def stddev_sample(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -94,23 +88,22 @@ def stddev_sample(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFr
     return df.groupBy(*by).agg(F.count(x).alias("count"), F.when(F.count(x) >= 2, F.stddev_samp(x)).alias("stddev"))
 
 
-def outlier_class(x: Column) -> tuple[Column, Column]:
-    """(flag, severity) of a value beside the columns of ``numeric_stats``; extremes include their fence."""
-    flag = F.when((x >= F.col("upper_extreme")) | (x > F.col("upper_fence")), "high").when((x <= F.col("lower_extreme")) | (x < F.col("lower_fence")), "low")
-    severity = F.when((x >= F.col("upper_extreme")) | ((x <= F.col("lower_extreme")) & ~(x > F.col("upper_fence"))), "extreme").when(flag.isNotNull(), "moderate")
+def outlier_class(x: Column, at: dict[str, Column]) -> tuple[Column, Column]:
+    """(flag, severity) of a value against ``fences``; extremes include their fence."""
+    flag = F.when((x >= at["upper_extreme"]) | (x > at["upper_fence"]), "high").when((x <= at["lower_extreme"]) | (x < at["lower_fence"]), "low")
+    severity = F.when((x >= at["upper_extreme"]) | ((x <= at["lower_extreme"]) & ~(x > at["upper_fence"])), "extreme").when(flag.isNotNull(), "moderate")
     return flag, severity
 
 
-_FENCES = ["upper_fence", "lower_fence", "upper_extreme", "lower_extreme"]
-
-
 def outlier_flags(df: DataFrame, value: str, flag: str = "outlier_flag", severity: str = "outlier_severity", by: tuple[str, ...] = (), population: DataFrame | None = None, clamp_zero: bool = True) -> DataFrame:
     """``df`` with flag and severity against the fences of ``population`` (``df`` itself by default), per group with ``by``."""
-    fences = numeric_stats(df if population is None else population, value, by, None, clamp_zero).select(*by, *_FENCES)
-    # without groups the fences are one row
-    joined = df.join(fences, list(by), "left") if by else df.crossJoin(F.broadcast(fences))
-    f, s = outlier_class(valid(value))
-    return joined.withColumns({flag: f, severity: s}).drop(*_FENCES)
+    found = summarize(df if population is None else population, {"x": Statistic(value, by)})
+    if by:
+        f, s = outlier_class(valid(value), fences(F.col("_q"), clamp_zero))
+        return found.join_groups(df, "x", _q="q").withColumns({flag: f, severity: s}).drop("_q")
+    f, s = outlier_class(valid(value), constant_fences(found, "x", clamp_zero))
+    found.discard()
+    return df.withColumns({flag: f, severity: s})
 
 
 def quadrant_labels(first: Column, second: Column, first_median: Column, second_median: Column, labels: tuple[str, str, str, str]) -> Column:
@@ -124,10 +117,10 @@ QUADRANTS = ("high x high", "high x low", "low x high", "low x low")
 
 
 def quadrant_vs_median(df: DataFrame, first: str, second: str, out: str = "quadrant", labels: tuple[str, str, str, str] = QUADRANTS, population: DataFrame | None = None) -> DataFrame:
-    of = df if population is None else population
-    medians = exact_quantiles(of, first, (0.5,)).select(F.col("_q")[0].alias("_m1")).crossJoin(exact_quantiles(of, second, (0.5,)).select(F.col("_q")[0].alias("_m2")))  # one row each
-    joined = df.crossJoin(F.broadcast(medians))  # one row
-    return joined.withColumn(out, quadrant_labels(valid(first), valid(second), F.col("_m1"), F.col("_m2"), labels)).drop("_m1", "_m2")
+    found = summarize(df if population is None else population, {"first": Statistic(first), "second": Statistic(second)})
+    label = quadrant_labels(valid(first), valid(second), constant_median(found, "first"), constant_median(found, "second"), labels)
+    found.discard()
+    return df.withColumn(out, label)
 
 
 def outlier_watchlist(df: DataFrame, value: str, flag: str = "outlier_flag", tie: str = "ordinal", limit: int = 24) -> DataFrame:
@@ -177,6 +170,8 @@ def staffing_watchlists(df: DataFrame, quadrant: str, wage: str, staffing: str,
 
 def staffing_report(df: DataFrame, wage: str, staffing: str, matched: Column, fetched: Column) -> DataFrame:
     """``df`` with the staffing flag, severity and quadrant; statistics come from rows that are matched and fetched, flags go to all."""
-    population = df.filter(matched & fetched)
-    flagged = outlier_flags(df, staffing, "staffing_outlier_flag", "staffing_outlier_severity", population=population)
-    return quadrant_vs_median(flagged, wage, staffing, "staffing_quadrant", STAFFING_QUADRANTS, population)
+    found = summarize(df.filter(matched & fetched), {"staffing": Statistic(staffing), "wage": Statistic(wage)})
+    flag, severity = outlier_class(valid(staffing), constant_fences(found, "staffing"))
+    quadrant = quadrant_labels(valid(wage), valid(staffing), constant_median(found, "wage"), constant_median(found, "staffing"), STAFFING_QUADRANTS)
+    found.discard()
+    return df.withColumns({"staffing_outlier_flag": flag, "staffing_outlier_severity": severity, "staffing_quadrant": quadrant})

@@ -111,7 +111,7 @@ JOIN (SELECT company_key, corporation_type_label AS main_type FROM c GROUP BY 1,
 (SELECT rep_key, company_key, count(*) AS office_count, avg(average_wage_yen) AS mean_wage FROM c GROUP BY 1, 2) g JOIN (SELECT rep_key, company_key, corporation_name AS company_name, corporation_number AS company_number, representative_raw AS representative_name FROM c
 QUALIFY row_number() OVER (PARTITION BY rep_key, company_key ORDER BY 100 * starts_with(corporation_name, 'group ')::INT + 20 * (corporation_number IS NOT NULL)::INT + length(corporation_name) DESC, corporation_name DESC, corporation_number DESC NULLS LAST, representative_raw DESC) = 1) p USING (rep_key, company_key)""", "c")),
     # peers
-    "peer_rank": (lambda t: r6(peers.peer_rank(peers.peer_rank(t.e, "primary_activity_type", W, "act"), "capacity_band_label", W, "cap"), "act_median", "act_mean", "cap_median", "cap_mean").select("office_no", *[f"{p}_{x}" for p in ("act", "cap") for x in ("count", "rank", "median", "mean")]), sql("SELECT office_no, " + ", ".join(f"CASE WHEN count(average_wage_yen) OVER {w} >= 3 AND {g} IS NOT NULL THEN {x} END AS {p}_{n}" for p, g in (("act", "primary_activity_type"), ("cap", "capacity_band_label")) for w in (f"(PARTITION BY {g})",) for n, x in (("count", f"count(average_wage_yen) OVER {w}"), ("rank", f"CASE WHEN average_wage_yen IS NOT NULL THEN rank() OVER (PARTITION BY {g} ORDER BY average_wage_yen DESC NULLS LAST) END"), ("median", f"median(average_wage_yen) OVER {w}"), ("mean", f"round(avg(average_wage_yen) OVER {w}, 6)"))) + " FROM e", "e")),
+    "peer_rank": (lambda t: r6(peers.peer_ranks(t.e, {"act": "primary_activity_type", "cap": "capacity_band_label"}, W), "act_median", "act_mean", "cap_median", "cap_mean").select("office_no", *[f"{p}_{x}" for p in ("act", "cap") for x in ("count", "rank", "median", "mean")]), sql("SELECT office_no, " + ", ".join(f"CASE WHEN count(average_wage_yen) OVER {w} >= 3 AND {g} IS NOT NULL THEN {x} END AS {p}_{n}" for p, g in (("act", "primary_activity_type"), ("cap", "capacity_band_label")) for w in (f"(PARTITION BY {g})",) for n, x in (("count", f"count(average_wage_yen) OVER {w}"), ("rank", f"CASE WHEN average_wage_yen IS NOT NULL THEN rank() OVER (PARTITION BY {g} ORDER BY average_wage_yen DESC NULLS LAST) END"), ("median", f"median(average_wage_yen) OVER {w}"), ("mean", f"round(avg(average_wage_yen) OVER {w}, 6)"))) + " FROM e", "e")),
     "percentile_rank_strict": (lambda t: peers.percentile_rank_strict(t.office, W).select("office_no", "percentile_rank"), sql("SELECT office_no, CASE WHEN average_wage_yen IS NOT NULL THEN CAST(floor(CAST(100 AS DOUBLE) * (rank() OVER (PARTITION BY average_wage_yen IS NULL ORDER BY average_wage_yen) - 1) / (SELECT n FROM s) + 0.5) AS BIGINT) END AS percentile_rank FROM office", "s")),
     "competition_profile": (lambda t: r6(peers.competition_profile(t.e, "area", "primary_activity_type", W, U), "area_mean_use").select("office_no", "area_count", "same_activity_count", "area_median_wage", "area_mean_use", "area_rank", "area_count_median"), sql("""SELECT office_no, area_count, same_activity_count, area_median_wage, area_mean_use, area_rank, (SELECT median(n) FROM (SELECT count(*) AS n FROM e GROUP BY area) x) AS area_count_median
 FROM (SELECT office_no, area, primary_activity_type, count(*) OVER (PARTITION BY area, primary_activity_type) AS same_activity_count FROM e) o JOIN (SELECT area, count(*) AS area_count, median(average_wage_yen) AS area_median_wage, round(avg(daily_user_capacity_ratio), 6) AS area_mean_use, CAST(row_number() OVER (ORDER BY count(*) DESC, min(ordinal)) AS INT) AS area_rank FROM e GROUP BY 1) a USING (area)""", "e")),

@@ -245,7 +245,7 @@ def test_exact_quantiles_equal_numpy(spark, seed):
     assert stats.exact_quantiles(df, "v", shares).first()[0] == pytest.approx(np.quantile([v for _, v in known], shares))
     got = {x.g: x._q for x in stats.exact_quantiles(df, "v", shares, ("g",)).collect()}
     assert got.keys() == {"a", "b", None} and all(q == pytest.approx(np.quantile([v for h, v in known if h == g], shares)) for g, q in got.items())
-    ranked = {(x.g, x._v): (x._smaller, x._all) for x in stats.ranked_values(df, "v", ("g",)).collect()}
+    ranked = {(x.g, x.v): (x.smaller, x.all) for x in stats.ranked_values(df, "v", ("g",)).collect()}
     for g, v in known:
         own = [w for h, w in known if h == g]
         assert ranked[g, v] == (sum(w < v for w in own), len(own))
