@@ -7,6 +7,7 @@ Records carry (``rec``, office_no, office_name, corporation_name, corporation_nu
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
-from ..sources.tables import checkpointed
+from ..sources.tables import checkpointed, discard
+from .graph import components
 
 
 def dedupe_first_wins(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -183,25 +185,70 @@ def link_ambiguity_filter(proposals: DataFrame, gap: float = 0.25, exempt: tuple
     return placed.join(two, "rec").filter(~(close & (F.col("score") == F.col("_s1")) & ~F.col("method").isin(*exempt))).select(*proposals.columns)
 
 
-def link_assign_one_to_one(proposals: DataFrame) -> DataFrame:
-    """Greedy one-to-one assignment in the order of ``_order`` by rounds of mutual best choices.
+#: Candidate pairs of one component that a task assigns on its own.
+TASK_PAIRS = 200_000
 
-    In a round every pair that is first for both its record and its directory row is taken, and their other pairs go.  The best pair of all is
-    always taken, so rounds end; under the total order the result is that of the sequential greedy.  Each round is written, which
-    ends its lineage.
-    """
-    spark = proposals.sparkSession
+
+def _mutual_best(pairs: DataFrame) -> DataFrame:
+    """Pairs that are first for both their record and their directory row."""
     key = F.struct((-F.expr(_LEVEL)).alias("a"), (-F.col("score")).alias("b"), (-F.col("strict_similarity")).alias("c"), (-F.col("relaxed_similarity")).alias("d"), (F.col("rule") == 0).alias("e"), F.col("rec").alias("f"), F.col("dir").alias("g"))
-    open_pairs, taken = checkpointed(proposals.withColumn("_key", key)), None
+    keyed = pairs.withColumn("_key", key)
+    by_rec, by_dir = keyed.groupBy("rec").agg(F.min("_key").alias("_kr")), keyed.groupBy("dir").agg(F.min("_key").alias("_kd"))
+    # the same pair may be proposed twice, as by an override; the key tells the two apart
+    return keyed.join(by_rec, "rec").join(by_dir, "dir").filter("_key = _kr and _key = _kd").select(*pairs.columns).dropDuplicates(["rec", "dir"])
+
+
+def _greedy(pairs: DataFrame, component: str) -> DataFrame:
+    """The sequential greedy inside each component: rows arrive in its order, and what a component has used is forgotten at its end."""
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, records, rows = None, set(), set()
+        for pdf in batches:
+            keep = []
+            for c, r, d in zip(pdf[component], pdf["rec"], pdf["dir"], strict=True):
+                if c != last:
+                    last, records, rows = c, set(), set()
+                free = r not in records and d not in rows
+                if free:
+                    records.add(r)
+                    rows.add(d)
+                keep.append(free)
+            yield pdf[keep]
+
+    return pairs.repartition(component).sortWithinPartitions(component, *_order()).mapInPandas(take, pairs.schema)
+
+
+def link_assign_one_to_one(proposals: DataFrame, task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """Greedy one-to-one assignment in the order of ``_order``.
+
+    Choices don't reach beyond a connected component of the graph of candidate pairs, so every component of at most ``task_pairs`` pairs is assigned in a single pass in one
+    task, many components a task, however long its chains of preferences are.  In larger components the mutual best pairs are taken, which the greedy takes under its total order, their
+    other pairs go, and what is left falls into components anew.  The best pair of all is always among them, so this ends.  A graph that fits a task as a whole needs no components.
+    """
+    columns, open_pairs, taken = proposals.columns, checkpointed(proposals), []
     while True:
-        by_rec = open_pairs.groupBy("rec").agg(F.min("_key").alias("_kr"))
-        by_dir = open_pairs.groupBy("dir").agg(F.min("_key").alias("_kd"))
-        chosen = checkpointed(open_pairs.join(by_rec, "rec").join(by_dir, "dir").filter("_key = _kr and _key = _kd").select(*open_pairs.columns))
-        if chosen.isEmpty():
+        n = open_pairs.count()
+        if n <= task_pairs:
+            taken.append(checkpointed(_greedy(open_pairs.withColumn("_component", F.lit(0).cast("long")), "_component")))
+            discard(open_pairs)
             break
-        taken = chosen if taken is None else taken.unionByName(chosen)
-        open_pairs = checkpointed(open_pairs.join(chosen.select("rec"), "rec", "left_anti").join(chosen.select("dir"), "dir", "left_anti"))
-    return (taken if taken is not None else spark.createDataFrame([], open_pairs.schema)).drop("_key")
+        node = lambda c, i: 2 * F.col(c).cast("long") + i
+        of = components(open_pairs.select(node("rec", 0).alias("u"), node("dir", 1).alias("v")))
+        marked = checkpointed(open_pairs.join(of.withColumnsRenamed({"node": "_node", "component": "_component"}), node("rec", 0) == F.col("_node")).drop("_node"))
+        discard(open_pairs, of)
+        sizes = checkpointed(marked.groupBy("_component").agg(F.count("*").alias("_n")).filter(F.col("_n") > task_pairs))
+        taken.append(checkpointed(_greedy(marked.join(sizes, "_component", "left_anti"), "_component")))
+        large = marked.join(sizes, "_component", "left_semi")
+        best = checkpointed(_mutual_best(large.drop("_component")).withColumn("_component", F.lit(0).cast("long")))
+        taken.append(best)
+        open_pairs = checkpointed(large.join(best.select("rec"), "rec", "left_anti").join(best.select("dir"), "dir", "left_anti").select(*columns))
+        discard(marked, sizes)
+    out = taken[0]
+    for more in taken[1:]:
+        out = out.unionByName(more)
+    done = checkpointed(out.select(*columns))
+    discard(*taken)
+    return done
 
 
 def link(offices: DataFrame, directory: DataFrame, overrides: DataFrame | None = None, tokens: tuple[str, ...] = T.RELAXED_TOKENS, nfkc: bool = True) -> DataFrame:
