@@ -89,13 +89,13 @@ def link_area_narrowing(pairs: DataFrame) -> DataFrame:
     return marked.join(some, "rec").filter("agrees or not _some").drop("_some", "agrees")
 
 
-def paired(pairs: DataFrame, records: DataFrame, directory: DataFrame) -> DataFrame:
-    """Both sides' cleaned columns beside each pair, the number of directory rows with the record's number, and whether numbers and companies agree."""
+def paired(pairs: DataFrame, records: DataFrame, directory: DataFrame, *keep: str) -> DataFrame:
+    """Both sides' cleaned columns beside each pair (and the columns of ``pairs`` named in ``keep``), the number of directory rows with the record's number, and whether numbers and companies agree."""
     same = F.coalesce(F.col("rec_number") == F.col("dir_number"), F.lit(False))
     company = (F.col("rec_company") == F.col("dir_company")) & (F.col("rec_company") != "")
     by_number = directory.filter("dir_number is not null").groupBy(F.col("dir_number").alias("rec_number")).agg(F.count("*").alias("number_candidates"))
     sided = records.join(by_number, "rec_number", "left")
-    return pairs.select("rec", "dir", "mode").join(sided, "rec").join(directory, "dir").withColumns({"same_number": same, "same_company": company, "number_candidates": F.coalesce("number_candidates", F.lit(0))})
+    return pairs.select("rec", "dir", "mode", *keep).join(sided, "rec").join(directory, "dir").withColumns({"same_number": same, "same_company": company, "number_candidates": F.coalesce("number_candidates", F.lit(0))})
 
 
 @F.pandas_udf(DoubleType())
@@ -105,8 +105,6 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     for x, y in zip(a, b, strict=True):
         if not x or not y:
             out.append(0.0)
-        elif len(y) < 200 and (x in y or y in x):  # all of the shorter one matches
-            out.append(2.0 * min(len(x), len(y)) / (len(x) + len(y)))
         else:
             if y != last:
                 matcher.set_seq2(y)
@@ -116,24 +114,79 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def common_suffix(a: Column, b: Column) -> Column:
-    """Length of the longest common ending."""
-    longest = F.least(F.length(a), F.length(b))
-    tails = F.filter(F.sequence(F.lit(0), longest), lambda i: F.right(a, i) == F.right(b, i))
-    return F.array_max(tails)
+#: From this length on the matcher leaves out frequent characters of the second text, and a contained text doesn't match as a whole.
+_LONG = 200
 
 
-def link_similarity(pairs: DataFrame) -> DataFrame:
-    """Adds strict and relaxed similarity (4 digits), suffix length, equal and contained names, and capacities equal or within 2."""
+def known_ratio(a: Column, b: Column) -> Column:
+    """The ratio where it needs no matching: an empty text, or one inside the other; else null."""
+    inside = (F.length(b) < _LONG) & (F.contains(a, b) | F.contains(b, a))
+    return F.when((a == "") | (b == ""), 0.0).when(inside, 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b)))
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """At least the ratio: matched characters are no more than the shorter text has, nor than both have in common as multisets."""
+    n = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    common = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda sum_, c: sum_ + F.when(c == "", 0).otherwise(F.least(n(a, c), n(b, c))))
+    return F.when((a == "") | (b == ""), 0.0).otherwise(2.0 * common / (F.length(a) + F.length(b)))
+
+
+def _reaches(a: Column, b: Column, least: float) -> Column:
+    """Whether the ratio may be ``least`` or more when it is rounded to four digits; lengths first, characters only where those allow it."""
+    least -= 5e-5 + 1e-9
+    lengths = 2.0 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
+    return F.when(lengths, ratio_bound(a, b) >= least).otherwise(False)
+
+
+def _evidence() -> dict[str, Column]:
+    """What the rules ask besides ratios, of a row of ``paired``."""
     inside = lambda a, b: (F.col(a) != "") & (F.col(b) != "") & (F.contains(a, b) | F.contains(b, a))
     gap = F.abs(F.col("rec_capacity") - F.col("dir_capacity"))
-    return pairs.withColumns({
-        "strict_similarity": F.round(sequence_ratio("rec_strict", "dir_strict"), 4), "relaxed_similarity": F.round(sequence_ratio("rec_relaxed", "dir_relaxed"), 4),
-        "suffix": common_suffix(F.col("rec_relaxed"), F.col("dir_relaxed")),
+    return {
         "strict_equal": (F.col("rec_strict") == F.col("dir_strict")) & (F.col("rec_strict") != ""), "relaxed_equal": (F.col("rec_relaxed") == F.col("dir_relaxed")) & (F.col("rec_relaxed") != ""),
         "strict_inside": inside("rec_strict", "dir_strict"), "relaxed_inside": inside("rec_relaxed", "dir_relaxed"),
         "capacity_equal": F.coalesce(gap == 0, F.lit(False)), "capacity_close": F.coalesce(gap <= 2, F.lit(False)),
-    })
+    }
+
+
+def acceptable() -> Column:
+    """Whether any rule of the cascade can hold for a row of ``paired``, with bounds in place of ratios: exact, only too generous."""
+    e, c = _evidence(), F.col
+    s, r = (c("rec_strict"), c("dir_strict")), (c("rec_relaxed"), c("dir_relaxed"))
+    ending = (F.length(r[0]) >= 2) & (F.right(r[0], F.lit(2)) == F.right(r[1], F.lit(2)))
+    number = c("same_number") & (
+        e["strict_equal"] | e["strict_inside"] | ending | ((e["relaxed_equal"] | e["relaxed_inside"]) & (e["capacity_equal"] | (c("number_candidates") == 1)))
+        | _reaches(*s, 0.92) | (_reaches(*s, 0.78) & _reaches(*r, 0.88)))
+    company = c("same_company") & (e["strict_equal"] | e["relaxed_equal"] | ending)
+    unique = (e["strict_equal"] & (c("n_strict") == 1)) | (e["relaxed_equal"] & (c("n_relaxed") == 1) & _reaches(*s, 0.72))
+    return number | company | unique
+
+
+def common_suffix(a: Column, b: Column) -> Column:
+    """Length of the longest common ending: where the reversed texts first differ."""
+    same = F.zip_with(F.split(F.reverse(a), ""), F.split(F.reverse(b), ""), lambda x, y: x.eqNullSafe(y))
+    differ = F.array_position(same, False).cast("int")
+    return F.when((a == "") | (b == ""), 0).otherwise(F.when(differ > 0, differ - 1).otherwise(F.least(F.length(a), F.length(b))))
+
+
+def names_to_match(pairs: DataFrame) -> DataFrame:
+    """(a, b): the distinct pairs of names, strict and relaxed, whose ratio needs the matcher."""
+    each = F.array(*[F.struct(F.col(f"rec_{k}").alias("a"), F.col(f"dir_{k}").alias("b")) for k in ("strict", "relaxed")])
+    return pairs.select(F.explode(each).alias("n")).select("n.*").filter(known_ratio(F.col("a"), F.col("b")).isNull()).distinct()
+
+
+def link_similarity(pairs: DataFrame) -> DataFrame:
+    """Adds strict and relaxed similarity (4 digits), suffix length, equal and contained names, and capacities equal or within 2.
+
+    Each distinct pair of names is matched once, and only where containment doesn't tell the ratio; ``pairs`` is read three times.
+    """
+    ratios = checkpointed(names_to_match(pairs).withColumn("ratio", sequence_ratio("a", "b")))
+    for kind in ("strict", "relaxed"):
+        a, b = F.col(f"rec_{kind}"), F.col(f"dir_{kind}")
+        found = ratios.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("ratio").alias("_ratio"))
+        known = known_ratio(a, b)
+        pairs = pairs.join(found, (a == F.col("_a")) & (b == F.col("_b")), "left").withColumn(f"{kind}_similarity", F.round(F.coalesce(known, F.col("_ratio")), 4)).drop("_a", "_b", "_ratio")
+    return pairs.withColumns({"suffix": common_suffix(F.col("rec_relaxed"), F.col("dir_relaxed"))} | _evidence())
 
 
 def link_rule_cascade(pairs: DataFrame) -> DataFrame:
@@ -265,8 +318,11 @@ def candidate_pairs(r: DataFrame, d: DataFrame) -> DataFrame:
     return blocks.select("rec", "dir", "mode").unionByName(link_name_only_fallback(r, d, blocks))
 
 
-def proposed(r: DataFrame, d: DataFrame) -> DataFrame:
-    return link_rule_cascade(link_similarity(link_area_narrowing(paired(candidate_pairs(r, d), r, d))))
+def proposed(r: DataFrame, d: DataFrame, most_pairs: int | None = None) -> DataFrame:
+    """All pairs that a rule accepts, from blocks of any size (``blocking``)."""
+    from . import blocking
+
+    return link_rule_cascade(link_similarity(blocking.bounded_candidates(r, d, blocking.BLOCK_PAIRS if most_pairs is None else most_pairs)))
 
 
 def link_match_report(chosen: DataFrame, offices: DataFrame, directory: DataFrame) -> DataFrame:

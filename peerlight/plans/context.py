@@ -83,9 +83,13 @@ class Tables:
     def candidates(self) -> DataFrame:
         return self._once("candidates", lambda: linkage.paired(linkage.candidate_pairs(self.records, self.listed), self.records, self.listed))
 
+    @cached_property
+    def narrowed(self) -> DataFrame:
+        return self._once("narrowed", lambda: linkage.link_area_narrowing(self.candidates))
+
     @cached_property
     def proposals(self) -> DataFrame:
-        made = lambda: linkage.link_rule_cascade(linkage.link_similarity(linkage.link_area_narrowing(self.candidates)))
+        made = lambda: linkage.proposed(self.records, self.listed)
         return self._once("proposals", lambda: made().select(*linkage.PROPOSAL).unionByName(linkage.link_overrides(self.overrides, self.records, self.listed).select(*linkage.PROPOSAL)))
 
     @cached_property

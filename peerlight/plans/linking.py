@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
 from ..functions import text as T
-from ..operators import enrich, linkage, pages
+from ..operators import blocking, enrich, linkage, pages
 from ..sources import tables
 from .context import LEGAL, ROLES, SOCIAL_HOSTS, TOKENS, sql
 
@@ -95,14 +95,14 @@ def _known(kind: str):
 
 
 def _similarity(t):
-    s = linkage.link_similarity(linkage.link_area_narrowing(t.candidates))
+    s = linkage.link_similarity(t.narrowed)
     known = [F.when(_known(k), F.col(f"{k}_similarity")).alias(f"known_{k}_similarity") for k in ("strict", "relaxed")]
     return s.select("rec", "dir", *known, "suffix", "strict_equal", "relaxed_equal", "strict_inside", "relaxed_inside", "capacity_equal", "capacity_close")
 
 
 def _cascade(t):
     """The ten rules on the pairs whose ratios SQL can tell."""
-    s = linkage.link_similarity(linkage.link_area_narrowing(t.candidates))
+    s = linkage.link_similarity(t.narrowed)
     return linkage.link_rule_cascade(s.filter(_known("strict") & _known("relaxed"))).select(*linkage.PROPOSAL)
 
 
@@ -234,8 +234,9 @@ rec_strict <> '' AND dir_strict <> '' AND (contains(rec_strict, dir_strict) OR c
     "link_ambiguity_filter_known": (lambda t: linkage.link_ambiguity_filter(_cascade(t)).select("rec", "dir", "rule", "score"), _with("SELECT rec, dir, rule, score FROM am WHERE NOT (coalesce(abs(s1 - s2) < 0.25, false) AND score = s1 AND method NOT IN ('corp_exact_name_strict', 'corp_name_exact_name_strict'))", _CASCADE + ",\n" + _AMBIGUOUS, "q")),
     "link_end_to_end": (lambda t: linkage.link(t.office, t.directory, t.overrides, TOKENS, nfkc=False).select("rec", "dir", "rule", "confidence", "method", "score"), None),
     # all columns, pairs and rules, which SQL can't reproduce: tests compare them with difflib
-    "link_similarity_all": (lambda t: linkage.link_similarity(linkage.link_area_narrowing(t.candidates)).select("rec", "dir", *SIMILARITY), None),
+    "link_similarity_all": (lambda t: linkage.link_similarity(t.narrowed).select("rec", "dir", *SIMILARITY), None),
     "link_rule_cascade_all": (lambda t: t.proposals.filter("rule > 0").select(*linkage.PROPOSAL), None),
+    "link_matcher_report": (lambda t: blocking.matcher_report(t.narrowed), None),
     "link_overrides": (lambda t: linkage.link_overrides(t.overrides, t.records, t.listed).select("rec", "dir", "method", "score"), sql("SELECT o.ordinal AS rec, d.dir, 'manual_override' AS method, CAST(1000 AS DOUBLE) AS score FROM office o JOIN d ON d.office_number = 'D' || (o.ordinal + 2) WHERE o.ordinal % 97 = 0", "d")),
     "link_ambiguity_filter": (lambda t: linkage.link_ambiguity_filter(t.proposals).select("rec", "dir", "rule", "score"), None),
     "link_assign_one_to_one": (lambda t: t.chosen.select("rec", "dir", "rule", "confidence", "method", "score"), None),
