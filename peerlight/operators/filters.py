@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpointed
+
 #: Filter name to column; values are compared as they are, a null of the listed ones reads as a word.
 EQUALITY = {
     "municipality": "municipality", "type": "corporation_type_label", "response_status": "response_status", "wage_band": "wage_band_label",
@@ -87,11 +89,34 @@ def sort_records(df: DataFrame, column: str, descending: bool = False, **how) ->
     return df.orderBy(*sort_keys(df, column, descending, **how))
 
 
-def page_rows(df: DataFrame, keys: list[Column], page: int, size: int = 50) -> DataFrame:
-    """A page of the sorted rows; page numbers outside the range mean its nearest end."""
-    pages = max(1, -(-df.count() // size))
-    at = min(max(page, 1), pages)
-    return df.orderBy(*keys).offset((at - 1) * size).limit(size)
+#: Rows that are sorted together to find a page, about.
+PAGE_RANGE_ROWS = 100_000
+
+
+def page_ranges(df: DataFrame, keys: list[Column], rows: int, range_rows: int) -> tuple[DataFrame, dict[int, int]]:
+    """``df`` dealt into ranges of the sort keys of about ``range_rows`` rows as ``_part``, and how many rows each range has."""
+    dealt = checkpointed(df.repartitionByRange(-(-rows // range_rows), *keys).withColumn("_part", F.spark_partition_id()))
+    return dealt, dict(dealt.groupBy("_part").agg(F.count("*")).orderBy("_part").collect())  # a row a range
+
+
+def page_rows(df: DataFrame, keys: list[Column], page: int, size: int = 50, range_rows: int = PAGE_RANGE_ROWS) -> DataFrame:
+    """A page of the sorted rows; page numbers outside the range mean its nearest end.
+
+    A page far from the start is found by counting ranges of the keys, and only the ranges that it lies in are sorted.
+    """
+    rows = df.count()
+    at = min(max(page, 1), max(1, -(-rows // size)))
+    skip = (at - 1) * size
+    if skip + size <= range_rows:
+        return df.orderBy(*keys).offset(skip).limit(size)
+    dealt, counts = page_ranges(df, keys, rows, range_rows)
+    before, wanted, start = 0, [], 0
+    for part, n in sorted(counts.items()):
+        if before < skip + size and before + n > skip:
+            start = start if wanted else before
+            wanted.append(part)
+        before += n
+    return dealt.filter(F.col("_part").isin(wanted)).drop("_part").orderBy(*keys).offset(skip - start).limit(size)
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

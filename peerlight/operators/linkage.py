@@ -325,10 +325,19 @@ def proposed(r: DataFrame, d: DataFrame, most_pairs: int | None = None) -> DataF
     return link_rule_cascade(link_similarity(blocking.bounded_candidates(r, d, blocking.BLOCK_PAIRS if most_pairs is None else most_pairs)))
 
 
-def link_match_report(chosen: DataFrame, offices: DataFrame, directory: DataFrame) -> DataFrame:
-    o = offices.select(F.col("ordinal").alias("rec"), "office_no", "office_name", "corporation_name", "municipality", "capacity")
-    d = directory.select(F.col("ordinal").alias("dir"), "office_number", F.col("office_name").alias("directory_office_name"), F.col("corporation_name").alias("directory_corporation_name"), F.col("office_address_city").alias("directory_city"), "office_capacity")
-    return chosen.join(o, "rec").join(d, "dir")
+def link_match_report(chosen: DataFrame, offices: DataFrame, directory: DataFrame, tokens: tuple[str, ...] = T.RELAXED_TOKENS, nfkc: bool = True, overrides: DataFrame | None = None, order: str = "ordinal") -> DataFrame:
+    """Chosen pairs with both sides' fields and the evidence: common ending of the relaxed names, capacities equal or within 2, and the reason of a manual pair.
+
+    ``overrides`` has (record_office_no, directory_office_number, reason); the last row of a record counts, as in ``link_overrides``.
+    """
+    o = offices.select(F.col("ordinal").alias("rec"), "office_no", "office_name", "corporation_name", "municipality", "capacity", T.relaxed_name(F.col("office_name"), tokens, nfkc).alias("_a"))
+    d = directory.select(F.col("ordinal").alias("dir"), "office_number", F.col("office_name").alias("directory_office_name"), F.col("corporation_name").alias("directory_corporation_name"), F.col("office_address_city").alias("directory_city"), "office_capacity", T.relaxed_name(F.col("office_name"), tokens, nfkc).alias("_b"))
+    gap = F.abs(F.col("capacity") - F.col("office_capacity"))
+    out = chosen.join(o, "rec").join(d, "dir").withColumns({"suffix_length": common_suffix(F.col("_a"), F.col("_b")), "capacity_exact": F.coalesce(gap == 0, F.lit(False)), "capacity_close": F.coalesce(gap <= 2, F.lit(False))}).drop("_a", "_b")
+    if overrides is None:
+        return out.withColumn("override_reason", F.lit(None).cast("string"))
+    last = overrides.groupBy(F.col("record_office_no").alias("_no")).agg(F.max_by("reason", order).alias("_reason"))
+    return out.join(last, F.col("office_no") == F.col("_no"), "left").withColumn("override_reason", F.when(F.col("method") == "manual_override", F.col("_reason"))).drop("_no", "_reason")
 
 
 def link_merge_fields(offices: DataFrame, directory: DataFrame, chosen: DataFrame, prefix: str = "dir_") -> DataFrame:

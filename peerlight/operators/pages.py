@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import checkpointed, discard
 
 # Hosts by class, suffixes that aren't pages, path words that tell a site's inner pages.
 SOCIAL = ("instagram.com", "www.instagram.com", "m.instagram.com", "facebook.com", "www.facebook.com", "x.com", "www.x.com", "twitter.com", "www.twitter.com", "tiktok.com", "www.tiktok.com", "youtube.com", "www.youtube.com")
@@ -81,24 +82,57 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
     return robots.select(T.url_host(T.canonical_url(F.col("url"))).alias("host"), F.explode(lines).alias("raw")).select("host", T.canonical_url(F.col("raw")).alias("url")).filter("url is not null").distinct()
 
 
-def profile_reachability(pages: DataFrame, links: DataFrame, profiles: DataFrame, inner: DataFrame, bridges: DataFrame, maps: DataFrame | None = None) -> DataFrame:
-    """(page_id, profile, phase): the first profile that a start page reaches, over stored pages.
+def page_outcomes(pages: DataFrame, profiles: DataFrame, inner: DataFrame, bridges: DataFrame) -> DataFrame:
+    """(id, own, bridged, next): of each page its first profile, the first one of its bridges in their order, and its inner pages in theirs; only stored pages count.
 
-    Phases: 0 the page, 1 its bridges, 2 its inner pages (place order) and 3 their bridges, 4 pages of the site's map.  Depth is
-    fixed at two links; ``profiles`` has (page_id, profiles), ``inner`` and ``bridges`` (page_id, url, place).
+    A link means the stored page with the smallest id of that URL.  ``profiles`` has (page_id, profiles), ``inner`` and ``bridges`` (page_id, url, place), a few for each page.
     """
-    first = profiles.select("page_id", F.element_at(F.when(F.size("profiles") > 0, F.col("profiles")), 1).alias("profile")).filter("profile is not null")
-    at = pages.select(F.col("page_id").alias("_id"), T.canonical_url(F.col("url")).alias("_url")).groupBy("_url").agg(F.min("_id").alias("_id"))
-    step = lambda via: via.join(at, via.url == F.col("_url")).select("page_id", F.col("_id").alias("via"), "place")
-    near, inside = step(bridges), step(inner)
-    of = lambda steps, phase: steps.join(first.withColumnRenamed("page_id", "via"), "via").select("page_id", "profile", F.lit(phase).alias("phase"), "place")
-    found = first.select("page_id", "profile", F.lit(0).alias("phase"), F.lit(0).alias("place")).unionByName(of(near, 1)).unionByName(of(inside, 2))
-    second = inside.select("page_id", "via", F.col("place").alias("p")).join(near.select(F.col("page_id").alias("via"), F.col("via").alias("to"), F.col("place").alias("q")), "via").select("page_id", F.col("to").alias("via"), (F.col("p") * 100 + F.col("q")).alias("place"))
-    found = found.unionByName(of(second, 3))
+    first = profiles.select(F.col("page_id").alias("id"), F.get("profiles", F.lit(0)).alias("own")).filter("own is not null")
+    at = pages.select(F.col("page_id").alias("_id"), T.canonical_url(F.col("url")).alias("_url")).filter("_url is not null").groupBy("_url").agg(F.min("_id").alias("_id"))
+    step = lambda via: via.join(at, via.url == F.col("_url")).select("page_id", F.col("_id").alias("to"), "place")
+    bridged = step(bridges).join(first.select(F.col("id").alias("to"), "own"), "to").groupBy(F.col("page_id").alias("id")).agg(F.min(F.struct("place", "own")).alias("_b")).select("id", F.col("_b.own").alias("bridged"))
+    follow = step(inner).groupBy(F.col("page_id").alias("id")).agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("place", "to"))), lambda x: x["to"])).alias("next"))
+    ids = pages.select(F.col("page_id").alias("id")).distinct()
+    out = ids.join(first, "id", "left").join(bridged, "id", "left").join(follow, "id", "left")
+    return out.withColumn("next", F.coalesce("next", F.array().cast("array<long>")))
+
+
+def profile_reachability(pages: DataFrame, links: DataFrame, profiles: DataFrame, inner: DataFrame, bridges: DataFrame, maps: DataFrame | None = None, checks: int = 8, map_checks: int = 4) -> DataFrame:
+    """(page_id, profile, phase): the first profile that a start page reaches over stored pages, as a queue of pages finds it.
+
+    Phases: 0 the page itself, 1 its bridges, 2 an inner page, 3 the bridges of an inner page, 4 a page of the site's map, 5 its bridges.  At most ``checks`` inner pages are visited, in the order in which
+    they were met: a page's inner links join the queue when it is visited, unless they are in it or have been visited, so the depth isn't bounded, only the number of pages.  Then come
+    ``map_checks`` pages of the map (``maps``: host, url, place) that were neither visited nor waiting.
+
+    A round visits the next page of every start page that is still searching: one join of the frontier with the pages' outcomes.  The frontier has a row a start page, with
+    its queue and what it has visited, both of bounded length; it is written after each round.
+    """
+    nodes = checkpointed(page_outcomes(pages, profiles, inner, bridges))
+    found = lambda own, bridged, at: F.when(own.isNotNull(), F.struct(own.alias("profile"), F.lit(at).alias("phase"))).when(bridged.isNotNull(), F.struct(bridged.alias("profile"), F.lit(at + 1).alias("phase")))
+    c = F.col
+    state = checkpointed(nodes.select(c("id").alias("page_id"), found(c("own"), c("bridged"), 0).alias("got"), c("next").alias("queue"), F.array().cast("array<long>").alias("seen")))
+    done = state.filter("got is not null").select("page_id", "got")
+    written, searching = [state], state.filter("got is null").drop("got")
+    for _ in range(checks):
+        head = F.get("queue", F.lit(0))
+        moved = searching.join(nodes.select(c("id").alias("_id"), "own", "bridged", "next"), head == c("_id"), "left")
+        rest, seen = F.slice("queue", 2, F.greatest(F.size("queue"), F.lit(1))), F.when(head.isNotNull(), F.array_append("seen", head)).otherwise(c("seen"))
+        more = F.filter(F.coalesce("next", F.array().cast("array<long>")), lambda x: ~F.array_contains(rest, x) & ~F.array_contains(seen, x))
+        state = checkpointed(moved.select("page_id", found(c("own"), c("bridged"), 2).alias("got"), F.concat(rest, more).alias("queue"), seen.alias("seen")))
+        written.append(state)
+        done = done.unionByName(state.filter("got is not null").select("page_id", "got"))
+        searching = state.filter("got is null").drop("got")
     if maps is not None:
-        hosts = pages.select("page_id", T.url_host(T.canonical_url(F.col("url"))).alias("host"))
-        found = found.unionByName(of(step(hosts.join(maps.filter("place <= 4"), "host").select("page_id", "url", "place")), 4))
-    return found.groupBy("page_id").agg(F.min(F.struct("phase", "place", "profile")).alias("_x")).select("page_id", "_x.profile", "_x.phase")
+        at = pages.select(c("page_id").alias("_id"), T.canonical_url(c("url")).alias("_url")).filter("_url is not null").groupBy("_url").agg(F.min("_id").alias("_id"))
+        listed = maps.join(at, maps.url == c("_url")).groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", c("_id").alias("to")))), lambda x: x["to"]).alias("_map"))
+        hosts = pages.select("page_id", T.url_host(T.canonical_url(c("url"))).alias("host")).distinct()
+        fresh = F.slice(F.filter("_map", lambda x: ~F.array_contains("seen", x) & ~F.array_contains("queue", x)), 1, map_checks)
+        tried = searching.join(hosts, "page_id").join(listed, "host").select("page_id", F.posexplode(fresh).alias("_p", "_to")).join(nodes, c("_to") == c("id"))
+        of_map = tried.withColumn("got", found(c("own"), c("bridged"), 4)).filter("got is not null").groupBy("page_id").agg(F.min(F.struct("_p", "got")).alias("_x")).select("page_id", c("_x.got").alias("got"))
+        done = done.unionByName(of_map)
+    out = checkpointed(done.select("page_id", "got.profile", "got.phase"))
+    discard(nodes, *written)
+    return out
 
 
 def extract_labelled_fields(pages: DataFrame, label: str, value: str, wanted: tuple[str, ...]) -> DataFrame:
@@ -157,10 +191,11 @@ def pick_best_candidate(scored: DataFrame, key: str, position: str, least: int =
 
 def stitch_multiline_rows(texts: DataFrame, key: str, text: str, start: str = "^[0-9]{10}", skip: str = "^\\s*$") -> DataFrame:
     """(key, row, content): lines that match ``start`` open a row, others are appended to it with a space; skipped lines and those before the first row go."""
-    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(skip))
-    # rows are folded inside a document: no shuffle, and no document's lines are gathered anew
-    folded = F.aggregate(lines, F.array().cast("array<string>"), lambda acc, x: F.when(x.rlike(start), F.concat(acc, F.array(F.trim(x)))).when(F.size(acc) > 0, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", F.element_at(acc, -1), F.trim(x))))).otherwise(acc))
-    return texts.select(key, F.posexplode(folded).alias("row", "content"))
+    lines = texts.select(key, F.filter(F.split(text, "\n"), lambda x: ~x.rlike(skip)).alias("_lines"))
+    # where rows open, once; a row is the slice up to the next opening, so each line is copied once, in the task that has the document
+    opened = lines.select(key, "_lines", F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(start), i + 1)), lambda i: i.isNotNull()).alias("_open"))
+    rows = F.transform("_open", lambda i, k: F.array_join(F.transform(F.slice("_lines", i, F.coalesce(F.get("_open", k + 1), F.size("_lines") + 1) - i), lambda x: F.trim(x)), " "))
+    return opened.select(key, F.posexplode(rows).alias("row", "content"))
 
 
 def parse_stitched_rows(rows: DataFrame, shape: str = "^([0-9]{10})\\s+(.+?)\\s+大阪市", url: str = "(?i)(?:https?://|https//|http//|hxxps?://|hyyps?://|www\\.)[^\\s\\u3000]+") -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
 from ..functions import text as T
+from ..functions.numbers import coerce_numeric
 from ..operators import blocking, enrich, linkage, pages
 from ..sources import tables
 from .context import LEGAL, ROLES, SOCIAL_HOSTS, TOKENS, sql
@@ -35,11 +35,10 @@ def _document(t):
 
 
 def _manifest(t):
-    path = _chunk_documents(t, 250)
-    names = [f"chunk={n}" for n in range(-(-t.office.count() // 250))]
-    manifest = t.spark.createDataFrame([(json.dumps({"data_files": {"record_chunks": names}}),)], "value string")
-    manifest.coalesce(1).write.text(f"{path}/manifest")
-    return tables.read_manifest_chunks(t.spark, path, "manifest", OFFICE_FIELDS)
+    """What ``write_chunks`` has written, read by its manifest."""
+    path = _folder(t)
+    tables.write_chunks(t.office.select("ordinal", "office_no", "office_name", "capacity", "average_wage_yen"), path, "ordinal")
+    return tables.read_manifest_chunks(t.spark, path, tables.MANIFEST, OFFICE_FIELDS)
 
 
 def _csv(t):
@@ -49,10 +48,17 @@ def _csv(t):
     return found.unionByName(tables.read_csv_lookup(t.spark, path + "-missing", ("record_office_no", "directory_office_number", "reason", "absent")))
 
 
+def _reasons(t):
+    return t.overrides.withColumn("reason", F.concat(F.lit("row "), F.col("ordinal").cast("string")))
+
+
+_RELAXED = "replace(replace(replace(regexp_replace(lower({}), '[\\p{{P}}\\p{{S}}\\s]', '', 'g'), 'works', ''), 'center', ''), 'office', '')"
+
+
 def _outputs(t):
     path = _folder(t)
     slim = t.office.select("office_no", "office_name", "corporation_number", "average_wage_yen")
-    tables.write_table_outputs(slim, path)
+    tables.write_table_outputs(slim, path, linkage.link_match_report(t.simple, t.office, t.directory, TOKENS, False), linkage.link_coverage_summary(t.office, t.directory, t.simple))
     schema = "office_no string, office_name string, corporation_number string, average_wage_yen double"
     back = lambda kind, df: df.select(F.lit(kind).alias("kind"), *slim.columns)
     return back("json", t.spark.read.schema(schema).json(f"{path}/json")).unionByName(back("csv", t.spark.read.schema(schema).option("header", True).csv(f"{path}/csv")))
@@ -188,7 +194,8 @@ def _reach(t):
     profiles = pages.extract_profile_links(p, "/th[a-z]{12,20}\\b")
     inner = pages.rank_internal_links(t.links, _WORDS)
     bridges = pages.extract_bridge_links(t.links, BRIDGE_HOSTS)
-    return pages.profile_reachability(p, t.links, profiles, inner, bridges)
+    maps = pages.sitemap_pages(t.links.select(F.col("base").alias("url"), F.concat(F.lit("<urlset><loc>"), "url", F.lit("</loc></urlset>")).alias("body")), _WORDS)
+    return pages.profile_reachability(p, t.links, profiles, inner, bridges, maps)
 
 
 _SIX = ("daily_user_capacity_ratio", "ratio_to_overall_mean", "ratio_to_municipality_mean", "ratio_to_type_mean", "ratio_to_capacity_band_mean", "z_score", "home_use_user_ratio_pct")
@@ -219,7 +226,7 @@ QUERIES = {
     "canonicalize_urls": (lambda t: t.table("pages").select("page_id", T.canonical_url(F.col("url")).alias("url")).unionByName(t.directory.select(F.col("ordinal").alias("page_id"), T.canonical_url(F.regexp_replace("office_url", "^https", "hxxps")).alias("url"))), sql(f"SELECT page_id, {_url('url')} AS url FROM pages UNION ALL SELECT ordinal, {_url('office_url')} FROM directory", "directory")),
     "classify_hosts": (lambda t: t.links.select("page_id", "url", pages.host_class(T.url_host(F.col("url")), ("the.example.com",), ("and.example.com",), ("of.example.com",)).alias("host_class"), pages.page_like(F.col("url")).alias("page_like")), _with(f"SELECT page_id, url, CASE {_HOST('url')} WHEN 'the.example.com' THEN 'social' WHEN 'and.example.com' THEN 'directory' WHEN 'of.example.com' THEN 'bridge' ELSE 'homepage' END AS host_class, NOT regexp_matches(lower({_PATH('url')}), '{_NOT}') AS page_like FROM links", _LINKS)),
     "normalize_profile_urls": (lambda t: t.directory.select("office_number", T.profile_url(T.canonical_url(F.col("office_url")), SOCIAL_HOSTS, ("user1", "user2"), "https://social.example.com/").alias("profile")), sql("SELECT office_number, CASE WHEN starts_with(office_url, 'https://social.') AND split_part(office_url, '/', 4) NOT IN ('user1', 'user2') THEN 'https://social.example.com/' || split_part(office_url, '/', 4) || '/' END AS profile FROM directory", "directory")),
-    "coerce_numeric": (lambda t: t.office.select("office_no", F.round(F.col("average_wage_yen").try_cast("double"), 3).alias("wage"), F.nullif(F.trim("corporation_number"), F.lit("")).try_cast("double").alias("bad"), F.regexp_replace("corporation_number", "N", " ").try_cast("double").alias("number")), sql("SELECT office_no, round(average_wage_yen, 3) AS wage, TRY_CAST(corporation_number AS DOUBLE) AS bad, TRY_CAST(trim(replace(corporation_number, 'N', ' ')) AS DOUBLE) AS number FROM office", "office")),
+    "coerce_numeric": (lambda t: t.office.select("office_no", coerce_numeric(F.col("average_wage_yen"), 3).alias("wage"), coerce_numeric(F.col("corporation_number")).alias("bad"), coerce_numeric(F.regexp_replace("corporation_number", "N", " ")).alias("number")), sql("SELECT office_no, round(average_wage_yen, 3) AS wage, TRY_CAST(corporation_number AS DOUBLE) AS bad, TRY_CAST(trim(replace(corporation_number, 'N', ' ')) AS DOUBLE) AS number FROM office", "office")),
     # linkage
     "dedupe_first_wins": (lambda t: linkage.dedupe_first_wins(t.raw_directory.withColumn("office_number", F.when(F.col("ordinal") % 40 == 1, " ").otherwise(F.col("office_number"))), "office_number", "ordinal").select("office_number", "ordinal", "office_capacity"), sql("SELECT CASE WHEN ordinal % 40 = 1 THEN ' ' ELSE office_number END AS office_number, ordinal, office_capacity FROM raw_directory QUALIFY ordinal % 40 = 1 OR row_number() OVER (PARTITION BY office_number, ordinal % 40 = 1 ORDER BY ordinal) = 1", "raw_directory")),
     "link_focus_filter": (lambda t: linkage.link_focus_filter(t.office, "municipality", ("NATION_3", "NATION_7", "NATION_11")).select("office_no", "municipality"), sql("SELECT office_no, municipality FROM office WHERE municipality IN ('NATION_3', 'NATION_7', 'NATION_11')", "office")),
@@ -240,12 +247,12 @@ rec_strict <> '' AND dir_strict <> '' AND (contains(rec_strict, dir_strict) OR c
     "link_overrides": (lambda t: linkage.link_overrides(t.overrides, t.records, t.listed).select("rec", "dir", "method", "score"), sql("SELECT o.ordinal AS rec, d.dir, 'manual_override' AS method, CAST(1000 AS DOUBLE) AS score FROM office o JOIN d ON d.office_number = 'D' || (o.ordinal + 2) WHERE o.ordinal % 97 = 0", "d")),
     "link_ambiguity_filter": (lambda t: linkage.link_ambiguity_filter(t.proposals).select("rec", "dir", "rule", "score"), None),
     "link_assign_one_to_one": (lambda t: t.chosen.select("rec", "dir", "rule", "confidence", "method", "score"), None),
-    "link_match_report": (lambda t: linkage.link_match_report(t.simple, t.office, t.directory).select("office_no", "office_name", "municipality", "office_number", "directory_office_name", "office_capacity", "method"), sql("SELECT office_no, o.office_name, municipality, d.office_number, d.office_name AS directory_office_name, office_capacity, method FROM simple JOIN office o ON o.ordinal = rec JOIN directory d ON d.ordinal = dir", "simple")),
+    "link_match_report": (lambda t: linkage.link_match_report(t.simple, t.office, t.directory, TOKENS, False, _reasons(t)).select("office_no", "office_name", "municipality", "office_number", "directory_office_name", "office_capacity", "method", "suffix_length", "capacity_exact", "capacity_close", "override_reason"), sql(f"SELECT office_no, o.office_name, municipality, d.office_number, d.office_name AS directory_office_name, office_capacity, method, CAST(length({_RELAXED.format('o.office_name')}) AS INT) AS suffix_length, coalesce(office_capacity = capacity, false) AS capacity_exact, coalesce(abs(office_capacity - capacity) <= 2, false) AS capacity_close, CAST(NULL AS VARCHAR) AS override_reason FROM simple JOIN office o ON o.ordinal = rec JOIN directory d ON d.ordinal = dir", "simple")),
     "link_merge_fields": (lambda t: t.merged.select("office_no", "dir_match_status", "dir_office_number", "dir_capacity_gap", "dir_average_wage_gap", "dir_life_support_per_daily_user"), sql("SELECT office_no, status AS dir_match_status, office_number AS dir_office_number, capacity_gap AS dir_capacity_gap, wage_gap AS dir_average_wage_gap, per_user AS dir_life_support_per_daily_user FROM merged", "merged")),
     "link_unmatched_both_sides": (lambda t: linkage.link_unmatched_both_sides(t.office, t.directory, t.simple), sql("(SELECT 'record' AS side, office_no AS key, office_name AS name, ordinal FROM office WHERE ordinal NOT IN (SELECT rec FROM simple) ORDER BY ordinal LIMIT 120) UNION ALL (SELECT 'directory', office_number, office_name, ordinal FROM directory WHERE ordinal NOT IN (SELECT dir FROM simple) ORDER BY ordinal LIMIT 120)", "simple")),
     "link_coverage_summary": (lambda t: linkage.link_coverage_summary(t.office, t.directory, t.simple), sql("SELECT 'record' AS block, CASE WHEN ordinal IN (SELECT rec FROM simple) THEN 'matched' ELSE 'unmatched' END AS label, count(*) AS count FROM office GROUP BY 2 UNION ALL SELECT 'directory', CASE WHEN ordinal IN (SELECT dir FROM simple) THEN 'matched' ELSE 'unmatched' END, count(*) FROM directory GROUP BY 2 UNION ALL SELECT 'confidence', 'high', count(*) FROM simple UNION ALL SELECT 'method', 'number_and_name', count(*) FROM simple", "simple")),
     # the same on the result of the whole linkage, which SQL can't reproduce
-    "link_match_report_linked": (lambda t: linkage.link_match_report(t.chosen, t.office, t.directory).select("office_no", "office_name", "municipality", "office_number", "directory_office_name", "office_capacity", "confidence", "method", "score"), None),
+    "link_match_report_linked": (lambda t: linkage.link_match_report(t.chosen, t.office, t.directory, TOKENS, False, _reasons(t)).select("office_no", "office_name", "municipality", "office_number", "directory_office_name", "office_capacity", "confidence", "method", "score", "suffix_length", "capacity_exact", "capacity_close", "override_reason"), None),
     "link_merge_fields_linked": (lambda t: t.linked.select("office_no", "dir_match_status", "dir_match_confidence", "dir_match_method", "dir_match_score", "dir_office_number", "dir_capacity_gap", "dir_average_wage_gap", "dir_life_support_per_daily_user"), None),
     "link_unmatched_both_sides_linked": (lambda t: linkage.link_unmatched_both_sides(t.office, t.directory, t.chosen, None), None),
     "link_coverage_summary_linked": (lambda t: linkage.link_coverage_summary(t.office, t.directory, t.chosen), None),

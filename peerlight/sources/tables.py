@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -58,28 +59,40 @@ def read_record_document(spark: SparkSession, path: str, fields: T.StructType) -
     return _records(spark.read.option("recursiveFileLookup", True).text(path, wholetext=True), fields)
 
 
-def _records(raw: DataFrame, fields: T.StructType, *keep: str) -> DataFrame:
+def _records(raw: DataFrame, fields: T.StructType, *keep: str, position: str = "ordinal") -> DataFrame:
     array = F.coalesce(F.get_json_object("value", "$.records"), F.col("value"))
     items = F.from_json(array, T.ArrayType(T.StringType()))
     checked = F.when(items.isNotNull(), items).otherwise(F.raise_error(F.lit("expected an array or an object with a records array")).cast("array<string>"))
-    each = raw.select(*keep, F.posexplode(checked).alias("ordinal", "item")).filter(F.trim("item").startswith("{"))
-    return each.select("ordinal", *keep, F.from_json("item", fields).alias("r")).select("ordinal", *keep, "r.*")
+    each = raw.select(*keep, F.posexplode(checked).alias(position, "item")).filter(F.trim("item").startswith("{"))
+    return each.select(position, *keep, F.from_json("item", fields).alias("r")).select(position, *keep, "r.*")
+
+
+def _uri(spark: SparkSession, path: str) -> str:
+    """A path as Spark names it in the metadata of the rows that it reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub("^file:/+", "file:///", p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString())
 
 
 def read_manifest_chunks(spark: SparkSession, folder: str, manifest: str, fields: T.StructType) -> DataFrame:
-    """Rows of the chunks that a manifest lists, in its order (``chunk``, ``position``); records inside the manifest win if there are any."""
+    """Rows of the chunks that a manifest lists, in its order (``chunk``, ``position``); records inside the manifest win if there are any.
+
+    A chunk is known by its path below the folder, whether a file or a folder of one file; files that the manifest doesn't list aren't read as chunks.
+    """
     text = spark.read.text(f"{folder}/{manifest}", wholetext=True).first()[0]
     document = json.loads(text)
     if document.get("records"):
-        return read_record_document(spark, f"{folder}/{manifest}", fields).withColumn("chunk", F.lit(0)).withColumnRenamed("ordinal", "position")
-    names = document.get("data_files", {}).get("record_chunks", [])
+        return _records(spark.read.text(f"{folder}/{manifest}", wholetext=True), fields, position="position").withColumn("chunk", F.lit(0))
+    names = [n.strip("/") for n in document.get("data_files", {}).get("record_chunks", [])]
     if not names:
         return spark.createDataFrame([], T.StructType([*fields.fields, T.StructField("position", T.IntegerType()), T.StructField("chunk", T.IntegerType())]))
-    # one scan of all chunks; a chunk is known by its path below the folder, whether a file or a folder of one file
-    texts = spark.read.option("recursiveFileLookup", True).text([f"{folder}/{n}" for n in names], wholetext=True).withColumn("_path", F.input_file_name())
-    chunks = spark.createDataFrame([(i, "/" + n.strip("/")) for i, n in enumerate(names)], "chunk int, _name string")
-    at = F.col("_path").endswith(F.col("_name")) | F.regexp_replace("_path", "/[^/]*$", "").endswith(F.col("_name"))
-    return _records(texts.join(F.broadcast(chunks), at), fields, "chunk").withColumnRenamed("ordinal", "position")  # one row a chunk
+    base = _uri(spark, folder).rstrip("/")
+    escaped = lambda n: _uri(spark, f"{folder}/{n}") if re.search(r"[^\w./=-]", n) else f"{base}/{n}"
+    # one scan of the folders that hold chunks, and one equality join, however many chunks there are
+    roots = sorted({f"{folder}/{n.split('/')[0]}" for n in names})
+    texts = spark.read.option("recursiveFileLookup", True).text(roots, wholetext=True).select("value", F.regexp_replace("_metadata.file_path", "^file:/+", "file:///").alias("_path"))
+    chunks = spark.createDataFrame([(i, escaped(n)) for i, n in enumerate(names)], "chunk int, _name string")
+    both = texts.withColumn("_name", F.explode(F.array("_path", F.regexp_replace("_path", "/[^/]*$", ""))))
+    return _records(both.join(chunks, "_name"), fields, "chunk", position="position")
 
 
 def read_csv_lookup(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
@@ -122,19 +135,64 @@ def chunk_numbers(df: DataFrame, order: str, size: int = 250) -> DataFrame:
     return parts.join(F.broadcast(before), "_part").withColumn("chunk", F.floor((F.col("_before") + inside - 1) / size)).drop("_part", "_before")
 
 
-def write_chunks(df: DataFrame, path: str, order: str, size: int = 250) -> DataFrame:
-    """Writes JSON chunks as folders chunk=0, 1, ... in place of any that were there, and gives the manifest (chunk, count)."""
-    numbered = checkpointed(chunk_numbers(df, order, size))
-    numbered.repartition("chunk").sortWithinPartitions("chunk", order).write.mode("overwrite").partitionBy("chunk").json(path)
-    manifest = numbered.groupBy("chunk").agg(F.count("*").alias("count"))
-    manifest.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}-manifest")
-    return manifest
+MANIFEST = "manifest.json"
 
 
-def write_table_outputs(df: DataFrame, path: str) -> None:
-    """The table as JSON lines and as CSV with a header."""
+def _publish(spark: SparkSession, path: str, text: str) -> None:
+    """Puts a file in place of what is there, in one step."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    system = target.getFileSystem(conf)
+    out = system.create(draft, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    option = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(option, 1)
+    over[0] = option.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), conf).rename(system.makeQualified(draft), system.makeQualified(target), over)
+
+
+def write_chunks(df: DataFrame, path: str, order: str, size: int = 250) -> DataFrame:
+    """Writes documents of ``size`` rows each, an object with ``records``, and then the manifest that ``read_manifest_chunks`` reads; gives (chunk, count).
+
+    Chunks go to a folder of their own, and the manifest with their list takes the place of the old one only when all of them are there; then older chunks are deleted.  A
+    run that fails leaves the old manifest and its chunks.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    numbered = checkpointed(chunk_numbers(df, order, size))
+    item = F.struct(*[F.col(c) for c in df.columns])
+    # a chunk is a bounded number of rows
+    rows = numbered.groupBy("chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_order"), item.alias("r")))), lambda x: x["r"]).alias("records"))
+    data = f"data-{uuid.uuid4().hex}"
+    rows.select("chunk", F.to_json(F.struct("records")).alias("value")).write.partitionBy("chunk").text(f"{path}/{data}")
+    made = numbered.groupBy("chunk").agg(F.count("*").alias("count"))
+    chunks = checkpointed(made)
+    n, total = chunks.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    if not n:  # an empty table has no chunk
+        spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path))
+    names = [f"{data}/chunk={i}" for i in range(n)]  # numbers have no gaps
+    _publish(spark, f"{path}/{MANIFEST}", json.dumps({"data_files": {"record_chunks": names, "record_count": total, "chunk_size": size}}))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in system.listStatus(folder):
+        if f.getPath().getName().startswith("data-") and f.getPath().getName() != data:
+            system.delete(f.getPath(), True)
+    discard(numbered)
+    return chunks
+
+
+def write_table_outputs(df: DataFrame, path: str, report: DataFrame | None = None, summary: DataFrame | None = None) -> None:
+    """The table as JSON lines and as CSV with a header; the match report as CSV, and the summary (block, label, count) as one JSON object of blocks, if given."""
     df.write.mode("overwrite").json(f"{path}/json")
     df.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    if report is not None:
+        report.write.mode("overwrite").option("header", True).csv(f"{path}/report")
+    if summary is not None:  # a handful of counts
+        blocks = summary.groupBy("block").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "count")))).alias("counts"))
+        rows = sorted(blocks.select("block", F.to_json("counts").alias("counts")).collect())
+        _publish(df.sparkSession, f"{path}/summary.json", "{" + ", ".join(f"{json.dumps(b)}: {c}" for b, c in rows) + "}")
 
 
 def incremental_refresh(stored: DataFrame, wanted: DataFrame, key: str, process: Callable[[DataFrame], DataFrame], force: bool = False) -> DataFrame:
