@@ -1,11 +1,11 @@
 """WARC archives as a Spark data source, written and read in Python.
 
 Writer: each task writes archives of bounded size; what it wrote counts only once the job commits and names it in a manifest, so that
-tasks which died or ran twice leave no records behind.  Records are WARC/1.1: responses hold an HTTP message, revisits the profile for equal payloads.
+tasks which died or ran twice leave no records behind.  A second job adds its archives and a manifest to the folder, or takes the place of all that it lists (``overwrite``).  Records are WARC/1.1: responses hold an HTTP message, revisits the profile for equal payloads.
 Every record is a gzip member of its own.  Its gzip header carries two lengths in an extra field, which other readers ignore: of the whole member and of the
 part that holds the WARC headers (closed by a full flush), so a reader can go from header to header without touching payloads.
 
-Reader: partitions are archives, large ones cut into ranges of bytes at record boundaries found from the manifest.  Without a manifest every ``.warc`` and
+Reader: partitions are archives, large ones cut into ranges of bytes at record boundaries found from the manifests; where a folder has manifests, archives that none of them lists aren't read.  Without one every ``.warc`` and
 ``.warc.gz`` file of the folder is a partition, or the one file that the path names, whoever wrote it: plain files are skipped over by their lengths, gzip
 files without the extra field are inflated in one stream.  Equality and ``in`` filters on the record type and on header columns are evaluated on the parsed headers, and a
 payload is decoded only for records that pass and only if the schema's ``payload`` column is asked for (option ``payload``).  The payload of an HTTP message is its body.
@@ -14,7 +14,7 @@ Paths are URIs that pyarrow's file systems open (local, HDFS, S3); the folder mu
 
 Cases: null html has an empty payload.  Equal payloads below ``least_bytes`` aren't tied together.  Rows that repeat the page id of
 a response with the same payload are responses too.  A null url is left out of the headers.  Long payloads are held one at a time.  Other columns of ``pages`` are ignored, whatever their names.  An
-empty table gives an archive folder with an empty manifest, which reads as no rows.  ``payload_length`` of a record without our length header is its Content-Length.
+empty table gives an archive folder with an empty manifest, which reads as no rows.  Record ids repeat where page ids do, and every record is dated 1970, since pages have no date.  ``payload_length`` of a record without our length header is its Content-Length.
 """
 
 from __future__ import annotations
@@ -50,7 +50,8 @@ PUSHED = tuple(c for c in HEADERS if c != "payload_length")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Date of records whose capture time isn't known.
 NO_DATE = "1970-01-01T00:00:00Z"
-MANIFEST = "_manifest.json"
+#: Each job writes a manifest of its own; together they list what the folder holds.
+MANIFEST = "_manifest"
 #: Payloads that several pages share are broadcast up to here, after they have been counted; a larger table is joined by shuffle.
 BROADCAST_DIGESTS = 200_000
 #: Bytes of an archive after which the next one begins, and about how many of them a reading task takes.
@@ -150,9 +151,27 @@ class Written(WriterCommitMessage):
         self.archives = archives
 
 
+def manifests(system, folder: str) -> list[str]:
+    """Paths of the manifests of a folder."""
+    from pyarrow.fs import FileSelector
+
+    found = system.get_file_info(FileSelector(folder, allow_not_found=True))
+    return sorted(f.path for f in found if f.is_file and f.base_name.startswith(MANIFEST) and f.base_name.endswith(".json"))
+
+
+def listed(system, paths: list[str]) -> list[dict]:
+    out = []
+    for path in paths:
+        with system.open_input_stream(path) as f:
+            out += json.loads(f.read())
+    return out
+
+
 class WarcWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+    """Adds archives to a folder, or with ``overwrite`` puts them in place of those that it lists."""
+
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, rows: Iterator) -> Written:
         system, folder = _open(self.path)
@@ -176,10 +195,19 @@ class WarcWriter(DataSourceWriter):
         return Written(archives)
 
     def commit(self, messages: list[Written | None]) -> None:
+        """A manifest appears as a whole, under a name of its own, so that jobs that write at once don't lose each other's archives."""
         system, folder = _open(self.path)
         system.create_dir(folder, recursive=True)
-        with system.open_output_stream(f"{folder}/{MANIFEST}") as out:
+        before = manifests(system, folder) if self.overwrite else []
+        name = f"{folder}/{MANIFEST}-{uuid.uuid4().hex}.json"
+        with system.open_output_stream(f"{name}.draft") as out:
             out.write(json.dumps([a for m in messages if m for a in m.archives]).encode())
+        system.move(f"{name}.draft", name)
+        old = listed(system, before)
+        for path in before:
+            system.delete_file(path)
+        for a in old:
+            system.delete_file(f"{folder}/{a['name']}")
 
     def abort(self, messages: list[Written | None]) -> None:
         system, folder = _open(self.path)
@@ -216,9 +244,8 @@ class WarcReader(DataSourceReader):
         info = system.get_file_info(folder)
         if info.is_file:
             return [Range("", 0, info.size)]
-        if system.get_file_info(f"{folder}/{MANIFEST}").is_file:
-            with system.open_input_stream(f"{folder}/{MANIFEST}") as f:
-                archives = json.loads(f.read())
+        if found := manifests(system, folder):
+            archives = listed(system, found)
             parts = [Range(a["name"], x, y) for a in archives for x, y in zip(a["splits"], [*a["splits"][1:], a["bytes"]], strict=True) if x < y]
         else:
             from pyarrow.fs import FileSelector
@@ -270,7 +297,7 @@ class Warc(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "true") != "false")
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -306,9 +333,10 @@ def records_of_pages(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     )
 
 
-def write(records: DataFrame, path: str) -> None:
+def write(records: DataFrame, path: str, mode: str = "append") -> None:
+    """``mode``: append to what the folder holds, or overwrite it."""
     register(records.sparkSession)
-    records.write.format("warc").mode("append").option("path", path).save()
+    records.write.format("warc").mode(mode).option("path", path).save()
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
