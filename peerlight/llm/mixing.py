@@ -2,10 +2,10 @@
 
 Words are counted per document and summed per source; the wanted total is shared out by weight, no source above
 ``most_repeats`` times its own size, and what it can't take goes to the others by weight.  A document of a source with the rate
-``target / size`` is taken ``floor(rate)`` times and once more if a seeded hash of its id falls below the fraction.
+``target / size`` is taken ``floor(rate)`` times and once more if a seeded hash of its id and text falls below the fraction.
 
-Cases: null text has size 0 and is taken 0 words.  A null source is a source of its own, after all others.  Repeated rows
-share their id's hash, so they are taken alike.  Sources without words have target 0.  An empty table gives an empty result.
+Cases: null text has size 0 and is taken 0 words.  A null source is a source of its own, after all others.  Rows that
+are equal in id and text are taken alike; others draw each for itself, rows without an id by their text.  Sources without words have target 0.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,9 +42,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return levels.withColumn("level", level).select("source", "source_size", target.cast("double").alias("target"))
 
 
-def unit_hash(key: Column, seed: str) -> Column:
-    """A number in [0, 1) from the first 32 bits of the MD5 of the seed and the key."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+def unit_hash(key: Column, text: Column, seed: str) -> Column:
+    """A number in [0, 1) from the first 32 bits of the MD5 of the seed, the key and the text, so that rows that share an id or have none draw each for itself."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
@@ -55,7 +55,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     """
     spark = documents.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = documents.select("doc_id", "source", *extra, size.alias("size"))
+    sized = documents.select("doc_id", "source", *extra, size.alias("size"), unit_hash(F.col("doc_id"), F.col("text"), seed).alias("_draw"))
     if not extra:
         sized = materialize(sized, "mix-sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -65,7 +65,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
         targets = F.broadcast(targets)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(F.col("_rate")).cast("long")
-    copies = whole + (unit_hash(F.col("doc_id"), seed) < F.col("_rate") - whole).cast("long")
+    copies = whole + (F.col("_draw") < F.col("_rate") - whole).cast("long")
     return (
         sized.join(targets, sized.source.eqNullSafe(F.col("_source")))
         .withColumn("_rate", rate)

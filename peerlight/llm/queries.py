@@ -77,7 +77,7 @@ QUERIES = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_qu
 
 ORACLE = {
     "op7_source_mixing": """
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS draw FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS weight FROM s),
 o AS (SELECT *, coalesce(sum(source_size) OVER b, 0) AS full_size, (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS open_weight, sum(source_size) OVER () AS all_size
@@ -85,9 +85,9 @@ o AS (SELECT *, coalesce(sum(source_size) OVER b, 0) AS full_size, (sum(weight)
 l AS (SELECT *, (CAST(1.5 AS DOUBLE) * all_size::DOUBLE - CAST(2 AS DOUBLE) * full_size::DOUBLE) / open_weight::DOUBLE AS level FROM o),
 g AS (SELECT arg_min(level, full_size) FILTER (level * weight <= 2 * source_size) AS level FROM l),
 t AS (SELECT source, source_size, least(CAST(2 AS DOUBLE) * source_size, coalesce(g.level, 'inf'::DOUBLE) * weight) AS target FROM l, g),
-r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source)
+r AS (SELECT doc_id, draw, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-  (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / CAST(4294967296 AS DOUBLE) < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+  (size * (floor(rate) + CASE WHEN ('0x' || substr(draw, 1, 8))::BIGINT / CAST(4294967296 AS DOUBLE) < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r""",
     "op8_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
