@@ -104,7 +104,7 @@ def learn(stats: DataFrame, y: str = "y", key: str = "doc_id", target: int = 0,
     """Rules for the class ``target`` from labelled statistics, in order.
 
     Documents are first summed by the bucket that each feature has between the thresholds; every step is then a histogram of those
-    sums, at most features x thresholds rows.
+    sums, at most features x thresholds rows.  ``most_conditions`` of a rule and ``most_rules`` bound the list; a document that no rule covers is kept.
     """
     shares = [(i + 0.5) / thresholds for i in range(thresholds)]
     cuts_row = stats.agg(*[F.percentile_approx(f, shares, 1000).alias(f) for f in FEATURES]).first()
@@ -113,7 +113,8 @@ def learn(stats: DataFrame, y: str = "y", key: str = "doc_id", target: int = 0,
         return []
     bucket = lambda f: reduce(lambda a, b: a + b, [(F.col(f) >= t).cast("int") for t in cuts[f]], F.lit(0)).alias(f)
     cells = stats.select(*[bucket(f) for f in FEATURES], (F.col(y) == target).alias("hit"), (F.pmod(F.xxhash64(key, F.lit(5)), F.lit(3)) == 0).alias("held"))
-    cells = materialize(cells.groupBy("hit", "held", *FEATURES).count().coalesce(8), "rule-cells")
+    # no more cells than labelled documents, whose number is bounded: in one partition a histogram needs no shuffle
+    cells = materialize(cells.groupBy("hit", "held", *FEATURES).count(), "rule-cells").coalesce(1)
     inside = lambda c: F.col(c.feature) > cuts[c.feature].index(c.threshold) if c.at_least else F.col(c.feature) <= cuts[c.feature].index(c.threshold)
     rules: list[Rule] = []
     while len(rules) < most_rules:
