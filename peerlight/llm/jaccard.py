@@ -362,6 +362,23 @@ def best_partners(a: np.ndarray, b: np.ndarray, share: np.ndarray) -> tuple[np.n
 MEMBERS = ("node", "n", "component", "left", "point")
 
 
+def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
+    """The members of two tiles of one tree, a row for each pair of tiles that can hold a link across components.
+
+    Pairs are first made of numbers only, each tile naming those after it, and go by what their sizes and components allow; what is left fetches the members by tree and tile, so no
+    tree is one key, however many sets it has.
+    """
+    about = tiles.select("cell", "tiles", F.col("tile"), F.array_min("n").alias("few"), F.array_max("n").alias("many"), F.array_min("component").alias("low"), F.array_max("component").alias("high"))
+    first = about.filter(F.col("tile") + 1 < F.col("tiles")).select("cell", *[F.col(c).alias(f"{c}_x") for c in ("tile", "few", "many", "low", "high")], F.explode(F.sequence(F.col("tile") + 1, F.col("tiles") - 1)).alias("tile_y"))
+    then = about.select("cell", *[F.col(c).alias(f"{c}_y") for c in ("tile", "few", "many", "low", "high")])
+    sizes = (100 * F.col("many_x") >= percent * F.col("few_y")) & (100 * F.col("many_y") >= percent * F.col("few_x"))
+    one = (F.col("low_x") == F.col("high_x")) & (F.col("low_y") == F.col("high_y")) & (F.col("low_x") == F.col("low_y"))
+    named = first.join(then, ["cell", "tile_y"]).filter(sizes & ~one).select("cell", "tile_x", "tile_y")
+    members = {k: tiles.select("cell", F.col("tile").alias(f"tile_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in MEMBERS]) for k in "xy"}
+    both = named.join(members["x"], ["cell", "tile_x"]).join(members["y"], ["cell", "tile_y"])
+    return both.select(*[f"{c}_{k}" for k in "xy" for c in MEMBERS])
+
+
 def search(sets: DataFrame, grown: DataFrame, percent: int, best_only: bool) -> DataFrame:
     """Pairs (a, b), a < b, across the components ``grown`` that the forest finds, written; with ``best_only`` the best one of each set."""
     lead = F.size("shared") - F.ceil(F.col("n_shingles") * percent / 100).cast("int") + 1
@@ -374,9 +391,8 @@ def search(sets: DataFrame, grown: DataFrame, percent: int, best_only: bool) ->
     held = entries.withColumn("left", F.col("_size") - F.col("_place")).join(mixed, "cell").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
     tiles = held.groupBy("cell", "tiles", "tile").agg(F.collect_list(F.struct(*MEMBERS)).alias("m"))
     tiles = materialize(tiles.select("cell", "tiles", "tile", *[F.col(f"m.{c}").alias(c) for c in MEMBERS]), "jaccard-tiles")
-    two = {k: tiles.select("cell", F.col("tile").alias(f"_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in MEMBERS]) for k in "xy"}
     single = tiles.select(*MEMBERS)
-    double = two["x"].join(two["y"], "cell").filter("_x < _y") if mixed.filter("tiles > 1").limit(1).count() else None
+    double = _tile_pairs(tiles, percent) if mixed.filter("tiles > 1").limit(1).count() else None
 
     def pairs_of(found):
         a, b, share = best_partners(*found) if best_only else found
@@ -399,7 +415,7 @@ def search(sets: DataFrame, grown: DataFrame, percent: int, best_only: bool) ->
     def together(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                yield pairs_of(tile_pairs(Tile(*row[2:7]), Tile(*row[8:13]), percent))
+                yield pairs_of(tile_pairs(Tile(*row[:5]), Tile(*row[5:]), percent))
 
     pairs = single.mapInPandas(alone, "a long, b long, share double")
     if double is not None:
