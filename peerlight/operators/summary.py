@@ -13,6 +13,7 @@ Values that are null, NaN or infinite count nowhere, but their groups exist.  Gr
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -85,10 +86,14 @@ class Summary:
     def __init__(self, statistics: dict[str, Statistic], dtypes: dict[str, str], groups: DataFrame, values: DataFrame):
         self.statistics, self.dtypes, self.groups, self.values = statistics, dtypes, groups, values
 
+    @cached_property
+    def _ones(self) -> dict[str, Row]:
+        """Statistics without groups, a row each."""
+        return {r.statistic: r for r in self.groups.filter(F.size("key") == 0).collect()}
+
     def one(self, name: str) -> Row:
         """The only row of a statistic without groups; without rows a count of 0 and nulls."""
-        found = self.groups.filter(F.col("statistic") == name).first()
-        return found if found is not None else Row(statistic=name, key=[], count=0, mean=None, sd=None, low=None, high=None, q=None)
+        return self._ones.get(name) or Row(statistic=name, key=[], count=0, mean=None, sd=None, low=None, high=None, q=None)
 
     def of(self, name: str) -> DataFrame:
         """The groups of a statistic, with the columns that they are grouped by."""

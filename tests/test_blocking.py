@@ -83,8 +83,8 @@ def test_matcher_is_called_for_few_names(spark):
 
 
 def test_a_number_that_very_many_share(spark):
-    """6,000 x 6,000 rows of one number, 36 million pairs: only those that a rule may accept are made."""
-    n = 6000
+    """3,000 x 3,000 rows of one number, 9 million pairs: only those that a rule may accept are made."""
+    n = 3000
     code = lambda c: F.concat_ws("", *[F.substring(F.sha2(F.concat(c.cast("string"), F.lit(str(i))), 256), 1, 4) for i in range(5)])
     base = spark.range(n).select(F.col("id").alias("ordinal"), F.col("id").cast("string").alias("office_no"), code(F.col("id")).alias("office_name"), F.lit("one company").alias("corporation_name"), F.lit("N1").alias("corporation_number"), F.lit("east").alias("municipality"), F.lit(5.0).alias("capacity"))
     directory = base.select("ordinal", F.col("office_no").alias("office_number"), F.when(F.col("ordinal") % 3 == 0, F.concat(F.lit("q"), "office_name")).otherwise(F.col("office_name")).alias("office_name"), "corporation_name", "corporation_number", F.lit("east city").alias("office_address_city"), F.col("capacity").alias("office_capacity"))
