@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import classify, entities, linkage, profile, stats
-from ..sources.tables import checkpointed
+from ..sources.tables import checkpointed, discard
 from . import views
 
 #: Relaxed tokens, role words and legal words of the test views.
@@ -21,6 +21,12 @@ SOCIAL_HOSTS = ("social.example.com",)
 _written: dict[tuple, DataFrame] = {}
 
 
+def forget() -> None:
+    """Derived tables are made anew by the next query, and what has been written of them is deleted."""
+    discard(*_written.values())
+    _written.clear()
+
+
 def _state(spark: SparkSession, sf_dir: str) -> tuple:
     """Names, sizes and times of the tables' files: what has been derived holds as long as these stay."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import classify, entities, filters, peers, profile, reports, stats
+from ..operators import classify, entities, filters, peers, profile, reports, search, stats
+from ..sources.tables import shared_folder
 from . import linking
 from .context import LEGAL, ROLES, sql
 
@@ -55,6 +59,17 @@ def _searched(t, *queries):
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
+SEARCHES = ("GROUP 12 ", " note 1", "Ward3 Street", "d77", "p", "no such office")
+
+
+def _indexed(t):
+    """The same by an index of three-character pieces."""
+    path = f"{shared_folder(t.spark)}/search-{uuid.uuid4().hex}"
+    search.write_index(t.full, "office_no", path)
+    every = [search.search_indexed(t.full, "office_no", path, q).select(F.lit(q.strip().lower()).alias("query"), "office_no") for q in SEARCHES]
+    return reduce(lambda a, b: a.unionByName(b), every)
+
+
 def _export(t):
     links = linking._linked(t).select("ordinal", "homepage_url", "profile_url")
     every = r6(t.full.join(links, "ordinal"), "ratio_to_overall_mean", "ratio_to_municipality_mean", "ratio_to_capacity_band_mean", U, "home_use_user_ratio_pct")
@@ -124,6 +139,7 @@ SELECT office_no, count(*) OVER l AS ln, count(*) OVER g AS en, median(average_d
     # filters
     "filter_records": (lambda t: filters.filter_records(t.e, {"capacity_band": "11-20", "flag": "none", "risk": "none", "home_use": False, "response_status": "answered"}).select("office_no"), sql("SELECT office_no FROM e WHERE capacity_band_label = '11-20' AND coalesce(wage_outlier_flag, 'none') = 'none' AND NOT shortage_risk AND NOT home_use_active AND response_status = 'answered'", "e")),
     "search_text": (lambda t: _searched(t, "GROUP 12 ", " note 1", "Ward3 Street", "d77").select("query", "office_no"), sql(" UNION ALL ".join(f"SELECT '{q}' AS query, office_no FROM fl WHERE {_SEARCH.format(q)}" for q in ("group 12", "note 1", "ward3 street", "d77")), "full")),
+    "search_indexed": (_indexed, sql(" UNION ALL ".join(f"SELECT '{q}' AS query, office_no FROM fl WHERE {_SEARCH.format(q)}" for q in (x.strip().lower() for x in SEARCHES)), "full")),
     "filter_presets": (lambda t: filters.preset_counts(t.e), sql(_PRESET_SQL, "e")),
     "sort_records": (lambda t: filters.page_rows(t.e, filters.sort_keys(t.e, "wage_outlier_flag", True), 1).select("office_no", "wage_outlier_flag"), sql("SELECT office_no, wage_outlier_flag FROM e ORDER BY CASE wage_outlier_flag WHEN 'high' THEN 3 WHEN 'low' THEN 2 END DESC NULLS LAST, ordinal LIMIT 50", "e")),
     "page_rows": (lambda t: filters.page_rows(t.e, filters.sort_keys(t.e, W), 3).select("office_no", W), sql("SELECT office_no, average_wage_yen FROM e ORDER BY average_wage_yen NULLS LAST, ordinal LIMIT 50 OFFSET 100", "e")),
