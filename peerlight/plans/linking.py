@@ -175,16 +175,19 @@ _REPRESENTED = "z AS (SELECT *, coalesce(corporation_number, dir_number) AS num
 
 
 def _scored(t):
-    """Every page against the offices whose municipality it may name: pages and offices meet on a hash of both keys, as results of a stored search would."""
-    p = t.table("pages").select("page_id", F.col("url"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.concat(F.lit("group "), (F.col("page_id") % 400).cast("string")).alias("snippet"))
-    o = t.office.select("office_no", "office_name", "corporation_name", "municipality", "ordinal")
-    pairs = o.join(p, F.col("corporation_name") == F.col("snippet"))
+    """Each office with five pages that stand for the results of a stored search, so that pairs grow with the offices."""
+    pages_of = t.table("pages")
+    n = pages_of.count()
+    p = pages_of.select("page_id", F.col("url"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    o = t.office.select("office_no", "office_name", "corporation_name", "municipality", "ordinal", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("_k"))
+    pairs = o.join(p, F.col("page_id") == F.pmod(F.col("ordinal") * 7 + F.col("_k"), F.lit(max(n, 1))))
+    pairs = pairs.withColumn("snippet", F.when(F.col("_k") % 2 == 0, F.col("corporation_name")).otherwise(F.concat(F.lit("group "), (F.col("page_id") % 400).cast("string")))).drop("_k")
     blocked = F.coalesce(T.url_host(T.canonical_url(F.col("url"))).startswith("the"), F.lit(False))
     return pages.score_candidates(pairs, blocked, words=("fr", "de"), word_name="topic", penalty="page", nfkc=False)
 
 
 _MT = lambda c: f"regexp_replace(lower(coalesce({c}, '')), '[\\s・･（）()「」『』【】\\[\\]_/,.、。:：;；''\"!！?？\\-‐‑–—―－&＆+＋]', '', 'g')"
-_SCORED = f"""g0 AS (SELECT o.ordinal, o.office_no, o.office_name, o.corporation_name, o.municipality, p.page_id, p.url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, 'group ' || (page_id % 400) AS snippet FROM office o JOIN pages p ON o.corporation_name = 'group ' || (page_id % 400)),
+_SCORED = f"""g0 AS (SELECT o.ordinal, o.office_no, o.office_name, o.corporation_name, o.municipality, p.page_id, p.url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CASE WHEN o.k % 2 = 0 THEN o.corporation_name ELSE 'group ' || (page_id % 400) END AS snippet FROM (SELECT *, unnest([0, 1, 2, 3, 4]) AS k FROM office) o JOIN pages p ON p.page_id = (o.ordinal * 7 + o.k) % (SELECT count(*) FROM pages)),
 g1 AS (SELECT *, {_MT("concat_ws(' ', title, snippet, url)")} AS txt, {_MT('office_name')} AS m1, {_MT('corporation_name')} AS m2, {_MT('municipality')} AS m3, coalesce(starts_with({_HOST(_url('url'))}, 'the'), false) AS blocked FROM g0),
 g AS (SELECT *, CASE WHEN blocked THEN -999 ELSE 6 * (m1 <> '' AND contains(txt, m1))::INT + 3 * (m2 <> '' AND contains(txt, m2))::INT + (m3 <> '' AND contains(txt, m3))::INT + (contains(txt, 'fr') OR contains(txt, 'de'))::INT - 2 * contains(txt, 'page')::INT END AS score FROM g1)"""
 
