@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from peerlight.plans import registry
+from peerlight.plans import registry, views
 from peerlight.plans.context import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -134,3 +134,13 @@ def test_reports_on_the_whole_linkage(spark):
     counts = {("record", "matched"): n, ("record", "unmatched"): len(office) - n, ("directory", "matched"): n, ("directory", "unmatched"): len(directory) - n}
     assert got == counts | {("confidence", k): v for k, v in Counter(x.confidence for x in greedy).items()} | {("method", k): v for k, v in Counter(x.method for x in greedy).items()}
     assert len({x.confidence for x in greedy}) > 1 and len({x.method for x in greedy}) > 3
+
+
+def pairs_of_groups(duck, columns: str) -> list[tuple]:
+    return duck.execute(f"with {views.OFFICE_CTE} select {columns} from office join pages on corporation_name = 'group ' || (page_id % 400) order by all").fetchall()
+
+
+def test_every_page_meets_every_office_that_its_group_names(spark, duck):
+    """The scored pairs are all of them, not a fixed number for each office."""
+    scored = registry.QUERIES["score_candidates"](spark, SF).select("office_no", "page_id").collect()
+    assert sorted(map(tuple, scored)) == pairs_of_groups(duck, "office_no, page_id")
