@@ -144,3 +144,8 @@ def test_every_page_meets_every_office_that_its_group_names(spark, duck):
     """The scored pairs are all of them, not a fixed number for each office."""
     scored = registry.QUERIES["score_candidates"](spark, SF).select("office_no", "page_id").collect()
     assert sorted(map(tuple, scored)) == pairs_of_groups(duck, "office_no, page_id")
+
+
+def test_the_best_page_is_one_of_the_office_s_group(spark, duck):
+    best = {(r.office_no, r.url) for r in registry.QUERIES["pick_best_candidate"](spark, SF).collect()}
+    assert best and best <= set(pairs_of_groups(duck, "office_no, url"))
