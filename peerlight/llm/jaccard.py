@@ -16,8 +16,9 @@ Steps, each written to the shared folder:
    link shares ``EXTRA`` of its size inside heads.  What shares less is done.  Shingles of a large part of a bounded sample count as shared without a look: they
    stay in their row, so that no shingle's rows meet in one task.
 2. ``survivors``: the shared shingles of the other sets, rarest first, and their points (one row for each distinct set).
-3. Sets with an equal minimum of rehashed shingles are compared with one of them, once each.  This links large groups of near copies.
-4. The forest is searched for pairs across components: first for the best partner of each set; then, with the components that follow, for all pairs.
+3. Sets with an equal minimum of rehashed shingles are compared with one of them, once each, and in large groups that are still apart with hubs of random buckets.  This links large groups
+   of near copies without listing their links.
+4. The forest is searched for pairs across components: first for the best partner of each set, again while that links many; then, with the components that follow, for all pairs.
    Pairs whose points allow the overlap are verified on whole sets.  This finds every link between components that step 3 has missed.
 5. Components by minimum labels; every member takes the smallest id of its component.
 
@@ -45,6 +46,8 @@ TILE, LEAF = 1024, 32
 EXTRA = 10
 #: Documents of the sample, and in how many of them a shingle is found to count as frequent.
 SAMPLE, FREQUENT = 4000, 8
+#: Rounds at most in which the sets of large groups meet hubs of random buckets; these and the search for best partners go on while more than one in ``SETTLED`` sets is linked.
+HUB_ROUNDS, SETTLED = 4, 100
 #: Bytes of text that are hashed together.
 _TEXT = 1 << 18
 #: Rows of two numbers that may be broadcast, after they have been counted; larger sides are joined by shuffle.
@@ -302,6 +305,40 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(ends["a"], "a").join(ends["b"], "b").mapInPandas(compare, "a long, b long")
 
 
+def near_links(sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b), written, between the ``n`` sets with an equal minimum of rehashed shingles: a group's sets are compared with its hub, the one that has the least of its own.
+
+    Where a large group is still in several components, its sets are dealt into buckets by a hash, anew in each round, and meet the hub of their bucket.  A round compares each set at
+    most as often as it has minima.
+    """
+    lows = materialize(sets.select("node", (F.size("shared") / F.col("n_shingles")).alias("held"), F.posexplode("minima").alias("i", "low")), "jaccard-lows")
+    hubs = materialize(lows.groupBy("i", "low").agg(F.max(F.struct("held", "node")).alias("hub"), F.count("*").alias("_n")).filter("_n > 1").select("i", "low", F.col("hub.node").alias("a")), "jaccard-hubs")
+    near = lows.join(_small(hubs), ["i", "low"]).filter("a <> node").groupBy("node", "a").count()
+    near = near.groupBy("node").agg(F.max(F.struct("count", "a")).alias("x")).select("x.a", F.col("node").alias("b"))
+    links = materialize(verified(near, sets, percent), "jaccard-links")
+    release(hubs)
+    for salt in range(HUB_ROUNDS):
+        known = lows.join(_small(components(links)), F.col("node") == F.col("id"), "left").select("node", "held", "i", "low", F.coalesce("component", "node").alias("component"))
+        mixed = known.groupBy("i", "low").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n")).filter((F.col("_low") < F.col("_high")) & (F.col("_n") > LEAF))
+        mixed = materialize(mixed.select("i", "low", F.ceil(F.col("_n") / LEAF).alias("buckets")), "jaccard-mixed")
+        if not mixed.limit(1).count():
+            release(mixed)
+            break
+        dealt = known.join(_small(mixed), ["i", "low"]).withColumn("bucket", F.pmod(F.xxhash64("node", "i", F.lit(salt)), F.col("buckets")))
+        dealt = materialize(dealt.select("node", "held", "i", "low", "bucket", "component"), "jaccard-dealt")
+        hubs = materialize(dealt.groupBy("i", "low", "bucket").agg(F.max(F.struct("held", "node", "component")).alias("hub")).select("i", "low", "bucket", F.col("hub.node").alias("a"), F.col("hub.component").alias("_of")), "jaccard-hubs")
+        near = dealt.join(_small(hubs), ["i", "low", "bucket"]).filter("component <> _of").select("a", F.col("node").alias("b")).distinct()
+        found = materialize(verified(near, sets, percent), "jaccard-found")
+        settled = found.count() * SETTLED <= n
+        longer = materialize(links.union(found), "jaccard-links")
+        release(links, mixed, dealt, hubs, found)
+        links = longer
+        if settled:
+            break
+    release(lows)
+    return links
+
+
 class Tile:
     """Some members of a tree, sorted and cut into leaves with boxes."""
 
@@ -442,18 +479,19 @@ def join(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     release(outline)
     sets = survivors(docs, classes.filter("may").select("node", "doc_id"), frequent, width, percent)
 
-    lows = sets.select("node", F.posexplode("minima").alias("i", "low"))
-    middles = materialize(lows.groupBy("i", "low").agg(F.min("node").alias("a"), F.max("node").alias("_z")).filter("a < _z").drop("_z"), "jaccard-middles")
-    near = lows.join(middles, ["i", "low"]).filter("a < node").groupBy("node", "a").count()
-    near = near.groupBy("node").agg(F.max(F.struct("count", "a")).alias("x")).select("x.a", F.col("node").alias("b"))
-    links = materialize(verified(near, sets, percent), "jaccard-links")
-    for best_only in (True, False):
+    n = sets.count()
+    links = near_links(sets, n, percent)
+    best_only, more = True, n
+    while more:
         pairs = search(sets, components(links), percent, best_only)
-        more = materialize(links.union(verified(pairs, sets, percent)), "jaccard-links")
-        release(links, pairs)
-        links = more
+        found = materialize(verified(pairs, sets, percent), "jaccard-found")
+        # while best partners still link many sets, the step for all pairs would list most links of large groups
+        more, best_only = best_only, best_only and found.count() * SETTLED > n
+        longer = materialize(links.union(found), "jaccard-links")
+        release(links, pairs, found)
+        links = longer
     final = components(links)
-    release(links, sets, middles)
+    release(links, sets)
     grouped = classes.join(final, classes.node == final.id, "left").select("node", "doc_id", "n_copies", F.coalesce("component", "node").alias("component"))
     smallest = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_node = grouped.join(smallest, "component").select("node", "n_copies", "component_id")

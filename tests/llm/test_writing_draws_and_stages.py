@@ -183,3 +183,28 @@ def test_packing_stage_is_that_of_the_tokenizer(spark):
             assert offset == at
             at += length
         assert at <= 1024
+
+
+def test_large_groups_of_near_copies_are_mostly_linked_before_the_search(spark, monkeypatch):
+    """Copies of one text with two or three replaced words; some with nine come first by hash and make bad centres."""
+    draw = random.Random(4)
+    base = [f"b{i}" for i in range(300)]
+    spoilt = lambda tag, k: " ".join({p: f"{tag}x{p}" for p in draw.sample(range(300), k)}.get(i, w) for i, w in enumerate(base))
+    texts = [spoilt(f"c{i}", 2 + i % 2) for i in range(150)]
+    lowest = min(jaccard.node_of(jaccard.shingles(t)) for t in texts)
+    bad = (t for t in (spoilt(f"d{i}", 9) for i in range(100_000)) if jaccard.node_of(jaccard.shingles(t)) < lowest)
+    texts += [next(bad) for _ in range(6)]
+    sets = [set(jaccard.shingles(t).tolist()) for t in texts]
+    linked = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    found, left = {0}, [0]
+    while left:
+        at = left.pop()
+        new = {i for i in range(len(sets)) if i not in found and linked(sets[at], sets[i])}
+        found |= new
+        left += new
+    assert len(found) > 140
+    before, search = [], jaccard.search
+    monkeypatch.setattr(jaccard, "search", lambda sets, grown, *a: (before.append(grown.groupBy("component").count().collect()), search(sets, grown, *a))[1])
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i in found else i for i in range(len(texts))}
+    assert max((r["count"] for r in before[0]), default=0) > 0.8 * len(found)
