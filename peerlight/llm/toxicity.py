@@ -1,9 +1,8 @@
 """Toxicity by compression distance: windows are compressed with a dictionary of toxic text and with one of ordinary text.
 
-The ordinary dictionary is trained by zstandard on windows of ordinary documents.  The toxic one holds what sets toxic text apart: the spans
-of toxic words whose byte n-grams are significantly more frequent in toxic documents, the ``spans`` of most documents, which are the dictionary's size (all significant
-ones are too many: on larger samples rare chance spans fill it and match ordinary text); in front of the same ordinary content, so that ordinary words cost the same with both and the difference of the two lengths is what toxic
-spans save.  (README has the figures of toxic dictionaries that zstandard trains itself.)  A document is described by the largest, the mean and the frequency of these savings over all of its windows, and a logistic
+The ordinary dictionary is trained by zstandard on windows of ordinary documents.  The toxic one holds what sets toxic text apart: the beginnings of words
+that are far more frequent in toxic documents, the ``spans`` most significant ones, which are the dictionary's size; in front of the same ordinary content, so that ordinary words cost the same
+with both and the difference of the two lengths is what toxic spans save.  Windows and dictionaries are spelled by ``spelled``: a match of a few letters would save no more than it costs to write down.  (README has the figures of toxic dictionaries that zstandard trains itself.)  A document is described by the largest, the mean and the frequency of these savings over all of its windows, and a logistic
 calibration on documents that the dictionaries haven't seen turns them into a probability.  The model doesn't depend on how the rows are partitioned.
 
 Cases: null, empty and blank texts have no window and get the score of a text that saves nothing.  A document labelled twice counts
@@ -13,6 +12,7 @@ Repeated rows are scored each.  Long texts are read whole.  Other columns are ke
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -26,9 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import fold, labelled, materialize, small_batches
 
-GRAMS = (5, 6, 8)
-#: Bytes of a span at most: what follows a distinctive beginning is often an ordinary ending.
-SPAN = 8
+#: Bytes of a span: shorter beginnings are those of ordinary words, and what follows a distinctive one is often an ordinary ending.
+SPAN = range(3, 13)
+#: Bytes of a word, its space included, that are spelled by one byte, and bytes that spell each further one.
+PLAIN, WIDE = 4, 4
+#: Saved bytes from which a window counts as a hit.
+HIT = 6
+#: Words whose spelling a task remembers.
+REMEMBERED = 200_000
 N_FEATURES = 7
 
 
@@ -36,9 +41,31 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
+class _Spelled(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        crc, out = 0, bytearray()
+        for i, letter in enumerate(b" " + word):
+            crc = zlib.crc32(bytes((letter,)), crc)
+            out += crc.to_bytes(4, "little")[: 1 if i < PLAIN else WIDE]
+        if len(self) < REMEMBERED and len(word) <= 48:
+            self[word] = bytes(out)
+        return bytes(out)
+
+
+_SPELLED = _Spelled()
+
+
+def spelled(words: list[bytes]) -> bytes:
+    """The words with each byte replaced by a checksum of its word up to there, wider from the fifth on.
+
+    So a match is a common beginning, never a syllable inside other words, and saves the more the longer it is.
+    """
+    return b"".join(map(_SPELLED.__getitem__, words))
+
+
 @dataclass
 class Dictionaries:
-    """Contents of the two dictionaries and the number of words in a window."""
+    """Contents of the two dictionaries, in plain bytes, and the number of words in a window."""
 
     ordinary: bytes
     toxic: bytes
@@ -49,10 +76,11 @@ class Dictionaries:
         # matches of six bytes at least, looked for at every position of the dictionary
         how = zstandard.ZstdCompressionParameters(window_log=17, chain_log=14, hash_log=15, min_match=6, search_log=4, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
         out = []
-        for content in (self.ordinary, self.toxic + self.ordinary):
+        for content in (spelled(self.ordinary.split()), spelled(self.toxic.split() + self.ordinary.split())):
             raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             raw.precompute_compress(compression_params=how)
-            out.append(zstandard.ZstdCompressor(dict_data=raw, compression_params=how).compress)
+            compress = zstandard.ZstdCompressor(dict_data=raw, compression_params=how).compress
+            out.append(lambda window, compress=compress: compress(spelled(window.split())))
         return out
 
     def __getstate__(self):
@@ -63,10 +91,10 @@ class Dictionaries:
         if not words:
             return np.zeros(N_FEATURES)
         n = self.window
-        windows = [b" " + b" ".join(words[i : i + n]) + b" " for i in range(0, len(words), n)]
+        windows = [b" ".join(words[i : i + n]) for i in range(0, len(words), n)]
         plain, toxic = self._compressors
         saved = np.array([len(plain(w)) for w in windows], float) - np.array([len(toxic(w)) for w in windows], float)
-        s, hits = np.sort(saved)[::-1], float((saved >= 3).sum())
+        s, hits = np.sort(saved)[::-1], float((saved >= HIT).sum())
         return np.array([s[0], s[:3].mean(), s[: max(1, len(s) // 10)].mean(), np.log1p(hits), saved.mean() / n, hits / len(s), np.log1p(len(s))])
 
 
@@ -86,53 +114,50 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _grams(words) -> set[bytes]:
-    out = set()
-    for w in words:
-        w = b" " + w
-        for n in GRAMS:
-            out.update(w[i : i + n] for i in range(len(w) - n + 1))
-    return out
+def _beginnings(word: bytes) -> list[bytes]:
+    return [word[:n] for n in SPAN if n <= len(word)]
 
 
-def train_dictionaries(rows: DataFrame, least_ratio: float = 4.0, least_z: float = 5.0, spans: int = 50, ordinary_bytes: int = 1024) -> Dictionaries | None:
-    """From rows (text, y), a bounded sample that has been written; None without both classes."""
+def train_dictionaries(rows: DataFrame, least_ratio: float = 4.0, least_z: float = 5.0, span_ratio: float = 20.0, span_z: float = 8.0, spans: int = 50, ordinary_bytes: int = 1024) -> Dictionaries | None:
+    """From rows (text, y), a bounded sample that has been written; None without both classes.
+
+    A word's beginnings that pass ``least_ratio`` and ``least_z`` compete, the most significant one stands for the word; what stands for words must pass ``span_ratio`` and ``span_z`` by the
+    documents of these words alone (so that no beginning lives on its continuation), or, in small samples, half of the greatest such z.
+    """
     sizes = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return None
 
-    def count(batches):
-        for pdf in batches:
-            for y, part in pdf.groupby("y"):
-                seen: Counter = Counter()
-                for t in part.text:
-                    seen.update(_grams(set(_words(t))))
-                yield pd.DataFrame({"gram": pd.Series(list(seen), dtype=object), "y": int(y), "n": list(seen.values())}).astype({"n": "int64"})
-
-    each = rows.select("text", "y").mapInPandas(count, "gram binary, y int, n long").groupBy("gram").agg(F.sum(F.col("n") * F.col("y")).alias("n1"), F.sum(F.col("n") * (1 - F.col("y"))).alias("n0"))
-    p1, p0, p = F.col("n1") / n1, F.col("n0") / n0, (F.col("n1") + F.col("n0")) / (n1 + n0)
-    z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    found = each.filter((F.col("n1") >= 4) & (p < 1) & (p1 >= least_ratio * p0)).filter(z >= least_z).select("gram").collect()  # of a bounded sample
-    apart = rows.sparkSession.sparkContext.broadcast({bytes(r[0]) for r in found})
-
-    def cover(batches):
-        keep = apart.value
-        for pdf in batches:
-            seen: Counter = Counter()
-            for t in pdf.text:
-                own = set()
-                for w in set(_words(t)):
-                    w = b" " + w
-                    at = [(i, i + n) for n in GRAMS for i in range(len(w) - n + 1) if w[i : i + n] in keep]
-                    if at:
-                        first = min(a for a, _ in at)
-                        own.add(w[first : min(first + SPAN, max(b for _, b in at))])
-                seen.update(own)
-            yield pd.DataFrame({"span": pd.Series(list(seen), dtype=object), "n": list(seen.values())}).astype({"n": "int64"})
-
-    covered = rows.filter("y = 1").select("text").mapInPandas(cover, "span binary, n long").groupBy("span").agg(F.sum("n").alias("n"))
-    top = covered.orderBy(F.desc("n"), "span").limit(spans).collect()
+    def per_document(own):
+        """(gram, n1, n0, z): documents of either class that hold each of ``own(their words)``."""
+
+        def count(batches):
+            for pdf in batches:
+                for y, part in pdf.groupby("y"):
+                    seen: Counter = Counter()
+                    for t in part.text:
+                        seen.update(own(set(_words(t))))
+                    yield pd.DataFrame({"gram": pd.Series(list(seen), dtype=object), "y": int(y), "n": list(seen.values())}).astype({"n": "int64"})
+
+        each = rows.select("text", "y").mapInPandas(count, "gram binary, y int, n long").groupBy("gram").agg(F.sum(F.col("n") * F.col("y")).alias("n1"), F.sum(F.col("n") * (1 - F.col("y"))).alias("n0"))
+        p = (F.col("n1") + F.col("n0")) / (n1 + n0)
+        z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+        return each.filter((F.col("n1") >= 4) & (p < 1)).withColumn("z", z)
+
+    def more(ratio: float):
+        return F.col("n1") / n1 >= ratio * F.col("n0") / n0
+
+    found = per_document(lambda words: {g for w in words for g in _beginnings(w)}).filter(more(least_ratio) & (F.col("z") >= least_z)).select("gram", "z").collect()  # of a bounded sample
+    apart = rows.sparkSession.sparkContext.broadcast({bytes(r[0]): r[1] for r in found})
+
+    def standing(words):
+        z = apart.value
+        known = ([g for g in _beginnings(w) if g in z] for w in words)
+        return {max(at, key=lambda g: (z[g], len(g))) for at in known if at}
+
+    top = per_document(standing).filter(more(span_ratio)).orderBy(F.desc("z"), "gram").limit(spans).collect()
+    top = [r for r in top if r.z >= min(span_z, top[0].z / 2)]
 
     def windows(batches):
         for pdf in batches:
@@ -149,7 +174,7 @@ def train_dictionaries(rows: DataFrame, least_ratio: float = 4.0, least_z: float
         ordinary = zstandard.train_dictionary(ordinary_bytes, samples).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
         ordinary = b" ".join(samples)[-ordinary_bytes:]
-    return Dictionaries(ordinary or b" " * 8, b"".join(bytes(r[0]) for r in reversed(top)))
+    return Dictionaries(ordinary or b" " * 8, b" ".join(bytes(r[0]) for r in reversed(top)))
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = 4000) -> ToxicityModel:

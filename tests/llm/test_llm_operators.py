@@ -364,6 +364,24 @@ def test_toxicity(spark, empty):
     assert toxicity.train(docs, marks.limit(0)).scores(["x"]).tolist() == [0.0]
 
 
+def test_toxicity_finds_few_short_words_in_long_texts(spark):
+    """Two short toxic words, in other places of the dictionary than their beginnings' ordinary namesakes, are enough; ordinary words with these beginnings aren't."""
+    r = random.Random(4)
+    bad, near = ["scab", "louse", "moron", "clot"], ["scale", "loud", "more", "close"]
+    rows = []
+    for i in range(900):
+        w = [r.choice(EN + near) + r.choice(["", "s", "ly", "er"]) for _ in range(120)]
+        if i % 5 == 0:
+            for k in r.sample(range(120), 2):
+                w[k] = r.choice(bad)
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(900)], "doc_id long, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    held = [(got[i], i % 5 == 0) for i in range(900) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([p for p, y in held if y]) > 0.9 and np.mean([p for p, y in held if not y]) < 0.05
+
+
 def test_toxicity_does_not_depend_on_partitions(spark):
     r = random.Random(8)
     rows = [(i, " ".join(r.choice(EN + FR) + r.choice(["", "ment", "ly"]) for _ in range(60)) + (" wretchlet dungheap slimebag" if i % 3 == 0 else "")) for i in range(300)]
