@@ -4,12 +4,12 @@ A pattern splits a text into words, white space included, and each word is encod
 higher-order functions: a word is an array of its bytes, and a fold merges, as often as there are bytes, the leftmost adjacent pair with the lowest rank.  Ranks come from a
 literal map, cut into buckets because a map is searched from its start.  Bytes are handled as characters of ISO-8859-1, one for each.
 
-``encode`` folds the words that are most frequent in a sample of the documents this way, once each, and hands them to the tasks; texts are split and put together there, and
-are never shuffled.  Words outside that table (of bounded size) are merged where they stand, by the same ranks.  What is in the table changes no result.
+``encode`` folds every word of the texts this way: the words that are most frequent in a sample once, for all tasks; any other word in the task that has its text, when the task meets it for
+the first time.  Python splits the texts and puts them together, before and after the fold; texts are never shuffled.  What is in the table changes no result.
 ``decode`` concatenates the bytes of the ids.
 
 Cases: null texts are encoded as empty ones, without ids.  Repeated rows and null ids are encoded each.  Long texts are read whole; a long word takes time in proportion to
-its length times its merges only in ``encode_words``.  An empty table gives an empty result.  Special tokens in a text are ordinary text.  Other columns are kept by name.
+its length times its merges.  An empty table gives an empty result.  Special tokens in a text are ordinary text.  Other columns are kept by name.
 """
 
 from __future__ import annotations
@@ -17,22 +17,24 @@ from __future__ import annotations
 import base64
 import json
 import re
+import sys
 import zlib
 from array import array
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
 from .common import materialize, small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Documents from which the frequent words are picked, about, and how many words are kept, of at most so many bytes.
-SAMPLE_DOCS, WORDS, WORD_BYTES = 5_000, 65_536, 48
-#: Stretches of text, and words, that a task remembers.
+SAMPLE_DOCS, WORDS, WORD_BYTES = 20_000, 262_144, 48
+#: Stretches of text, and words outside the table, that a task remembers.
 REMEMBERED = 400_000
 BUCKETS = 1 << 13
 _NONE = 1 << 30
@@ -121,47 +123,76 @@ def frequent_words(documents: DataFrame, docs: int = SAMPLE_DOCS, words: int = W
     return counted.filter(F.octet_length("word") <= longest).orderBy(F.desc("n"), "word").limit(words).select("word")
 
 
+def stretches(text: str) -> tuple[str, list[str]]:
+    """What stands before the first single space, and the stretches after each.
+
+    No word goes on across a space that follows something else than white space, so a stretch can be split, with its space, without its surroundings.
+    """
+    first, *rest = SPACE_AFTER_SPACE.search(text) and LONE_SPACE.split(text) or text.split(" ")
+    return first, rest
+
+
+def words_of(text: str) -> list[str]:
+    """Words of a stretch; of letters after one space, with or without a mark at the end, they are known without the pattern."""
+    if text[:1] == " " and text[1:].isalpha():
+        return [text]
+    if text[:1] == " " and text[-1] in ",.;:!?" and text[1:-1].isalpha():
+        return [text[:-1], text[-1]]
+    return _pattern().findall(text)
+
+
+class Unmet:
+    """Words of one text after the other that neither the table nor an earlier text has; forgets, as ``Known`` does, when it has ``room`` words."""
+
+    def __init__(self, table: dict, room: int = REMEMBERED):
+        self.table, self.room, self.met, self.seen = table, room, set(), set()
+
+    def words(self, text: str) -> list[str]:
+        if len(self.met) >= self.room:
+            self.met, self.seen = set(), set()
+        if len(self.seen) >= REMEMBERED:
+            self.seen = set()
+        first, rest = stretches(text)
+        new = set(rest) - self.seen
+        self.seen |= new
+        found = {w for s in (first, *(" " + x for x in new)) for w in words_of(s) if w not in self.table and w not in self.met}
+        self.met |= found
+        return list(found)
+
+
 class Known(dict):
     """Ids of the stretches of a text between single spaces, as 32-bit numbers, as they are met.
 
-    No word goes on across a space that follows something else than white space, so a stretch can be encoded without its surroundings.  A stretch's words are looked up among those that were
-    handed over; others are merged here.
+    Their words are those of the table and those that ``learn`` was given with the texts; any other is an error.
     """
 
-    def __init__(self, words: dict[str, list[int]], of: dict[bytes, int]):
-        import public_tokenizers
-        import tiktoken
-
+    def __init__(self, words: dict[str, list[int]]):
         super().__init__()
-        self.words, self.room = {w: array("i", ids).tobytes() for w, ids in words.items()}, REMEMBERED
-        self.merge = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=of, special_tokens={})._encode_single_piece
+        self.table, self.own, self.room = {w: array("i", ids).tobytes() for w, ids in words.items()}, {}, REMEMBERED
+
+    def learn(self, words, flat, room: int = REMEMBERED) -> None:
+        """Words and, one after the other, how many ids each has and the ids."""
+        if len(self.own) >= room:
+            self.own = {}
+        raw, at = np.asarray(flat, "i4").tobytes(), 0
+        for w in words:
+            end = at + 4 + 4 * int.from_bytes(raw[at : at + 4], sys.byteorder)
+            self.own[w], at = raw[at + 4 : end], end
 
     def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            found = array("i", self.merge(word.encode())).tobytes()
-            if len(self.words) < REMEMBERED and len(word) <= WORD_BYTES:
-                self.words[word] = found
-        return found
-
-    def made(self, text: str) -> bytes:
-        """Of letters after one space, with or without a mark at the end, the words are known without the pattern."""
-        if text[:1] == " " and text[1:].isalpha():
-            return self.word(text)
-        if text[:1] == " " and text[-1] in ",.;:!?" and text[1:-1].isalpha():
-            return self.word(text[:-1]) + self.word(text[-1])
-        return b"".join(map(self.word, _pattern().findall(text)))
+        found = self.table.get(word)
+        return self.own[word] if found is None else found
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = self.made(" " + stretch)
+        ids = b"".join(map(self.word, words_of(" " + stretch)))
         if self.room and len(stretch) <= WORD_BYTES:
             self.room -= 1
             self[stretch] = ids
         return ids
 
     def ids(self, text: str) -> np.ndarray:
-        first, *rest = SPACE_AFTER_SPACE.search(text) and LONE_SPACE.split(text) or text.split(" ")
-        return np.frombuffer(self.made(first) + b"".join(map(self.__getitem__, rest)), "i4")
+        first, rest = stretches(text)
+        return np.frombuffer(b"".join(map(self.word, words_of(first))) + b"".join(map(self.__getitem__, rest)), "i4")
 
 
 #: Both classes have all white space, so that a space that is in doubt is never taken for a boundary.
@@ -177,33 +208,47 @@ def _pattern():
     return regex.compile(public_tokenizers.PATTERN.replace("[^\\s", "[^\\p{White_Space}").replace("\\s", "\\p{White_Space}").replace("\\S", "\\P{White_Space}"))
 
 
-def encoder(documents: DataFrame, vocabulary: str = VOCABULARY, **sample):
-    """A function of a text column: its ids, as an array of integers; ``documents`` (doc_id, text) give the words that are folded beforehand."""
-    table = materialize(encode_words(materialize(frequent_words(documents, **sample), "bpe-words").repartition(12), vocabulary), "bpe-ids")
-    shared = documents.sparkSession.sparkContext.broadcast({r.word: r.ids for r in table.collect()})  # WORDS rows of bounded length at most
-    small_batches(documents)
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def ids_of(batches: pd.Series) -> pd.Series:
-        return pd.Series(list(map(_known(shared, vocabulary).ids, batches)))
-
-    return lambda text: ids_of(F.coalesce(text, F.lit("")))
-
-
 _KNOWN: list[tuple[dict, Known]] = []
 
 
-def _known(shared, vocabulary: str) -> Known:
+def _known(shared) -> Known:
     """The last table of a Python worker is kept for its next tasks."""
     if not _KNOWN or _KNOWN[0][0] is not shared.value:
-        _KNOWN[:] = [(shared.value, Known(shared.value, ranks(vocabulary)))]
+        _KNOWN[:] = [(shared.value, Known(shared.value))]
     return _KNOWN[0][1]
 
 
-def encode(documents: DataFrame, vocabulary: str = VOCABULARY, **sample) -> DataFrame:
-    """``documents`` (doc_id, text, ..) with ``ids``, an array of integers, in place of ``text``."""
-    ids = encoder(documents, vocabulary, **sample)
-    return documents.select(*[c for c in documents.columns if c not in ("text", "ids")], ids(F.col("text")).alias("ids"))
+def encode(documents: DataFrame, vocabulary: str = VOCABULARY, room: int = REMEMBERED, **sample) -> DataFrame:
+    """``documents`` (doc_id, text, ..) with ``ids``, an array of integers, in place of ``text``.
+
+    Both Python steps see a task's rows in one order, so the second has met every word that the first left out.
+    """
+    table = materialize(encode_words(materialize(frequent_words(documents, **sample), "bpe-words").repartition(12), vocabulary), "bpe-ids")
+    shared = documents.sparkSession.sparkContext.broadcast({r.word: r.ids for r in table.collect()})  # WORDS rows of bounded length at most
+    others = [c for c in documents.columns if c not in ("text", "ids")]
+    rows = small_batches(documents).select(*others, F.coalesce("text", F.lit("")).alias("text"))
+
+    def split_texts(batches):
+        words = Unmet(shared.value, room).words
+        for b in batches:
+            yield b.append_column("_words", pa.array(map(words, b.column("text").to_pylist()), pa.list_(pa.string())))
+
+    def put_together(batches):
+        known = _known(shared)
+        known.own = {}
+        for b in batches:
+            out = []
+            for t, w, f in zip(b.column("text").to_pylist(), b.column("_words").to_pylist(), b.column("_flat")):
+                known.learn(w, f.values.to_numpy(), room)
+                out.append(known.ids(t))
+            ends = np.cumsum([0, *map(len, out)], dtype="i4")
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, "i4")))
+            yield b.select(others).append_column("ids", ids)
+
+    new = rows.mapInArrow(split_texts, StructType([*rows.schema.fields, StructField("_words", ArrayType(StringType()))]))
+    ranked = rank_map(ranks(vocabulary))
+    flat = F.flatten(F.transform("_words", lambda w: _let(folded(as_bytes(w), ranked), lambda x: F.concat(F.array(F.size(x)), x))))
+    return new.withColumn("_flat", flat).mapInArrow(put_together, StructType([*(rows.schema[c] for c in others), StructField("ids", ArrayType(IntegerType()))]))
 
 
 def decoder(vocabulary: str = VOCABULARY):

@@ -108,6 +108,16 @@ def test_byte_bpe_is_that_of_tiktoken(spark, words):
     assert bpe.digest(bpe.encode(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("room", [400_000, 40])
+def test_byte_bpe_folds_every_word(spark, room):
+    """Words outside the table are folded too, also when a task forgets words and meets them again; no other engine merges."""
+    assert "tiktoken" not in re.findall("(?m)^ *(?:import|from) +([a-z_]+)", open(bpe.__file__).read())
+    texts = [t or "" for t in odd_texts()] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    enc = encoding()
+    assert {r.doc_id: list(r.ids) for r in bpe.encode(df, words=20, room=room).collect()} == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_folded_words(spark):
     """Higher-order functions against tiktoken's merges, word by word; long words and runs of one byte too."""
     r, enc = random.Random(9), encoding()
