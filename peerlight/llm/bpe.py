@@ -166,9 +166,9 @@ class Known(dict):
     Their words are those of the table and those that ``learn`` was given with the texts; any other is an error.
     """
 
-    def __init__(self, words: dict[str, list[int]]):
+    def __init__(self, table: dict[str, bytes]):
         super().__init__()
-        self.table, self.own, self.room = {w: array("i", ids).tobytes() for w, ids in words.items()}, {}, REMEMBERED
+        self.table, self.own, self.room = table, {}, REMEMBERED
 
     def learn(self, words, flat, room: int = REMEMBERED) -> None:
         """Words and, one after the other, how many ids each has and the ids."""
@@ -224,7 +224,7 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, room: int = REMEM
     Both Python steps see a task's rows in one order, so the second has met every word that the first left out.
     """
     table = materialize(encode_words(materialize(frequent_words(documents, **sample), "bpe-words").repartition(12), vocabulary), "bpe-ids")
-    shared = documents.sparkSession.sparkContext.broadcast({r.word: r.ids for r in table.collect()})  # WORDS rows of bounded length at most
+    shared = documents.sparkSession.sparkContext.broadcast({r.word: array("i", r.ids).tobytes() for r in table.collect()})  # WORDS rows of bounded length at most
     others = [c for c in documents.columns if c not in ("text", "ids")]
     rows = small_batches(documents).select(*others, F.coalesce("text", F.lit("")).alias("text"))
 
