@@ -32,8 +32,8 @@ SPAN = range(3, 13)
 PLAIN, WIDE = 4, 4
 #: Saved bytes from which a window counts as a hit.
 HIT = 6
-#: Words whose spelling a task remembers.
-REMEMBERED = 200_000
+#: Words that are spelled together, about, and letters after which those of a word are taken one by one.
+TOGETHER, LONG = 1 << 16, 64
 N_FEATURES = 7
 
 
@@ -41,18 +41,32 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
-class _Spelled(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        crc, out = 0, bytearray()
-        for i, letter in enumerate(b" " + word):
-            crc = zlib.crc32(bytes((letter,)), crc)
-            out += crc.to_bytes(4, "little")[: 1 if i < PLAIN else WIDE]
-        if len(self) < REMEMBERED and len(word) <= 48:
-            self[word] = bytes(out)
-        return bytes(out)
-
-
-_SPELLED = _Spelled()
+#: The checksum of a letter, by which that of a text goes on.
+_CRC = np.array([zlib.crc32(bytes((i,)), 0xFFFFFFFF) ^ 0xFFFFFFFF for i in range(256)], "u4")
+
+
+def spelled_apart(words: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """What ``spelled`` returns, and where each word ends in it."""
+    text = b"".join(b" " + w for w in words)
+    letters, sizes = np.frombuffer(text, "u1"), np.fromiter(map(len, words), "i8", len(words)) + 1
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")
+    by_size, longer = starts[order], np.cumsum(np.bincount(sizes)[::-1])[::-1]
+    sums, crc = np.empty(len(text), "<u4"), np.full(len(words), 0xFFFFFFFF, "u4")
+    for i in range(min(LONG, sizes.max(initial=0))):  # the letters at place i of all words that have one
+        at = by_size[: longer[i + 1]] + i
+        crc = crc[: len(at)]
+        crc = _CRC[(crc ^ letters[at]) & 255] ^ (crc >> 8)
+        sums[at] = ~crc
+    for k in np.flatnonzero(sizes > LONG):
+        at, end = int(starts[k]) + LONG, int(starts[k] + sizes[k])
+        so_far = int(sums[at - 1])
+        for i in range(at, end):
+            so_far = sums[i] = zlib.crc32(text[i : i + 1], so_far)
+    place = np.arange(len(text)) - np.repeat(starts, sizes)
+    kept = np.arange(4) < np.where(place < PLAIN, 1, WIDE)[:, None]
+    plain = np.minimum(sizes, PLAIN)
+    return sums.view("u1").reshape(-1, 4)[kept].tobytes(), np.cumsum(plain + WIDE * (sizes - plain))
 
 
 def spelled(words: list[bytes]) -> bytes:
@@ -60,7 +74,7 @@ def spelled(words: list[bytes]) -> bytes:
 
     So a match is a common beginning, never a syllable inside other words, and saves the more the longer it is.
     """
-    return b"".join(map(_SPELLED.__getitem__, words))
+    return spelled_apart(words)[0]
 
 
 @dataclass
@@ -72,30 +86,62 @@ class Dictionaries:
     window: int = 8
 
     @cached_property
-    def _compressors(self):
+    def _compress(self):
         # matches of six bytes at least, looked for at every position of the dictionary
         how = zstandard.ZstdCompressionParameters(window_log=17, chain_log=14, hash_log=15, min_match=6, search_log=4, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
         out = []
         for content in (spelled(self.ordinary.split()), spelled(self.toxic.split() + self.ordinary.split())):
             raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             raw.precompute_compress(compression_params=how)
-            compress = zstandard.ZstdCompressor(dict_data=raw, compression_params=how).compress
-            out.append(lambda window, compress=compress: compress(spelled(window.split())))
+            out.append(zstandard.ZstdCompressor(dict_data=raw, compression_params=how).compress)
         return out
 
+    @property
+    def _compressors(self):
+        """The same for windows in plain bytes."""
+        return [lambda window, compress=compress: compress(spelled(window.split())) for compress in self._compress]
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_compressors"}
+        return {k: v for k, v in self.__dict__.items() if k != "_compress"}
+
+    def savings(self, texts) -> list[np.ndarray]:
+        """What the toxic dictionary saves in each window of each text; windows are spelled once, many words together."""
+        plain, toxic = self._compress
+        n = self.window
+        step = n * max(1, TOGETHER // n)
+
+        def saved(words: list[bytes], ends: np.ndarray) -> list[int]:
+            data, at = spelled_apart(words)
+            stops = at[ends - 1].tolist()
+            return [len(plain(w)) - len(toxic(w)) for w in (data[i:j] for i, j in zip([0, *stops], stops))]
+
+        words, ends, found, counts = [], [], [], []
+        for text in texts:
+            own, before = _words(text), len(found) + sum(map(len, ends))
+            for i in range(0, len(own), step):
+                part = own[i : i + step]
+                ends.append(len(words) + np.minimum(np.arange(n, len(part) + n, n), len(part)))
+                words += part
+                if len(words) >= step:
+                    found += saved(words, np.concatenate(ends))
+                    words, ends = [], []
+            counts.append(len(found) + sum(map(len, ends)) - before)
+        if words:
+            found += saved(words, np.concatenate(ends))
+        return np.split(np.array(found, float), np.cumsum(counts)[:-1]) if counts else []
+
+    def describe(self, texts) -> np.ndarray:
+        """The features of each text, a row each."""
+        return np.array([self._features(s) for s in self.savings(texts)]).reshape(-1, N_FEATURES)
 
     def features(self, text: str | None) -> np.ndarray:
-        words = _words(text)
-        if not words:
+        return self.describe([text])[0]
+
+    def _features(self, saved: np.ndarray) -> np.ndarray:
+        if not len(saved):
             return np.zeros(N_FEATURES)
-        n = self.window
-        windows = [b" ".join(words[i : i + n]) for i in range(0, len(words), n)]
-        plain, toxic = self._compressors
-        saved = np.array([len(plain(w)) for w in windows], float) - np.array([len(toxic(w)) for w in windows], float)
         s, hits = np.sort(saved)[::-1], float((saved >= HIT).sum())
-        return np.array([s[0], s[:3].mean(), s[: max(1, len(s) // 10)].mean(), np.log1p(hits), saved.mean() / n, hits / len(s), np.log1p(len(s))])
+        return np.array([s[0], s[:3].mean(), s[: max(1, len(s) // 10)].mean(), np.log1p(hits), saved.mean() / self.window, hits / len(s), np.log1p(len(s))])
 
 
 @dataclass
@@ -109,7 +155,7 @@ class ToxicityModel:
     def scores(self, texts) -> np.ndarray:
         if self.dictionaries is None:
             return np.full(len(texts), self.prior)
-        x = np.array([self.dictionaries.features(t) for t in texts]).reshape(len(texts), N_FEATURES)
+        x = self.dictionaries.describe(texts)
         z = np.column_stack([np.ones(len(x)), (x - self.centre) / self.scale]) @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -192,7 +238,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", bound:
 
     def describe(batches):
         for pdf in batches:
-            yield pd.DataFrame({"x": [shared.value.features(t) for t in pdf.text], "y": pdf.y})
+            yield pd.DataFrame({"x": list(shared.value.describe(pdf.text)), "y": pdf.y})
 
     unseen = rows.filter("half = 1").select("text", "y").mapInPandas(describe, "x array<double>, y int").orderBy("x", "y").collect()  # `bound` rows a class at most
     x, y = np.array([r[0] for r in unseen]).reshape(len(unseen), N_FEATURES), np.array([r[1] for r in unseen], float)

@@ -397,6 +397,34 @@ def test_toxicity_does_not_depend_on_partitions(spark):
     assert d.features(rows[0][1])[0] == max(saved) > 3
 
 
+def test_toxicity_spells_each_word_once_and_together(monkeypatch):
+    def one_by_one(words):
+        out = b""
+        for w in words:
+            crc = 0
+            for i, letter in enumerate(b" " + w):
+                crc = zlib.crc32(bytes((letter,)), crc)
+                out += crc.to_bytes(4, "little")[: 1 if i < 4 else 4]
+        return out
+
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choice("abcé") for _ in range(r.choice([1, 2, 3, 4, 9, 62, 63, 64, 65, 200]))) for _ in range(n)) for n in (0, 1, 7, 8, 9, 500)] + [None, " "]
+    words = [toxicity._words(t) for t in texts]
+    assert all(toxicity.spelled(w) == one_by_one(w) for w in words)
+    data, ends = toxicity.spelled_apart(words[-3])
+    assert [data[i:j] for i, j in zip([0, *ends], ends)] == [one_by_one([w]) for w in words[-3]]
+    d = toxicity.Dictionaries(b"abc abca aab", b"bbb cccc acacac")
+    plain, toxic = d._compressors
+    want = [[len(plain(w)) - len(toxic(w)) for w in (b" ".join(x[i : i + 8]) for i in range(0, len(x), 8))] for x in words]
+    seen, spell = [], toxicity.spelled_apart
+    monkeypatch.setattr(toxicity, "spelled_apart", lambda w: seen.append(len(w)) or spell(w))
+    for together in (1 << 16, 100, 1):
+        monkeypatch.setattr(toxicity, "TOGETHER", together)
+        seen.clear()
+        assert [s.tolist() for s in d.savings(texts)] == want
+        assert sum(seen) == sum(map(len, words)) and len(seen) <= 1 + sum(map(len, words)) // together
+
+
 def test_bounded_samples_beyond_a_million_rows_a_class(spark):
     rows = spark.range(3_000_000).select(F.col("id").alias("k"), (F.col("id") % 1000 == 0).cast("int").alias("y"))
     got = dict(map(tuple, common.bounded_sample(rows, F.col("k"), "y", 2).groupBy("y").count().collect()))
