@@ -5,8 +5,8 @@ higher-order functions: a word is an array of its bytes, and a fold merges, as o
 literal map, cut into buckets because a map is searched from its start.  Bytes are handled as characters of ISO-8859-1, one for each.
 
 ``encode`` folds every word of the texts this way: the words that are most frequent in a sample once, for all tasks; any other word in the task that has its text, when the task meets it for
-the first time.  Python splits the texts and puts them together, before and after the fold; texts are never shuffled.  What is in the table changes no result.
-``decode`` concatenates the bytes of the ids.
+the first time.  Python splits the texts before the fold, into ids and numbers of words that are to be folded, and puts their ids in place after it; texts are never shuffled.  What is in the table changes no result.
+``decode`` concatenates the bytes of the ids, by a literal array of tokens.
 
 Cases: null texts are encoded as empty ones, without ids.  Repeated rows and null ids are encoded each.  Long texts are read whole; a long word takes time in proportion to
 its length times its merges.  An empty table gives an empty result.  Special tokens in a text are ordinary text.  Other columns are kept by name.
@@ -21,23 +21,26 @@ import sys
 import zlib
 from array import array
 from functools import cache
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import materialize, small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Documents from which the frequent words are picked, about, and how many words are kept, of at most so many bytes.
 SAMPLE_DOCS, WORDS, WORD_BYTES = 20_000, 262_144, 48
-#: Stretches of text, and words outside the table, that a task remembers.
-REMEMBERED = 400_000
+#: Stretches of text that a Python worker remembers, and words outside the table that it remembers in a task; two workers and the JVM share an executor's memory with others.
+STRETCHES, REMEMBERED = 1 << 17, 1 << 18
 BUCKETS = 1 << 13
-_NONE = 1 << 30
+#: Bits of a place in a word; the rank of a pair that is no token, above all others, and its number in the fold.
+PLACE = 28
+_NONE = (1 << 18) - 1
+_END = _NONE << (16 + PLACE)
 
 
 @cache
@@ -58,40 +61,60 @@ def rank_map(of: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<map<string,int>>")
 
 
+def byte_pairs(of: dict[bytes, int]) -> Column:
+    """The ranks of all pairs of bytes as a constant, by first byte * 256 + second byte."""
+    return F.from_json(F.lit(json.dumps([of.get(bytes(divmod(i, 256)), _NONE) for i in range(1 << 16)])), "array<int>")
+
+
 def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.transform(F.array(value), use)[0]
+    """``use(value)`` with the value computed once: a fold of no elements ends with it, without a copy."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, use)
 
 
-def folded(word: Column, table: Column) -> Column:
-    """Ids of a word, given as ISO-8859-1 characters of its bytes.
+def folded(word: Column, table: Column, two: Column) -> Column:
+    """Ids of a word of one byte at least, given as ISO-8859-1 characters of its bytes.
 
-    The state is the pieces and the rank of each piece with the next one; a step merges the first pair of the lowest rank and looks up its two new neighbours.
+    The state is a number for each adjacent pair of pieces: its rank, the place between the two and their lengths, highest bits first, so that the smallest number is the first pair of
+    the lowest rank.  A step drops that pair and looks up the ranks of its two neighbours; those of the bytes come from ``two``.
     """
 
     def found(m: Column, text: Column) -> Column:
         return F.element_at(F.get(m, (F.crc32(text.cast("binary")) % BUCKETS).cast("int")), text)
 
+    bits = lambda x, low, n: F.shiftright(x, low).bitwiseAND((1 << n) - 1).cast("int")
+    middle, left, right = (lambda x: bits(x, 16, PLACE)), (lambda x: bits(x, 8, 8)), (lambda x: bits(x, 0, 8))
+
     def merged(m: Column) -> Column:
-        rank = lambda text: F.coalesce(found(m, text), F.lit(_NONE))
-        start = _let(F.split(word, ""), lambda p: F.struct(p.alias("p"), F.transform(p, lambda x, i: rank(F.concat(x, F.get(p, i + 1)))).alias("r")))
+        text = lambda start, size: F.substring(word, start + 1, size)
+
+        def number(rank: Column, place: Column, before: Column, after: Column) -> Column:
+            return F.shiftleft(rank.cast("long"), 16 + PLACE) + place + (F.shiftleft(before, 8) + after)
+
+        def pair(at: Column, before: Column, after: Column, place: Column) -> Column:
+            return number(F.coalesce(found(m, text(at - before, before + after)), F.lit(_NONE)), place, before, after)
 
         def step(s: Column, _: Column) -> Column:
-            p, r, n = s["p"], s["r"], F.size(s["p"])
-
-            def join(at: Column) -> Column:
-                i = at["i"]
-                before = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), at["q"])))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), i - 1), F.array(at["q"]), F.slice(p, i + 2, n)).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), before, F.array(rank(F.concat(at["q"], F.get(p, i + 1)))), F.slice(r, i + 2, n)).alias("r"),
+            def join(x: Column) -> Column:
+                places = F.lit(((1 << PLACE) - 1) << 16)
+                at = x.bitwiseAND(places)
+                ends = F.struct((at - F.shiftleft(left(x), 16)).alias("a"), (at + F.shiftleft(right(x), 16)).alias("c"), (left(x) + right(x)).alias("n"))
+                return _let(
+                    ends,
+                    lambda e: F.transform(
+                        F.array_remove(s, x),
+                        lambda y: F.when(y.bitwiseAND(places) == e["a"], pair(middle(y), left(y), e["n"], e["a"])).when(y.bitwiseAND(places) == e["c"], pair(middle(y), e["n"], right(y), e["c"])).otherwise(y),
+                    ),
                 )
 
-            place = lambda least: F.array_position(r, least).cast("int")
-            best = _let(F.array_min(r), lambda least: F.struct(place(least).alias("i"), F.concat(F.get(p, place(least) - 1), F.get(p, place(least))).alias("q")))
-            return F.when(F.array_min(r) == _NONE, s).otherwise(_let(best, join))
+            return _let(F.array_min(s), lambda x: F.when(F.coalesce(x, F.lit(_END)) >= _END, s).otherwise(join(x)))
 
-        pieces = F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(word), F.lit(2))), start, step, lambda s: F.transform(s["p"], lambda x: found(m, x)))
+        codes = F.transform(F.split(word, ""), lambda x: F.ascii(x))
+        start = _let(codes, lambda c: F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda i: number(F.get(two, F.get(c, i - 1) * 256 + F.get(c, i)), F.shiftleft(i.cast("long"), 16), F.lit(1), F.lit(1))))
+        last = lambda s: F.element_at(s, -1)
+        ids = lambda s: F.when(F.size(s) == 0, F.array(found(m, word))).otherwise(
+            F.concat(F.transform(s, lambda x: found(m, text(middle(x) - left(x), left(x)))), F.array(found(m, text(middle(last(s)), right(last(s))))))
+        )
+        pieces = F.aggregate(F.sequence(F.lit(2), F.length(word)), start, step, ids)
         whole = found(m, word)
         return F.when(whole.isNotNull(), F.array(whole)).otherwise(pieces)
 
@@ -103,9 +126,14 @@ def as_bytes(word: Column) -> Column:
     return F.decode(word.cast("binary"), "ISO-8859-1")
 
 
+def constants(vocabulary: str) -> tuple[Column, Column]:
+    of = ranks(vocabulary)
+    return rank_map(of), byte_pairs(of)
+
+
 def encode_words(words: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(word, ids) of each row of ``words`` (word)."""
-    return words.select("word", folded(as_bytes(F.col("word")), rank_map(ranks(vocabulary))).alias("ids"))
+    return words.select("word", folded(as_bytes(F.col("word")), *constants(vocabulary)).alias("ids"))
 
 
 def split(text: Column) -> Column:
@@ -141,52 +169,38 @@ def words_of(text: str) -> list[str]:
     return _pattern().findall(text)
 
 
-class Unmet:
-    """Words of one text after the other that neither the table nor an earlier text has; forgets, as ``Known`` does, when it has ``room`` words."""
-
-    def __init__(self, table: dict, room: int = REMEMBERED):
-        self.table, self.room, self.met, self.seen = table, room, set(), set()
-
-    def words(self, text: str) -> list[str]:
-        if len(self.met) >= self.room:
-            self.met, self.seen = set(), set()
-        if len(self.seen) >= REMEMBERED:
-            self.seen = set()
-        first, rest = stretches(text)
-        new = set(rest) - self.seen
-        self.seen |= new
-        found = {w for s in (first, *(" " + x for x in new)) for w in words_of(s) if w not in self.table and w not in self.met}
-        self.met |= found
-        return list(found)
-
-
 class Known(dict):
     """Ids of the stretches of a text between single spaces, as 32-bit numbers, as they are met.
 
-    Their words are those of the table and those that ``learn`` was given with the texts; any other is an error.
+    A word outside the table has a number below zero in place of its ids: -1 for the first one of a task, -2 for the next one.  ``new`` are those since they were last taken.  With
+    ``room`` of them their numbers are forgotten; one that comes again gets another.
     """
 
     def __init__(self, table: dict[str, bytes]):
         super().__init__()
-        self.table, self.own, self.room = table, {}, REMEMBERED
+        self.table, self.left = table, STRETCHES
+        self.start(REMEMBERED)
 
-    def learn(self, words, flat, room: int = REMEMBERED) -> None:
-        """Words and, one after the other, how many ids each has and the ids."""
-        if len(self.own) >= room:
-            self.own = {}
-        raw, at = np.asarray(flat, "i4").tobytes(), 0
-        for w in words:
-            end = at + 4 + 4 * int.from_bytes(raw[at : at + 4], sys.byteorder)
-            self.own[w], at = raw[at + 4 : end], end
+    def start(self, room: int) -> None:
+        self.room, self.own, self.new, self.numbers = room, {}, [], count(-1, -1)
 
     def word(self, word: str) -> bytes:
         found = self.table.get(word)
-        return self.own[word] if found is None else found
+        if found is None:
+            self.whole = False
+            found = self.own.get(word)
+            if found is None:
+                if len(self.own) >= self.room:
+                    self.own = {}
+                found = self.own[word] = next(self.numbers).to_bytes(4, sys.byteorder, signed=True)
+                self.new.append(word)
+        return found
 
     def __missing__(self, stretch: str) -> bytes:
+        self.whole = True
         ids = b"".join(map(self.word, words_of(" " + stretch)))
-        if self.room and len(stretch) <= WORD_BYTES:
-            self.room -= 1
+        if self.whole and self.left and len(stretch) <= WORD_BYTES:
+            self.left -= 1
             self[stretch] = ids
         return ids
 
@@ -194,6 +208,35 @@ class Known(dict):
         first, rest = stretches(text)
         return np.frombuffer(b"".join(map(self.word, words_of(first))) + b"".join(map(self.__getitem__, rest)), "i4")
 
+    def taken(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+
+class Folded:
+    """Ids of the new words of a task, one after the other; ``ends`` is where each word's begin and the last one's end."""
+
+    def __init__(self):
+        self.flat, self.ends = array("i"), array("q", [0])
+
+    def learn(self, words: pa.ListArray) -> None:
+        self.ends.frombytes((self.ends[-1] + np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False), dtype="i8")).tobytes())
+        self.flat.frombytes(words.flatten().to_numpy(zero_copy_only=False).astype("i4").tobytes())
+
+    def put(self, rows: pa.ListArray) -> pa.ListArray:
+        """The rows with the ids of each new word in its place."""
+        ids, stops = rows.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.append(0, rows.value_lengths().to_numpy(zero_copy_only=False)))
+        at = np.flatnonzero(ids < 0)
+        ends, which = np.frombuffer(self.ends, "i8"), -1 - ids[at].astype("i8")
+        start, size = ends[which], ends[which + 1] - ends[which]
+        sizes = np.ones(len(ids), "i8")
+        sizes[at] = size
+        places = np.cumsum(np.append(0, sizes))
+        out = np.repeat(ids, sizes)
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(places[at], size) + within] = np.frombuffer(self.flat, "i4")[np.repeat(start, size) + within]
+        return pa.ListArray.from_arrays(pa.array(places[stops].astype("i4")), pa.array(out))
+
 
 #: Both classes have all white space, so that a space that is in doubt is never taken for a boundary.
 SPACE_AFTER_SPACE, LONE_SPACE = re.compile(r"\s "), re.compile(r"(?<=\S) ")
@@ -221,7 +264,7 @@ def _known(shared) -> Known:
 def encode(documents: DataFrame, vocabulary: str = VOCABULARY, room: int = REMEMBERED, **sample) -> DataFrame:
     """``documents`` (doc_id, text, ..) with ``ids``, an array of integers, in place of ``text``.
 
-    Both Python steps see a task's rows in one order, so the second has met every word that the first left out.
+    Both Python steps see a task's rows in one order, so the second has met every word that the first left out.  Only the first has the table and the texts.
     """
     table = materialize(encode_words(materialize(frequent_words(documents, **sample), "bpe-words").repartition(12), vocabulary), "bpe-ids")
     shared = documents.sparkSession.sparkContext.broadcast({r.word: array("i", r.ids).tobytes() for r in table.collect()})  # WORDS rows of bounded length at most
@@ -229,47 +272,36 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, room: int = REMEM
     rows = small_batches(documents).select(*others, F.coalesce("text", F.lit("")).alias("text"))
 
     def split_texts(batches):
-        words = Unmet(shared.value, room).words
+        known = _known(shared)
+        known.start(room)
         for b in batches:
-            yield b.append_column("_words", pa.array(map(words, b.column("text").to_pylist()), pa.list_(pa.string())))
+            ids, words = [], []
+            for t in b.column("text"):
+                ids.append(known.ids(t.as_py()))
+                words.append(known.taken())
+            ends = np.cumsum([0, *map(len, ids)], dtype="i4")
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, "i4")))
+            yield b.select(others).append_column("ids", ids).append_column("_words", pa.array(words, pa.list_(pa.string())))
+        known.start(room)  # an idle worker holds none
 
     def put_together(batches):
-        known = _known(shared)
-        known.own = {}
+        folded = Folded()
         for b in batches:
-            out = []
-            for t, w, f in zip(b.column("text").to_pylist(), b.column("_words").to_pylist(), b.column("_flat")):
-                known.learn(w, f.values.to_numpy(), room)
-                out.append(known.ids(t))
-            ends = np.cumsum([0, *map(len, out)], dtype="i4")
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.zeros(0, "i4")))
-            yield b.select(others).append_column("ids", ids)
-
-    new = rows.mapInArrow(split_texts, StructType([*rows.schema.fields, StructField("_words", ArrayType(StringType()))]))
-    ranked = rank_map(ranks(vocabulary))
-    flat = F.flatten(F.transform("_words", lambda w: _let(folded(as_bytes(w), ranked), lambda x: F.concat(F.array(F.size(x)), x))))
-    return new.withColumn("_flat", flat).mapInArrow(put_together, StructType([*(rows.schema[c] for c in others), StructField("ids", ArrayType(IntegerType()))]))
+            folded.learn(b.column("_folded").flatten())
+            yield b.select(others).append_column("ids", folded.put(b.column("ids")))
 
-
-def decoder(vocabulary: str = VOCABULARY):
-    """A function of an array of ids: the bytes of its tokens, one after the other."""
-
-    @F.pandas_udf(BinaryType())
-    def bytes_of(batches: pd.Series) -> pd.Series:
-        pieces = _pieces(vocabulary).__getitem__
-        return pd.Series([b"".join(map(pieces, ids.tolist())) for ids in batches])
-
-    return bytes_of
-
-
-@cache
-def _pieces(vocabulary: str) -> dict[int, bytes]:
-    return {i: t for t, i in ranks(vocabulary).items()}
+    schema = StructType([*(rows.schema[c] for c in others), StructField("ids", ArrayType(IntegerType()))])
+    new = rows.mapInArrow(split_texts, StructType([*schema.fields, StructField("_words", ArrayType(StringType()))]))
+    known_ranks = constants(vocabulary)
+    return new.select(*others, "ids", F.transform("_words", lambda w: folded(as_bytes(w), *known_ranks)).alias("_folded")).mapInArrow(put_together, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``encoded`` with ``bytes``, what its ``ids`` stand for."""
-    return encoded.withColumn("bytes", decoder(vocabulary)("ids"))
+    """``encoded`` with ``bytes``, what its ``ids`` stand for; an id that the vocabulary lacks is an error."""
+    of = {rank: token.decode("latin-1") for token, rank in ranks(vocabulary).items()}
+    tokens = F.from_json(F.lit(json.dumps([of.get(i) for i in range(max(of) + 1)], ensure_ascii=False)), "array<string>")
+    pieces = F.transform("ids", lambda i: F.coalesce(F.get(tokens, i), F.raise_error(F.lit("an id that the vocabulary lacks"))))
+    return encoded.withColumn("bytes", F.encode(F.array_join(pieces, ""), "ISO-8859-1"))
 
 
 def digest(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

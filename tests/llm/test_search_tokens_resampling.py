@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -126,6 +127,36 @@ def test_folded_words(spark):
     assert {x.word: list(x.ids) for x in found} == {w: enc._encode_single_piece(w.encode()) for w in words}
 
 
+def test_byte_bpe_holds_its_table_in_one_python_step(spark):
+    """The step after the fold gets numbers, no texts and no table, and tokens are joined without Python: so an executor's workers stay small."""
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = bpe.digest(bpe.encode(df, words=5))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow put_together") == plan.count("MapInArrow split_texts") == 1 and "EvalPython" not in plan
+    after, before = plan.split("MapInArrow split_texts")
+    assert "text#" not in after and "text#" in before
+    with pytest.raises(Exception, match="vocabulary lacks"):
+        bpe.decode(spark.createDataFrame([([0, 60_000],)], "ids array<int>")).collect()
+
+
+def test_numbers_of_new_words_become_their_ids():
+    table = {"a": np.array([7], "i4").tobytes(), " b": np.array([8, 9], "i4").tobytes()}
+    known = bpe.Known(table)
+    known.start(2)
+    rows, words = [], []
+    for t in ("a b cc b", "", "a dd cc", "a ee dd b", "a cc"):
+        rows.append(known.ids(t).tolist())
+        words.append(known.taken())
+    assert rows == [[7, 8, 9, -1, 8, 9], [], [7, -2, -1], [7, -3, -4, 8, 9], [7, -5]]  # a word that was forgotten gets a second number
+    flat = [w for x in words for w in x]
+    assert flat == [" cc", " dd", " ee", " dd", " cc"]
+    ids_of = {w: list(range(100 * k, 100 * k + k % 3 + 1)) for k, w in enumerate(sorted(set(flat)), 1)}
+    held, got = bpe.Folded(), []
+    for at in (slice(0, 2), slice(2, 3), slice(3, 5)):
+        held.learn(pa.array([ids_of[w] for x in words[at] for w in x], pa.list_(pa.int32())))
+        got += held.put(pa.array(rows[at], pa.list_(pa.int32()))).to_pylist()
+    assert got == [[j for i in r for j in (ids_of[flat[-1 - i]] if i < 0 else [i])] for r in rows]
+
+
 def test_split_is_the_same_in_both_engines(spark):
     texts = [t for t in odd_texts() if t]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", bpe.split(F.col("text")).alias("w")).collect()
