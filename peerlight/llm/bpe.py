@@ -127,7 +127,10 @@ def as_bytes(word: Column) -> Column:
 
 
 def constants(vocabulary: str) -> tuple[Column, Column]:
+    """What ``folded`` needs to know of a vocabulary, whose lengths and ranks must fit the numbers of its pairs."""
     of = ranks(vocabulary)
+    if max(map(len, of)) > 255 or max(of.values()) >= _NONE:
+        raise ValueError(f"{vocabulary}: tokens of more than 255 bytes or ranks from {_NONE} don't fit the fold")
     return rank_map(of), byte_pairs(of)
 
 

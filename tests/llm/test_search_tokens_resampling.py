@@ -138,6 +138,13 @@ def test_byte_bpe_holds_its_table_in_one_python_step(spark):
         bpe.decode(spark.createDataFrame([([0, 60_000],)], "ids array<int>")).collect()
 
 
+@pytest.mark.parametrize("token, rank", [(b"a" * 256, 5), (b"ab", (1 << 18) - 1)])
+def test_vocabularies_that_do_not_fit_the_fold_are_refused(monkeypatch, token, rank):
+    monkeypatch.setattr(bpe, "ranks", lambda _: {token: rank})
+    with pytest.raises(ValueError, match="don't fit"):
+        bpe.constants("large")
+
+
 def test_numbers_of_new_words_become_their_ids():
     table = {"a": np.array([7], "i4").tobytes(), " b": np.array([8, 9], "i4").tobytes()}
     known = bpe.Known(table)
