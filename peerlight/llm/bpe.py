@@ -1,8 +1,8 @@
 """Byte-level BPE of whole texts by a rank file, and back.
 
 A pattern splits a text into words, white space included, and each word is encoded alone, so what is needed is the ids of distinct words.  ``encode_words`` does that with Spark's
-higher-order functions: a word is an array of its bytes, and a fold merges, as often as there are bytes, the leftmost adjacent pair with the lowest rank.  Ranks come from a
-literal map, cut into buckets because a map is searched from its start.  Bytes are handled as characters of ISO-8859-1, one for each.
+higher-order functions: a word is an array of its bytes, and a fold merges, as often as there are bytes, the leftmost adjacent pair with the lowest rank.  Ranks of pairs of tokens come
+from a literal map, an array of numbers that is looked up by numbers.  Bytes are handled as characters of ISO-8859-1, one for each.
 
 ``encode`` folds every word of the texts this way: the words that are most frequent in a sample once, for all tasks; any other word in the task that has its text, when the task meets it for
 the first time.  Python splits the texts before the fold, into ids and numbers of words that are to be folded, and puts their ids in place after it; texts are never shuffled.  What is in the table changes no result.
@@ -18,10 +18,9 @@ import base64
 import json
 import re
 import sys
-import zlib
 from array import array
 from functools import cache
-from itertools import count
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +35,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SAMPLE_DOCS, WORDS, WORD_BYTES = 20_000, 262_144, 48
 #: Stretches of text that a Python worker remembers, and words outside the table that it remembers in a task; two workers and the JVM share an executor's memory with others.
 STRETCHES, REMEMBERED = 1 << 17, 1 << 18
-BUCKETS = 1 << 13
-#: Bits of a place in a word; the rank of a pair that is no token, above all others, and its number in the fold.
-PLACE = 28
-_NONE = (1 << 18) - 1
-_END = _NONE << (16 + PLACE)
+#: Bits of a rank and of a place in a word; the rank of a pair that is no token, above all others.
+RANK, PLACE = 18, 27
+_NONE = (1 << RANK) - 1
 
 
 @cache
@@ -52,18 +49,47 @@ def ranks(vocabulary: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def rank_map(of: dict[bytes, int]) -> Column:
-    """All ranks as a constant: an array of small maps, by checksum of the token."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for token, rank in of.items():
-        text = token.decode("latin-1")
-        buckets[zlib.crc32(text.encode()) % BUCKETS][text] = rank
-    return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<map<string,int>>")
-
+def merges(of: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    """Ranks of the two parts that a token of two bytes or more is merged from at last, with its own rank.
 
-def byte_pairs(of: dict[bytes, int]) -> Column:
-    """The ranks of all pairs of bytes as a constant, by first byte * 256 + second byte."""
-    return F.from_json(F.lit(json.dumps([of.get(bytes(divmod(i, 256)), _NONE) for i in range(1 << 16)])), "array<int>")
+    Every token must be what the merges of its bytes end with, each of a lower rank than its own; else the vocabulary is refused.  What happens between two boundaries that no merge has
+    crossed doesn't depend on what is outside.  So whenever two adjacent pieces of a word make up a token, they are its two parts here, and a word that is a token ends as that token.
+    """
+    out = {}
+    for token, rank in of.items():
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            low, at = min([(of.get(a + b, _NONE), i) for i, (a, b) in enumerate(pairwise(parts))])
+            if low >= rank:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) > 2 or not all(p in of for p in parts):
+            raise ValueError(f"tokens that merges of lower ranks don't make up don't fit the fold: {token!r}")
+        if len(parts) == 2:
+            out[of[parts[0]], of[parts[1]]] = rank
+    return out
+
+
+def pair_slots(pairs: dict[tuple[int, int], int], tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """``slots`` and ``shifts`` that have the rank of a pair: the slot at (shifts[a] + b) mod the number of slots holds a << RANK | rank.
+
+    Slots of other pairs hold another token in place of a, or none.  Tokens of many pairs are placed first, by shifts drawn until their slots are free.
+    """
+    seconds: dict[int, list[int]] = {}
+    for a, b in pairs:
+        seconds.setdefault(a, []).append(b)
+    size = 1 << max(tokens, 2 * len(pairs)).bit_length()
+    slots, shifts, r = np.full(size, -1, "i8"), np.zeros(tokens, "i8"), np.random.default_rng(1)
+    for a, bs in sorted(seconds.items(), key=lambda x: -len(x[1])):
+        at = np.array(bs)
+        while True:
+            shifts[a] = r.integers(size)
+            where = (at + shifts[a]) & (size - 1)
+            if (slots[where] < 0).all():
+                break
+        slots[where] = [a << RANK | pairs[a, b] for b in bs]
+    slots[slots < 0] = _NONE << RANK | _NONE
+    return slots, shifts
 
 
 def _let(value: Column, use) -> Column:
@@ -71,52 +97,38 @@ def _let(value: Column, use) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, use)
 
 
-def folded(word: Column, table: Column, two: Column) -> Column:
-    """Ids of a word of one byte at least, given as ISO-8859-1 characters of its bytes.
+def folded(word: Column, known: tuple[Column, int, int]) -> Column:
+    """Ids of a word of one byte at least, given as ISO-8859-1 characters of its bytes; ``known`` are the ``constants`` of a vocabulary.
 
-    The state is a number for each adjacent pair of pieces: its rank, the place between the two and their lengths, highest bits first, so that the smallest number is the first pair of
-    the lowest rank.  A step drops that pair and looks up the ranks of its two neighbours; those of the bytes come from ``two``.
+    The state is a number for each piece: the rank of the pair of it and the next piece, its place and its id, highest bits first, so that the smallest number is the first pair of the
+    lowest rank.  That rank is the id of what the pair becomes.  A step puts it in place of the first piece, drops the second and looks up the ranks of the pairs on its two sides.
     """
+    table, slots, tokens = known
+    top = RANK + PLACE
+    id_of = lambda x: x.bitwiseAND(_NONE)
+    place_of = lambda x: x.bitwiseAND(((1 << PLACE) - 1) << RANK)
 
-    def found(m: Column, text: Column) -> Column:
-        return F.element_at(F.get(m, (F.crc32(text.cast("binary")) % BUCKETS).cast("int")), text)
+    def merged(t: Column) -> Column:
+        def number(a: Column, b: Column, place: Column) -> Column:
+            """Of the piece ``a`` before ``b``, which may be null; what isn't a's slot differs from it above the bits of a rank."""
+            slot = t[(t[a + slots] + b).bitwiseAND(slots - 1)]
+            return F.shiftleft(F.least(slot.bitwiseXOR(F.shiftleft(a, RANK)), F.lit(_NONE).cast("long")), top) + (place + a)
 
-    bits = lambda x, low, n: F.shiftright(x, low).bitwiseAND((1 << n) - 1).cast("int")
-    middle, left, right = (lambda x: bits(x, 16, PLACE)), (lambda x: bits(x, 8, 8)), (lambda x: bits(x, 0, 8))
+        def step(s: Column, _: Column) -> Column:
+            def join(x: Column) -> Column:
+                new = F.shiftright(x, top)
 
-    def merged(m: Column) -> Column:
-        text = lambda start, size: F.substring(word, start + 1, size)
+                def piece(y: Column, i: Column) -> Column:
+                    after = F.when(y == x, number(new, id_of(F.get(s, i + 2)), place_of(x)))
+                    return after.when(F.get(s, i + 1) == x, number(id_of(y), new, place_of(y))).when(F.get(s, i - 1) == x, F.lit(None)).otherwise(y)
 
-        def number(rank: Column, place: Column, before: Column, after: Column) -> Column:
-            return F.shiftleft(rank.cast("long"), 16 + PLACE) + place + (F.shiftleft(before, 8) + after)
+                return F.when(x >= _NONE << top, s).otherwise(F.array_compact(F.transform(s, piece)))
 
-        def pair(at: Column, before: Column, after: Column, place: Column) -> Column:
-            return number(F.coalesce(found(m, text(at - before, before + after)), F.lit(_NONE)), place, before, after)
+            return _let(F.array_min(s), join)
 
-        def step(s: Column, _: Column) -> Column:
-            def join(x: Column) -> Column:
-                places = F.lit(((1 << PLACE) - 1) << 16)
-                at = x.bitwiseAND(places)
-                ends = F.struct((at - F.shiftleft(left(x), 16)).alias("a"), (at + F.shiftleft(right(x), 16)).alias("c"), (left(x) + right(x)).alias("n"))
-                return _let(
-                    ends,
-                    lambda e: F.transform(
-                        F.array_remove(s, x),
-                        lambda y: F.when(y.bitwiseAND(places) == e["a"], pair(middle(y), left(y), e["n"], e["a"])).when(y.bitwiseAND(places) == e["c"], pair(middle(y), e["n"], right(y), e["c"])).otherwise(y),
-                    ),
-                )
-
-            return _let(F.array_min(s), lambda x: F.when(F.coalesce(x, F.lit(_END)) >= _END, s).otherwise(join(x)))
-
-        codes = F.transform(F.split(word, ""), lambda x: F.ascii(x))
-        start = _let(codes, lambda c: F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda i: number(F.get(two, F.get(c, i - 1) * 256 + F.get(c, i)), F.shiftleft(i.cast("long"), 16), F.lit(1), F.lit(1))))
-        last = lambda s: F.element_at(s, -1)
-        ids = lambda s: F.when(F.size(s) == 0, F.array(found(m, word))).otherwise(
-            F.concat(F.transform(s, lambda x: found(m, text(middle(x) - left(x), left(x)))), F.array(found(m, text(middle(last(s)), right(last(s))))))
-        )
-        pieces = F.aggregate(F.sequence(F.lit(2), F.length(word)), start, step, ids)
-        whole = found(m, word)
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(pieces)
+        bytes_ = F.transform(F.slice(F.split(word, ""), F.lit(1), F.length(word)), lambda x: t[F.ascii(x) + (slots + tokens)])
+        start = _let(bytes_, lambda c: F.transform(c, lambda a, i: number(a, F.get(c, i + 1), F.shiftleft(i.cast("long"), RANK))))
+        return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda s: F.transform(s, lambda x: id_of(x).cast("int")))
 
     return _let(table, merged)
 
@@ -126,17 +138,25 @@ def as_bytes(word: Column) -> Column:
     return F.decode(word.cast("binary"), "ISO-8859-1")
 
 
-def constants(vocabulary: str) -> tuple[Column, Column]:
-    """What ``folded`` needs to know of a vocabulary, whose lengths and ranks must fit the numbers of its pairs."""
+@cache
+def fold_table(vocabulary: str) -> tuple[str, int, int]:
+    """Slots and shifts of a vocabulary's pairs and the ids of the 256 bytes, one after the other as JSON, and how many slots and shifts there are."""
     of = ranks(vocabulary)
-    if max(map(len, of)) > 255 or max(of.values()) >= _NONE:
-        raise ValueError(f"{vocabulary}: tokens of more than 255 bytes or ranks from {_NONE} don't fit the fold")
-    return rank_map(of), byte_pairs(of)
+    if max(of.values()) >= _NONE or not all(bytes([i]) in of for i in range(256)):
+        raise ValueError(f"{vocabulary}: ranks from {_NONE} and bytes without a rank don't fit the fold")
+    slots, shifts = pair_slots(merges(of), max(of.values()) + 1)
+    return json.dumps([*slots.tolist(), *shifts.tolist(), *(of[bytes([i])] for i in range(256))]), len(slots), len(shifts)
+
+
+def constants(vocabulary: str) -> tuple[Column, int, int]:
+    """What ``folded`` needs to know of a vocabulary, whose ranks must fit the numbers of its pieces."""
+    table, slots, tokens = fold_table(vocabulary)
+    return F.from_json(F.lit(table), "array<bigint>"), slots, tokens
 
 
 def encode_words(words: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(word, ids) of each row of ``words`` (word)."""
-    return words.select("word", folded(as_bytes(F.col("word")), *constants(vocabulary)).alias("ids"))
+    return words.select("word", folded(as_bytes(F.col("word")), constants(vocabulary)).alias("ids"))
 
 
 def split(text: Column) -> Column:
@@ -254,13 +274,20 @@ def _pattern():
     return regex.compile(public_tokenizers.PATTERN.replace("[^\\s", "[^\\p{White_Space}").replace("\\s", "\\p{White_Space}").replace("\\S", "\\P{White_Space}"))
 
 
-_KNOWN: list[tuple[dict, Known]] = []
+_KNOWN: list[tuple[pa.Table, Known]] = []
+
+
+def ids_by_word(table: pa.Table) -> dict[str, bytes]:
+    """``Known``'s table of (word, ids)."""
+    ids = table.column("ids").combine_chunks()
+    flat, ends = ids.flatten().to_numpy().astype("i4").tobytes(), np.cumsum(np.append(0, 4 * ids.value_lengths().to_numpy().astype("i8"))).tolist()
+    return {w: flat[a:b] for w, (a, b) in zip(table.column("word").to_pylist(), pairwise(ends))}
 
 
 def _known(shared) -> Known:
     """The last table of a Python worker is kept for its next tasks."""
     if not _KNOWN or _KNOWN[0][0] is not shared.value:
-        _KNOWN[:] = [(shared.value, Known(shared.value))]
+        _KNOWN[:] = [(shared.value, Known(ids_by_word(shared.value)))]
     return _KNOWN[0][1]
 
 
@@ -270,7 +297,7 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, room: int = REMEM
     Both Python steps see a task's rows in one order, so the second has met every word that the first left out.  Only the first has the table and the texts.
     """
     table = materialize(encode_words(materialize(frequent_words(documents, **sample), "bpe-words").repartition(12), vocabulary), "bpe-ids")
-    shared = documents.sparkSession.sparkContext.broadcast({r.word: array("i", r.ids).tobytes() for r in table.collect()})  # WORDS rows of bounded length at most
+    shared = documents.sparkSession.sparkContext.broadcast(table.toArrow())  # WORDS rows of bounded length at most; never as Python objects on the driver
     others = [c for c in documents.columns if c not in ("text", "ids")]
     rows = small_batches(documents).select(*others, F.coalesce("text", F.lit("")).alias("text"))
 
@@ -296,7 +323,7 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, room: int = REMEM
     schema = StructType([*(rows.schema[c] for c in others), StructField("ids", ArrayType(IntegerType()))])
     new = rows.mapInArrow(split_texts, StructType([*schema.fields, StructField("_words", ArrayType(StringType()))]))
     known_ranks = constants(vocabulary)
-    return new.select(*others, "ids", F.transform("_words", lambda w: folded(as_bytes(w), *known_ranks)).alias("_folded")).mapInArrow(put_together, schema)
+    return new.select(*others, "ids", F.transform("_words", lambda w: folded(as_bytes(w), known_ranks)).alias("_folded")).mapInArrow(put_together, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

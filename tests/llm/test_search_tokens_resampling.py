@@ -145,6 +145,36 @@ def test_vocabularies_that_do_not_fit_the_fold_are_refused(monkeypatch, token, r
         bpe.constants("large")
 
 
+def test_the_fold_looks_up_numbers(spark):
+    """Every pair of tokens that a merge joins has its rank in the slots, other pairs have none; no step of the fold cuts or hashes strings."""
+    of, r = bpe.ranks(), random.Random(2)
+    pairs = bpe.merges(of)
+    slots, shifts = bpe.pair_slots(pairs, len(of))
+    found = lambda a, b: min(int(slots[(shifts[a] + b) % len(slots)]) ^ (a << bpe.RANK), bpe._NONE)
+    assert len(pairs) == len(of) - 256 and all(found(*p) == rank for p, rank in pairs.items())
+    assert all(found(*p) == pairs.get(p, bpe._NONE) for p in ((r.randrange(len(of)), r.randrange(len(of))) for _ in range(20_000)))
+    plan = bpe.encode_words(spark.createDataFrame([("a",)], "word string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "crc32(" not in plan and "substring(" not in plan
+
+
+@pytest.mark.parametrize("more", [{b"abc": 256}, {b"bc": 257, b"abc": 256}, {b"ab": 256, b"bc": 257, b"abcd": 258}])
+def test_vocabularies_whose_merges_do_not_end_with_their_tokens_are_refused(monkeypatch, more):
+    monkeypatch.setattr(bpe, "ranks", lambda _: {bytes([i]): i for i in range(256)} | more)
+    with pytest.raises(ValueError, match="don't fit"):
+        bpe.constants("odd")
+
+
+def test_table_of_words_is_no_rows_on_the_driver(spark, monkeypatch):
+    """Python objects of a quarter of a million words are kept off the driver, whose memory is limited; workers make them."""
+    df = spark.createDataFrame([(1, "a b a thxe")], "doc_id long, text string")
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "collect", None)
+        encoded = bpe.encode(df, words=5)
+    assert list(encoded.first().ids) == encoding().encode_ordinary("a b a thxe")
+    words = pa.table({"word": ["a", "", " b"], "ids": pa.array([[7], [], [8, 9]], pa.list_(pa.int32()))})
+    assert {w: np.frombuffer(x, "i4").tolist() for w, x in bpe.ids_by_word(words).items()} == {"a": [7], "": [], " b": [8, 9]}
+
+
 def test_numbers_of_new_words_become_their_ids():
     table = {"a": np.array([7], "i4").tobytes(), " b": np.array([8, 9], "i4").tobytes()}
     known = bpe.Known(table)
