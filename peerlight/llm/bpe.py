@@ -24,9 +24,10 @@ from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
 from .common import materialize, small_batches
 
@@ -126,9 +127,9 @@ def folded(word: Column, known: tuple[Column, int, int]) -> Column:
 
             return _let(F.array_min(s), join)
 
-        bytes_ = F.transform(F.slice(F.split(word, ""), F.lit(1), F.length(word)), lambda x: t[F.ascii(x) + (slots + tokens)])
+        bytes_ = F.transform(F.split(word, ""), lambda x: t[F.ascii(x) + (slots + tokens)])
         start = _let(bytes_, lambda c: F.transform(c, lambda a, i: number(a, F.get(c, i + 1), F.shiftleft(i.cast("long"), RANK))))
-        return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda s: F.transform(s, lambda x: id_of(x).cast("int")))
+        return F.aggregate(F.sequence(F.lit(2), F.length(word)), start, step, lambda s: F.transform(s, lambda x: id_of(x).cast("int")))
 
     return _let(table, merged)
 
@@ -183,12 +184,19 @@ def stretches(text: str) -> tuple[str, list[str]]:
     return first, rest
 
 
+#: ASCII marks that the pattern never begins a word of letters with, in contrast to the apostrophe.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 def words_of(text: str) -> list[str]:
-    """Words of a stretch; of letters after one space, with or without a mark at the end, they are known without the pattern."""
-    if text[:1] == " " and text[1:].isalpha():
-        return [text]
-    if text[:1] == " " and text[-1] in ",.;:!?" and text[1:-1].isalpha():
-        return [text[:-1], text[-1]]
+    """Words of a stretch; of letters after one space, with or without marks at the end, and of two such lines, they are known without the pattern."""
+    if text[:1] == " ":
+        if text[1:].isalpha():
+            return [text]
+        line, newline, after = text.partition("\n")
+        first, second = line.rstrip(MARKS), after.rstrip(MARKS)
+        if first[1:].isalpha() and (second.isalpha() or not newline):
+            return [w for w in (first, line[len(first) :], newline, second, after[len(second) :]) if w]
     return _pattern().findall(text)
 
 
@@ -220,8 +228,10 @@ class Known(dict):
         return found
 
     def __missing__(self, stretch: str) -> bytes:
-        self.whole = True
-        ids = b"".join(map(self.word, words_of(" " + stretch)))
+        text, self.whole = " " + stretch, True
+        ids = self.table.get(text)  # a word of a text is one word when it stands alone, too
+        if ids is None:
+            ids = b"".join(map(self.word, words_of(text)))
         if self.whole and self.left and len(stretch) <= WORD_BYTES:
             self.left -= 1
             self[stretch] = ids
@@ -261,6 +271,12 @@ class Folded:
         return pa.ListArray.from_arrays(pa.array(places[stops].astype("i4")), pa.array(out))
 
 
+def numbers_in(rows: pa.BinaryArray) -> pa.ListArray:
+    """Bytes as lists of the 32-bit numbers that they hold."""
+    stops = np.cumsum(np.append(0, pc.binary_length(rows).to_numpy(zero_copy_only=False) // 4))
+    return pa.ListArray.from_arrays(pa.array(stops.astype("i4")), pa.array(np.frombuffer(b"".join(rows.to_pylist()), "i4")))
+
+
 #: Both classes have all white space, so that a space that is in doubt is never taken for a boundary.
 SPACE_AFTER_SPACE, LONE_SPACE = re.compile(r"\s "), re.compile(r"(?<=\S) ")
 
@@ -294,7 +310,8 @@ def _known(shared) -> Known:
 def encode(documents: DataFrame, vocabulary: str = VOCABULARY, room: int = REMEMBERED, **sample) -> DataFrame:
     """``documents`` (doc_id, text, ..) with ``ids``, an array of integers, in place of ``text``.
 
-    Both Python steps see a task's rows in one order, so the second has met every word that the first left out.  Only the first has the table and the texts.
+    Both Python steps see a task's rows in one order, so the second has met every word that the first left out.  Only the first has the table and the texts.  Between them ids are bytes,
+    which Spark hands on without a look at each.
     """
     table = materialize(encode_words(materialize(frequent_words(documents, **sample), "bpe-words").repartition(12), vocabulary), "bpe-ids")
     shared = documents.sparkSession.sparkContext.broadcast(table.toArrow())  # WORDS rows of bounded length at most; never as Python objects on the driver
@@ -307,21 +324,19 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, room: int = REMEM
         for b in batches:
             ids, words = [], []
             for t in b.column("text"):
-                ids.append(known.ids(t.as_py()))
+                ids.append(known.ids(t.as_py()).tobytes())
                 words.append(known.taken())
-            ends = np.cumsum([0, *map(len, ids)], dtype="i4")
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, "i4")))
-            yield b.select(others).append_column("ids", ids).append_column("_words", pa.array(words, pa.list_(pa.string())))
+            yield b.select(others).append_column("ids", pa.array(ids, pa.binary())).append_column("_words", pa.array(words, pa.list_(pa.string())))
         known.start(room)  # an idle worker holds none
 
     def put_together(batches):
         folded = Folded()
         for b in batches:
             folded.learn(b.column("_folded").flatten())
-            yield b.select(others).append_column("ids", folded.put(b.column("ids")))
+            yield b.select(others).append_column("ids", folded.put(numbers_in(b.column("ids"))))
 
     schema = StructType([*(rows.schema[c] for c in others), StructField("ids", ArrayType(IntegerType()))])
-    new = rows.mapInArrow(split_texts, StructType([*schema.fields, StructField("_words", ArrayType(StringType()))]))
+    new = rows.mapInArrow(split_texts, StructType([*schema.fields[:-1], StructField("ids", BinaryType()), StructField("_words", ArrayType(StringType()))]))
     known_ranks = constants(vocabulary)
     return new.select(*others, "ids", F.transform("_words", lambda w: folded(as_bytes(w), known_ranks)).alias("_folded")).mapInArrow(put_together, schema)
 

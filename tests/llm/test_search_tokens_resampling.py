@@ -194,6 +194,19 @@ def test_numbers_of_new_words_become_their_ids():
     assert got == [[j for i in r for j in (ids_of[flat[-1 - i]] if i < 0 else [i])] for r in rows]
 
 
+def test_stretches_are_split_as_by_the_pattern():
+    """Also where marks, line feeds, apostrophes and other letters make the short way doubtful, and no short way is missed where texts are plain."""
+    r, calls = random.Random(4), []
+    letters = "ab'st.,!$_\n\t é中9 \u0308\x85\x1c-"
+    assert all(bpe.words_of(t) == bpe._pattern().findall(t) for t in (" " + "".join(r.choice(letters) for _ in range(r.randrange(9))) for _ in range(50_000)))
+    plain = [" a", " a.", " élan!!", " a,$$$", " a.\nB", " a.\nB,", " a\nB!!"]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(bpe, "_pattern", lambda: calls.append(1))
+        assert [bpe.words_of(t) for t in plain] == [[" a"], [" a", "."], [" élan", "!!"], [" a", ",$$$"], [" a", ".", "\n", "B"], [" a", ".", "\n", "B", ","], [" a", "\n", "B", "!!"]]
+    assert not calls
+    assert bpe.numbers_in(pa.array([b"", np.array([3, -1], "i4").tobytes()], pa.binary())).to_pylist() == [[], [3, -1]]
+
+
 def test_split_is_the_same_in_both_engines(spark):
     texts = [t for t in odd_texts() if t]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", bpe.split(F.col("text")).alias("w")).collect()
