@@ -45,3 +45,13 @@ def test_block_union_is_made_without_gathering_pairs(spark):
     r, d = one_block(spark)
     n, moved = shuffled(spark, lambda: linkage.block_pairs(r, d).agg(F.sum(F.xxhash64("rec", "dir", "mode").cast("decimal(38,0)")), F.count("*")).first()[1])
     assert n == 700 * 700 and moved < 20_000
+
+
+def test_fallback_knows_blocked_records_without_pairs(spark):
+    r, d = sides(spark, 200, 7)
+    r = linkage.checkpointed(r)
+    want = linkage.link_name_only_fallback(r, d, linkage.link_block_union(linkage.link_block_company_number(r, d), linkage.link_block_company_name(r, d)))
+    assert sorted(map(tuple, linkage.link_name_only_fallback(r, d, linkage.in_blocks(r, d)).collect())) == sorted(map(tuple, want.collect()))
+    r, d = one_block(spark)
+    n, moved = shuffled(spark, lambda: linkage.candidate_pairs(r, d).agg(F.sum(F.xxhash64("rec", "dir", "mode").cast("decimal(38,0)")), F.count("*")).first()[1])
+    assert n == 700 * 700 and moved < 40_000
