@@ -1,10 +1,13 @@
 """Pairs of blocks of any size stream out of their join: what is shuffled follows the rows, not the pairs."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 from test_blocking import sides
 
-from peerlight.operators import linkage
+from peerlight.operators import blocking, linkage
 
 
 def shuffled(spark, run):
@@ -55,3 +58,25 @@ def test_fallback_knows_blocked_records_without_pairs(spark):
     r, d = one_block(spark)
     n, moved = shuffled(spark, lambda: linkage.candidate_pairs(r, d).agg(F.sum(F.xxhash64("rec", "dir", "mode").cast("decimal(38,0)")), F.count("*")).first()[1])
     assert n == 700 * 700 and moved < 40_000
+
+
+def test_narrowing_makes_only_pairs_inside_the_area(spark):
+    r, d = sides(spark, 200, 3)
+    r = linkage.checkpointed(r)
+    want = linkage.link_area_narrowing(linkage.checkpointed(linkage.paired(linkage.candidate_pairs(r, d), r, d)))
+    columns = sorted(want.columns)
+    assert sorted(map(repr, blocking.narrowed(r, d).select(*columns).collect())) == sorted(map(repr, want.select(*columns).collect()))
+    r, d = one_block(spark)
+    n, moved = shuffled(spark, lambda: blocking.narrowed(r, d).agg(F.sum(F.xxhash64("rec", "dir", "mode").cast("decimal(38,0)")), F.count("*")).first()[1])
+    assert n == 700 * 140 and moved < 30_000
+
+
+def test_marks_never_hide_a_pair(spark):
+    """With marks of astral characters too, no rule that holds is left out by the bounds."""
+    r = random.Random(5)
+    rows = [("".join(r.choice("ab😀é") for _ in range(r.randrange(1, 9))), "".join(r.choice("ab😀é") for _ in range(r.randrange(1, 9)))) for _ in range(800)]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", linkage.marks(F.col("a")).alias("x"), linkage.marks(F.col("b")).alias("y"))
+    lacks = lambda one, other: F.bit_count(F.col(one).bitwiseAND(F.bitwise_not(F.col(other))))
+    for x in df.withColumns({"p": lacks("x", "y"), "q": lacks("y", "x")}).collect():
+        common = sum((Counter(x.a) & Counter(x.b)).values())
+        assert common <= min(len(x.a) - x.p, len(x.b) - x.q)
