@@ -71,6 +71,30 @@ def test_narrowing_makes_only_pairs_inside_the_area(spark):
     assert n == 700 * 140 and moved < 30_000
 
 
+def total(df):
+    """All columns of all rows are made, nothing is kept."""
+    return df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()[0]
+
+
+def test_similarities_of_all_pairs_are_not_gathered(spark):
+    r, d = one_block(spark, 300)
+    pairs = linkage.checkpointed(blocking.narrowed(r, d))
+    n, moved = shuffled(spark, lambda: total(linkage.link_similarity(pairs)))
+    assert n == 300 * 60 and moved < 1000
+
+
+def test_matcher_is_not_asked_for_ratios_that_are_not_wanted(spark):
+    r, d = sides(spark, 60, 4)
+    pairs = linkage.checkpointed(blocking.narrowed(linkage.checkpointed(r), d))
+    every = {(x.rec, x.dir): x for x in linkage.link_similarity(pairs).collect()}
+    some = linkage.link_similarity(pairs, lambda k: F.col(f"{k}_inside")).collect()
+    assert len(some) == len(every) > 100
+    for x in some:
+        for k in ("strict", "relaxed"):
+            a, b, full = x[f"rec_{k}"], x[f"dir_{k}"], every[x.rec, x.dir][f"{k}_similarity"]
+            assert x[f"{k}_similarity"] == (full if not a or not b or a in b or b in a else None)
+
+
 def test_marks_never_hide_a_pair(spark):
     """With marks of astral characters too, no rule that holds is left out by the bounds."""
     r = random.Random(5)
