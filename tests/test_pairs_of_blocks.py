@@ -95,6 +95,14 @@ def test_matcher_is_not_asked_for_ratios_that_are_not_wanted(spark):
             assert x[f"{k}_similarity"] == (full if not a or not b or a in b or b in a else None)
 
 
+def test_cascade_of_known_ratios_shuffles_no_pairs(spark):
+    r, d = one_block(spark, 300)
+    pairs = linkage.checkpointed(blocking.narrowed(r, d))
+    known = lambda k: F.col(f"{k}_inside") | (F.col(f"rec_{k}") == "") | (F.col(f"dir_{k}") == "")
+    n, moved = shuffled(spark, lambda: total(linkage.link_rule_cascade(linkage.link_similarity(pairs, known).filter(known("strict") & known("relaxed")))))
+    assert 300 <= n < 300 * 60 and moved < 1000
+
+
 def test_marks_never_hide_a_pair(spark):
     """With marks of astral characters too, no rule that holds is left out by the bounds."""
     r = random.Random(5)
