@@ -103,6 +103,17 @@ def test_cascade_of_known_ratios_shuffles_no_pairs(spark):
     assert 300 <= n < 300 * 60 and moved < 1000
 
 
+def test_ambiguity_reads_its_proposals_once(spark):
+    rows = [(i % 400, i, 1 + i % 4, "high", ("corp_exact_name_strict", "unique_name_strict")[i % 2], float(i * 37 % 11) / 8, 0.5, 0.5) for i in range(4000)]
+    df = linkage.checkpointed(spark.createDataFrame(rows, "rec long, dir long, rule int, confidence string, method string, score double, strict_similarity double, relaxed_similarity double"))
+    kept, moved = shuffled(spark, lambda: linkage.link_ambiguity_filter(df).collect())
+    by_rec = {}
+    for x in sorted(rows, key=lambda x: (-x[5], x[1])):
+        by_rec.setdefault(x[0], []).append(x)
+    want = [x for own in by_rec.values() for x in own if not (abs(own[0][5] - own[1][5]) < 0.25 and x[5] == own[0][5] and x[4] != "corp_exact_name_strict")]
+    assert sorted(map(tuple, kept)) == sorted(want) and len(want) < len(rows) and moved == len(rows)
+
+
 def test_marks_never_hide_a_pair(spark):
     """With marks of astral characters too, no rule that holds is left out by the bounds."""
     r = random.Random(5)
