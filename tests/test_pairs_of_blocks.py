@@ -1,5 +1,6 @@
 """Pairs of blocks of any size stream out of their join: what is shuffled follows the rows, not the pairs."""
 
+import difflib
 import random
 from collections import Counter
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_blocking import sides
 
+from peerlight.functions.ratio import ratios
 from peerlight.operators import blocking, linkage
 
 
@@ -114,6 +116,14 @@ def test_ambiguity_reads_its_proposals_once(spark):
     assert sorted(map(tuple, kept)) == sorted(want) and len(want) < len(rows) and moved == len(rows)
 
 
+def test_array_matcher_is_difflib():
+    r = random.Random(8)
+    text = lambda letters, n: "".join(r.choice(letters) for _ in range(r.randrange(n)))
+    pairs = [(text("abc", 14), text("abc", 14)) for _ in range(3000)] + [(text("abcdé中😀 12", 40), text("abcdé中😀 12", 40)) for _ in range(1500)] + [(text("ab", 400), text("ab", 260)) for _ in range(60)] + [(None, "a"), ("a", None), ("", "a")]
+    want = [difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in pairs]
+    assert list(ratios([a for a, _ in pairs], [b for _, b in pairs])) == want
+
+
 def test_marks_never_hide_a_pair(spark):
     """With marks of astral characters too, no rule that holds is left out by the bounds."""
     r = random.Random(5)
