@@ -1,8 +1,9 @@
-"""Scores are cleaned once a side."""
+"""Scores are cleaned once a side, and the best page is found without moving the candidates."""
 
 import random
 
 from pyspark.sql import functions as F
+from test_pairs_of_blocks import shuffled
 
 from peerlight.operators import pages
 
@@ -25,3 +26,17 @@ def test_scores_of_sides_are_those_of_pairs(spark):
     # cleaned names and texts are columns of the sides: no pattern is searched in a pair
     plan = apart.select("office_no", "score")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan[: plan.index("Join")]
+
+
+def test_best_page_of_many_moves_a_row_a_score(spark):
+    p, o = tables(spark)
+    placed = p.repartitionByRange(3, "page_id", "url").sortWithinPartitions("page_id", "url").withColumn("place", F.monotonically_increasing_id()).localCheckpoint()
+    scored = pages.score_candidates(o.join(F.broadcast(placed), F.col("corporation_name") == F.col("snippet")), F.col("url").contains("blocked"), ("topic",), "topic", "page").localCheckpoint()
+    rows = scored.collect()
+    want = {}
+    for x in sorted(rows, key=lambda x: (-x.score, x.page_id, x.url)):
+        want.setdefault(x.office_no, x)
+    for least in (-1, 3):
+        got, moved = shuffled(spark, lambda: pages.pick_best_candidate(scored, "office_no", "place", least, placed).collect())
+        assert sorted((x.office_no, x.url, x.score) for x in got) == sorted((k, x.url, x.score) for k, x in want.items() if x.score >= least)
+        assert moved < len(rows) / 2
