@@ -133,3 +133,9 @@ def test_marks_never_hide_a_pair(spark):
     for x in df.withColumns({"p": lacks("x", "y"), "q": lacks("y", "x")}).collect():
         common = sum((Counter(x.a) & Counter(x.b)).values())
         assert common <= min(len(x.a) - x.p, len(x.b) - x.q)
+
+
+def test_report_of_the_matcher_follows_rows_not_pairs(spark):
+    r, d = one_block(spark, 300)
+    report, moved = shuffled(spark, lambda: blocking.matcher_report(blocking.narrowed(r, d)).first())
+    assert report.pairs == 300 * 60 and 300 <= report.acceptable < report.pairs and moved < 20_000
